@@ -57,11 +57,16 @@ def subscription_enriched(t, subs: DataFrame | None = None) -> DataFrame:
               .drop("__cid", "__pid", "__mid"))
 
 
-def list_subscriptions(t, customer_id=None, status: str | None = None) -> DataFrame:
-    """subscriptions of a customer and/or with a status, latest expiry first."""
+def list_subscriptions(t, customer_id=None, status: str | None = None,
+                       customer_ids: DataFrame | None = None) -> DataFrame:
+    """subscriptions of a customer (or of a batch of customers given
+    as a DataFrame of ``id``) and/or with a status, latest expiry first."""
     cp = t["customer_packages"]
     if customer_id is not None:
         cp = cp.where(F.col("customer_id") == F.lit(customer_id))
+    if customer_ids is not None:
+        keys = customer_ids.select(F.col("id").alias("__cid"))
+        cp = cp.join(keys, cp["customer_id"] == keys["__cid"], "left_semi")
     if status:
         cp = cp.where(F.col("status") == F.lit(status))
     return (subscription_record(subscription_enriched(t, cp))
@@ -190,7 +195,7 @@ def filter_customers(view: DataFrame, status: str | None = None, company_id=None
     if company_id is not None and company_id != "":
         view = view.where(F.col("company_id") == F.lit(int(company_id)))
     if search:
-        pat = F.lit(like_term(search))
+        pat = like_term(search)
         view = view.where(F.col("first_name").ilike(pat) | F.col("last_name").ilike(pat)
                           | F.col("email").ilike(pat))
     return view
@@ -218,7 +223,7 @@ def reminder_candidates(t, days=7, as_of=None, subs: DataFrame | None = None) ->
     return j.select(
         F.col("id").alias("cp_id"), full_name("first_name", "last_name").alias("customer_name"),
         "email", "package_name", "joined_at", "expires_at",
-        days_left("expires_at", as_of, dtype).alias("days_left"),
+        days_left("expires_at", as_of, dtype).cast("int").alias("days_left"),
         F.col("price_paid").cast("string").alias("price_paid"),
     ).orderBy("expires_at", "cp_id")
 

@@ -230,6 +230,61 @@ def dirty_promotions_view(orders: DataFrame) -> DataFrame:
         (k % 2 == 0).alias("active"))
 
 
+# -- request batches derived from the driver tables (write-path inputs) --------------
+
+def company_requests_view(supplier: DataFrame, nation: DataFrame) -> DataFrame:
+    """Company names to seed or resolve: even suppliers ask for their
+    nation's name (already a company), odd ones for their own name."""
+    j = supplier.join(nation, supplier["s_nationkey"] == nation["n_nationkey"])
+    return j.select(F.col("s_suppkey").alias("row_id"),
+                    F.when(F.col("s_suppkey") % 2 == 0, F.col("n_name"))
+                     .otherwise(F.col("s_name")).alias("name"))
+
+
+def assignment_requests_view(customer: DataFrame, part: DataFrame) -> DataFrame:
+    """One package request per customer, with the package's default terms."""
+    k = F.col("c_custkey")
+    j = customer.join(part, part["p_partkey"] == k % 50)
+    return j.select(
+        k.alias("seq"),
+        F.concat(F.lower("c_mktsegment"), F.lit("."), _s(k), F.lit("@example.com"))
+         .alias("customer_email"),
+        F.col("p_name").alias("package_name"),
+        F.when(k % 4 == 0, F.lit("ASIA")).when(k % 4 == 1, F.lit("ATLANTIS"))
+         .alias("promotion_name"),
+        at(AS_OF_TEXT).alias("joined_at"),
+        (at(AS_OF_TEXT) + _days(F.lit(30) * (F.lit(1) + F.col("p_size") % 12))).alias("expires_at"),
+        F.col("p_retailprice").cast("decimal(10,2)").alias("price_paid"),
+        F.lit("active").alias("status"))
+
+
+def customer_requests_view(supplier: DataFrame) -> DataFrame:
+    """New customers with an optional nested subscription."""
+    k = F.col("s_suppkey")
+    sub = F.struct(((k * 37) % 2500).alias("package_id"),
+                   F.when(k % 5 == 0, (k % 7).cast("bigint")).alias("promotion_id"),
+                   F.lit(None).cast("string").alias("joined_at"),
+                   F.when(k % 11 == 0, F.lit("junk"))
+                    .otherwise(F.lit("2001-09-01T00:00:00Z")).alias("expires_at"),
+                   F.col("s_acctbal").alias("price_paid"))
+    return supplier.select(
+        k.alias("row_id"), F.lit("Supplier").alias("first_name"),
+        F.split_part("s_name", F.lit("#"), F.lit(2)).alias("last_name"),
+        F.when(k % 7 == 0, F.lit("shared@example.com"))
+         .otherwise(F.concat(F.lit("supplier."), _s(k), F.lit("@example.com"))).alias("email"),
+        _null("string").alias("phone"),
+        F.when(k % 13 == 0, F.lit(99).cast("bigint"))
+         .otherwise(F.col("s_nationkey").cast("bigint")).alias("company_id"),
+        F.when(F.col("s_acctbal") < 0, F.lit("inactive")).otherwise(F.lit("active")).alias("status"),
+        _null("string").alias("notes"),
+        F.when(k % 3 == 0, F.lit(None).cast(sub_type())).otherwise(sub).alias("subscription"))
+
+
+def sub_type() -> str:
+    return ("struct<package_id:bigint,promotion_id:bigint,joined_at:string,"
+            "expires_at:string,price_paid:double>")
+
+
 DIRTY_REQUEST_SCHEMAS = {
     "dirty_customers": [("row_id", "bigint"), ("first_name", "string"), ("last_name", "string"),
                         ("email", "string"), ("phone", "string"), ("status", "string")],
@@ -257,7 +312,7 @@ def _cast_all(df: DataFrame, fields) -> DataFrame:
 def fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All fixture views over ``sf_dir`` as a dict of lazy DataFrames."""
     raw = {name: read_raw(spark, sf_dir, name)
-           for name in ["region", "nation", "customer", "part", "orders", "events"]}
+           for name in ["region", "nation", "customer", "supplier", "part", "orders", "events"]}
     t = {
         "companies": S.conform(companies_view(raw["nation"]), S.COMPANIES),
         "packages": S.conform(packages_view(raw["part"]), S.PACKAGES),
@@ -284,6 +339,9 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
     for name, (build, src) in builders.items():
         t[name] = _cast_all(build(raw[src]), DIRTY_REQUEST_SCHEMAS[name])
+    t["company_requests"] = company_requests_view(raw["supplier"], raw["nation"])
+    t["assignment_requests"] = assignment_requests_view(raw["customer"], raw["part"])
+    t["customer_requests"] = customer_requests_view(raw["supplier"])
     return t
 
 
@@ -400,4 +458,29 @@ SELECT o_orderkey AS row_id,
        CASE WHEN o_orderkey % 7 = 0 THEN '2024-12-31' ELSE '2024-12-31T23:59:59.5Z' END AS valid_until,
        o_orderkey % 2 = 0 AS active
 FROM orders""",
+    "company_requests": """
+SELECT s.s_suppkey AS row_id, CASE WHEN s.s_suppkey % 2 = 0 THEN n.n_name ELSE s.s_name END AS name
+FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey""",
+    "assignment_requests": """
+SELECT c_custkey AS seq,
+       concat(lower(c_mktsegment), '.', CAST(c_custkey AS VARCHAR), '@example.com') AS customer_email,
+       p_name AS package_name,
+       CASE c_custkey % 4 WHEN 0 THEN 'ASIA' WHEN 1 THEN 'ATLANTIS' END AS promotion_name,
+       TIMESTAMP '2001-08-01 12:00:00' AS joined_at,
+       TIMESTAMP '2001-08-01 12:00:00' + (30 * (1 + p_size % 12)) * INTERVAL '1' DAY AS expires_at,
+       CAST(p_retailprice AS DECIMAL(10,2)) AS price_paid, 'active' AS status
+FROM customer JOIN part ON p_partkey = c_custkey % 50""",
+    "customer_requests": """
+SELECT s_suppkey AS row_id, 'Supplier' AS first_name, split_part(s_name, '#', 2) AS last_name,
+       CASE WHEN s_suppkey % 7 = 0 THEN 'shared@example.com' ELSE concat('supplier.', CAST(s_suppkey AS VARCHAR), '@example.com') END AS email,
+       CAST(NULL AS VARCHAR) AS phone,
+       CASE WHEN s_suppkey % 13 = 0 THEN CAST(99 AS BIGINT) ELSE CAST(s_nationkey AS BIGINT) END AS company_id,
+       CASE WHEN s_acctbal < 0 THEN 'inactive' ELSE 'active' END AS status,
+       CAST(NULL AS VARCHAR) AS notes,
+       s_suppkey % 3 <> 0 AS has_subscription,
+       (s_suppkey * 37) % 2500 AS sub_package_id,
+       CASE WHEN s_suppkey % 5 = 0 THEN CAST(s_suppkey % 7 AS BIGINT) END AS sub_promotion_id,
+       CASE WHEN s_suppkey % 11 = 0 THEN 'junk' ELSE '2001-09-01T00:00:00Z' END AS sub_expires_at,
+       s_acctbal AS sub_price_paid
+FROM supplier""",
 }
