@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from halyard.functions.time import at
 from halyard.operators.ids import assign_ids, next_id
+from halyard.operators.integrity import all_present
 from halyard.operators.validation import VALIDATORS, parse_utc_datetime
 from halyard.sources import schemas as S
 
@@ -61,7 +62,7 @@ def _flag_unique(df: DataFrame, table: DataFrame, entity: str, order_by: str,
         held = (table.select(*[F.col(k).alias(n) for k, n in zip(keys, names)]).distinct()
                 .withColumn("__held", F.lit(True)))
         # Only rows that pass every other check can take the key first.
-        first = (out.where(F.coalesce(*[F.col(n).isNotNull() for n in names])
+        first = (out.where(all_present(names)
                            & (F.size("errors") == 0))
                  .groupBy(*names).agg(F.min(order_by).alias("__first")))
         code = "unique:" + "+".join(keys)

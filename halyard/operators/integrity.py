@@ -10,10 +10,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def all_present(keys: list[str]) -> Column:
+    """Every key column non-NULL (a NULL never clashes, as in SQL)."""
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+
+
 def orphans(child: DataFrame, parent: DataFrame, fk: str, parent_key: str = "id") -> DataFrame:
     """Rows of ``child`` whose non-NULL ``fk`` has no parent row."""
     keys = parent.select(F.col(parent_key).alias("__pk")).distinct()
@@ -33,7 +38,7 @@ def orphan_report(checks: list[tuple[str, DataFrame, str, DataFrame, str]]) -> D
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     """W8 within a batch: each key held by more than one row, with its count."""
-    return (df.where(F.coalesce(*[F.col(k).isNotNull() for k in keys]))
+    return (df.where(all_present(keys))
             .groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
             .where(F.col("n_rows") > 1))
 
@@ -54,7 +59,7 @@ def duplicate_report(checks: list[tuple[str, DataFrame, DataFrame | None, list[s
     when the batch repeats it or the table already has it."""
     parts = []
     for name, batch, table, keys in checks:
-        counts = (batch.where(F.coalesce(*[F.col(k).isNotNull() for k in keys]))
+        counts = (batch.where(all_present(keys))
                   .groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")))
         if table is not None:
             held = table.select(*keys).distinct().withColumn("__held", F.lit(True))

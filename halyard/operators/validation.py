@@ -65,10 +65,14 @@ class Rules:
         return F.lit(True)
 
     def _add(self, field: str, cond: Column, code: str):
+        if field not in self.df.columns:
+            return
         self.rules.append(_err(self.present(field) & F.coalesce(cond, F.lit(False)),
                                f"{field}:{code}"))
 
     def text(self, field, lo=None, hi=None, required=False, email=False, datetime=False):
+        if field not in self.df.columns:
+            return
         v = F.col(field)
         if required:
             self._add(field, v.isNull(), "required")
@@ -82,6 +86,8 @@ class Rules:
             self._add(field, v.isNotNull() & ~is_utc_datetime(v), "datetime")
 
     def number(self, field, lo=None, hi=None, integer=False, required=False):
+        if field not in self.df.columns:
+            return
         v = F.col(field)
         if required:
             self._add(field, v.isNull(), "required")
@@ -94,6 +100,8 @@ class Rules:
             self._add(field, v.isNotNull() & (v > F.lit(hi)), "too_big")
 
     def enum(self, field, values):
+        if field not in self.df.columns:
+            return
         v = F.col(field)
         self._add(field, v.isNotNull() & ~v.isin(values), "enum")
 

@@ -241,3 +241,19 @@ def resolve_by_name(df: DataFrame, dim: DataFrame, name_col: str,
 
 def with_price_text(df: DataFrame, col: str = "price_paid") -> DataFrame:
     return df.withColumn(col + "_text", price_text(col))
+
+
+# -- E15 ----------------------------------------------------------------------------
+
+def default_terms(requests: DataFrame, packages: DataFrame, as_of,
+                  key: str = "row_id", package_col: str = "package_id") -> DataFrame:
+    """For each (request, package) the form's defaults: expiry at
+    midnight UTC of as_of's date plus the package duration (30 days when
+    unknown) and the package's list price."""
+    from halyard.functions.expressions import default_expiry
+    pk = small_side(packages.select(F.col("id").alias("__pid"), "duration_days", "price"),
+                    packages)
+    j = requests.join(pk, requests[package_col] == pk["__pid"], "left")
+    return j.select(key, package_col,
+                    default_expiry("duration_days", as_of).alias("default_expires_at"),
+                    F.col("price").cast("double").alias("default_price"))

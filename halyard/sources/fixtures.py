@@ -342,6 +342,7 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     t["company_requests"] = company_requests_view(raw["supplier"], raw["nation"])
     t["assignment_requests"] = assignment_requests_view(raw["customer"], raw["part"])
     t["customer_requests"] = customer_requests_view(raw["supplier"])
+    t["pages"] = read_raw(spark, sf_dir, "pages")
     return t
 
 

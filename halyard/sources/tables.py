@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from halyard.functions.expressions import EXPIRY_TYPE
 from halyard.functions.time import at
 from halyard.operators.ids import assign_ids, next_id
+from halyard.operators.integrity import all_present
 from halyard.sources import schemas as S
 
 
@@ -102,6 +103,6 @@ def insert_if_absent(existing: DataFrame, new: DataFrame, on: list[str],
     """Rows of ``new`` whose natural key is absent from ``existing`` (the
     first by ``order_by`` when the batch repeats a key), numbered after the
     table's largest id."""
-    keys = existing.select(*on).where(F.coalesce(*[F.col(c).isNotNull() for c in on]))
+    keys = existing.select(*on).where(all_present(on))
     fresh = first_per_key(new, on, order_by).join(keys, on, "left_anti")
     return assign_ids(fresh, next_id(existing, id_col), [order_by], id_col)
