@@ -50,3 +50,4 @@ def register(key: str, sql: str | None = None):
 from halyard.plans import catalog_reads  # noqa: E402,F401  (registers keys)
 from halyard.plans import catalog_metrics  # noqa: E402,F401
 from halyard.plans import catalog_expressions  # noqa: E402,F401
+from halyard.plans import catalog_writes  # noqa: E402,F401
