@@ -19,6 +19,7 @@ from halyard.operators.ids import assign_ids, next_id
 from halyard.operators.integrity import all_present
 from halyard.operators.validation import VALIDATORS, parse_utc_datetime
 from halyard.sources import schemas as S
+from halyard.sources.fixtures import overlay
 
 DATETIME_FIELDS = {"joined_at", "expires_at", "valid_from", "valid_until"}
 
@@ -283,7 +284,7 @@ def delete_batch(t, entity: str, keys: DataFrame, key: str = "id"):
          .when(F.col("__blocked"), F.lit("restricted")).otherwise(F.lit("deleted"))
          .alias("outcome"))
     removed = outcomes.where(F.col("outcome") == "deleted").select(F.col("id").alias("__gone"))
-    new = dict(t)
+    new = overlay(t)
     new[entity] = table.join(removed, table["id"] == removed["__gone"], "left_anti")
     _cascade(new, entity, removed)
     return new, outcomes

@@ -1,25 +1,30 @@
-"""Join helpers: a broadcast that is taken only behind a counted size bound."""
+"""Join helpers: a broadcast that is taken only behind a counted size bound.
+
+A dimension is broadcast only when its source table has at most
+``BROADCAST_MAX_ROWS`` rows (counted once per session and plan: a parquet
+count reads only file footers). Beyond the bound the join stays a shuffle
+join, and AQE may still turn it into a broadcast from the measured shuffle
+size, or split skewed partitions.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A dimension is broadcast only when it has at most this many rows; beyond
-# that the join stays a shuffle join (AQE may still convert it at runtime
-# from the measured shuffle size, and splits skewed partitions).
+# About 1M rows of a narrow projection (id, name) is well under 100 MB.
 BROADCAST_MAX_ROWS = 1_000_000
 
-_counts: dict[int, tuple[DataFrame, int]] = {}
+_counts: dict[tuple[int, int], int] = {}
 
 
 def row_count(df: DataFrame) -> int:
-    """Row count of ``df``, counted once per DataFrame object."""
-    hit = _counts.get(id(df))
-    if hit is not None and hit[0] is df:
-        return hit[1]
-    n = df.count()
-    _counts[id(df)] = (df, n)
+    """Row count of ``df``, counted once per session and semantic plan."""
+    key = (id(df.sparkSession), df.semanticHash())
+    n = _counts.get(key)
+    if n is None:
+        n = df.count()
+        _counts[key] = n
     return n
 
 

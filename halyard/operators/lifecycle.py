@@ -16,6 +16,7 @@ from halyard.functions.expressions import (BULLET, DASH, html_escape, iso_date,
                                            mail_urgency)
 from halyard.functions.time import at_for
 from halyard.operators import views as V
+from halyard.sources.fixtures import overlay
 from halyard.sources.tables import log_subject, notification_rows
 from halyard.operators.ids import next_id
 
@@ -131,7 +132,7 @@ def reminder_cycle(t, days, recipient: str, as_of) -> dict[str, DataFrame]:
     never consults the log, so it re-sends each time it runs."""
     cp = t["customer_packages"]
     new_cp = auto_expire(cp, as_of)
-    candidates = V.reminder_candidates({**t, "customer_packages": new_cp}, days, as_of)
+    candidates = V.reminder_candidates(overlay(t, customer_packages=new_cp), days, as_of)
     head = digest_header(candidates, days)
     summary = (auto_expire_count(cp, as_of).unionByName(head.select("recipients"),
                                                         allowMissingColumns=True)

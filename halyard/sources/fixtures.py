@@ -9,6 +9,9 @@ for the independent DuckDB oracle.
 
 from __future__ import annotations
 
+from collections import ChainMap
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -309,27 +312,80 @@ def _cast_all(df: DataFrame, fields) -> DataFrame:
     return df.select([F.col(n).cast(t).alias(n) for n, t in fields])
 
 
-def fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All fixture views over ``sf_dir`` as a dict of lazy DataFrames."""
-    raw = {name: read_raw(spark, sf_dir, name)
-           for name in ["region", "nation", "customer", "supplier", "part", "orders", "events"]}
-    t = {
-        "companies": S.conform(companies_view(raw["nation"]), S.COMPANIES),
-        "packages": S.conform(packages_view(raw["part"]), S.PACKAGES),
-        "promotions": S.conform(promotions_view(raw["region"]), S.PROMOTIONS),
-        "package_promotions": S.conform(package_promotions_view(raw["part"]),
-                                        S.PACKAGE_PROMOTIONS),
-        "customers": S.conform(customers_view(raw["customer"]), S.CUSTOMERS),
-        "customer_packages": S.conform(customer_packages_view(raw["orders"]),
-                                       S.CUSTOMER_PACKAGES),
-        "notification_log": S.conform(notification_log_view(raw["orders"]),
-                                      S.NOTIFICATION_LOG),
-        "customer_changes": S.conform(customer_changes_view(raw["events"]),
-                                      S.CUSTOMER_CHANGES),
-        "package_features_text": packages_view(raw["part"], with_text=True)
-                                 .select("id", "features_text"),
+class Tables(Mapping):
+    """Table name -> DataFrame, each view built on first access and kept.
+
+    Building a view only constructs (and analyses) its plan; nothing runs.
+    Keeping them lets many queries of one session share the plans, and a
+    query pays only for the views it reads.
+    """
+
+    def __init__(self, builders: dict):
+        self._builders = builders
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            if name not in self._builders:
+                raise KeyError(name)
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __contains__(self, name) -> bool:
+        return name in self._builders
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
+def overlay(t, **tables) -> ChainMap:
+    """``t`` with some tables replaced, without building the others."""
+    return ChainMap(dict(tables), t)
+
+
+_CACHE: dict[tuple[int, str], Tables] = {}
+
+
+def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """All fixture views over ``sf_dir``, built lazily, one set per session."""
+    key = (id(spark), sf_dir.rstrip("/"))
+    if key not in _CACHE:
+        _CACHE[key] = _fixture_tables(spark, sf_dir)
+    return _CACHE[key]
+
+
+def _fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    raw_cache: dict[str, DataFrame] = {}
+
+    def raw(name):
+        if name not in raw_cache:
+            raw_cache[name] = read_raw(spark, sf_dir, name)
+        return raw_cache[name]
+
+    b = {
+        "companies": lambda: S.conform(companies_view(raw("nation")), S.COMPANIES),
+        "packages": lambda: S.conform(packages_view(raw("part")), S.PACKAGES),
+        "promotions": lambda: S.conform(promotions_view(raw("region")), S.PROMOTIONS),
+        "package_promotions": lambda: S.conform(package_promotions_view(raw("part")),
+                                                S.PACKAGE_PROMOTIONS),
+        "customers": lambda: S.conform(customers_view(raw("customer")), S.CUSTOMERS),
+        "customer_packages": lambda: S.conform(customer_packages_view(raw("orders")),
+                                               S.CUSTOMER_PACKAGES),
+        "notification_log": lambda: S.conform(notification_log_view(raw("orders")),
+                                              S.NOTIFICATION_LOG),
+        "customer_changes": lambda: S.conform(customer_changes_view(raw("events")),
+                                              S.CUSTOMER_CHANGES),
+        "package_features_text": lambda: packages_view(raw("part"), with_text=True)
+                                         .select("id", "features_text"),
+        "company_requests": lambda: company_requests_view(raw("supplier"), raw("nation")),
+        "assignment_requests": lambda: assignment_requests_view(raw("customer"), raw("part")),
+        "customer_requests": lambda: customer_requests_view(raw("supplier")),
+        "pages": lambda: raw("pages"),
     }
-    builders = {
+    dirty = {
         "dirty_customers": (dirty_customers_view, "customer"),
         "dirty_subscriptions": (dirty_subscriptions_view, "orders"),
         "dirty_package_promotions": (dirty_package_promotions_view, "part"),
@@ -337,13 +393,10 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "dirty_packages": (dirty_packages_view, "part"),
         "dirty_promotions": (dirty_promotions_view, "orders"),
     }
-    for name, (build, src) in builders.items():
-        t[name] = _cast_all(build(raw[src]), DIRTY_REQUEST_SCHEMAS[name])
-    t["company_requests"] = company_requests_view(raw["supplier"], raw["nation"])
-    t["assignment_requests"] = assignment_requests_view(raw["customer"], raw["part"])
-    t["customer_requests"] = customer_requests_view(raw["supplier"])
-    t["pages"] = read_raw(spark, sf_dir, "pages")
-    return t
+    for name, (build, src) in dirty.items():
+        b[name] = (lambda build=build, src=src, name=name:
+                   _cast_all(build(raw(src)), DIRTY_REQUEST_SCHEMAS[name]))
+    return Tables(b)
 
 
 # ---------------------------------------------------------------------------

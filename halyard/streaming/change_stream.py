@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from halyard.operators.changes import apply_folded, fold_changes
 from halyard.sources import schemas as S
+from halyard.sources.fixtures import overlay
 from halyard.sources.tables import write_table
 
 
@@ -63,7 +64,7 @@ def apply_change_stream(changes: DataFrame, t: dict, target_path: str, checkpoin
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         prev = latest_version(target_path, entity)
-        cur = dict(t)
+        cur = overlay(t)
         if prev is not None and not prev.endswith(f"v={batch_id}"):
             cur[entity] = S.conform(spark.read.schema(S.TABLES[entity]).parquet(prev),
                                     S.TABLES[entity])
