@@ -19,8 +19,6 @@ Two ways to consume it:
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,15 +42,30 @@ def fold_stream(changes: DataFrame) -> DataFrame:
     return fold_changes(changes)
 
 
-def latest_version(path: str, name: str) -> str | None:
-    base = os.path.join(path, name)
-    if not os.path.isdir(base):
-        return None
-    done = [d for d in os.listdir(base)
-            if d.startswith("v=") and os.path.exists(os.path.join(base, d, "_SUCCESS"))]
-    if not done:
-        return None
-    return os.path.join(base, max(done, key=lambda d: int(d[2:])))
+def _versions(spark: SparkSession, path: str, name: str) -> list[tuple[int, str, bool]]:
+    """``(version, folder, complete)`` of a versioned table, through the
+    Hadoop FileSystem API, so shared cluster storage works as local disk."""
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{name}")
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(base):
+        return []
+    out = []
+    for st in fs.listStatus(base):
+        leaf = st.getPath().getName()
+        if st.isDirectory() and leaf.startswith("v="):
+            done = fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))
+            out.append((int(leaf[2:]), st.getPath().toString(), done))
+    return sorted(out)
+
+
+def latest_version(path: str, name: str, spark: SparkSession | None = None,
+                   below: int | None = None) -> str | None:
+    """The newest complete version of table ``name`` (below ``below``)."""
+    spark = spark or SparkSession.getActiveSession()
+    done = [(v, p) for v, p, ok in _versions(spark, path, name)
+            if ok and (below is None or v < below)]
+    return done[-1][1] if done else None
 
 
 def apply_change_stream(changes: DataFrame, t: dict, target_path: str, checkpoint: str,
@@ -63,18 +76,12 @@ def apply_change_stream(changes: DataFrame, t: dict, target_path: str, checkpoin
     spark = changes.sparkSession
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        prev = latest_version(target_path, entity)
+        # Start from the newest version written by an earlier batch; a
+        # retried batch ignores its own partial or complete output.
+        prev = latest_version(target_path, entity, spark, below=batch_id)
         cur = overlay(t)
-        if prev is not None and not prev.endswith(f"v={batch_id}"):
-            cur[entity] = S.conform(spark.read.schema(S.TABLES[entity]).parquet(prev),
-                                    S.TABLES[entity])
-        elif prev is not None:
-            # A retried batch: start again from the version before it.
-            before = [v for v in os.listdir(os.path.join(target_path, entity))
-                      if v.startswith("v=") and int(v[2:]) < batch_id]
-            if before:
-                path = os.path.join(target_path, entity, max(before, key=lambda d: int(d[2:])))
-                cur[entity] = spark.read.schema(S.TABLES[entity]).parquet(path)
+        if prev is not None:
+            cur[entity] = spark.read.schema(S.TABLES[entity]).parquet(prev)
         new, _outcomes = apply_folded(cur, batch, entity, as_of)
         write_table(new[entity], target_path, entity, batch_id)
 
