@@ -39,8 +39,8 @@ def _flag_missing_parents(df: DataFrame, t, entity: str, cols: dict[str, Column]
         if col not in cols or parent not in t:
             continue
         tag = f"__has_{col}"
-        keys = t[parent].select(F.col("id").alias(f"__pk_{col}")).distinct() \
-                        .withColumn(tag, F.lit(True))
+        # Parent ids are a primary key: no distinct (and no shuffle) needed.
+        keys = t[parent].select(F.col("id").alias(f"__pk_{col}"), F.lit(True).alias(tag))
         out = (out.join(keys, cols[col] == F.col(f"__pk_{col}"), "left")
                   .withColumn("errors", F.when(
                       cols[col].isNotNull() & F.col(tag).isNull(),
@@ -85,7 +85,8 @@ def _table_value(field: str, dtype, source: Column) -> Column:
     return source.cast(dtype)
 
 
-def to_table_rows(valid: DataFrame, entity: str, as_of, id_col: str = "id") -> DataFrame:
+def to_table_rows(valid: DataFrame, entity: str, as_of, id_col: str = "id",
+                  keep: list[str] | None = None) -> DataFrame:
     """Request rows to table rows: writable fields converted, absent ones
     defaulted (NULL or the column default), timestamps set to ``as_of``."""
     cols = []
@@ -108,7 +109,8 @@ def to_table_rows(valid: DataFrame, entity: str, as_of, id_col: str = "id") -> D
         else:
             c = F.lit(defaults.get(n)).cast(f.dataType)
         cols.append(c.alias(n))
-    return valid.select(*[c for c in valid.columns if c.startswith("row_") or c == "seq"], *cols)
+    carried = [c for c in valid.columns if c.startswith("row_") or c == "seq" or c in (keep or [])]
+    return valid.select(*carried, *cols)
 
 
 # -- W2 -----------------------------------------------------------------------------
@@ -143,16 +145,17 @@ def create_with_subscription(t, rows: DataFrame, as_of, order_by: str = "row_id"
                                      "promotion_id": sub["promotion_id"]})
     checked = _flag_unique(checked, t["customers"], "customers", order_by, cust_cols)
     valid, rejected = _split(checked)
-    customers = to_table_rows(valid.drop("subscription"), "customers", as_of)
-    customers = assign_ids(customers, next_id(t["customers"]), [order_by])
-    customers = customers.select(order_by, *S.CUSTOMERS.fieldNames())
-    subs_req = (valid.where(sub.isNotNull())
-                .select(order_by, sub["package_id"].alias("package_id"),
-                        sub["promotion_id"].alias("promotion_id"),
-                        sub["joined_at"].alias("joined_at"),
-                        sub["expires_at"].alias("expires_at"),
-                        sub["price_paid"].alias("price_paid"))
-                .join(customers.select(order_by, F.col("id").alias("customer_id")), order_by))
+    # One numbered (and materialised) batch of customers carries the nested
+    # subscription, so the subscriptions are numbered from it without
+    # running the checks again.
+    numbered = to_table_rows(valid, "customers", as_of, keep=["subscription"])
+    numbered = assign_ids(numbered, next_id(t["customers"]), [order_by])
+    customers = numbered.select(order_by, *S.CUSTOMERS.fieldNames())
+    subs_req = numbered.where(sub.isNotNull()).select(
+        order_by, F.col("id").alias("customer_id"),
+        sub["package_id"].alias("package_id"), sub["promotion_id"].alias("promotion_id"),
+        sub["joined_at"].alias("joined_at"), sub["expires_at"].alias("expires_at"),
+        sub["price_paid"].alias("price_paid"))
     subs = to_table_rows(subs_req, "customer_packages", as_of)
     subs = assign_ids(subs, next_id(t["customer_packages"]), [order_by])
     subs = subs.select(order_by, *S.CUSTOMER_PACKAGES.fieldNames())
@@ -308,22 +311,23 @@ def assign_if_none(t, requests: DataFrame, as_of, any_status: bool = False,
                    order_by: str = "seq"):
     """A subscription for each (customer e-mail, package name [,
     promotion name]) request unless the customer already has an active one
-    (or any, with ``any_status``). Names resolve by inner join (a request
-    whose promotion name is unknown inserts nothing; a package name held by
-    several packages inserts one row each). The first request of a customer
-    in the batch wins. Requests carry ``joined_at``, ``expires_at``
-    (timestamps), ``price_paid`` and ``status``."""
+    (or any, with ``any_status``). Each name resolves to one id, the lowest
+    of the rows holding it (J7's rule), so a request creates at most one
+    subscription however many packages share a name; an unknown package or
+    promotion name creates nothing. The first request of a customer in the
+    batch wins. Requests carry ``joined_at``, ``expires_at`` (timestamps),
+    ``price_paid`` and ``status``."""
+    from halyard.operators.views import resolve_by_name
     cust = t["customers"].select(F.col("id").alias("customer_id"),
                                  F.col("email").alias("customer_email"))
-    pk = t["packages"].select(F.col("id").alias("package_id"), F.col("name").alias("package_name"))
-    pr = t["promotions"].select(F.col("id").alias("promotion_id"),
-                                F.col("name").alias("promotion_name"))
-    req = requests.join(cust, "customer_email").join(pk, "package_name")
-    req = req.join(pr, "promotion_name", "left").where(
-        F.col("promotion_name").isNull() | F.col("promotion_id").isNotNull())
+    req = requests.join(cust, "customer_email")
+    req = resolve_by_name(req, t["packages"], "package_name", "package_id")
+    req = resolve_by_name(req, t["promotions"], "promotion_name", "promotion_id")
+    req = req.where(F.col("package_id").isNotNull()
+                    & (F.col("promotion_name").isNull() | F.col("promotion_id").isNotNull()))
     cp = t["customer_packages"]
     holders = cp if any_status else cp.where(F.col("status") == "active")
-    req = req.join(holders.select("customer_id").distinct(), "customer_id", "left_anti")
+    req = req.join(holders.select("customer_id"), "customer_id", "left_anti")
     first = req.groupBy("customer_id").agg(F.min(order_by).alias("__first"))
     req = req.join(first, "customer_id").where(F.col(order_by) == F.col("__first")).drop("__first")
     ts = at(as_of)
@@ -331,5 +335,5 @@ def assign_if_none(t, requests: DataFrame, as_of, any_status: bool = False,
         order_by, "customer_id", "package_id", "promotion_id", "joined_at", "expires_at",
         F.col("price_paid").cast("decimal(10,2)").alias("price_paid"), "status",
         ts.alias("created_at"), ts.alias("updated_at"))
-    rows = assign_ids(rows, next_id(cp), [order_by, "package_id"])
+    rows = assign_ids(rows, next_id(cp), [order_by])
     return rows.select(order_by, *S.CUSTOMER_PACKAGES.fieldNames())

@@ -5,9 +5,9 @@ each partition; ``monotonically_increasing_id`` then holds the partition
 index in its upper bits and the position in the partition in its lower 33
 bits. The per-partition row counts (one row per partition, so their size is
 bounded by the partition count, not the data) give each partition its
-offset. The partitioned batch is checkpointed to the shared checkpoint
-folder first, so a recomputation after a lost executor sees the same rows
-in the same partitions and the ids never change.
+offset. The numbered batch is first written as a table under the shared
+checkpoint folder (one job), which cuts the lineage: a recomputation after
+a lost executor reads the same rows and positions, so ids never change.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.session import ensure_checkpoint_dir
+from halyard.session import scratch_dir
 
 POS_BITS = 33
 
@@ -41,12 +41,13 @@ def assign_ids(rows: DataFrame, start: int, order_by, id_col: str = "id",
     partition, and only the partition counts are combined in one place.
     """
     spark = rows.sparkSession
-    ensure_checkpoint_dir(spark)
     keys = _cols(order_by)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (rows.repartitionByRange(max(1, n), *keys).sortWithinPartitions(*keys)
               .withColumn("__mid", F.monotonically_increasing_id()))
-    ranged = ranged.checkpoint(eager=True)
+    path = scratch_dir(spark, "ids")
+    ranged.write.parquet(path)
+    ranged = spark.read.parquet(path)
     mask = (1 << POS_BITS) - 1
     ranged = (ranged.withColumn("__part", F.shiftright("__mid", POS_BITS))
                     .withColumn("__pos", F.col("__mid").bitwiseAND(F.lit(mask))))

@@ -21,7 +21,7 @@ def all_present(keys: list[str]) -> Column:
 
 def orphans(child: DataFrame, parent: DataFrame, fk: str, parent_key: str = "id") -> DataFrame:
     """Rows of ``child`` whose non-NULL ``fk`` has no parent row."""
-    keys = parent.select(F.col(parent_key).alias("__pk")).distinct()
+    keys = parent.select(F.col(parent_key).alias("__pk"))
     return (child.where(F.col(fk).isNotNull())
             .join(keys, F.col(fk) == F.col("__pk"), "left_anti"))
 
@@ -45,7 +45,7 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def clashes(batch: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """W8 against a table: batch rows whose key the table already holds."""
-    return batch.join(table.select(*keys).distinct(), keys, "left_semi")
+    return batch.join(table.select(*keys), keys, "left_semi")
 
 
 def key_text(keys: list[str]):

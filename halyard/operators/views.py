@@ -239,6 +239,7 @@ def resolve_by_name(df: DataFrame, dim: DataFrame, name_col: str,
     return df.join(ids, df[name_col] == ids["__name"], "left").drop("__name")
 
 
+
 def with_price_text(df: DataFrame, col: str = "price_paid") -> DataFrame:
     return df.withColumn(col + "_text", price_text(col))
 

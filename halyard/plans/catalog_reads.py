@@ -292,15 +292,16 @@ WITH req AS (
          r.joined_at, r.expires_at, r.price_paid, r.status
   FROM assignment_requests r
   JOIN customers c ON c.email = r.customer_email
-  JOIN packages p ON p.name = r.package_name
-  LEFT JOIN promotions pr ON pr.name = r.promotion_name
+  JOIN (SELECT name, min(id) AS id FROM packages GROUP BY name) p ON p.name = r.package_name
+  LEFT JOIN (SELECT name, min(id) AS id FROM promotions GROUP BY name) pr
+    ON pr.name = r.promotion_name
   WHERE (r.promotion_name IS NULL OR pr.id IS NOT NULL)
     AND NOT EXISTS (SELECT 1 FROM customer_packages cp
                     WHERE cp.customer_id = c.id AND cp.status = 'active')),
 firsts AS (SELECT customer_id, min(seq) AS seq FROM req GROUP BY customer_id),
 kept AS (SELECT req.* FROM req JOIN firsts USING (customer_id, seq))
 SELECT seq, (SELECT max(id) FROM customer_packages)
-            + row_number() OVER (ORDER BY seq, package_id) AS id,
+            + row_number() OVER (ORDER BY seq) AS id,
        customer_id, package_id, promotion_id, joined_at, expires_at,
        CAST(price_paid AS DOUBLE) AS price_paid, status,
        {AS_OF} AS created_at, {AS_OF} AS updated_at
