@@ -120,6 +120,15 @@ def digest_lines(candidates: DataFrame, days) -> DataFrame:
                                          "line"))
 
 
+def write_digest(lines: DataFrame, path: str, section: str = "text") -> None:
+    """Write one body of the digest as text, lines in mail order. The sort
+    is a range-partitioned global sort, so the body is spread over tasks
+    and the part files, read in name order, hold the lines in order."""
+    (lines.where(F.col("section") == section)
+     .orderBy("part", F.col("expires_at").asc_nulls_first(), "line_key")
+     .select("line").write.mode("overwrite").text(path))
+
+
 def reminder_digest(candidates: DataFrame, days) -> dict[str, DataFrame]:
     """Header row and body lines of the reminder mail."""
     return {"header": digest_header(candidates, days), "lines": digest_lines(candidates, days)}

@@ -346,15 +346,18 @@ def overlay(t, **tables) -> ChainMap:
     return ChainMap(dict(tables), t)
 
 
-_CACHE: dict[tuple[int, str], Tables] = {}
+_CACHE: dict[str, tuple[SparkSession, Tables]] = {}
 
 
 def fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """All fixture views over ``sf_dir``, built lazily, one set per session."""
-    key = (id(spark), sf_dir.rstrip("/"))
-    if key not in _CACHE:
-        _CACHE[key] = _fixture_tables(spark, sf_dir)
-    return _CACHE[key]
+    """All fixture views over ``sf_dir``, built lazily, one set per session
+    (a new session gets new plans)."""
+    key = sf_dir.rstrip("/")
+    hit = _CACHE.get(key)
+    if hit is None or hit[0] is not spark:
+        hit = (spark, _fixture_tables(spark, sf_dir))
+        _CACHE[key] = hit
+    return hit[1]
 
 
 def _fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
