@@ -257,7 +257,7 @@ def _company_list(t):
 
 
 @register("subscription_enriched", """
-SELECT cp.*, c.first_name, c.last_name, c.email, p.name AS package_name,
+SELECT cp.* REPLACE (CAST(cp.price_paid AS DOUBLE) AS price_paid), c.first_name, c.last_name, c.email, p.name AS package_name,
        pr.name AS promotion_name
 FROM customer_packages cp
 JOIN customers c ON c.id = cp.customer_id
@@ -268,7 +268,8 @@ def _subscription_enriched(t):
     return V.subscription_enriched(t)
 
 
-@register("current_subscription", "WITH " + CURRENT + "\nSELECT * FROM cur")
+@register("current_subscription", "WITH " + CURRENT
+          + "\nSELECT * REPLACE (CAST(price_paid AS DOUBLE) AS price_paid) FROM cur")
 def _current_subscription(t):
     """Each customer's latest active subscription."""
     return V.current_subscription(t)

@@ -51,12 +51,24 @@ def compare(spark, con, key, fn, sql, sf_dir):
     t0 = time.time()
     df = fn(spark, sf_dir)
     cols = df.columns
-    rows = [tuple(norm(v) for v in r) for r in df.collect()]
+    raw = df.collect()
+    rows = [tuple(norm(v) for v in r) for r in raw]
     t1 = time.time()
     res = con.execute(sql)
     ocols = [d[0] for d in res.description]
-    orows = [tuple(norm(v) for v in r) for r in res.fetchall()]
+    oraw = res.fetchall()
+    orows = [tuple(norm(v) for v in r) for r in oraw]
     problems = []
+    # The same Python value types on both sides (a value hash would tell
+    # 1 from 1.0 or Decimal('1')).
+    for i, c in enumerate(cols):
+        if c not in ocols:
+            continue
+        j = ocols.index(c)
+        st = {type(r[i]).__name__ for r in raw if r[i] is not None}
+        ot = {type(r[j]).__name__ for r in oraw if r[j] is not None}
+        if st and ot and st != ot:
+            problems.append(f"types of {c}: spark={st} oracle={ot}")
     if sorted(cols) != sorted(ocols):
         problems.append(f"columns spark={cols} oracle={ocols}")
         return problems, len(rows), len(orows), t1 - t0
