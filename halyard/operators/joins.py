@@ -29,9 +29,11 @@ def row_count(df: DataFrame) -> int:
 
 
 def small_side(df: DataFrame, base: DataFrame | None = None,
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+               max_rows: int | None = None) -> DataFrame:
     """``broadcast(df)`` when the table it comes from (``base``, default
-    ``df``) has at most ``max_rows`` rows, else ``df`` unchanged."""
-    if row_count(base if base is not None else df) <= max_rows:
+    ``df``) has at most ``max_rows`` rows (default ``BROADCAST_MAX_ROWS``),
+    else ``df`` unchanged."""
+    bound = BROADCAST_MAX_ROWS if max_rows is None else max_rows
+    if bound >= 0 and row_count(base if base is not None else df) <= bound:
         return F.broadcast(df)
     return df
