@@ -26,8 +26,7 @@ def is_email_sql(x: str) -> str:
 
 
 def is_dt_sql(x: str) -> str:
-    return (f"(regexp_full_match({x}, '{DT_SQL}') "
-            f"AND TRY_CAST(substr({x}, 1, 10) AS DATE) IS NOT NULL)")
+    return f"regexp_full_match({x}, '{DT_SQL}')"
 
 
 def parse_dt_sql(x: str) -> str:

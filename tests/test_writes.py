@@ -138,6 +138,12 @@ def test_validators_types(spark):
         "row_id bigint, name string, discount_percent double, valid_from string, valid_until string")
     rep = {r["row_id"]: r["errors"] for r in VAL.validation_report(pr, "promotions").collect()}
     assert rep == {1: "discount_percent:too_big|valid_from:datetime", 2: "valid_until:datetime"}
+    dt_ok = {r[0]: r[1] for r in spark.createDataFrame(
+        [(1, "2000-02-29T00:00:00Z"), (2, "1900-02-29T00:00:00Z"), (3, "2023-02-29T00:00:00Z"),
+         (4, "2024-04-31T00:00:00Z"), (5, "2024-12-31T23:59:59.123456Z"), (6, "2024-1-01T00:00:00Z"),
+         (7, "2024-01-01T24:00:00Z")], "row_id bigint, s string")
+        .select("row_id", VAL.is_utc_datetime(F.col("s"))).collect()}
+    assert dt_ok == {1: True, 2: False, 3: False, 4: False, 5: True, 6: False, 7: False}
     em = spark.createDataFrame([(1, "a.b@ex.co"), (2, ".a@ex.co"), (3, "a..b@ex.co"),
                                 (4, "a@ex"), (5, "o'neil+x@mail.example.org")],
                                "row_id bigint, email string")
