@@ -88,10 +88,12 @@ def discount_label(percent, amount) -> Column:
 
 
 def features_parse(text) -> Column:
-    """Split on commas, trim whitespace, drop empty parts."""
-    parts = F.split(F.coalesce(_c(text), F.lit("")), ",")
-    trimmed = F.transform(parts, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
-    return F.filter(trimmed, lambda x: x != "")
+    """Split on commas, trim whitespace, drop empty parts. Whitespace at
+    the ends and around each comma is removed before the split, which trims
+    every part without a lambda (so the projection stays in codegen)."""
+    t = F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"^\s+|\s+$", "")
+    t = F.regexp_replace(t, r"\s*,\s*", ",")
+    return F.array_remove(F.split(t, ","), "")
 
 
 def features_text(features) -> Column:

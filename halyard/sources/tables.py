@@ -20,16 +20,44 @@ from halyard.operators.integrity import all_present
 from halyard.sources import schemas as S
 
 
+def _versions(spark: SparkSession, path: str, name: str) -> list[tuple[int, str, bool]]:
+    """``(version, folder, complete)`` of a versioned table, listed through
+    the Hadoop FileSystem API so shared cluster storage works as local disk."""
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{name}")
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(base):
+        return []
+    out = []
+    for st in fs.listStatus(base):
+        leaf = st.getPath().getName()
+        if st.isDirectory() and leaf.startswith("v=") and leaf[2:].isdigit():
+            done = fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))
+            out.append((int(leaf[2:]), st.getPath().toString(), done))
+    return sorted(out)
+
+
+def latest_version(path: str, name: str, spark: SparkSession | None = None,
+                   below: int | None = None) -> str | None:
+    """The newest complete version of table ``name`` (below ``below``)."""
+    spark = spark or SparkSession.getActiveSession()
+    done = [(v, p) for v, p, ok in _versions(spark, path, name)
+            if ok and (below is None or v < below)]
+    return done[-1][1] if done else None
+
+
 def load_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet",
                options: dict | None = None) -> DataFrame:
-    """One table with its declared schema (never inferred). ``fmt`` may be
-    any DataFrameReader format; for ``jdbc`` pass ``url``/``dbtable`` in
-    ``options`` and ``path`` is ignored."""
+    """One table with its declared schema (never inferred). A table
+    written by ``write_table`` is read at its newest complete version.
+    ``fmt`` may be any DataFrameReader format; for ``jdbc`` pass
+    ``url``/``dbtable`` in ``options`` and ``path`` is ignored."""
     reader = spark.read.format(fmt).options(**(options or {}))
     schema = S.TABLES[name]
     if fmt == "jdbc":
         return S.conform(reader.load(), schema)
-    return S.conform(reader.schema(schema).load(os.path.join(path, name)), schema)
+    where = latest_version(path, name, spark) or os.path.join(path, name)
+    return S.conform(reader.schema(schema).load(where), schema)
 
 
 def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",

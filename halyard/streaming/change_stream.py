@@ -20,12 +20,11 @@ Two ways to consume it:
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from halyard.operators.changes import apply_folded, fold_changes
 from halyard.sources import schemas as S
 from halyard.sources.fixtures import overlay
-from halyard.sources.tables import write_table
+from halyard.sources.tables import latest_version, write_table
 
 
 def change_source(spark: SparkSession, path: str, schema=S.CUSTOMER_CHANGES,
@@ -42,32 +41,6 @@ def fold_stream(changes: DataFrame) -> DataFrame:
     return fold_changes(changes)
 
 
-def _versions(spark: SparkSession, path: str, name: str) -> list[tuple[int, str, bool]]:
-    """``(version, folder, complete)`` of a versioned table, through the
-    Hadoop FileSystem API, so shared cluster storage works as local disk."""
-    jvm = spark.sparkContext._jvm
-    base = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{name}")
-    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(base):
-        return []
-    out = []
-    for st in fs.listStatus(base):
-        leaf = st.getPath().getName()
-        if st.isDirectory() and leaf.startswith("v="):
-            done = fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))
-            out.append((int(leaf[2:]), st.getPath().toString(), done))
-    return sorted(out)
-
-
-def latest_version(path: str, name: str, spark: SparkSession | None = None,
-                   below: int | None = None) -> str | None:
-    """The newest complete version of table ``name`` (below ``below``)."""
-    spark = spark or SparkSession.getActiveSession()
-    done = [(v, p) for v, p, ok in _versions(spark, path, name)
-            if ok and (below is None or v < below)]
-    return done[-1][1] if done else None
-
-
 def apply_change_stream(changes: DataFrame, t: dict, target_path: str, checkpoint: str,
                         as_of, entity: str = "customers", trigger: dict | None = None):
     """Run the fold and apply each micro-batch to ``entity``. The table of
