@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from halyard.functions.time import at
 from halyard.operators.ids import assign_ids, next_id
 from halyard.operators.integrity import all_present
+from halyard.operators.joins import is_small, present_in, small_side
 from halyard.operators.validation import VALIDATORS, parse_utc_datetime
 from halyard.sources import schemas as S
 from halyard.sources.fixtures import overlay
@@ -31,27 +32,31 @@ def _parents(entity: str):
             if child == entity]
 
 
-def _flag_missing_parents(df: DataFrame, t, entity: str, cols: dict[str, Column]) -> DataFrame:
+def _flag_missing_parents(df: DataFrame, t, entity: str, cols: dict[str, Column],
+                          small: bool | None = None) -> DataFrame:
     """Add an error code for each non-NULL foreign key without a parent.
-    ``cols`` maps the FK column name to the request Column holding it."""
+    ``cols`` maps the FK column name to the request Column holding it;
+    ``small`` is the broadcast bound of the batch, when known."""
     out = df
     for col, parent, _rule in _parents(entity):
         if col not in cols or parent not in t:
             continue
-        tag = f"__has_{col}"
-        # Parent ids are a primary key: no distinct (and no shuffle) needed.
-        keys = t[parent].select(F.col("id").alias(f"__pk_{col}"), F.lit(True).alias(tag))
-        out = (out.join(keys, cols[col] == F.col(f"__pk_{col}"), "left")
+        tag, fk = f"__has_{col}", f"__fk_{col}"
+        out = out.withColumn(fk, cols[col])
+        found = present_in(out.select(F.col(fk).alias("__k")),
+                           t[parent].select(F.col("id").alias("__k")), ["__k"], small)
+        found = found.select(F.col("__k").alias(f"__pk_{col}"), F.lit(True).alias(tag))
+        out = (out.join(found, F.col(fk) == F.col(f"__pk_{col}"), "left")
                   .withColumn("errors", F.when(
-                      cols[col].isNotNull() & F.col(tag).isNull(),
+                      F.col(fk).isNotNull() & F.col(tag).isNull(),
                       F.array_append("errors", F.lit(f"{col}:no_parent")))
                       .otherwise(F.col("errors")))
-                  .drop(tag, f"__pk_{col}"))
+                  .drop(tag, fk, f"__pk_{col}"))
     return out
 
 
 def _flag_unique(df: DataFrame, table: DataFrame, entity: str, order_by: str,
-                 cols: dict[str, Column]) -> DataFrame:
+                 cols: dict[str, Column], small: bool | None = None) -> DataFrame:
     """Add an error code for a unique key the table holds already, or that
     an earlier row of the batch (by ``order_by``) holds."""
     out = df
@@ -60,8 +65,8 @@ def _flag_unique(df: DataFrame, table: DataFrame, entity: str, order_by: str,
             continue
         names = [f"__u_{k}" for k in keys]
         out = out.select("*", *[cols[k].alias(n) for k, n in zip(keys, names)])
-        held = (table.select(*[F.col(k).alias(n) for k, n in zip(keys, names)]).distinct()
-                .withColumn("__held", F.lit(True)))
+        held = present_in(out, table.select(*[F.col(k).alias(n) for k, n in zip(keys, names)]),
+                          names, small).withColumn("__held", F.lit(True))
         # Only rows that pass every other check can take the key first.
         first = (out.where(all_present(names)
                            & (F.size("errors") == 0))
@@ -120,13 +125,14 @@ def insert_batch(t, rows: DataFrame, entity: str, as_of, order_by: str = "row_id
     number the new rows after the table's largest id (W3).
     Returns ``(inserted, rejected)``; ``rejected`` keeps ``errors``."""
     table = t[entity]
+    small = is_small(rows)      # one count bounds every key set of the batch
     checked = VALIDATORS[entity](rows, checked_only=True).checked()
     cols = {c: F.col(c) for c in rows.columns}
-    checked = _flag_missing_parents(checked, t, entity, cols)
-    checked = _flag_unique(checked, table, entity, order_by, cols)
+    checked = _flag_missing_parents(checked, t, entity, cols, small)
+    checked = _flag_unique(checked, table, entity, order_by, cols, small)
     valid, rejected = _split(checked)
     new = to_table_rows(valid, entity, as_of)
-    new = assign_ids(new, next_id(table), [order_by])
+    new = assign_ids(new, next_id(table), [order_by], small=small)
     return new.select(order_by, *S.TABLES[entity].fieldNames()), rejected
 
 
@@ -136,20 +142,21 @@ def create_with_subscription(t, rows: DataFrame, as_of, order_by: str = "row_id"
     """Customers with an optional nested ``subscription`` struct,
     written together: a row whose customer or subscription fails any check
     writes neither. Returns ``(customers, subscriptions, rejected)``."""
+    small = is_small(rows)
     checked = VALIDATORS["customers"](rows, checked_only=True).checked()
     cust_cols = {c: F.col(c) for c in rows.columns if c != "subscription"}
-    checked = _flag_missing_parents(checked, t, "customers", cust_cols)
+    checked = _flag_missing_parents(checked, t, "customers", cust_cols, small)
     sub = F.col("subscription")
     checked = _flag_missing_parents(checked, t, "customer_packages",
                                     {"package_id": sub["package_id"],
-                                     "promotion_id": sub["promotion_id"]})
-    checked = _flag_unique(checked, t["customers"], "customers", order_by, cust_cols)
+                                     "promotion_id": sub["promotion_id"]}, small)
+    checked = _flag_unique(checked, t["customers"], "customers", order_by, cust_cols, small)
     valid, rejected = _split(checked)
     # One numbered (and materialised) batch of customers carries the nested
     # subscription, so the subscriptions are numbered from it without
     # running the checks again.
     numbered = to_table_rows(valid, "customers", as_of, keep=["subscription"])
-    numbered = assign_ids(numbered, next_id(t["customers"]), [order_by])
+    numbered = assign_ids(numbered, next_id(t["customers"]), [order_by], small=small)
     customers = numbered.select(order_by, *S.CUSTOMERS.fieldNames())
     subs_req = numbered.where(sub.isNotNull()).select(
         order_by, F.col("id").alias("customer_id"),
@@ -157,7 +164,7 @@ def create_with_subscription(t, rows: DataFrame, as_of, order_by: str = "row_id"
         sub["joined_at"].alias("joined_at"), sub["expires_at"].alias("expires_at"),
         sub["price_paid"].alias("price_paid"))
     subs = to_table_rows(subs_req, "customer_packages", as_of)
-    subs = assign_ids(subs, next_id(t["customer_packages"]), [order_by])
+    subs = assign_ids(subs, next_id(t["customer_packages"]), [order_by], small=small)
     subs = subs.select(order_by, *S.CUSTOMER_PACKAGES.fieldNames())
     return customers, subs, rejected
 
@@ -204,20 +211,23 @@ def patch_batch(t, patches: DataFrame, entity: str, as_of):
                               patches.columns else patches.where(F.col("op") == "patch"))
     else:
         folded = patches
+    small = is_small(patches)   # bounds the folded patches and their keys
     fields = [f for f in patch_fields(folded) if f in S.WRITABLE[entity]]
     any_set = reduce(lambda a, b: a | b, [F.col(f"set_{f}") for f in fields], F.lit(False))
     checked = VALIDATORS[entity](folded, partial=True, checked_only=True).checked()
     checked = checked.withColumn("errors", F.when(~any_set, F.array_append(
         "errors", F.lit("no_fields"))).otherwise(F.col("errors")))
     fk_cols = {f: F.when(F.col(f"set_{f}"), F.col(f)) for f in fields}
-    checked = _flag_missing_parents(checked, t, entity, fk_cols)
+    checked = _flag_missing_parents(checked, t, entity, fk_cols, small)
     checked = _flag_unique(checked.withColumn("__order", F.col("id")), table, entity, "__order",
-                           {f: F.when(F.col(f"set_{f}"), F.col(f)) for f in fields}) \
+                           {f: F.when(F.col(f"set_{f}"), F.col(f)) for f in fields}, small) \
         .drop("__order")
     ok, rejected = _split(checked)
     p = ok.select(F.col("id").alias("__pid"), *[F.col(f).alias(f"__new_{f}") for f in fields],
                   *[F.col(f"set_{f}").alias(f"__set_{f}") for f in fields])
-    joined = table.join(p, table["id"] == p["__pid"], "left")
+    # A batch under the bound is broadcast: the table is read once, in
+    # place, never shuffled.
+    joined = table.join(small_side(p, small=small), table["id"] == p["__pid"], "left")
     hit = F.col("__pid").isNotNull()
     out = []
     for fld in S.TABLES[entity]:
@@ -231,7 +241,8 @@ def patch_batch(t, patches: DataFrame, entity: str, as_of):
             c = F.col(n)
         out.append(c.alias(n))
     new_table = joined.select(out)
-    found = table.select(F.col("id").alias("__tid"))
+    found = present_in(ok.select(F.col("id").alias("__tid")),
+                       table.select(F.col("id").alias("__tid")), ["__tid"], small)
     outcomes = (ok.select("id").join(found, F.col("id") == F.col("__tid"), "left")
                 .select("id", F.when(F.col("__tid").isNotNull(), F.lit("updated"))
                         .otherwise(F.lit("not_found")).alias("outcome"))
@@ -241,12 +252,15 @@ def patch_batch(t, patches: DataFrame, entity: str, as_of):
 
 # -- W6 -----------------------------------------------------------------------------
 
-def _cascade(new: dict, parent: str, removed: DataFrame) -> None:
-    """Propagate the removal of ``removed`` (ids of ``parent``) to children."""
+def _cascade(new: dict, parent: str, removed: DataFrame, small: bool | None = None) -> None:
+    """Propagate the removal of ``removed`` (ids of ``parent``) to children.
+    ``small`` is the broadcast bound of ``removed`` when known; the rows a
+    cascade removes in turn are counted."""
     for child, col, p, rule in S.FOREIGN_KEYS:
         if p != parent or child not in new:
             continue
-        gone = removed.select(F.col("__gone").alias(f"__g_{col}")).distinct()
+        gone = small_side(removed.select(F.col("__gone").alias(f"__g_{col}")).distinct(),
+                          small=small)
         tbl = new[child]
         if rule == "cascade":
             hit = tbl.join(gone, tbl[col] == F.col(f"__g_{col}"), "left_semi")
@@ -267,14 +281,15 @@ def delete_batch(t, entity: str, keys: DataFrame, key: str = "id"):
     refuses the delete of a parent still referenced. Everything is decided
     on the tables before the delete. Returns ``(new_tables, outcomes)``."""
     table = t[entity]
-    req = keys.select(F.col(key).alias("__gone")).distinct()
-    found = req.join(table.select(F.col("id").alias("__tid")),
-                     F.col("__gone") == F.col("__tid"), "left")
+    req = keys.select(F.col(key).alias("__gone")).where(F.col("__gone").isNotNull()).distinct()
+    small = is_small(keys)      # bounds the keys, the deleted ids and their checks
+    there = present_in(req, table.select(F.col("id").alias("__gone")), ["__gone"], small)
+    found = req.join(there.withColumn("__tid", F.col("__gone")), "__gone", "left")
     blocked = None
     for child, col, parent, rule in S.FOREIGN_KEYS:
         if parent == entity and rule == "restrict" and child in t:
-            used = t[child].select(F.col(col).alias("__used")).distinct()
-            part = req.join(used, F.col("__gone") == F.col("__used"), "left_semi")
+            part = present_in(req, t[child].select(F.col(col).alias("__gone")), ["__gone"],
+                              small)
             blocked = part if blocked is None else blocked.unionByName(part)
     if blocked is not None:
         blocked = blocked.distinct().withColumn("__blocked", F.lit(True))
@@ -288,8 +303,9 @@ def delete_batch(t, entity: str, keys: DataFrame, key: str = "id"):
          .alias("outcome"))
     removed = outcomes.where(F.col("outcome") == "deleted").select(F.col("id").alias("__gone"))
     new = overlay(t)
-    new[entity] = table.join(removed, table["id"] == removed["__gone"], "left_anti")
-    _cascade(new, entity, removed)
+    new[entity] = table.join(small_side(removed, small=small), table["id"] == removed["__gone"],
+                             "left_anti")
+    _cascade(new, entity, removed, small)
     return new, outcomes
 
 

@@ -31,17 +31,32 @@ def next_id(table: DataFrame, id_col: str = "id") -> int:
     return int(row["m"] or 0)
 
 
+# A batch of at most this many rows (counted) is numbered in one task.
+SINGLE_TASK_MAX_ROWS = 1_000_000
+
+
 def assign_ids(rows: DataFrame, start: int, order_by, id_col: str = "id",
-               partitions: int | None = None) -> DataFrame:
+               partitions: int | None = None, small: bool | None = None) -> DataFrame:
     """Number ``rows`` ``start + 1, start + 2, ...`` in the order of
     ``order_by``, which must be unique (end it with a request key).
 
-    Equal to ``start + row_number() OVER (ORDER BY order_by)``, but every
-    step is partitioned: the sort is a range shuffle, the numbering is per
+    Equal to ``start + row_number() OVER (ORDER BY order_by)``. A batch
+    under ``SINGLE_TASK_MAX_ROWS`` (``small``, counted when not given) is
+    numbered exactly that way, in one task: the order is total, so a
+    recomputation gives the same ids. A larger batch is numbered with every
+    step partitioned: the sort is a range shuffle, the numbering is per
     partition, and only the partition counts are combined in one place.
+    ``partitions`` forces the partitioned way with that many partitions.
     """
     spark = rows.sparkSession
     keys = _cols(order_by)
+    if partitions is None:
+        if small is None:
+            from halyard.operators.joins import row_count
+            small = row_count(rows) <= SINGLE_TASK_MAX_ROWS
+        if small:
+            rn = F.row_number().over(Window.orderBy(*keys))
+            return rows.withColumn(id_col, (F.lit(int(start)) + rn).cast("bigint"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (rows.repartitionByRange(max(1, n), *keys).sortWithinPartitions(*keys)
               .withColumn("__mid", F.monotonically_increasing_id()))

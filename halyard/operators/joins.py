@@ -29,11 +29,40 @@ def row_count(df: DataFrame) -> int:
 
 
 def small_side(df: DataFrame, base: DataFrame | None = None,
-               max_rows: int | None = None) -> DataFrame:
+               max_rows: int | None = None, small: bool | None = None) -> DataFrame:
     """``broadcast(df)`` when the table it comes from (``base``, default
     ``df``) has at most ``max_rows`` rows (default ``BROADCAST_MAX_ROWS``),
     else ``df`` unchanged."""
+    if small is not None:
+        return F.broadcast(df) if small else df
     bound = BROADCAST_MAX_ROWS if max_rows is None else max_rows
     if bound >= 0 and row_count(base if base is not None else df) <= bound:
         return F.broadcast(df)
     return df
+
+
+def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
+    """Whether ``df`` is under the broadcast bound (counted)."""
+    bound = BROADCAST_MAX_ROWS if max_rows is None else max_rows
+    return bound >= 0 and row_count(df) <= bound
+
+
+def present_in(batch: DataFrame, table: DataFrame, on: list[str],
+               small: bool | None = None) -> DataFrame:
+    """The distinct key tuples of ``batch`` (columns ``on``) that ``table``
+    (same column names) holds.
+
+    When the batch's keys are under the bound, the table is semi-joined
+    against the broadcast keys: one map-only pass over the table, which is
+    never shuffled, and the result (no larger than the batch) is broadcast
+    in turn. Otherwise both sides shuffle on the key. Either way a key the
+    table holds many times is combined map-side before the final distinct.
+    ``small`` passes a bound already known (e.g. the count of the batch the
+    keys come from); without it the distinct keys are counted.
+    """
+    from halyard.operators.integrity import all_present
+    keys = batch.select(*on).where(all_present(on)).distinct()
+    if small is None:
+        small = is_small(keys)
+    hit = table.select(*on).join(F.broadcast(keys) if small else keys, on, "left_semi").distinct()
+    return F.broadcast(hit) if small else hit

@@ -16,7 +16,7 @@ from halyard.functions.expressions import (BULLET, DASH, html_escape, iso_date,
                                            mail_urgency)
 from halyard.functions.time import at_for
 from halyard.operators import views as V
-from halyard.sources.fixtures import overlay
+from halyard.sources.fixtures import Tables, overlay
 from halyard.sources.tables import log_subject, notification_rows
 from halyard.operators.ids import next_id
 
@@ -138,7 +138,8 @@ def reminder_cycle(t, days, recipient: str, as_of) -> dict[str, DataFrame]:
     """W1, then J5 on the result; the digest and log rows (empty when
     nothing expires) and one summary row: auto-expired count, whether a mail
     is prepared, the reason when not, and the recipient count. The cycle
-    never consults the log, so it re-sends each time it runs."""
+    never consults the log, so it re-sends each time it runs. The result is
+    a mapping whose parts are built on first access."""
     cp = t["customer_packages"]
     new_cp = auto_expire(cp, as_of)
     candidates = V.reminder_candidates(overlay(t, customer_packages=new_cp), days, as_of)
@@ -152,12 +153,14 @@ def reminder_cycle(t, days, recipient: str, as_of) -> dict[str, DataFrame]:
         "auto_expired", (n > 0).alias("email_prepared"),
         F.when(n == 0, F.lit(NOTHING_EXPIRING)).alias("reason"), n.alias("recipients"),
         F.lit(recipient).alias("admin_email"))
-    return {
-        "customer_packages": new_cp,
-        "candidates": candidates,
-        "digest": digest_lines(candidates, days),
-        "header": head,
-        "log_rows": notification_rows(candidates, recipient, days, as_of,
-                                      next_id(t["notification_log"])),
-        "summary": summary,
+    parts = {
+        "customer_packages": lambda: new_cp,
+        "candidates": lambda: candidates,
+        "digest": lambda: digest_lines(candidates, days),
+        "header": lambda: head,
+        # Numbering the log rows runs jobs; it happens only when asked for.
+        "log_rows": lambda: notification_rows(candidates, recipient, days, as_of,
+                                              next_id(t["notification_log"])),
+        "summary": lambda: summary,
     }
+    return Tables(parts)

@@ -140,9 +140,12 @@ def _auto_expire(t):
 @register("surrogate_ids", """
 SELECT id, row_number() OVER (ORDER BY expires_at, id) AS seq_id FROM customer_packages""")
 def _surrogate_ids(t):
-    """Dense ids for all subscriptions in expiry order, no global window."""
+    """Dense ids for all subscriptions in expiry order, the partitioned
+    way (as for a table of any size): no global window over the rows."""
     cp = t["customer_packages"].select("id", "expires_at")
-    return assign_ids(cp, 0, ["expires_at", "id"], id_col="seq_id").select("id", "seq_id")
+    n = int(cp.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return assign_ids(cp, 0, ["expires_at", "id"], id_col="seq_id", partitions=n) \
+        .select("id", "seq_id")
 
 
 # -- W2 ------------------------------------------------------------------------------------

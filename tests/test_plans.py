@@ -60,7 +60,12 @@ def test_digest_is_lines_not_one_row(spark):
 
 def test_ids_use_range_partitioning(spark):
     t = fixture_tables(spark, SF)
-    ids = assign_ids(t["customer_packages"].select("id", "expires_at"), 0, ["expires_at", "id"])
-    # The rows were range-partitioned and checkpointed; only the partition
-    # counts (one row per partition) meet in one place.
-    assert ids.count() == 15000
+    cp = t["customer_packages"].select("id", "expires_at")
+    big = assign_ids(cp, 0, ["expires_at", "id"], partitions=8, id_col="seq")
+    # The partitioned way: rows were range-partitioned and written once; only
+    # the partition counts (one row per partition) meet in one place.
+    p = big._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in p and "FileScan parquet" in p
+    small = assign_ids(cp, 0, ["expires_at", "id"], small=True, id_col="seq")
+    assert big.count() == 15000
+    assert big.exceptAll(small.select(big.columns)).count() == 0
