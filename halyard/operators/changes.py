@@ -33,43 +33,48 @@ def _parents(entity: str):
 
 
 def _flag_missing_parents(df: DataFrame, t, entity: str, cols: dict[str, Column],
-                          small: bool | None = None) -> DataFrame:
+                          small: bool | None = None, source: DataFrame | None = None) -> DataFrame:
     """Add an error code for each non-NULL foreign key without a parent.
     ``cols`` maps the FK column name to the request Column holding it;
-    ``small`` is the broadcast bound of the batch, when known."""
+    ``small`` is the broadcast bound of the batch, when known. The key sets
+    are taken from ``source`` (the raw request batch), not from ``df``, so
+    each check adds a small branch to the plan instead of copying it."""
+    src = df if source is None else source
     out = df
     for col, parent, _rule in _parents(entity):
         if col not in cols or parent not in t:
             continue
-        tag, fk = f"__has_{col}", f"__fk_{col}"
-        out = out.withColumn(fk, cols[col])
-        found = present_in(out.select(F.col(fk).alias("__k")),
+        tag, pk = f"__has_{col}", f"__pk_{col}"
+        found = present_in(src.select(cols[col].alias("__k")),
                            t[parent].select(F.col("id").alias("__k")), ["__k"], small)
-        found = found.select(F.col("__k").alias(f"__pk_{col}"), F.lit(True).alias(tag))
-        out = (out.join(found, F.col(fk) == F.col(f"__pk_{col}"), "left")
+        found = found.select(F.col("__k").alias(pk), F.lit(True).alias(tag))
+        out = (out.join(found, cols[col] == F.col(pk), "left")
                   .withColumn("errors", F.when(
-                      F.col(fk).isNotNull() & F.col(tag).isNull(),
+                      cols[col].isNotNull() & F.col(tag).isNull(),
                       F.array_append("errors", F.lit(f"{col}:no_parent")))
                       .otherwise(F.col("errors")))
-                  .drop(tag, fk, f"__pk_{col}"))
+                  .drop(tag, pk))
     return out
 
 
 def _flag_unique(df: DataFrame, table: DataFrame, entity: str, order_by: str,
-                 cols: dict[str, Column], small: bool | None = None) -> DataFrame:
-    """Add an error code for a unique key the table holds already, or that
-    an earlier row of the batch (by ``order_by``) holds."""
+                 cols: dict[str, Column], small: bool | None = None,
+                 source: DataFrame | None = None) -> DataFrame:
+    """Add an error code for a unique key the table holds already (key set
+    taken from ``source``), or that an earlier row of the batch (by
+    ``order_by``) holds. Only rows passing every other check can take a key
+    first; that minimum per key is a map-side combined aggregate joined back."""
+    src = df if source is None else source
     out = df
     for keys in S.UNIQUE_KEYS.get(entity, []):
         if not all(k in cols for k in keys):
             continue
         names = [f"__u_{k}" for k in keys]
-        out = out.select("*", *[cols[k].alias(n) for k, n in zip(keys, names)])
-        held = present_in(out, table.select(*[F.col(k).alias(n) for k, n in zip(keys, names)]),
+        held = present_in(src.select(*[cols[k].alias(n) for k, n in zip(keys, names)]),
+                          table.select(*[F.col(k).alias(n) for k, n in zip(keys, names)]),
                           names, small).withColumn("__held", F.lit(True))
-        # Only rows that pass every other check can take the key first.
-        first = (out.where(all_present(names)
-                           & (F.size("errors") == 0))
+        out = out.select("*", *[cols[k].alias(n) for k, n in zip(keys, names)])
+        first = (out.where(all_present(names) & (F.size("errors") == 0))
                  .groupBy(*names).agg(F.min(order_by).alias("__first")))
         code = "unique:" + "+".join(keys)
         out = (out.join(held, names, "left").join(first, names, "left")
@@ -128,8 +133,8 @@ def insert_batch(t, rows: DataFrame, entity: str, as_of, order_by: str = "row_id
     small = is_small(rows)      # one count bounds every key set of the batch
     checked = VALIDATORS[entity](rows, checked_only=True).checked()
     cols = {c: F.col(c) for c in rows.columns}
-    checked = _flag_missing_parents(checked, t, entity, cols, small)
-    checked = _flag_unique(checked, table, entity, order_by, cols, small)
+    checked = _flag_missing_parents(checked, t, entity, cols, small, rows)
+    checked = _flag_unique(checked, table, entity, order_by, cols, small, rows)
     valid, rejected = _split(checked)
     new = to_table_rows(valid, entity, as_of)
     new = assign_ids(new, next_id(table), [order_by], small=small)
@@ -145,12 +150,13 @@ def create_with_subscription(t, rows: DataFrame, as_of, order_by: str = "row_id"
     small = is_small(rows)
     checked = VALIDATORS["customers"](rows, checked_only=True).checked()
     cust_cols = {c: F.col(c) for c in rows.columns if c != "subscription"}
-    checked = _flag_missing_parents(checked, t, "customers", cust_cols, small)
+    checked = _flag_missing_parents(checked, t, "customers", cust_cols, small, rows)
     sub = F.col("subscription")
     checked = _flag_missing_parents(checked, t, "customer_packages",
                                     {"package_id": sub["package_id"],
-                                     "promotion_id": sub["promotion_id"]}, small)
-    checked = _flag_unique(checked, t["customers"], "customers", order_by, cust_cols, small)
+                                     "promotion_id": sub["promotion_id"]}, small, rows)
+    checked = _flag_unique(checked, t["customers"], "customers", order_by, cust_cols, small,
+                           rows)
     valid, rejected = _split(checked)
     # One numbered (and materialised) batch of customers carries the nested
     # subscription, so the subscriptions are numbered from it without
@@ -199,7 +205,7 @@ def fold_changes(changes: DataFrame, key: str = "id", seq: str = "seq") -> DataF
 
 # -- W5 -----------------------------------------------------------------------------
 
-def patch_batch(t, patches: DataFrame, entity: str, as_of):
+def patch_batch(t, patches: DataFrame, entity: str, as_of, small: bool | None = None):
     """Partial update. A field applies when ``set_<field>`` is true (an
     explicit NULL clears it); ``updated_at = as_of`` on changed rows. A
     patch that sets nothing or breaks a rule is rejected, an unknown id is
@@ -211,17 +217,18 @@ def patch_batch(t, patches: DataFrame, entity: str, as_of):
                               patches.columns else patches.where(F.col("op") == "patch"))
     else:
         folded = patches
-    small = is_small(patches)   # bounds the folded patches and their keys
+    if small is None:
+        small = is_small(patches)   # bounds the folded patches and their keys
     fields = [f for f in patch_fields(folded) if f in S.WRITABLE[entity]]
     any_set = reduce(lambda a, b: a | b, [F.col(f"set_{f}") for f in fields], F.lit(False))
     checked = VALIDATORS[entity](folded, partial=True, checked_only=True).checked()
     checked = checked.withColumn("errors", F.when(~any_set, F.array_append(
         "errors", F.lit("no_fields"))).otherwise(F.col("errors")))
     fk_cols = {f: F.when(F.col(f"set_{f}"), F.col(f)) for f in fields}
-    checked = _flag_missing_parents(checked, t, entity, fk_cols, small)
+    checked = _flag_missing_parents(checked, t, entity, fk_cols, small, folded)
     checked = _flag_unique(checked.withColumn("__order", F.col("id")), table, entity, "__order",
-                           {f: F.when(F.col(f"set_{f}"), F.col(f)) for f in fields}, small) \
-        .drop("__order")
+                           {f: F.when(F.col(f"set_{f}"), F.col(f)) for f in fields}, small,
+                           folded).drop("__order")
     ok, rejected = _split(checked)
     p = ok.select(F.col("id").alias("__pid"), *[F.col(f).alias(f"__new_{f}") for f in fields],
                   *[F.col(f"set_{f}").alias(f"__set_{f}") for f in fields])
@@ -275,14 +282,15 @@ def _cascade(new: dict, parent: str, removed: DataFrame, small: bool | None = No
                 for f in tbl.schema])
 
 
-def delete_batch(t, entity: str, keys: DataFrame, key: str = "id"):
+def delete_batch(t, entity: str, keys: DataFrame, key: str = "id", small: bool | None = None):
     """Delete rows of ``entity`` by id and propagate: CASCADE removes
     children (and their children), SET NULL clears the reference, RESTRICT
     refuses the delete of a parent still referenced. Everything is decided
     on the tables before the delete. Returns ``(new_tables, outcomes)``."""
     table = t[entity]
     req = keys.select(F.col(key).alias("__gone")).where(F.col("__gone").isNotNull()).distinct()
-    small = is_small(keys)      # bounds the keys, the deleted ids and their checks
+    if small is None:
+        small = is_small(keys)      # bounds the keys, the deleted ids and their checks
     there = present_in(req, table.select(F.col("id").alias("__gone")), ["__gone"], small)
     found = req.join(there.withColumn("__tid", F.col("__gone")), "__gone", "left")
     blocked = None
@@ -312,11 +320,12 @@ def delete_batch(t, entity: str, keys: DataFrame, key: str = "id"):
 def apply_folded(t, folded: DataFrame, entity: str, as_of):
     """W11's final step: deletes from the fold (W6), then the folded patches
     of the surviving ids (W5). Returns ``(new_tables, outcomes)``."""
+    small = is_small(folded)    # one count bounds the deletes and the patches
     dels = folded.where(F.col("deleted")).select("id")
-    new, del_out = delete_batch(t, entity, dels)
+    new, del_out = delete_batch(t, entity, dels, small=small)
     patch = folded.where(~F.col("deleted") & (F.col("patches") > 0))
     new_tbl, patch_out = patch_batch(new, patch.drop("deleted", "delete_seq", "last_seq",
-                                                     "patches"), entity, as_of)
+                                                     "patches"), entity, as_of, small=small)
     new[entity] = new_tbl
     return new, del_out.unionByName(patch_out)
 
