@@ -1,9 +1,5 @@
 """Hand-checked results on the reference's demo rows (FIXTURES.md Part A)."""
 
-import datetime as dt
-
-from pyspark.sql import functions as F
-
 from halyard.operators import lifecycle as L
 from halyard.operators import metrics as M
 from halyard.operators import views as V
