@@ -53,7 +53,9 @@ def parse_utc_datetime(s) -> Column:
     """A valid UTC date-time text as a timestamp_ntz (UTC wall clock)."""
     s = _c(s)
     body = F.regexp_replace(F.regexp_replace(s, "Z$", ""), "T", " ")
-    return F.when(is_utc_datetime(s), F.try_to_timestamp(body).cast("timestamp_ntz"))
+    # A cast to timestamp_ntz reads the wall clock as written, whatever the
+    # session time zone.
+    return F.when(is_utc_datetime(s), body.try_cast("timestamp_ntz"))
 
 
 class Rules:

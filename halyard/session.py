@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -69,5 +70,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder for written intermediate tables, under the checkpoint dir."""
     base = ensure_checkpoint_dir(spark)
-    path = os.path.join(base, "tables", f"{name}-{dt.datetime.now():%Y%m%d%H%M%S%f}")
+    path = os.path.join(base, "tables", f"{name}-{dt.datetime.now():%Y%m%d%H%M%S}-"
+                                       f"{uuid.uuid4().hex[:12]}")
     return path
