@@ -28,7 +28,11 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     """A session with the options every operator assumes (UTC, NTZ, AQE).
 
     On a cluster pass ``master=None`` and size ``shuffle_partitions`` to the
-    data (about 128-256 MB of shuffle per partition); AQE coalesces the rest.
+    data: about 128-256 MB of shuffle per partition at the largest stage
+    (100 TB of input shuffles through tens of thousands of partitions). AQE
+    coalesces the partitions of smaller stages and splits skewed ones; pass
+    ``extra={"spark.sql.adaptive.coalescePartitions.initialPartitionNum": ...}``
+    to start high and let it coalesce.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
