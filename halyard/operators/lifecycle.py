@@ -9,7 +9,7 @@ the lines ordered by ``(section, part, expires_at, line_key)``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.functions.expressions import (BULLET, DASH, html_escape, iso_date,
@@ -52,28 +52,43 @@ def auto_expire_count(cp: DataFrame, as_of) -> DataFrame:
     return cp.agg(F.count_if(stale(cp, as_of)).cast("int").alias("auto_expired"))
 
 
-def _subject(n, days):
-    return F.format_string(MAIL_SUBJECT.replace("{n}", "%d").replace("{days}", "%s"),
-                           n, F.lit(str(days)))
+def _count_text(template: str, n: Column, days) -> Column:
+    """``template`` with ``{days}`` filled in and ``{n}`` from a Column."""
+    fmt = template.replace("%", "%%").replace("{days}", str(days)).replace("{n}", "%d")
+    return F.format_string(fmt, n)
 
 
 def digest_header(candidates: DataFrame, days) -> DataFrame:
     """W9 header: mail subject, logged subject and candidate count, one row."""
     n = candidates.agg(F.count(F.lit(1)).cast("int").alias("n"))
-    return n.select(_subject(F.col("n"), days).alias("subject"),
+    return n.select(_count_text(MAIL_SUBJECT, F.col("n"), days).alias("subject"),
                     F.lit(log_subject(days)).alias("log_subject"),
                     F.col("n").alias("recipients"))
 
 
-def _td(text):
-    return F.concat(F.lit("<td>"), text, F.lit("</td>"))
+def _td(text, cls=None):
+    open_tag = F.lit("<td>") if cls is None else F.concat(F.lit('<td class="'), cls, F.lit('">'))
+    return F.concat(open_tag, text, F.lit("</td>"))
+
+
+def _explode_lines(df: DataFrame, lines: list[tuple], expires_at) -> DataFrame:
+    """One output row per ``(section, part, line_key, line)`` item of each
+    input row."""
+    items = F.array(*[F.struct(F.lit(sec).alias("section"), F.lit(part).alias("part"),
+                               (key if isinstance(key, Column) else F.lit(key))
+                               .cast("bigint").alias("line_key"), line.alias("line"))
+                      for sec, part, key, line in lines])
+    return (df.select(expires_at.alias("expires_at"), F.explode(items).alias("__e"))
+              .select(F.col("__e.section").alias("section"), F.col("__e.part").alias("part"),
+                      "expires_at", F.col("__e.line_key").alias("line_key"),
+                      F.col("__e.line").alias("line")))
 
 
 def digest_lines(candidates: DataFrame, days) -> DataFrame:
     """W9 body: ``(section, part, expires_at, line_key, line)`` rows for the
     text and the HTML body. Part 0 is the header, 1 the candidates (earliest
-    expiry first, then subscription id), 2 the footer."""
-    c = candidates
+    expiry first, then subscription id), 2 the footer. Candidate lines are
+    built where the candidates are; only the count meets in one place."""
     dleft = F.col("days_left")
     date = iso_date("expires_at")
     text_row = F.concat(F.lit(BULLET + " "), F.col("customer_name"), F.lit(" <"), F.col("email"),
@@ -84,40 +99,26 @@ def digest_lines(candidates: DataFrame, days) -> DataFrame:
     html_row = F.concat(
         F.lit("<tr>"), _td(html_escape("customer_name")), _td(html_escape("email")),
         _td(html_escape("package_name")), _td(date),
-        F.concat(F.lit('<td class="'), mail_urgency(dleft), F.lit('">'), dleft.cast("string"),
-                 F.lit("d</td>")),
-        _td(price), F.lit("</tr>"))
-    rows = c.select(F.col("expires_at"), F.col("cp_id").alias("line_key"),
-                    F.array(F.struct(F.lit("text").alias("section"), text_row.alias("line")),
-                            F.struct(F.lit("html").alias("section"), html_row.alias("line")))
-                    .alias("__l"))
-    rows = rows.select(F.explode("__l").alias("__e"), "expires_at", "line_key").select(F.col("__e.section").alias("section"), F.lit(1).alias("part"), "expires_at",
-                "line_key", F.col("__e.line").alias("line"))
-
-    head = digest_header(c, days)
-    subj = F.col("subject")
-    n_txt = F.col("recipients").cast("string")
-    lead = F.concat(F.lit("<p>"), n_txt, F.lit(" subscription(s) expiring within <strong>"),
-                    F.lit(str(days)), F.lit(" days</strong></p>"))
-    thead = "<table><thead><tr>" + "".join(f"<th>{h}</th>" for h in MAIL_COLUMNS) + \
-            "</tr></thead><tbody>"
+        _td(F.concat(dleft.cast("string"), F.lit("d")), mail_urgency(dleft)), _td(price),
+        F.lit("</tr>"))
+    key = F.col("cp_id")
+    rows = _explode_lines(candidates, [("text", 1, key, text_row), ("html", 1, key, html_row)],
+                          F.col("expires_at"))
+
+    head = digest_header(candidates, days)
+    thead = ("<table><thead><tr>" + "".join(f"<th>{h}</th>" for h in MAIL_COLUMNS)
+             + "</tr></thead><tbody>")
+    lead = F.concat(F.lit("<p>"), _count_text(MAIL_LEAD, F.col("recipients"), days),
+                    F.lit("</p>"))
     fixed = [  # (section, part, line_key, line)
-        ("text", 0, 0, subj), ("text", 0, 1, F.lit("")),
+        ("text", 0, 0, F.col("subject")), ("text", 0, 1, F.lit("")),
         ("text", 2, 0, F.lit("")), ("text", 2, 1, F.lit(SIGN_OFF)),
         ("html", 0, 0, lead), ("html", 0, 1, F.lit(thead)),
         ("html", 2, 0, F.lit("</tbody></table>")),
     ]
-    frame = head.select(F.explode(F.array(*[
-        F.struct(F.lit(s).alias("section"), F.lit(p).alias("part"),
-                 F.lit(k).cast("bigint").alias("line_key"), ln.alias("line"))
-        for s, p, k, ln in fixed])).alias("__e"))
-    ts_type = c.schema["expires_at"].dataType.simpleString()
-    frame = frame.select(F.col("__e.section").alias("section"), F.col("__e.part").alias("part"),
-                         F.lit(None).cast(ts_type).alias("expires_at"),
-                         F.col("__e.line_key").alias("line_key"), F.col("__e.line").alias("line"))
-    return frame.unionByName(rows.select("section", "part", "expires_at",
-                                         F.col("line_key").cast("bigint").alias("line_key"),
-                                         "line"))
+    ts_type = candidates.schema["expires_at"].dataType.simpleString()
+    frame = _explode_lines(head, fixed, F.lit(None).cast(ts_type))
+    return frame.unionByName(rows)
 
 
 def write_digest(lines: DataFrame, path: str, section: str = "text") -> None:
