@@ -3,9 +3,8 @@
 The batch is range-partitioned on its (unique) order key and sorted within
 each partition; ``monotonically_increasing_id`` then holds the partition
 index in its upper bits and the position in the partition in its lower 33
-bits. The per-partition row counts (one row per partition, so their size is
-bounded by the partition count, not the data) give each partition its
-offset. The numbered batch is first written as a table under the shared
+bits. The per-partition row counts (one number per partition, bounded by
+the partition count, not the data) give each partition its offset. The numbered batch is first written as a table under the shared
 checkpoint folder (one job), which cuts the lineage: a recomputation after
 a lost executor reads the same rows and positions, so ids never change.
 """
@@ -66,11 +65,14 @@ def assign_ids(rows: DataFrame, start: int, order_by, id_col: str = "id",
     mask = (1 << POS_BITS) - 1
     ranged = (ranged.withColumn("__part", F.shiftright("__mid", POS_BITS))
                     .withColumn("__pos", F.col("__mid").bitwiseAND(F.lit(mask))))
-    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0))
-                            .alias("__off"))
-    # One row per partition of the batch: a bounded broadcast.
-    out = ranged.join(F.broadcast(offsets), "__part")
+    # One count per partition (as RDD.zipWithIndex does): the driver sees
+    # as many numbers as there are partitions, never the rows.
+    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()
+    offsets, total = [], 0
+    for row in sorted(counts, key=lambda r: r["__part"]):
+        offsets.append((row["__part"], total))
+        total += row["n"]
+    off = spark.createDataFrame(offsets, "__part bigint, __off bigint")
+    out = ranged.join(F.broadcast(off), "__part")
     new_id = (F.lit(int(start)) + F.col("__off") + F.col("__pos") + F.lit(1)).cast("bigint")
     return out.withColumn(id_col, new_id).drop("__mid", "__part", "__pos", "__off")
