@@ -9,6 +9,7 @@ caller writes the new tables as new versions (see ``sources.tables``).
 
 from __future__ import annotations
 
+from collections import ChainMap
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,7 @@ from halyard.operators.integrity import all_present
 from halyard.operators.joins import is_small, present_in, small_side
 from halyard.operators.validation import VALIDATORS, parse_utc_datetime
 from halyard.sources import schemas as S
-from halyard.sources.fixtures import overlay
+from halyard.sources.fixtures import Tables
 
 DATETIME_FIELDS = {"joined_at", "expires_at", "valid_from", "valid_until"}
 
@@ -259,34 +260,62 @@ def patch_batch(t, patches: DataFrame, entity: str, as_of, small: bool | None =
 
 # -- W6 -----------------------------------------------------------------------------
 
-def _cascade(new: dict, parent: str, removed: DataFrame, small: bool | None = None) -> None:
-    """Propagate the removal of ``removed`` (ids of ``parent``) to children.
-    ``small`` is the broadcast bound of ``removed`` when known; the rows a
-    cascade removes in turn are counted."""
+def _memo(build):
+    """``build`` called once; later calls return the same DataFrame."""
+    box = []
+
+    def get():
+        if not box:
+            box.append(build())
+        return box[0]
+    return get
+
+
+def _cascade(builders: dict, base, parent: str, removed, small: bool | None = None) -> None:
+    """Register how the removal of ``removed()`` (ids of ``parent``, column
+    ``__gone``) reaches each child table: CASCADE removes rows (and recurses
+    with them), SET NULL clears the reference. Each new table is a builder,
+    so a table (and the row count behind its broadcast bound) is computed
+    only if the caller reads it. ``small`` is the bound of ``removed`` when
+    known; the rows a cascade removes in turn are counted when needed."""
     for child, col, p, rule in S.FOREIGN_KEYS:
-        if p != parent or child not in new:
+        if p != parent or child not in base:
             continue
-        gone = small_side(removed.select(F.col("__gone").alias(f"__g_{col}")).distinct(),
-                          small=small)
-        tbl = new[child]
+        prev = builders.get(child) or (lambda child=child: base[child])
+        g_col = f"__g_{col}"
+
+        def gone(removed=removed, g_col=g_col, small=small):
+            return small_side(removed().select(F.col("__gone").alias(g_col)).distinct(),
+                              small=small)
         if rule == "cascade":
-            hit = tbl.join(gone, tbl[col] == F.col(f"__g_{col}"), "left_semi")
-            new[child] = tbl.join(gone, tbl[col] == F.col(f"__g_{col}"), "left_anti")
-            _cascade(new, child, hit.select(F.col("id").alias("__gone")))
+            def kept(prev=prev, gone=gone, col=col, g_col=g_col):
+                tbl, g = prev(), gone()
+                return tbl.join(g, tbl[col] == g[g_col], "left_anti")
+
+            def hit(prev=prev, gone=gone, col=col, g_col=g_col):
+                tbl, g = prev(), gone()
+                return (tbl.join(g, tbl[col] == g[g_col], "left_semi")
+                        .select(F.col("id").alias("__gone")))
+            builders[child] = _memo(kept)
+            _cascade(builders, base, child, _memo(hit))
         elif rule == "set_null":
-            j = tbl.join(gone.withColumn(f"__hit_{col}", F.lit(True)),
-                         tbl[col] == F.col(f"__g_{col}"), "left")
-            new[child] = j.select([
-                F.when(F.col(f"__hit_{col}"), F.lit(None).cast(f.dataType))
-                 .otherwise(F.col(f.name)).alias(f.name) if f.name == col else F.col(f.name)
-                for f in tbl.schema])
+            def nulled(prev=prev, gone=gone, col=col, g_col=g_col):
+                tbl = prev()
+                g = gone().withColumn(f"__hit_{col}", F.lit(True))
+                j = tbl.join(g, tbl[col] == g[g_col], "left")
+                return j.select([
+                    F.when(F.col(f"__hit_{col}"), F.lit(None).cast(f.dataType))
+                     .otherwise(F.col(f.name)).alias(f.name) if f.name == col
+                    else F.col(f.name) for f in tbl.schema])
+            builders[child] = _memo(nulled)
 
 
 def delete_batch(t, entity: str, keys: DataFrame, key: str = "id", small: bool | None = None):
     """Delete rows of ``entity`` by id and propagate: CASCADE removes
     children (and their children), SET NULL clears the reference, RESTRICT
     refuses the delete of a parent still referenced. Everything is decided
-    on the tables before the delete. Returns ``(new_tables, outcomes)``."""
+    on the tables before the delete. Returns ``(new_tables, outcomes)``;
+    each changed table is built when first read."""
     table = t[entity]
     req = keys.select(F.col(key).alias("__gone")).where(F.col("__gone").isNotNull()).distinct()
     if small is None:
@@ -310,10 +339,11 @@ def delete_batch(t, entity: str, keys: DataFrame, key: str = "id", small: bool |
          .when(F.col("__blocked"), F.lit("restricted")).otherwise(F.lit("deleted"))
          .alias("outcome"))
     removed = outcomes.where(F.col("outcome") == "deleted").select(F.col("id").alias("__gone"))
-    new = overlay(t)
-    new[entity] = table.join(small_side(removed, small=small), table["id"] == removed["__gone"],
-                             "left_anti")
-    _cascade(new, entity, removed, small)
+    builders = {entity: _memo(lambda: table.join(small_side(removed, small=small),
+                                                 table["id"] == removed["__gone"], "left_anti"))}
+    _cascade(builders, t, entity, lambda: removed, small)
+    # New tables are built when read; later writes go to the first map.
+    new = ChainMap({}, Tables(builders), t)
     return new, outcomes
 
 

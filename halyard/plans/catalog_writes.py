@@ -15,6 +15,10 @@ from halyard.operators import views as V
 from halyard.operators.ids import assign_ids
 from halyard.plans.catalog import AS_OF, register
 from halyard.plans.catalog_reads import CANDIDATES
+from halyard.session import scratch_dir
+from halyard.sources import schemas as S
+from halyard.sources.tables import latest_version
+from halyard.streaming.change_stream import apply_change_stream
 
 EMAIL_SQL = VAL.EMAIL_PATTERN.replace("'", "''")
 DT_SQL = VAL.DATETIME_PATTERN
@@ -235,11 +239,18 @@ def _patch_batch(t):
 
 @register("change_stream", _patched_customers_sql(True))
 def _change_stream(t):
-    """W11 (batch form of the streaming fold): customers after folding every
-    patch and delete of the feed; a delete is final."""
-    folded = CH.fold_changes(t["customer_changes"])
-    new, _outcomes = CH.apply_folded(t, folded, "customers", AS_OF)
-    return new["customers"]
+    """The change feed read as a stream, folded by a stateful
+    aggregation and applied to customers micro-batch by micro-batch
+    (foreachBatch, versioned writes under the checkpoint folder); the final
+    version, read back. A delete is final."""
+    stream = t["customer_changes_stream"]
+    spark = stream.sparkSession
+    target = scratch_dir(spark, "w11-customers")
+    query = apply_change_stream(stream, t, target, scratch_dir(spark, "w11-state"), AS_OF)
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+    return S.conform(spark.read.parquet(latest_version(target, "customers", spark)), S.CUSTOMERS)
 
 
 # -- W6 ------------------------------------------------------------------------------------

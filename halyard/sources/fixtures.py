@@ -387,6 +387,11 @@ def _fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
         "assignment_requests": lambda: assignment_requests_view(raw("customer"), raw("part")),
         "customer_requests": lambda: customer_requests_view(raw("supplier")),
         "pages": lambda: raw("pages"),
+        # The change feed as a stream: the events files read by a file
+        # stream source (a glob, since a stream source lists a folder).
+        "customer_changes_stream": lambda: S.conform(customer_changes_view(
+            spark.readStream.schema(raw("events").schema)
+            .parquet(f"{sf_dir.rstrip('/')}/events*.parquet")), S.CUSTOMER_CHANGES),
     }
     dirty = {
         "dirty_customers": (dirty_customers_view, "customer"),
