@@ -203,3 +203,42 @@ def test_write_and_load_round_trip(spark):
     plan = loaded["customer_packages"].where("status = 'active'")._jdf.queryExecution() \
         .executedPlan().toString()
     assert "PartitionFilters: [isnotnull(status" in plan
+
+
+def test_insert_other_entities(demo, spark):
+    pk = spark.createDataFrame(
+        [(1, "Team", None, 49.5, 30.0, ["a", "b"], None), (2, "Bad", None, 10.0, 0.5, None, False)],
+        "row_id bigint, name string, description string, price double, duration_days double, "
+        "features array<string>, active boolean")
+    ins, rej = CH.insert_batch(demo, pk, "packages", T)
+    row = ins.first()
+    assert (row["id"], row["active"], row["duration_days"], row["features"]) == \
+        (4, True, 30, ["a", "b"])
+    assert [r["errors"] for r in rej.collect()] == [["duration_days:integer", "duration_days:too_small"]]
+    pr = spark.createDataFrame(
+        [(1, "Spring", 15.0, None, "2001-09-01T00:00:00Z", "2001-10-01T00:00:00.250Z")],
+        "row_id bigint, name string, discount_percent double, discount_amount double, "
+        "valid_from string, valid_until string")
+    row = CH.insert_batch(demo, pr, "promotions", T)[0].first()
+    assert row["id"] == 3 and row["valid_until"] == dt.datetime(2001, 10, 1, 0, 0, 0, 250000)
+    assert row["active"] is True and float(row["discount_percent"]) == 15.0
+    co = spark.createDataFrame([(1, "Hooli", "info@hooli.com"), (2, "X", "not-mail")],
+                               "row_id bigint, name string, email string")
+    ins, rej = CH.insert_batch(demo, co, "companies", T)
+    assert [(r["id"], r["name"]) for r in ins.collect()] == [(5, "Hooli")]
+    assert [r["errors"] for r in rej.collect()] == [["email:email"]]
+
+
+def test_patch_packages_and_promotions(demo, spark):
+    p = spark.createDataFrame([(2, True, 89.0, False, None), (3, False, None, True, False)],
+                              "id bigint, set_price boolean, price double, "
+                              "set_active boolean, active boolean")
+    new, out = CH.patch_batch(demo, p, "packages", T)
+    got = {r["id"]: (float(r["price"]), r["active"]) for r in new.collect()}
+    assert got == {1: (29.0, True), 2: (89.0, True), 3: (199.0, False)}
+    bad = spark.createDataFrame([(1, True, -5.0)], "id bigint, set_price boolean, price double")
+    assert CH.patch_batch(demo, bad, "packages", T)[1].first()["outcome"] == "rejected"
+    pr = spark.createDataFrame([(1, True, None)],
+                               "id bigint, set_discount_percent boolean, discount_percent double")
+    new, _ = CH.patch_batch(demo, pr, "promotions", T)
+    assert new.where("id = 1").first()["discount_percent"] is None
