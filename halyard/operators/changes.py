@@ -373,16 +373,24 @@ def assign_if_none(t, requests: DataFrame, as_of, any_status: bool = False,
     batch wins. Requests carry ``joined_at``, ``expires_at`` (timestamps),
     ``price_paid`` and ``status``."""
     from halyard.operators.views import resolve_by_name
+    small = is_small(requests)  # bounds every key set of the request batch
+    emails = requests.select("customer_email")
     cust = t["customers"].select(F.col("id").alias("customer_id"),
                                  F.col("email").alias("customer_email"))
+    if small:
+        # E-mail is unique: the customers found are no more than the requests.
+        cust = F.broadcast(cust.join(F.broadcast(emails.distinct()), "customer_email",
+                                     "left_semi"))
     req = requests.join(cust, "customer_email")
-    req = resolve_by_name(req, t["packages"], "package_name", "package_id")
-    req = resolve_by_name(req, t["promotions"], "promotion_name", "promotion_id")
+    req = resolve_by_name(req, t["packages"], "package_name", "package_id", small=small)
+    req = resolve_by_name(req, t["promotions"], "promotion_name", "promotion_id", small=small)
     req = req.where(F.col("package_id").isNotNull()
                     & (F.col("promotion_name").isNull() | F.col("promotion_id").isNotNull()))
     cp = t["customer_packages"]
     holders = cp if any_status else cp.where(F.col("status") == "active")
-    req = req.join(holders.select("customer_id"), "customer_id", "left_anti")
+    held = present_in(cust.select("customer_id"), holders.select("customer_id"),
+                      ["customer_id"], small)
+    req = req.join(held, "customer_id", "left_anti")
     first = req.groupBy("customer_id").agg(F.min(order_by).alias("__first"))
     req = req.join(first, "customer_id").where(F.col(order_by) == F.col("__first")).drop("__first")
     ts = at(as_of)
@@ -390,5 +398,5 @@ def assign_if_none(t, requests: DataFrame, as_of, any_status: bool = False,
         order_by, "customer_id", "package_id", "promotion_id", "joined_at", "expires_at",
         F.col("price_paid").cast("decimal(10,2)").alias("price_paid"), "status",
         ts.alias("created_at"), ts.alias("updated_at"))
-    rows = assign_ids(rows, next_id(cp), [order_by])
+    rows = assign_ids(rows, next_id(cp), [order_by], small=small)
     return rows.select(order_by, *S.CUSTOMER_PACKAGES.fieldNames())

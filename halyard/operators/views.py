@@ -231,15 +231,24 @@ def reminder_candidates(t, days=7, as_of=None, subs: DataFrame | None = None) ->
 # -- J7 -----------------------------------------------------------------------------
 
 def resolve_by_name(df: DataFrame, dim: DataFrame, name_col: str,
-                    out_col: str = "resolved_id", dim_name: str = "name") -> DataFrame:
+                    out_col: str = "resolved_id", dim_name: str = "name",
+                    small: bool | None = None) -> DataFrame:
     """The id of the dimension row with that name; NULL when absent, the
-    lowest id when several share the name."""
-    ids = dim.groupBy(F.col(dim_name).alias("__name")).agg(F.min("id").alias(out_col))
-    ids = small_side(ids, base=dim)
+    lowest id when several share the name. With ``small`` (the batch is
+    under the broadcast bound) the dimension is first cut to the requested
+    names by a semi join against the broadcast names, so a large dimension
+    is read once and never shuffled."""
+    if small:
+        names = F.broadcast(df.select(F.col(name_col).alias(dim_name)).distinct())
+        ids = (dim.join(names, dim_name, "left_semi")
+               .groupBy(F.col(dim_name).alias("__name")).agg(F.min("id").alias(out_col)))
+        ids = F.broadcast(ids)
+    else:
+        ids = dim.groupBy(F.col(dim_name).alias("__name")).agg(F.min("id").alias(out_col))
+        ids = small_side(ids, base=dim)
     return df.join(ids, df[name_col] == ids["__name"], "left").drop("__name")
 
 
-
 def with_price_text(df: DataFrame, col: str = "price_paid") -> DataFrame:
     return df.withColumn(col + "_text", price_text(col))
 
