@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from halyard.operators.joins import present_in
+
 
 def all_present(keys: list[str]) -> Column:
     """Every key column non-NULL (a NULL never clashes, as in SQL)."""
@@ -20,10 +22,13 @@ def all_present(keys: list[str]) -> Column:
 
 
 def orphans(child: DataFrame, parent: DataFrame, fk: str, parent_key: str = "id") -> DataFrame:
-    """Rows of ``child`` whose non-NULL ``fk`` has no parent row."""
-    keys = parent.select(F.col(parent_key).alias("__pk"))
+    """Rows of ``child`` whose non-NULL ``fk`` has no parent row. The
+    parent keys are looked up through the child's keys (see ``present_in``),
+    so a large parent is read once and not shuffled when the child is small."""
+    found = present_in(child.select(F.col(fk).alias("__pk")),
+                       parent.select(F.col(parent_key).alias("__pk")), ["__pk"])
     return (child.where(F.col(fk).isNotNull())
-            .join(keys, F.col(fk) == F.col("__pk"), "left_anti"))
+            .join(found, F.col(fk) == F.col("__pk"), "left_anti"))
 
 
 def orphan_report(checks: list[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:
@@ -62,7 +67,7 @@ def duplicate_report(checks: list[tuple[str, DataFrame, DataFrame | None, list[s
         counts = (batch.where(all_present(keys))
                   .groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")))
         if table is not None:
-            held = table.select(*keys).distinct().withColumn("__held", F.lit(True))
+            held = present_in(batch, table.select(*keys), keys).withColumn("__held", F.lit(True))
             counts = counts.join(held, keys, "left")
             in_table = F.coalesce("__held", F.lit(False))
         else:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from halyard.functions.expressions import (days_left, full_name, number_text,
                                            price_text)
 from halyard.functions.time import at_for, shift
-from halyard.operators.joins import small_side
+from halyard.operators.joins import is_small, small_side
 from halyard.operators.records import customer_record, subscription_record
 
 ACTIVE = "active"
@@ -36,7 +36,13 @@ def lookup(view: DataFrame, keys: DataFrame, key_col: str = "id",
     """Batch fetch by id. Every key row is kept, with the view's columns
     (NULL when absent) and ``found``."""
     v = view.withColumnRenamed(view_key, "__key")
-    v = small_side(v, base=view)
+    if is_small(keys):
+        # Ids are unique: the rows found are no more than the keys asked for,
+        # so the view is cut by the broadcast keys and broadcast back.
+        wanted = F.broadcast(keys.select(F.col(key_col).alias("__key")).distinct())
+        v = F.broadcast(v.join(wanted, "__key", "left_semi"))
+    else:
+        v = small_side(v, base=view)
     out = keys.join(v, keys[key_col] == v["__key"], "left")
     return out.withColumn("found", F.col("__key").isNotNull()).drop("__key")
 

@@ -17,6 +17,7 @@ from halyard.functions.expressions import EXPIRY_TYPE
 from halyard.functions.time import at
 from halyard.operators.ids import assign_ids, next_id
 from halyard.operators.integrity import all_present
+from halyard.operators.joins import present_in
 from halyard.sources import schemas as S
 
 
@@ -131,6 +132,8 @@ def insert_if_absent(existing: DataFrame, new: DataFrame, on: list[str],
     """Rows of ``new`` whose natural key is absent from ``existing`` (the
     first by ``order_by`` when the batch repeats a key), numbered after the
     table's largest id."""
-    keys = existing.select(*on).where(all_present(on))
-    fresh = first_per_key(new, on, order_by).join(keys, on, "left_anti")
+    # The keys of the batch the table holds (through the broadcast batch keys
+    # when the batch is under the bound: the table is read, not shuffled).
+    held = present_in(new, existing.select(*on).where(all_present(on)), on)
+    fresh = first_per_key(new, on, order_by).join(held, on, "left_anti")
     return assign_ids(fresh, next_id(existing, id_col), [order_by], id_col)
