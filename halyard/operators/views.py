@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.functions.expressions import (days_left, full_name, number_text,
-                                           price_text)
+from halyard.functions.expressions import days_left, full_name, number_text
 from halyard.functions.time import at_for, shift
 from halyard.operators.joins import is_small, small_side
 from halyard.operators.records import customer_record, subscription_record
@@ -255,10 +254,6 @@ def resolve_by_name(df: DataFrame, dim: DataFrame, name_col: str,
     return df.join(ids, df[name_col] == ids["__name"], "left").drop("__name")
 
 
-def with_price_text(df: DataFrame, col: str = "price_paid") -> DataFrame:
-    return df.withColumn(col + "_text", price_text(col))
-
-
 # -- E15 ----------------------------------------------------------------------------
 
 def default_terms(requests: DataFrame, packages: DataFrame, as_of,
