@@ -14,16 +14,24 @@ Two ways to consume it:
 * ``apply_change_stream(...)`` runs it with ``foreachBatch``: each micro-batch
   of folded ids is applied to the target table (W6 then W5) and written as
   version ``batch_id`` of the target, so a retried batch rewrites the same
-  folder (idempotent on ``batch_id``).
+  folder (idempotent on ``batch_id``);
+* ``apply_change_stream(..., buckets=N)`` is the layout for large targets:
+  the table is partitioned by a hash bucket of the id, and a micro-batch
+  reads and rewrites only the buckets its ids fall in (dynamic partition
+  overwrite of contents staged under the checkpoint folder). The folded
+  rows are absolute states, so re-applying a batch after a failure gives the
+  same buckets. Readers may see a batch half applied: it is not atomic.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from halyard.operators.changes import apply_folded, fold_changes
 from halyard.sources import schemas as S
 from halyard.sources.fixtures import overlay
+from halyard.session import scratch_dir
 from halyard.sources.tables import latest_version, write_table
 
 
@@ -41,11 +49,55 @@ def fold_stream(changes: DataFrame) -> DataFrame:
     return fold_changes(changes)
 
 
+BUCKET = "id_bucket"
+
+
+def id_bucket(buckets: int, col: str = "id") -> Column:
+    return F.pmod(F.xxhash64(F.col(col)), F.lit(buckets)).cast("int")
+
+
+def read_bucketed(spark: SparkSession, target_path: str, entity: str) -> DataFrame:
+    """The current table of the bucketed layout."""
+    df = spark.read.parquet(f"{target_path.rstrip('/')}/{entity}")
+    return S.conform(df.drop(BUCKET), S.TABLES[entity])
+
+
+def _bucketed_apply(t, target_path: str, entity: str, as_of, buckets: int):
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        jvm = spark.sparkContext._jvm
+        table_path = f"{target_path.rstrip('/')}/{entity}"
+        path = jvm.org.apache.hadoop.fs.Path(table_path)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            (t[entity].withColumn(BUCKET, id_bucket(buckets)).write
+             .partitionBy(BUCKET).parquet(table_path))
+        # The buckets this batch touches: at most ``buckets`` numbers.
+        touched = sorted(r[0] for r in batch.select(id_bucket(buckets).alias("b"))
+                         .distinct().collect())
+        if not touched:
+            return
+        cur = read_bucketed(spark, target_path, entity).where(id_bucket(buckets).isin(touched))
+        new, _outcomes = apply_folded(overlay(t, **{entity: cur}), batch, entity, as_of)
+        staging = scratch_dir(spark, f"{entity}-bucket-batch-{batch_id}")
+        new[entity].withColumn(BUCKET, id_bucket(buckets)).write.partitionBy(BUCKET) \
+            .parquet(staging)
+        staged = spark.read.parquet(staging)
+        (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(BUCKET).parquet(table_path))
+        kept = {r[0] for r in staged.select(BUCKET).distinct().collect()}
+        for b in set(touched) - kept:    # a bucket whose rows were all deleted
+            fs.delete(jvm.org.apache.hadoop.fs.Path(path, f"{BUCKET}={b}"), True)
+    return apply
+
+
 def apply_change_stream(changes: DataFrame, t: dict, target_path: str, checkpoint: str,
-                        as_of, entity: str = "customers", trigger: dict | None = None):
+                        as_of, entity: str = "customers", trigger: dict | None = None,
+                        buckets: int | None = None):
     """Run the fold and apply each micro-batch to ``entity``. The table of
     the previous batch is read back from ``target_path``; the first batch
-    starts from ``t[entity]``. Returns the started query."""
+    starts from ``t[entity]``. With ``buckets`` the bucketed layout is used
+    (read it with ``read_bucketed``). Returns the started query."""
     spark = changes.sparkSession
 
     def apply(batch: DataFrame, batch_id: int) -> None:
@@ -58,6 +110,8 @@ def apply_change_stream(changes: DataFrame, t: dict, target_path: str, checkpoin
         new, _outcomes = apply_folded(cur, batch, entity, as_of)
         write_table(new[entity], target_path, entity, batch_id)
 
+    if buckets:
+        apply = _bucketed_apply(t, target_path, entity, as_of, buckets)
     writer = (fold_stream(changes).writeStream.outputMode("update")
               .option("checkpointLocation", checkpoint).foreachBatch(apply))
     writer = writer.trigger(**(trigger or {"availableNow": True}))

@@ -57,3 +57,40 @@ def test_apply_change_stream(spark, demo):
     want = want["customers"]
     assert final.count() == want.count()
     assert final.exceptAll(want.select(final.columns)).count() == 0
+
+
+def test_apply_change_stream_bucketed(spark, demo):
+    from halyard.streaming.change_stream import read_bucketed
+    ch = _changes(spark)
+    base = tempfile.mkdtemp(prefix="w11b-", dir="/tmp")
+    src = os.path.join(base, "src")
+    _write_files(ch, src, 4)
+    out = os.path.join(base, "out")
+    q = apply_change_stream(change_source(spark, src, max_files_per_trigger=1), demo, out,
+                            os.path.join(base, "ckpt"), T, buckets=4)
+    q.awaitTermination(300)
+    assert q.exception() is None
+    final = read_bucketed(spark, out, "customers")
+    want, _ = CH.apply_folded(demo, CH.fold_changes(ch), "customers", T)
+    want = want["customers"]
+    assert final.count() == want.count() == 5
+    assert final.exceptAll(want.select(final.columns)).count() == 0
+
+
+def test_bucketed_stream_clears_an_emptied_bucket(spark, demo):
+    from halyard.streaming.change_stream import BUCKET, read_bucketed
+    rows = [(1, None, 2, "delete", False, None, False, None),
+            (2, None, 5, "delete", False, None, False, None),   # ids 2 and 5 share a bucket
+            (3, None, 1, "patch", True, "churned", False, None)]
+    ch = spark.createDataFrame(rows, S.CUSTOMER_CHANGES)
+    base = tempfile.mkdtemp(prefix="w11e-", dir="/tmp")
+    src = os.path.join(base, "src")
+    _write_files(ch, src, 1)
+    out = os.path.join(base, "out")
+    q = apply_change_stream(change_source(spark, src), demo, out, os.path.join(base, "ckpt"),
+                            T, buckets=4)
+    q.awaitTermination(300)
+    final = read_bucketed(spark, out, "customers")
+    assert sorted(r["id"] for r in final.collect()) == [1, 3, 4, 6]
+    assert final.where("id = 1").first()["status"] == "churned"
+    assert not os.path.exists(os.path.join(out, "customers", f"{BUCKET}=1"))
