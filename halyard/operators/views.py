@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from halyard.functions.expressions import days_left, full_name, number_text
 from halyard.functions.time import at_for, shift
 from halyard.operators.joins import is_small, small_side
-from halyard.operators.records import customer_record, subscription_record
+from halyard.operators.records import company_record, customer_record, subscription_record
 
 ACTIVE = "active"
 
@@ -132,7 +132,6 @@ def companies_with_counts(t) -> DataFrame:
 
 def company_list(t) -> DataFrame:
     """Companies with their customer count (0 when none), by name."""
-    from halyard.operators.records import company_record
     return company_record(companies_with_counts(t)).orderBy("name", "id")
 
 
