@@ -69,3 +69,24 @@ def test_ids_use_range_partitioning(spark):
     small = assign_ids(cp, 0, ["expires_at", "id"], small=True, id_col="seq")
     assert big.count() == 15000
     assert big.exceptAll(small.select(big.columns)).count() == 0
+
+
+def test_small_batches_do_not_shuffle_the_table(spark):
+    """With Spark's own size-based broadcast off, a few patches or deletes
+    still reach a big table through broadcast keys: no sort-merge join."""
+    from halyard.operators import changes as CH
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = fixture_tables(spark, SF)
+        patches = spark.createDataFrame([(1, True, "inactive"), (2, True, "churned")],
+                                        "id bigint, set_status boolean, status string")
+        new, out = CH.patch_batch(t, patches, "customers", AS_OF)
+        for df in (new, out):
+            assert "SortMergeJoin" not in plan(df)
+        keys = spark.createDataFrame([(3,), (4,)], "id bigint")
+        new, out = CH.delete_batch(t, "customers", keys)
+        for df in (new["customers"], new["customer_packages"], out):
+            assert "SortMergeJoin" not in plan(df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
