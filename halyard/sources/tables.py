@@ -68,10 +68,17 @@ def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",
 
 
 def write_table(df: DataFrame, path: str, name: str, version: int | str,
-                partition_by: list[str] | None = None) -> str:
+                partition_by: list[str] | None = None,
+                sort_by: list[str] | None = None) -> str:
     """Write ``df`` as version ``version`` of table ``name``; overwriting the
-    same version is idempotent (a retried batch rewrites the same folder)."""
+    same version is idempotent (a retried batch rewrites the same folder).
+    ``partition_by`` lays the table out in folders (e.g. subscriptions by
+    ``status``, so expiry scans read only active rows); ``sort_by`` sorts
+    each file (e.g. by ``expires_at``) so parquet row-group statistics let
+    a horizon filter skip most of it. Neither changes the rows."""
     target = os.path.join(path, name, f"v={version}")
+    if sort_by:
+        df = df.sortWithinPartitions(*sort_by)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

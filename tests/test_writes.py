@@ -189,7 +189,7 @@ def test_write_and_load_round_trip(spark):
                        partition_by=["status"] if name == "customer_packages" else None)
     # A second version of the subscriptions after W1; loads pick it.
     TB.write_table(L.auto_expire(t["customer_packages"], T), base, "customer_packages", 2,
-                   partition_by=["status"])
+                   partition_by=["status"], sort_by=["expires_at"])
     loaded = TB.load_tables(spark, base)
     assert {n: loaded[n].count() for n in TABLES} == {n: t[n].count() for n in TABLES}
     assert [(f.name, f.dataType) for f in loaded["customer_packages"].schema] == \
@@ -203,6 +203,17 @@ def test_write_and_load_round_trip(spark):
     plan = loaded["customer_packages"].where("status = 'active'")._jdf.queryExecution() \
         .executedPlan().toString()
     assert "PartitionFilters: [isnotnull(status" in plan
+    # On stored tables the expiry horizon reaches the scan as pushed filters.
+    from halyard.operators import views as V
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        scan = V.expiring_within(loaded, 30, T)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    line = [ln for ln in scan.split("\n") if "FileScan parquet" in ln and "status=" not in ln
+            and "expires_at" in ln][0]
+    assert "GreaterThanOrEqual(expires_at" in line and "LessThanOrEqual(expires_at" in line
+    assert "PartitionFilters: [isnotnull(status" in line
 
 
 def test_insert_other_entities(demo, spark):
