@@ -159,9 +159,9 @@ def create_with_subscription(t, rows: DataFrame, as_of, order_by: str = "row_id"
     checked = _flag_unique(checked, t["customers"], "customers", order_by, cust_cols, small,
                            rows)
     valid, rejected = _split(checked)
-    # One numbered (and materialised) batch of customers carries the nested
-    # subscription, so the subscriptions are numbered from it without
-    # running the checks again.
+    # One numbered batch of customers carries the nested subscription, and
+    # the subscriptions are numbered from it (from its written table when
+    # the batch is large), so both share the customer ids.
     numbered = to_table_rows(valid, "customers", as_of, keep=["subscription"])
     numbered = assign_ids(numbered, next_id(t["customers"]), [order_by], small=small)
     customers = numbered.select(order_by, *S.CUSTOMERS.fieldNames())
@@ -184,9 +184,10 @@ def patch_fields(changes: DataFrame) -> list[str]:
 
 def fold_changes(changes: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
     """Fold field-level changes to one row per key: for each field the
-    latest set value by ``seq`` (an explicit NULL counts as set), whether any
-    change set it, whether the key was deleted, and how many patches came
-    after its first delete (those find no row). All aggregates combine
+    latest set value by ``seq`` (an explicit NULL counts as set) and whether
+    any patch set it; whether the key was deleted (a delete is final, so any
+    patch of a deleted key finds no row), the sequence of its first delete,
+    its last sequence and its number of patches. All aggregates combine
     map-side, so a key with a third of all changes is one partial row per
     task; the same expression runs as a streaming aggregation (W11)."""
     fields = patch_fields(changes)
