@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from halyard.functions import expressions as E
 from halyard.functions.time import horizon_interval
 from halyard.operators import views as V
+from halyard.operators.joins import small_side
 from halyard.plans.catalog import AS_OF, register
 
 DAYS_LEFT_SQL = "CAST(trunc(epoch(expires_at - {AS_OF}) / 86400) AS INTEGER)"
@@ -80,24 +81,33 @@ def _relative_expiry(t):
 
 
 @register("promotion_status", """
-SELECT id, CASE WHEN NOT active THEN 'Inactive' WHEN valid_until < {AS_OF} THEN 'Expired'
-                ELSE 'Active' END AS promotion_status FROM promotions""")
+SELECT cp.id, CASE WHEN NOT pr.active THEN 'Inactive' WHEN pr.valid_until < {AS_OF} THEN 'Expired'
+                   ELSE 'Active' END AS promotion_status
+FROM customer_packages cp JOIN promotions pr ON pr.id = cp.promotion_id""")
 def _promotion_status(t):
-    """E7 over promotions."""
-    return t["promotions"].select(
+    """E7 for the promotion of every subscription that has one."""
+    return _with_promotion(t).select(
         "id", E.promotion_status("active", "valid_until", AS_OF).alias("promotion_status"))
 
 
+def _with_promotion(t):
+    pr = t["promotions"].select(F.col("id").alias("__mid"), "active", "valid_until",
+                                "discount_percent", "discount_amount")
+    cp = t["customer_packages"].select("id", "promotion_id")
+    return cp.join(small_side(pr, t["promotions"]), F.col("promotion_id") == F.col("__mid"))
+
+
 NUM = r"regexp_replace(regexp_replace(CAST({x} AS VARCHAR), '(\.[0-9]*[1-9])0+$', '\1'), '\.0+$', '')"
 
 
 @register("discount_label", """
-SELECT id, coalesce(nullif(concat_ws(' / ', """ + NUM.replace("{x}", "discount_percent")
-          + " || '%', '$' || " + NUM.replace("{x}", "discount_amount")
-          + """), ''), '—') AS discount_label FROM promotions""")
+SELECT cp.id, coalesce(nullif(concat_ws(' / ', """ + NUM.replace("{x}", "pr.discount_percent")
+          + " || '%', '$' || " + NUM.replace("{x}", "pr.discount_amount")
+          + """), ''), '—') AS discount_label
+FROM customer_packages cp JOIN promotions pr ON pr.id = cp.promotion_id""")
 def _discount_label(t):
-    """E8 over promotions."""
-    return t["promotions"].select(
+    """E8 for the promotion of every subscription that has one."""
+    return _with_promotion(t).select(
         "id", E.discount_label("discount_percent", "discount_amount").alias("discount_label"))
 
 
