@@ -62,8 +62,20 @@ def read_bucketed(spark: SparkSession, target_path: str, entity: str) -> DataFra
     return S.conform(df.drop(BUCKET), S.TABLES[entity])
 
 
+def _pin(batch: DataFrame, batch_id: int) -> DataFrame:
+    """The folded micro-batch written once under the checkpoint folder and
+    read back: one row per changed id, read several times by the apply (its
+    bound, the deletes, the patches) without re-running the stateful
+    aggregation, and fixed if an executor is lost mid-apply."""
+    spark = batch.sparkSession
+    path = scratch_dir(spark, f"change-batch-{batch_id}")
+    batch.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _bucketed_apply(t, target_path: str, entity: str, as_of, buckets: int):
     def apply(batch: DataFrame, batch_id: int) -> None:
+        batch = _pin(batch, batch_id)
         spark = batch.sparkSession
         jvm = spark.sparkContext._jvm
         table_path = f"{target_path.rstrip('/')}/{entity}"
@@ -101,6 +113,7 @@ def apply_change_stream(changes: DataFrame, t: dict, target_path: str, checkpoin
     spark = changes.sparkSession
 
     def apply(batch: DataFrame, batch_id: int) -> None:
+        batch = _pin(batch, batch_id)
         # Start from the newest version written by an earlier batch; a
         # retried batch ignores its own partial or complete output.
         prev = latest_version(target_path, entity, spark, below=batch_id)
