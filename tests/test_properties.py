@@ -90,3 +90,18 @@ def test_day_counts_match_python(spark, seconds):
         E.days_left("e", AS_OF).cast("int"), E.days_until("e", AS_OF)).first()
     assert row[0] == int(seconds / 86400)
     assert row[1] == math.ceil(seconds / 86400)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.integers(min_value=0, max_value=20), min_size=1, max_size=60),
+       st.integers(min_value=1, max_value=9), st.integers(min_value=0, max_value=10**6))
+def test_assign_ids_equal_row_number(spark, keys, partitions, start):
+    from pyspark.sql import Window
+    from halyard.operators.ids import assign_ids
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k int, seq int")
+    want = df.select("k", "seq", (F.row_number().over(Window.orderBy("k", "seq")) + start)
+                     .cast("bigint").alias("id"))
+    for got in (assign_ids(df, start, ["k", "seq"], partitions=partitions),
+                assign_ids(df, start, ["k", "seq"], small=True)):
+        assert sorted(map(tuple, got.select("k", "seq", "id").collect())) == \
+            sorted(map(tuple, want.collect()))
