@@ -105,3 +105,33 @@ def test_assign_ids_equal_row_number(spark, keys, partitions, start):
                 assign_ids(df, start, ["k", "seq"], small=True)):
         assert sorted(map(tuple, got.select("k", "seq", "id").collect())) == \
             sorted(map(tuple, want.collect()))
+
+
+def _search_model(term: str, text: str) -> bool:
+    """The search semantics in plain Python: ``%`` any run, ``_`` any one
+    character, backslash escapes the next character (a trailing one is
+    literal), case-insensitive substring."""
+    import re
+    out, i = [], 0
+    while i < len(term):
+        ch = term[i]
+        if ch == "\\":
+            out.append(re.escape(term[i + 1]) if i + 1 < len(term) else re.escape("\\"))
+            i += 2
+            continue
+        out.append(".*" if ch == "%" else "." if ch == "_" else re.escape(ch))
+        i += 1
+    return re.fullmatch(".*" + "".join(out) + ".*", text, re.IGNORECASE | re.DOTALL) is not None
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.text(alphabet="aB%_\\", min_size=1, max_size=5),
+       st.lists(st.text(alphabet="abAB%_\\", max_size=6), min_size=1, max_size=8))
+def test_search_matches_model(spark, term, names):
+    df = spark.createDataFrame([(i, n, "x", "x@y.zz") for i, n in enumerate(names)],
+                               "id int, first_name string, last_name string, email string")
+    got = sorted(r["id"] for r in V.filter_customers(df, search=term).collect())
+    want = sorted(i for i, n in enumerate(names)
+                  if _search_model(term, n) or _search_model(term, "x")
+                  or _search_model(term, "x@y.zz"))
+    assert got == want
