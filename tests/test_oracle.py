@@ -9,8 +9,9 @@ import __spark_entry__ as E
 from tests.oracle_compare import compare, duck_connect
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+# The entity queries; the corpus queries have tests of their own.
+QUERIES = E.QUERIES
+SQL = {key: E.with_views(sql) for key, sql in E.SQL.items()}
 
 
 @pytest.fixture(scope="module")
