@@ -20,7 +20,7 @@ import __spark_entry__ as E
 from tests.oracle_compare import compare, duck_connect
 sf = "/root/testdata/sf0.001"
 con = duck_connect(sf)
-q, s = E.queries(), E.oracle_sql()
+q, s = E.QUERIES, {k: E.with_views(v) for k, v in E.SQL.items()}
 for key in sorted(q):
     problems, n, m, _ = compare(spark, con, key, q[key], s[key], sf)
     print("KEY", key, "OK" if not problems else problems)
