@@ -17,32 +17,70 @@ SEQ_LEN = 2048
 END_ID = 1
 # Pieces in one packing group, about.
 GROUP_PIECES = 4096
-# Words whose ids a Python worker remembers at most.
-CACHE_WORDS = 400_000
+# Spelled words, and stems, whose ids a Python worker remembers at most.
+CACHE_WORDS, CACHE_STEMS = 400_000, 600_000
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _byte_letters() -> list[str]:
+    """The letter by which a byte-level vocabulary spells each byte: printable
+    Latin-1 bytes stand for themselves, the others for U+0100 onwards."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
 class _Words(dict):
-    """word -> its ids as little-endian unsigned 32-bit bytes.
+    """word (UTF-8) -> its ids as little-endian unsigned 32-bit bytes.
 
     The tokenizer never joins across white space, so a text's ids are its
-    words' ids in a row, and each distinct word is encoded once a worker.
+    words' ids in a row, and each distinct word is looked up once a worker. It
+    also parts letters from punctuation and ignores case, so a word made of
+    letters and trailing punctuation (no apostrophe: "'s" is one token) has
+    the ids of its lower-case letters, then those of the punctuation. Stems
+    of Latin-1 letters, which need no more normalizing, go straight to the
+    tokenizer's model, a byte a letter; everything else goes through the whole
+    tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = dict(enumerate(_byte_letters()))
+        self.stems: dict[str, bytes] = {}
+
+    def _stem(self, word: str, plain: bool = False) -> bytes:
+        out = self.stems.get(word)
+        if out is None:
+            if plain:
+                spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                ids = [t.id for t in self.model.tokenize(spelled)]
+            else:
+                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            self.stems[word] = out = np.asarray(ids, dtype="<u4").tobytes()
+        return out
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        self[word] = out = np.asarray(ids, dtype="<u4").tobytes()
+    def __missing__(self, raw: bytes) -> bytes:
+        word = raw.decode("utf-8")
+        stem = word.rstrip(_PUNCTUATION)
+        if not stem.isalpha():
+            out = self._stem(word)
+        else:
+            # Below U+0100 lower case is one letter for one, as in the tokenizer.
+            plain = max(stem) < "\u0100"
+            out = self._stem(stem.lower() if plain else stem, plain) + (self._stem(word[len(stem):]) if len(stem) < len(word) else b"")
+        self[raw] = out
         return out
 
     def encode(self, text: str) -> bytes:
         if len(self) > CACHE_WORDS:
             self.clear()
-        words = text.encode("utf-8", "replace").split()  # the white space of WORD
-        return b"".join(map(self.__getitem__, b"\n".join(words).decode("utf-8").split("\n"))) if words else b""
+        if len(self.stems) > CACHE_STEMS:
+            self.stems.clear()
+        # bytes.split() parts at the white space of WORD
+        return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split()))
 
 
 _CACHES: dict[str, _Words] = {}
@@ -56,7 +94,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _CACHES.get(tokenizer) or _CACHES.setdefault(tokenizer, _Words(tokenizer))
+        words = _CACHES[tokenizer] if tokenizer in _CACHES else _CACHES.setdefault(tokenizer, _Words(tokenizer))
         end = np.asarray([END_ID], dtype="<u4").tobytes()
         for pdf in batches:
             out = []

@@ -67,6 +67,7 @@ def test_edges(edge_docs, no_docs, direct):
     docs = edge_docs.filter("doc_id is not null and doc_id <> 3")
     texts = {r.doc_id: r.text for r in docs.collect()}
     texts[900] = "x<|endoftext|>y it's we'll  Á  　nb sp 12345 \x85 ﬀ İ Σ"
+    texts[901] = "Word Word, WORD!! É,*** ÀÉß. don't d'Été... ﬁx. İx. ΟΔΟΣ. ª. \u1100\u1161. e\u0301x, x\u0301. <|endoftext|> a<|b. (a) 1a. µ."
     spark = edge_docs.sparkSession
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     check(pack_documents(docs, PATH, seq_len=2048).collect(), texts, direct)
