@@ -285,16 +285,17 @@ def families(nodes: DataFrame, percent: int) -> DataFrame:
     ``nodes`` (doc_id, n, keys, sketch) has each distinct set once. The half
     keys that only one set has are dropped before pairs of them are formed, so
     a set without a likeness costs 2 * BANDS rows, not BANDS ** 2. In each
-    table bucket all are first compared with the smallest id by sketch; where
-    that leaves a bucket in several families, the rest is compared in blocks,
-    which hand on a spanning forest. Pairs are never listed.
+    table bucket all are first compared with the smallest id by sketch. Where
+    that leaves buckets in several families, their rows are gathered by first
+    half and compared in blocks, which hand on a spanning forest. Pairs are
+    never listed.
     """
     half = nodes.select("doc_id", F.posexplode("keys").alias("at", "key"))
     live = half.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key")
     half = pin(half.join(live, "key"), "near-half-keys")
     tables = (half.filter(F.col("at") < BANDS).select("doc_id", F.col("key").alias("a"))
               .join(half.filter(F.col("at") >= BANDS).select("doc_id", F.col("key").alias("b")), "doc_id")
-              .select("doc_id", F.xxhash64("a", "b").alias("grp")))
+              .select("doc_id", "a", F.xxhash64("a", "b").alias("grp")))
     stat = tables.groupBy("grp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     buckets = pin(tables.join(stat, "grp"), "near-buckets")
     side = lambda c: nodes.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
@@ -303,10 +304,12 @@ def families(nodes: DataFrame, percent: int) -> DataFrame:
              .select("x", "y", "nx", "ny", "sx", "sy").mapInPandas(_pair_filter(percent), "x long, y long"))
     labels = pin(components(first), "near-families")
     known = labels.select(F.col("node").alias("doc_id"), F.col("root").alias("cls"))
-    rest = (buckets.filter("k > 2").select("grp", "doc_id").join(known, "doc_id", "left")
-            .select("grp", "doc_id", F.coalesce("cls", "doc_id").alias("cls")))
-    mixed = rest.groupBy("grp").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a <> b").select("grp")
-    rest = pin(rest.join(mixed, "grp"), "near-mixed")
+    rest = (buckets.filter("k > 2").select("grp", "a", "doc_id").join(known, "doc_id", "left")
+            .select("grp", "a", "doc_id", F.coalesce("cls", "doc_id").alias("cls")))
+    mixed = rest.groupBy("grp").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low <> high").select("grp")
+    # All tables of one first half lie within the sets that share it, so these
+    # are compared once, not once for each second half.
+    rest = pin(rest.join(mixed, "grp").select(F.col("a").alias("grp"), "doc_id", "cls").distinct(), "near-mixed")
     if not rest.take(1):
         return labels
     dealt = cells(rest).join(nodes.select("doc_id", "n", "sketch"), "doc_id")
