@@ -60,29 +60,39 @@ def _flag_missing_parents(df: DataFrame, t, entity: str, cols: dict[str, Column]
 
 def _flag_unique(df: DataFrame, table: DataFrame, entity: str, order_by: str,
                  cols: dict[str, Column], small: bool | None = None,
-                 source: DataFrame | None = None) -> DataFrame:
+                 source: DataFrame | None = None, own_id: str | None = None) -> DataFrame:
     """Add an error code for a unique key the table holds already (key set
     taken from ``source``), or that an earlier row of the batch (by
     ``order_by``) holds. Only rows passing every other check can take a key
-    first; that minimum per key is a map-side combined aggregate joined back."""
+    first; that minimum per key is a map-side combined aggregate joined back.
+    With ``own_id`` (a patch) a key that the row's own id holds is no clash."""
     src = df if source is None else source
     out = df
     for keys in S.UNIQUE_KEYS.get(entity, []):
         if not all(k in cols for k in keys):
             continue
         names = [f"__u_{k}" for k in keys]
-        held = present_in(src.select(*[cols[k].alias(n) for k, n in zip(keys, names)]),
-                          table.select(*[F.col(k).alias(n) for k, n in zip(keys, names)]),
-                          names, small).withColumn("__held", F.lit(True))
+        asked = src.select(*[cols[k].alias(n) for k, n in zip(keys, names)])
+        have = table.select(*[F.col(k).alias(n) for k, n in zip(keys, names)],
+                            *([F.col("id").alias("__holder")] if own_id else []))
+        if own_id:      # the key is unique in the table: one holder each
+            asked = asked.where(all_present(names)).distinct()
+            held = have.join(small_side(asked, small=small), names, "left_semi")
+            held = small_side(held, small=small).withColumn("__held", F.lit(True))
+        else:
+            held = present_in(asked, have, names, small).withColumn("__held", F.lit(True))
         out = out.select("*", *[cols[k].alias(n) for k, n in zip(keys, names)])
         first = (out.where(all_present(names) & (F.size("errors") == 0))
                  .groupBy(*names).agg(F.min(order_by).alias("__first")))
         code = "unique:" + "+".join(keys)
+        clash = F.col("__held")
+        if own_id:
+            clash = clash & (F.col("__holder") != F.col(own_id))
         out = (out.join(held, names, "left").join(first, names, "left")
                   .withColumn("errors", F.when(
-                      F.col("__held") | (F.col("__first") != F.col(order_by)),
+                      clash | (F.col("__first") != F.col(order_by)),
                       F.array_append("errors", F.lit(code))).otherwise(F.col("errors")))
-                  .drop("__held", "__first", *names))
+                  .drop("__held", "__holder", "__first", *names))
     return out
 
 
@@ -201,36 +211,68 @@ def fold_changes(changes: DataFrame, key: str = "id", seq: str = "seq") -> DataF
     aggs += [F.coalesce(F.bool_or(is_delete), F.lit(False)).alias("deleted"),
              F.min(F.when(is_delete, F.col(seq))).alias("delete_seq"),
              F.max(F.col(seq)).alias("last_seq"),
-             F.count_if(is_patch).cast("int").alias("patches")]
+             F.count_if(is_patch).alias("patches")]
     return changes.groupBy(key).agg(*aggs)
 
 
 # -- W5 -----------------------------------------------------------------------------
 
+def valid_changes(changes: DataFrame, entity: str, t=None, small: bool | None = None) -> DataFrame:
+    """``changes`` without the patches that set nothing or break a rule, and,
+    with tables ``t``, without those whose new parent does not exist. A
+    projection and a filter (``t`` adds lookups), so it also runs on a stream.
+    Rows of another ``op`` pass."""
+    fields = [f for f in patch_fields(changes) if f in S.WRITABLE[entity]]
+    any_set = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"set_{f}"), F.lit(False))
+                                          for f in fields], F.lit(False))
+    checked = VALIDATORS[entity](changes, partial=True, checked_only=True).checked()
+    if t is not None:
+        checked = _flag_missing_parents(checked, t, entity, {
+            f: F.when(F.col(f"set_{f}"), F.col(f)) for f in fields}, small, changes)
+    ok = any_set & (F.size("errors") == 0)
+    if "op" in changes.columns:
+        ok = ok | (F.col("op") != "patch")
+    return checked.where(ok).drop("errors")
+
+
 def patch_batch(t, patches: DataFrame, entity: str, as_of, small: bool | None = None):
     """Partial update. A field applies when ``set_<field>`` is true (an
     explicit NULL clears it); ``updated_at = as_of`` on changed rows. A
     patch that sets nothing or breaks a rule is rejected, an unknown id is
-    not found. Several patches for one id are folded first (latest wins).
+    not found. With a ``seq`` column there may be several patches for one id:
+    each is checked by itself, and those that pass are folded (latest wins);
+    an id is rejected if none passes. Without ``seq`` there is no telling
+    which is the last, so an id with several patches is rejected.
     Returns ``(new_table, outcomes)``."""
     table = t[entity]
+    if small is None:
+        small = is_small(patches)   # bounds the folded patches and their keys
     if "seq" in patches.columns:
-        folded = fold_changes(patches.withColumn("op", F.lit("patch")) if "op" not in
-                              patches.columns else patches.where(F.col("op") == "patch"))
+        changes = (patches.withColumn("op", F.lit("patch")) if "op" not in patches.columns
+                   else patches.where(F.col("op") == "patch"))
+        folded = fold_changes(valid_changes(changes, entity, t, small))
+        refused = changes.select("id").distinct().join(
+            small_side(folded.select("id"), small=small), "id", "left_anti")
+        repeated = None
     else:
         folded = patches
-    if small is None:
-        small = is_small(patches)   # bounds the folded patches and their keys
+        refused = None
+        repeated = (patches.groupBy("id").agg(F.count(F.lit(1)).alias("__n"))
+                    .where(F.col("__n") > 1).select(F.col("id").alias("__rid")))
     fields = [f for f in patch_fields(folded) if f in S.WRITABLE[entity]]
     any_set = reduce(lambda a, b: a | b, [F.col(f"set_{f}") for f in fields], F.lit(False))
     checked = VALIDATORS[entity](folded, partial=True, checked_only=True).checked()
     checked = checked.withColumn("errors", F.when(~any_set, F.array_append(
         "errors", F.lit("no_fields"))).otherwise(F.col("errors")))
+    if repeated is not None:
+        checked = (checked.join(small_side(repeated, small=small), F.col("id") == F.col("__rid"), "left")
+                   .withColumn("errors", F.when(F.col("__rid").isNotNull(), F.array_append(
+                       "errors", F.lit("repeated"))).otherwise(F.col("errors"))).drop("__rid"))
     fk_cols = {f: F.when(F.col(f"set_{f}"), F.col(f)) for f in fields}
     checked = _flag_missing_parents(checked, t, entity, fk_cols, small, folded)
     checked = _flag_unique(checked.withColumn("__order", F.col("id")), table, entity, "__order",
                            {f: F.when(F.col(f"set_{f}"), F.col(f)) for f in fields}, small,
-                           folded).drop("__order")
+                           folded, own_id="id").drop("__order")
     ok, rejected = _split(checked)
     p = ok.select(F.col("id").alias("__pid"), *[F.col(f).alias(f"__new_{f}") for f in fields],
                   *[F.col(f"set_{f}").alias(f"__set_{f}") for f in fields])
@@ -255,7 +297,9 @@ def patch_batch(t, patches: DataFrame, entity: str, as_of, small: bool | None =
     outcomes = (ok.select("id").join(found, F.col("id") == F.col("__tid"), "left")
                 .select("id", F.when(F.col("__tid").isNotNull(), F.lit("updated"))
                         .otherwise(F.lit("not_found")).alias("outcome"))
-                .unionByName(rejected.select("id", F.lit("rejected").alias("outcome"))))
+                .unionByName(rejected.select("id", F.lit("rejected").alias("outcome")).distinct()))
+    if refused is not None:
+        outcomes = outcomes.unionByName(refused.select("id", F.lit("rejected").alias("outcome")))
     return new_table, outcomes
 
 
@@ -350,11 +394,14 @@ def delete_batch(t, entity: str, keys: DataFrame, key: str = "id", small: bool |
 
 def apply_folded(t, folded: DataFrame, entity: str, as_of):
     """W11's final step: deletes from the fold (W6), then the folded patches
-    of the surviving ids (W5). Returns ``(new_tables, outcomes)``."""
+    of the ids that were not deleted (W5); a restricted delete changes
+    nothing, so the patches of its id apply. Returns ``(new_tables, outcomes)``."""
     small = is_small(folded)    # one count bounds the deletes and the patches
     dels = folded.where(F.col("deleted")).select("id")
     new, del_out = delete_batch(t, entity, dels, small=small)
-    patch = folded.where(~F.col("deleted") & (F.col("patches") > 0))
+    gone = del_out.where(F.col("outcome") != "restricted").select(F.col("id").alias("__gid"))
+    patch = (folded.where(F.col("patches") > 0)
+             .join(small_side(gone, small=small), F.col("id") == F.col("__gid"), "left_anti"))
     new_tbl, patch_out = patch_batch(new, patch.drop("deleted", "delete_seq", "last_seq",
                                                      "patches"), entity, as_of, small=small)
     new[entity] = new_tbl

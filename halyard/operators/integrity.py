@@ -41,18 +41,6 @@ def orphan_report(checks: list[tuple[str, DataFrame, str, DataFrame, str]]) -> D
     return reduce(DataFrame.unionByName, parts)
 
 
-def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
-    """W8 within a batch: each key held by more than one row, with its count."""
-    return (df.where(all_present(keys))
-            .groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-            .where(F.col("n_rows") > 1))
-
-
-def clashes(batch: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """W8 against a table: batch rows whose key the table already holds."""
-    return batch.join(table.select(*keys), keys, "left_semi")
-
-
 def key_text(keys: list[str]):
     return F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
 
@@ -75,5 +63,5 @@ def duplicate_report(checks: list[tuple[str, DataFrame, DataFrame | None, list[s
         counts = counts.withColumn("in_table", in_table)
         parts.append(counts.where((F.col("n_rows") > 1) | F.col("in_table")).select(
             F.lit(name).alias("check"), key_text(keys).alias("key"),
-            F.col("n_rows").cast("int").alias("n_rows"), "in_table"))
+            "n_rows", "in_table"))
     return reduce(DataFrame.unionByName, parts)

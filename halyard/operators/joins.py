@@ -1,8 +1,8 @@
 """Join helpers: a broadcast that is taken only behind a counted size bound.
 
 A dimension is broadcast only when its source table has at most
-``BROADCAST_MAX_ROWS`` rows (counted once per session and plan: a parquet
-count reads only file footers). Beyond the bound the join stays a shuffle
+``BROADCAST_MAX_ROWS`` rows (counted anew for each plan: a parquet count
+reads only file footers). Beyond the bound the join stays a shuffle
 join, and AQE may still turn it into a broadcast from the measured shuffle
 size, or split skewed partitions.
 """
@@ -15,17 +15,10 @@ from pyspark.sql import functions as F
 # About 1M rows of a narrow projection (id, name) is well under 100 MB.
 BROADCAST_MAX_ROWS = 1_000_000
 
-_counts: dict[tuple[int, int], int] = {}
-
-
 def row_count(df: DataFrame) -> int:
-    """Row count of ``df``, counted once per session and semantic plan."""
-    key = (id(df.sparkSession), df.semanticHash())
-    n = _counts.get(key)
-    if n is None:
-        n = df.count()
-        _counts[key] = n
-    return n
+    """Row count of ``df`` as it is now: a table that grew past the bound
+    since the last call is not taken for small."""
+    return df.count()
 
 
 def small_side(df: DataFrame, base: DataFrame | None = None,

@@ -49,7 +49,7 @@ def auto_expire(cp: DataFrame, as_of) -> DataFrame:
 
 def auto_expire_count(cp: DataFrame, as_of) -> DataFrame:
     """The number of rows W1 changes, as one row."""
-    return cp.agg(F.count_if(stale(cp, as_of)).cast("int").alias("auto_expired"))
+    return cp.agg(F.count_if(stale(cp, as_of)).alias("auto_expired"))
 
 
 def _count_text(template: str, n: Column, days) -> Column:
@@ -60,7 +60,7 @@ def _count_text(template: str, n: Column, days) -> Column:
 
 def digest_header(candidates: DataFrame, days) -> DataFrame:
     """W9 header: mail subject, logged subject and candidate count, one row."""
-    n = candidates.agg(F.count(F.lit(1)).cast("int").alias("n"))
+    n = candidates.agg(F.count(F.lit(1)).alias("n"))
     return n.select(_count_text(MAIL_SUBJECT, F.col("n"), days).alias("subject"),
                     F.lit(log_subject(days)).alias("log_subject"),
                     F.col("n").alias("recipients"))

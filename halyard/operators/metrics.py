@@ -17,8 +17,8 @@ ACTIVE = "active"
 EXPIRED = "expired"
 
 
-def _int(c: Column, name: str) -> Column:
-    return c.cast("int").alias(name)
+def _long(c: Column, name: str) -> Column:
+    return c.cast("bigint").alias(name)
 
 
 def _expiring(cp: DataFrame, days, as_of) -> Column:
@@ -31,19 +31,19 @@ def customer_metrics(t, as_of) -> DataFrame:
     """A1, A2, A10."""
     c = t["customers"]
     since = at_for(c, "created_at", shift(as_of, -30))
-    return c.agg(_int(F.count(F.lit(1)), "total_customers"),
-                 _int(F.count_if(F.col("status") == ACTIVE), "active_customers"),
-                 _int(F.count_if(F.col("created_at") >= since), "new_customers_30d"))
+    return c.agg(_long(F.count(F.lit(1)), "total_customers"),
+                 _long(F.count_if(F.col("status") == ACTIVE), "active_customers"),
+                 _long(F.count_if(F.col("created_at") >= since), "new_customers_30d"))
 
 
 def company_metrics(t) -> DataFrame:
     """A3."""
-    return t["companies"].agg(_int(F.count(F.lit(1)), "total_companies"))
+    return t["companies"].agg(_long(F.count(F.lit(1)), "total_companies"))
 
 
 def package_metrics(t) -> DataFrame:
     """A4."""
-    return t["packages"].agg(_int(F.count_if(F.col("active")), "active_packages_count"))
+    return t["packages"].agg(_long(F.count_if(F.col("active")), "active_packages_count"))
 
 
 def subscription_metrics(t, as_of) -> DataFrame:
@@ -52,10 +52,10 @@ def subscription_metrics(t, as_of) -> DataFrame:
     active = F.col("status") == ACTIVE
     revenue = F.coalesce(F.sum(F.when(active, F.col("price_paid"))),
                          F.lit(0).cast("decimal(20,2)")).cast("double")
-    return cp.agg(_int(F.count_if(active), "active_subscriptions"),
-                  _int(F.count_if(_expiring(cp, 7, as_of)), "expiring_in_7_days"),
-                  _int(F.count_if(_expiring(cp, 30, as_of)), "expiring_in_30_days"),
-                  _int(F.count_if(F.col("status") == EXPIRED), "expired_subscriptions"),
+    return cp.agg(_long(F.count_if(active), "active_subscriptions"),
+                  _long(F.count_if(_expiring(cp, 7, as_of)), "expiring_in_7_days"),
+                  _long(F.count_if(_expiring(cp, 30, as_of)), "expiring_in_30_days"),
+                  _long(F.count_if(F.col("status") == EXPIRED), "expired_subscriptions"),
                   revenue.alias("total_revenue"))
 
 
@@ -85,13 +85,13 @@ def customer_count(t) -> DataFrame:
     comp = t["companies"].select("id")
     return (comp.join(counts, comp["id"] == counts["company_id"], "left")
             .select(F.col("id").alias("company_id"),
-                    F.coalesce("__n", F.lit(0)).cast("int").alias("customer_count")))
+                    F.coalesce("__n", F.lit(0)).cast("bigint").alias("customer_count")))
 
 
 def write_counts(outcomes: DataFrame, outcome_col: str = "outcome") -> DataFrame:
     """Rows changed and keys not found (and rejected) of one write."""
     o = F.col(outcome_col)
-    return outcomes.agg(_int(F.count_if(o.isin("updated", "deleted", "inserted", "expired")),
+    return outcomes.agg(_long(F.count_if(o.isin("updated", "deleted", "inserted", "expired")),
                              "rows_changed"),
-                        _int(F.count_if(o == "not_found"), "not_found"),
-                        _int(F.count_if(o == "rejected"), "rejected"))
+                        _long(F.count_if(o == "not_found"), "not_found"),
+                        _long(F.count_if(o == "rejected"), "rejected"))

@@ -12,7 +12,7 @@ from halyard.functions.expressions import full_name, money
 def company_record(df: DataFrame) -> DataFrame:
     """Nullable text kept, missing ``customer_count`` read as 0."""
     count = (F.coalesce(F.col("customer_count"), F.lit(0)) if "customer_count" in df.columns
-             else F.lit(0)).cast("int")
+             else F.lit(0)).cast("bigint")
     return df.select("id", "name", "email", "phone", "address",
                      count.alias("customer_count"), "created_at", "updated_at")
 

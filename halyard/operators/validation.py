@@ -28,6 +28,8 @@ DATE_PATTERN = (r"(?:[0-9]{4}-(?:(?:0[13578]|1[02])-(?:0[1-9]|[12][0-9]|3[01])"
 # A UTC date-time: that date, T, HH:mm:ss, an optional fraction, then Z (no offset).
 DATETIME_PATTERN = ("^" + DATE_PATTERN
                     + r"T(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\.[0-9]+)?Z$")
+# The largest values of the columns NUMERIC(10,2) and INT (fixed values).
+MAX_MONEY, MAX_INT = 99_999_999.99, 2_147_483_647
 CUSTOMER_STATUSES = ["active", "inactive", "churned"]
 SUBSCRIPTION_STATUSES = ["active", "expired", "cancelled"]
 
@@ -78,8 +80,21 @@ class Rules:
         self.rules.append(_err(self.present(field) & F.coalesce(cond, F.lit(False)),
                                f"{field}:{code}"))
 
+    def _absent(self, field: str, required: bool) -> bool:
+        """Whether the batch lacks the column; if it must not, every row fails."""
+        if field in self.df.columns:
+            return False
+        if required and not self.partial:
+            self.rules.append(F.lit(f"{field}:required"))
+        return True
+
+    def not_null(self, field: str):
+        """A defaulted column: it may be left out, but a patch can't clear it."""
+        if self.partial and field in self.df.columns:
+            self._add(field, F.col(field).isNull(), "required")
+
     def text(self, field, lo=None, hi=None, required=False, email=False, datetime=False):
-        if field not in self.df.columns:
+        if self._absent(field, required):
             return
         v = F.col(field)
         if required:
@@ -94,7 +109,7 @@ class Rules:
             self._add(field, v.isNotNull() & ~is_utc_datetime(v), "datetime")
 
     def number(self, field, lo=None, hi=None, integer=False, required=False):
-        if field not in self.df.columns:
+        if self._absent(field, required):
             return
         v = F.col(field)
         if required:
@@ -141,7 +156,7 @@ def validate_companies(df: DataFrame, partial: bool = False, checked_only: bool
     """V1: name 1..200; e-mail format (and the 200 column limit); phone <= 50;
     address <= 1000."""
     r = Rules(df, partial)
-    r.text("name", 1, 200, required=not partial)
+    r.text("name", 1, 200, required=True)
     r.text("email", hi=200, email=True)
     r.text("phone", hi=50)
     r.text("address", hi=1000)
@@ -152,10 +167,11 @@ def validate_packages(df: DataFrame, partial: bool = False, checked_only: bool =
     """V2: name 1..100; description <= 2000; price >= 0; duration_days an
     integer >= 1 (features and active are typed by the schema)."""
     r = Rules(df, partial)
-    r.text("name", 1, 100, required=not partial)
+    r.text("name", 1, 100, required=True)
     r.text("description", hi=2000)
-    r.number("price", lo=0, required=not partial)
-    r.number("duration_days", lo=1, integer=True, required=not partial)
+    r.number("price", lo=0, hi=MAX_MONEY, required=True)
+    r.number("duration_days", lo=1, hi=MAX_INT, integer=True, required=True)
+    r.not_null("active")
     return r if checked_only else r.split()
 
 
@@ -163,12 +179,12 @@ def validate_promotions(df: DataFrame, partial: bool = False, checked_only: bool
     """V3: name 1..200; description <= 2000; percent 0..100; amount >= 0;
     valid_from and valid_until UTC date-times (their order is not checked)."""
     r = Rules(df, partial)
-    r.text("name", 1, 200, required=not partial)
+    r.text("name", 1, 200, required=True)
     r.text("description", hi=2000)
     r.number("discount_percent", lo=0, hi=100)
-    r.number("discount_amount", lo=0)
-    r.text("valid_from", required=not partial, datetime=True)
-    r.text("valid_until", required=not partial, datetime=True)
+    r.number("discount_amount", lo=0, hi=MAX_MONEY)
+    r.text("valid_from", required=True, datetime=True)
+    r.text("valid_until", required=True, datetime=True)
     return r if checked_only else r.split()
 
 
@@ -177,13 +193,14 @@ def validate_customers(df: DataFrame, partial: bool = False, checked_only: bool
     integer; status in the enumeration; notes <= 2000; and, when the row
     carries a nested ``subscription``, V5's rules on it (both or neither)."""
     r = Rules(df, partial)
-    r.text("first_name", 1, 100, required=not partial)
-    r.text("last_name", 1, 100, required=not partial)
-    r.text("email", hi=200, required=not partial, email=True)
+    r.text("first_name", 1, 100, required=True)
+    r.text("last_name", 1, 100, required=True)
+    r.text("email", hi=200, required=True, email=True)
     r.text("phone", hi=50)
     if _has(df, "company_id"):
         r.number("company_id", integer=True)
     r.enum("status", CUSTOMER_STATUSES)
+    r.not_null("status")
     if _has(df, "notes"):
         r.text("notes", hi=2000)
     if _has(df, "subscription") and not partial:
@@ -198,6 +215,8 @@ def validate_customers(df: DataFrame, partial: bool = False, checked_only: bool
              "subscription.expires_at:datetime"),
             (s["price_paid"].isNotNull() & (s["price_paid"] < 0),
              "subscription.price_paid:too_small"),
+            (s["price_paid"].isNotNull() & (s["price_paid"] > MAX_MONEY),
+             "subscription.price_paid:too_big"),
         ]:
             r.rules.append(_err(present & F.coalesce(cond, F.lit(False)), code))
     return r if checked_only else r.split()
@@ -208,15 +227,17 @@ def validate_subscriptions(df: DataFrame, partial: bool = False, checked_only: b
     joined_at optional and expires_at required UTC date-times; price >= 0;
     status in the enumeration."""
     r = Rules(df, partial)
-    r.number("customer_id", integer=True, required=not partial)
-    r.number("package_id", integer=True, required=not partial)
+    r.number("customer_id", integer=True, required=True)
+    r.number("package_id", integer=True, required=True)
     if _has(df, "promotion_id"):
         r.number("promotion_id", integer=True)
     if _has(df, "joined_at"):
         r.text("joined_at", datetime=True)
-    r.text("expires_at", required=not partial, datetime=True)
-    r.number("price_paid", lo=0)
+    r.text("expires_at", required=True, datetime=True)
+    r.number("price_paid", lo=0, hi=MAX_MONEY)
     r.enum("status", SUBSCRIPTION_STATUSES)
+    r.not_null("status")
+    r.not_null("joined_at")
     return r if checked_only else r.split()
 
 

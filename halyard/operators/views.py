@@ -120,7 +120,7 @@ def promotion_options(t) -> DataFrame:
 def customer_counts(t) -> DataFrame:
     """Customers per company id (partial aggregation before the shuffle)."""
     return (t["customers"].where(F.col("company_id").isNotNull())
-            .groupBy("company_id").agg(F.count(F.lit(1)).cast("int").alias("customer_count")))
+            .groupBy("company_id").agg(F.count(F.lit(1)).alias("customer_count")))
 
 
 def companies_with_counts(t) -> DataFrame:

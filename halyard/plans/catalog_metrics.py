@@ -10,24 +10,24 @@ ACTIVE_EXPIRING = ("status = 'active' AND expires_at BETWEEN {AS_OF} "
                    "AND {AS_OF} + INTERVAL '%d' DAY")
 
 METRIC_SQL = {
-    "total_customers": "SELECT CAST(count(*) AS INTEGER) AS total_customers FROM customers",
-    "active_customers": "SELECT CAST(count(*) FILTER (WHERE status = 'active') AS INTEGER) "
+    "total_customers": "SELECT CAST(count(*) AS BIGINT) AS total_customers FROM customers",
+    "active_customers": "SELECT CAST(count(*) FILTER (WHERE status = 'active') AS BIGINT) "
                         "AS active_customers FROM customers",
-    "total_companies": "SELECT CAST(count(*) AS INTEGER) AS total_companies FROM companies",
-    "active_packages_count": "SELECT CAST(count(*) FILTER (WHERE active) AS INTEGER) "
+    "total_companies": "SELECT CAST(count(*) AS BIGINT) AS total_companies FROM companies",
+    "active_packages_count": "SELECT CAST(count(*) FILTER (WHERE active) AS BIGINT) "
                              "AS active_packages_count FROM packages",
-    "active_subscriptions": "SELECT CAST(count(*) FILTER (WHERE status = 'active') AS INTEGER) "
+    "active_subscriptions": "SELECT CAST(count(*) FILTER (WHERE status = 'active') AS BIGINT) "
                             "AS active_subscriptions FROM customer_packages",
     "expiring_in_7_days": "SELECT CAST(count(*) FILTER (WHERE " + ACTIVE_EXPIRING % 7
-                          + ") AS INTEGER) AS expiring_in_7_days FROM customer_packages",
+                          + ") AS BIGINT) AS expiring_in_7_days FROM customer_packages",
     "expiring_in_30_days": "SELECT CAST(count(*) FILTER (WHERE " + ACTIVE_EXPIRING % 30
-                           + ") AS INTEGER) AS expiring_in_30_days FROM customer_packages",
-    "expired_subscriptions": "SELECT CAST(count(*) FILTER (WHERE status = 'expired') AS INTEGER) "
+                           + ") AS BIGINT) AS expiring_in_30_days FROM customer_packages",
+    "expired_subscriptions": "SELECT CAST(count(*) FILTER (WHERE status = 'expired') AS BIGINT) "
                              "AS expired_subscriptions FROM customer_packages",
     "total_revenue": "SELECT CAST(coalesce(sum(price_paid) FILTER (WHERE status = 'active'), 0) "
                      "AS DOUBLE) AS total_revenue FROM customer_packages",
     "new_customers_30d": "SELECT CAST(count(*) FILTER (WHERE created_at >= {AS_OF} - "
-                         "INTERVAL '30' DAY) AS INTEGER) AS new_customers_30d FROM customers",
+                         "INTERVAL '30' DAY) AS BIGINT) AS new_customers_30d FROM customers",
 }
 
 SOURCE = {
@@ -59,7 +59,7 @@ def _dashboard_stats(t):
 
 
 @register("customer_count", """
-SELECT co.id AS company_id, CAST(count(c.id) AS INTEGER) AS customer_count
+SELECT co.id AS company_id, CAST(count(c.id) AS BIGINT) AS customer_count
 FROM companies co LEFT JOIN customers c ON c.company_id = co.id
 GROUP BY co.id""")
 def _customer_count(t):
@@ -69,9 +69,9 @@ def _customer_count(t):
 
 @register("write_counts", """
 WITH ids AS (SELECT DISTINCT id FROM customer_changes WHERE op = 'patch')
-SELECT CAST(count(c.id) AS INTEGER) AS rows_changed,
-       CAST(count(*) - count(c.id) AS INTEGER) AS not_found,
-       CAST(0 AS INTEGER) AS rejected
+SELECT CAST(count(c.id) AS BIGINT) AS rows_changed,
+       CAST(count(*) - count(c.id) AS BIGINT) AS not_found,
+       CAST(0 AS BIGINT) AS rejected
 FROM ids LEFT JOIN customers c ON c.id = ids.id""")
 def _write_counts(t):
     """Rows changed, keys not found and rows rejected by the patch

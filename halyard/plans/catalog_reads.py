@@ -38,7 +38,7 @@ FROM promotions"""
 
 COMPANY_RECORD = """
 SELECT co.id, co.name, co.email, co.phone, co.address,
-       CAST(coalesce(n.cnt, 0) AS INTEGER) AS customer_count, co.created_at, co.updated_at
+       CAST(coalesce(n.cnt, 0) AS BIGINT) AS customer_count, co.created_at, co.updated_at
 FROM companies co
 LEFT JOIN (SELECT company_id, count(*) AS cnt FROM customers
            WHERE company_id IS NOT NULL GROUP BY company_id) n ON n.company_id = co.id"""
@@ -86,10 +86,10 @@ SEVEN = ["companies", "packages", "promotions", "package_promotions", "customers
 
 
 @register("table_scan", "\nUNION ALL\n".join(
-    f"SELECT '{n}' AS table_name, CAST(count(*) AS INTEGER) AS row_count FROM {n}" for n in SEVEN))
+    f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in SEVEN))
 def _table_scan(t):
     """The seven tables under their declared schemas, as row counts."""
-    parts = [t[n].agg(F.count(F.lit(1)).cast("int").alias("row_count"))
+    parts = [t[n].agg(F.count(F.lit(1)).alias("row_count"))
                  .select(F.lit(n).alias("table_name"), "row_count") for n in SEVEN]
     return reduce(DataFrame.unionByName, parts)
 

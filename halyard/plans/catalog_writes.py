@@ -263,14 +263,14 @@ gone_cp AS (SELECT id FROM customer_packages WHERE customer_id IN (SELECT id FRO
 cp AS (SELECT * FROM customer_packages WHERE id NOT IN (SELECT id FROM gone_cp)),
 log AS (SELECT CASE WHEN customer_package_id IN (SELECT id FROM gone_cp) THEN NULL
                     ELSE customer_package_id END AS customer_package_id FROM notification_log)
-SELECT 'customers' AS table_name, CAST(count(*) AS INTEGER) AS row_count,
-       CAST(count(*) FILTER (WHERE company_id IS NULL) AS INTEGER) AS null_refs FROM cust
+SELECT 'customers' AS table_name, CAST(count(*) AS BIGINT) AS row_count,
+       CAST(count(*) FILTER (WHERE company_id IS NULL) AS BIGINT) AS null_refs FROM cust
 UNION ALL
-SELECT 'customer_packages', CAST(count(*) AS INTEGER),
-       CAST(count(*) FILTER (WHERE promotion_id IS NULL) AS INTEGER) FROM cp
+SELECT 'customer_packages', CAST(count(*) AS BIGINT),
+       CAST(count(*) FILTER (WHERE promotion_id IS NULL) AS BIGINT) FROM cp
 UNION ALL
-SELECT 'notification_log', CAST(count(*) AS INTEGER),
-       CAST(count(*) FILTER (WHERE customer_package_id IS NULL) AS INTEGER) FROM log""")
+SELECT 'notification_log', CAST(count(*) AS BIGINT),
+       CAST(count(*) FILTER (WHERE customer_package_id IS NULL) AS BIGINT) FROM log""")
 def _delete_batch(t):
     """Delete the customers the feed deletes; subscriptions cascade,
     their log rows lose the reference. Row counts and NULL references."""
@@ -278,8 +278,8 @@ def _delete_batch(t):
     new, _outcomes = CH.delete_batch(t, "customers", dels)
     refs = {"customers": "company_id", "customer_packages": "promotion_id",
             "notification_log": "customer_package_id"}
-    parts = [new[n].agg(F.count(F.lit(1)).cast("int").alias("row_count"),
-                        F.count_if(F.col(c).isNull()).cast("int").alias("null_refs"))
+    parts = [new[n].agg(F.count(F.lit(1)).alias("row_count"),
+                        F.count_if(F.col(c).isNull()).alias("null_refs"))
                    .select(F.lit(n).alias("table_name"), "row_count", "null_refs")
              for n, c in refs.items()]
     return reduce(DataFrame.unionByName, parts)
@@ -311,13 +311,13 @@ def _reference_check(t):
 
 
 @register("unique_check", """
-SELECT 'customers.email' AS check_name, email AS key, CAST(count(*) AS INTEGER) AS n_rows,
+SELECT 'customers.email' AS check_name, email AS key, CAST(count(*) AS BIGINT) AS n_rows,
        email IN (SELECT email FROM customers) AS in_table
 FROM dirty_customers WHERE email IS NOT NULL GROUP BY email
 HAVING count(*) > 1 OR email IN (SELECT email FROM customers)
 UNION ALL
 SELECT 'package_promotions.pair', CAST(package_id AS VARCHAR) || '/' || CAST(promotion_id AS VARCHAR),
-       CAST(count(*) AS INTEGER),
+       CAST(count(*) AS BIGINT),
        (package_id, promotion_id) IN (SELECT (package_id, promotion_id) FROM package_promotions)
 FROM dirty_package_promotions GROUP BY package_id, promotion_id
 HAVING count(*) > 1
@@ -376,10 +376,10 @@ def _reminder_digest(t):
 @register("reminder_cycle", """
 WITH cand AS (""" + CANDIDATES % 7 + """),
 n AS (SELECT count(*) AS n FROM cand)
-SELECT CAST((SELECT count(*) FROM customer_packages WHERE """ + STALE + """) AS INTEGER)
+SELECT CAST((SELECT count(*) FROM customer_packages WHERE """ + STALE + """) AS BIGINT)
        AS auto_expired, n > 0 AS email_prepared,
        CASE WHEN n = 0 THEN 'nothing_expiring' END AS reason,
-       CAST(n AS INTEGER) AS recipients, 'admin@example.com' AS admin_email
+       CAST(n AS BIGINT) AS recipients, 'admin@example.com' AS admin_email
 FROM n""")
 def _reminder_cycle(t):
     """One reminder run at the default 7-day horizon, as its summary."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import re
 import tempfile
 import uuid
 
@@ -63,7 +64,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not conf_dir:
         conf_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # local-cluster is a cluster
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         conf_dir = tempfile.mkdtemp(prefix="halyard-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", conf_dir)

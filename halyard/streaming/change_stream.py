@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.operators.changes import apply_folded, fold_changes
+from halyard.operators.changes import apply_folded, fold_changes, valid_changes
 from halyard.sources import schemas as S
 from halyard.sources.fixtures import overlay
 from halyard.session import scratch_dir
@@ -44,9 +44,10 @@ def change_source(spark: SparkSession, path: str, schema=S.CUSTOMER_CHANGES,
     return reader.parquet(path)
 
 
-def fold_stream(changes: DataFrame) -> DataFrame:
-    """The folded state as a streaming aggregation."""
-    return fold_changes(changes)
+def fold_stream(changes: DataFrame, entity: str = "customers") -> DataFrame:
+    """The folded state as a streaming aggregation; patches that break a rule
+    by themselves are left out before the fold."""
+    return fold_changes(valid_changes(changes, entity))
 
 
 BUCKET = "id_bucket"
@@ -56,9 +57,13 @@ def id_bucket(buckets: int, col: str = "id") -> Column:
     return F.pmod(F.xxhash64(F.col(col)), F.lit(buckets)).cast("int")
 
 
-def read_bucketed(spark: SparkSession, target_path: str, entity: str) -> DataFrame:
-    """The current table of the bucketed layout."""
+def read_bucketed(spark: SparkSession, target_path: str, entity: str,
+                  only: list[int] | None = None) -> DataFrame:
+    """The current table of the bucketed layout, or of some of its buckets
+    (a partition filter: the other buckets are not read)."""
     df = spark.read.parquet(f"{target_path.rstrip('/')}/{entity}")
+    if only is not None:
+        df = df.where(F.col(BUCKET).isin(only))
     return S.conform(df.drop(BUCKET), S.TABLES[entity])
 
 
@@ -81,15 +86,16 @@ def _bucketed_apply(t, target_path: str, entity: str, as_of, buckets: int):
         table_path = f"{target_path.rstrip('/')}/{entity}"
         path = jvm.org.apache.hadoop.fs.Path(table_path)
         fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            (t[entity].withColumn(BUCKET, id_bucket(buckets)).write
+        # A first write that was cut short left no _SUCCESS and is made anew.
+        if not fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+            (t[entity].withColumn(BUCKET, id_bucket(buckets)).write.mode("overwrite")
              .partitionBy(BUCKET).parquet(table_path))
         # The buckets this batch touches: at most ``buckets`` numbers.
         touched = sorted(r[0] for r in batch.select(id_bucket(buckets).alias("b"))
                          .distinct().collect())
         if not touched:
             return
-        cur = read_bucketed(spark, target_path, entity).where(id_bucket(buckets).isin(touched))
+        cur = read_bucketed(spark, target_path, entity, touched)
         new, _outcomes = apply_folded(overlay(t, **{entity: cur}), batch, entity, as_of)
         staging = scratch_dir(spark, f"{entity}-bucket-batch-{batch_id}")
         new[entity].withColumn(BUCKET, id_bucket(buckets)).write.partitionBy(BUCKET) \
@@ -125,7 +131,7 @@ def apply_change_stream(changes: DataFrame, t: dict, target_path: str, checkpoin
 
     if buckets:
         apply = _bucketed_apply(t, target_path, entity, as_of, buckets)
-    writer = (fold_stream(changes).writeStream.outputMode("update")
+    writer = (fold_stream(changes, entity).writeStream.outputMode("update")
               .option("checkpointLocation", checkpoint).foreachBatch(apply))
     writer = writer.trigger(**(trigger or {"availableNow": True}))
     return writer.start()

@@ -94,3 +94,13 @@ def test_bucketed_stream_clears_an_emptied_bucket(spark, demo):
     assert sorted(r["id"] for r in final.collect()) == [1, 3, 4, 6]
     assert final.where("id = 1").first()["status"] == "churned"
     assert not os.path.exists(os.path.join(out, "customers", f"{BUCKET}=1"))
+
+
+def test_bucketed_apply_reads_only_touched_buckets(spark, demo, tmp_path):
+    from halyard.streaming.change_stream import BUCKET, id_bucket, read_bucketed
+
+    rows = demo["customers"]
+    path = str(tmp_path / "t")
+    rows.withColumn(BUCKET, id_bucket(4)).write.partitionBy(BUCKET).parquet(path + "/customers")
+    plan = read_bucketed(spark, path, "customers", [1])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: []" not in plan and BUCKET in plan.split("PartitionFilters:")[1].split("]")[0]

@@ -253,3 +253,64 @@ def test_patch_packages_and_promotions(demo, spark):
                                "id bigint, set_discount_percent boolean, discount_percent double")
     new, _ = CH.patch_batch(demo, pr, "promotions", T)
     assert new.where("id = 1").first()["discount_percent"] is None
+
+
+def _patches(spark, rows):
+    return spark.createDataFrame(rows, "seq bigint, id bigint, op string, set_email boolean, email string, "
+                                       "set_status boolean, status string, set_notes boolean, notes string")
+
+
+def test_patch_may_keep_its_own_email(spark, demo):
+    p = _patches(spark, [(1, 1, "patch", True, "alice@acme.com", False, None, True, "new")])
+    new, out = CH.patch_batch(demo, p, "customers", T)
+    assert out.first()["outcome"] == "updated"
+    assert new.where("id = 1").first()["notes"] == "new"
+    other = demo["customers"].where("id = 2").first()["email"]
+    p = _patches(spark, [(1, 1, "patch", True, other, False, None, False, None)])
+    assert CH.patch_batch(demo, p, "customers", T)[1].first()["outcome"] == "rejected"
+
+
+def test_each_patch_is_checked_by_itself(spark, demo):
+    p = _patches(spark, [(1, 1, "patch", False, None, True, "inactive", False, None),
+                         (2, 1, "patch", False, None, True, "bogus", False, None),
+                         (3, 1, "patch", False, None, False, None, True, "x" * 2001),
+                         (4, 2, "patch", False, None, True, None, False, None),
+                         (5, 3, "patch", False, None, False, None, False, None)])
+    new, out = CH.patch_batch(demo, p, "customers", T)
+    assert {r["id"]: r["outcome"] for r in out.collect()} == {1: "updated", 2: "rejected", 3: "rejected"}
+    assert new.where("id = 1").first()["status"] == "inactive"
+    assert new.where("status is null").count() == 0
+
+
+def test_several_patches_without_an_order_are_rejected(spark, demo):
+    p = _patches(spark, [(1, 1, "patch", False, None, False, None, True, "a"),
+                         (2, 1, "patch", False, None, False, None, True, "b")]).drop("seq", "op")
+    new, out = CH.patch_batch(demo, p, "customers", T)
+    assert [r["outcome"] for r in out.collect()] == ["rejected"]
+    assert new.count() == demo["customers"].count()
+
+
+def test_restricted_delete_keeps_the_patches(spark, demo):
+    ch = spark.createDataFrame([(1, 1, "patch", True, "One"), (2, 1, "delete", False, None),
+                                (3, 1, "patch", True, "Two")],
+                               "seq bigint, id bigint, op string, set_name boolean, name string")
+    new, out = CH.apply_folded(demo, CH.fold_changes(ch), "packages", T)
+    assert sorted(r["outcome"] for r in out.collect()) == ["restricted", "updated"]
+    assert new["packages"].where("id = 1").first()["name"] == "Two"
+
+
+def test_absent_column_and_oversize_number_reject_rows_not_the_batch(spark, demo):
+    rows = spark.createDataFrame([(1, "A", "B")], "row_id bigint, first_name string, last_name string")
+    new, rejected = CH.insert_batch(demo, rows, "customers", T)
+    assert new.count() == 0 and rejected.first()["errors"] == ["email:required"]
+    rows = spark.createDataFrame([(1, "big", 1e12, 30), (2, "fits", 10.0, 30)],
+                                 "row_id bigint, name string, price double, duration_days int")
+    new, rejected = CH.insert_batch(demo, rows, "packages", T)
+    assert [r["name"] for r in new.collect()] == ["fits"]
+    assert rejected.first()["errors"] == ["price:too_big"]
+
+
+def test_counts_past_the_int_range(spark):
+    from halyard.operators.metrics import company_metrics
+
+    assert company_metrics({"companies": spark.range(3_000_000_000)}).first()[0] == 3_000_000_000
