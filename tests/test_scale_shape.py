@@ -37,7 +37,6 @@ def shuffle_joins(spark, monkeypatch):
     for k, v in {**SHUFFLE_ONLY, **SKEW}.items():
         spark.conf.set(k, v)
     monkeypatch.setattr(J, "BROADCAST_MAX_ROWS", -1)
-    J._counts.clear()
     yield spark
     for k, v in old.items():
         if v is None:
