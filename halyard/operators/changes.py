@@ -138,7 +138,7 @@ def to_table_rows(valid: DataFrame, entity: str, as_of, id_col: str = "id",
 
 def insert_batch(t, rows: DataFrame, entity: str, as_of, order_by: str = "row_id"):
     """Validate, check parents and unique keys, apply defaults and
-    number the new rows after the table's largest id (W3).
+    number the new rows after the last id issued (W3).
     Returns ``(inserted, rejected)``; ``rejected`` keeps ``errors``."""
     table = t[entity]
     small = is_small(rows)      # one count bounds every key set of the batch
@@ -148,7 +148,7 @@ def insert_batch(t, rows: DataFrame, entity: str, as_of, order_by: str = "row_id
     checked = _flag_unique(checked, table, entity, order_by, cols, small, rows)
     valid, rejected = _split(checked)
     new = to_table_rows(valid, entity, as_of)
-    new = assign_ids(new, next_id(table), [order_by], small=small)
+    new = assign_ids(new, next_id(t, entity), [order_by])
     return new.select(order_by, *S.TABLES[entity].fieldNames()), rejected
 
 
@@ -170,10 +170,10 @@ def create_with_subscription(t, rows: DataFrame, as_of, order_by: str = "row_id"
                            rows)
     valid, rejected = _split(checked)
     # One numbered batch of customers carries the nested subscription, and
-    # the subscriptions are numbered from it (from its written table when
-    # the batch is large), so both share the customer ids.
+    # the subscriptions are numbered from its written table, so both share
+    # the customer ids.
     numbered = to_table_rows(valid, "customers", as_of, keep=["subscription"])
-    numbered = assign_ids(numbered, next_id(t["customers"]), [order_by], small=small)
+    numbered = assign_ids(numbered, next_id(t, "customers"), [order_by])
     customers = numbered.select(order_by, *S.CUSTOMERS.fieldNames())
     subs_req = numbered.where(sub.isNotNull()).select(
         order_by, F.col("id").alias("customer_id"),
@@ -181,7 +181,7 @@ def create_with_subscription(t, rows: DataFrame, as_of, order_by: str = "row_id"
         sub["joined_at"].alias("joined_at"), sub["expires_at"].alias("expires_at"),
         sub["price_paid"].alias("price_paid"))
     subs = to_table_rows(subs_req, "customer_packages", as_of)
-    subs = assign_ids(subs, next_id(t["customer_packages"]), [order_by], small=small)
+    subs = assign_ids(subs, next_id(t, "customer_packages"), [order_by])
     subs = subs.select(order_by, *S.CUSTOMER_PACKAGES.fieldNames())
     return customers, subs, rejected
 
@@ -197,7 +197,8 @@ def fold_changes(changes: DataFrame, key: str = "id", seq: str = "seq") -> DataF
     latest set value by ``seq`` (an explicit NULL counts as set) and whether
     any patch set it; whether the key was deleted (a delete is final, so any
     patch of a deleted key finds no row), the sequence of its first delete,
-    its last sequence and its number of patches. All aggregates combine
+    its last sequence and its numbers of patches and of rejected ones (op
+    ``invalid``, see ``marked_changes``). All aggregates combine
     map-side, so a key with a third of all changes is one partial row per
     task; the same expression runs as a streaming aggregation (W11)."""
     fields = patch_fields(changes)
@@ -211,17 +212,18 @@ def fold_changes(changes: DataFrame, key: str = "id", seq: str = "seq") -> DataF
     aggs += [F.coalesce(F.bool_or(is_delete), F.lit(False)).alias("deleted"),
              F.min(F.when(is_delete, F.col(seq))).alias("delete_seq"),
              F.max(F.col(seq)).alias("last_seq"),
-             F.count_if(is_patch).alias("patches")]
+             F.count_if(is_patch).alias("patches"),
+             F.count_if(F.col("op") == "invalid").alias("rejected")]
     return changes.groupBy(key).agg(*aggs)
 
 
 # -- W5 -----------------------------------------------------------------------------
 
-def valid_changes(changes: DataFrame, entity: str, t=None, small: bool | None = None) -> DataFrame:
-    """``changes`` without the patches that set nothing or break a rule, and,
-    with tables ``t``, without those whose new parent does not exist. A
-    projection and a filter (``t`` adds lookups), so it also runs on a stream.
-    Rows of another ``op`` pass."""
+def marked_changes(changes: DataFrame, entity: str, t=None, small: bool | None = None) -> DataFrame:
+    """``changes`` with the op of each patch that sets nothing or breaks a
+    rule, or with tables ``t`` names a parent that does not exist, turned
+    into ``invalid``. A projection (``t`` adds lookups), so it also runs on a
+    stream."""
     fields = [f for f in patch_fields(changes) if f in S.WRITABLE[entity]]
     any_set = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"set_{f}"), F.lit(False))
                                           for f in fields], F.lit(False))
@@ -229,10 +231,13 @@ def valid_changes(changes: DataFrame, entity: str, t=None, small: bool | None =
     if t is not None:
         checked = _flag_missing_parents(checked, t, entity, {
             f: F.when(F.col(f"set_{f}"), F.col(f)) for f in fields}, small, changes)
-    ok = any_set & (F.size("errors") == 0)
-    if "op" in changes.columns:
-        ok = ok | (F.col("op") != "patch")
-    return checked.where(ok).drop("errors")
+    bad = (F.col("op") == "patch") & ~(any_set & (F.size("errors") == 0))
+    return checked.withColumn("op", F.when(bad, F.lit("invalid")).otherwise(F.col("op"))).drop("errors")
+
+
+def valid_changes(changes: DataFrame, entity: str, t=None, small: bool | None = None) -> DataFrame:
+    """``changes`` without the patches that ``marked_changes`` finds invalid."""
+    return marked_changes(changes, entity, t, small).where(F.col("op") != "invalid")
 
 
 def patch_batch(t, patches: DataFrame, entity: str, as_of, small: bool | None = None):
@@ -392,10 +397,31 @@ def delete_batch(t, entity: str, keys: DataFrame, key: str = "id", small: bool |
     return new, outcomes
 
 
+def reached_rows(t, entity: str, gone: DataFrame) -> dict[str, DataFrame]:
+    """The ids of the rows in other tables that deleting ``gone`` (ids of
+    ``entity``) removes or changes, by table; a table comes after those
+    through which it is reached."""
+    out: dict[str, DataFrame] = {}
+
+    def walk(parent: str, ids: DataFrame) -> None:
+        for child, col, p, rule in S.FOREIGN_KEYS:
+            if p != parent or rule == "restrict" or child not in t:
+                continue
+            hit = t[child].join(ids.select(F.col("id").alias("__gone")),
+                                F.col(col) == F.col("__gone"), "left_semi").select("id")
+            before = out.pop(child, None)
+            out[child] = hit if before is None else before.unionByName(hit)
+            if rule == "cascade":
+                walk(child, hit)
+    walk(entity, gone)
+    return out
+
+
 def apply_folded(t, folded: DataFrame, entity: str, as_of):
     """W11's final step: deletes from the fold (W6), then the folded patches
     of the ids that were not deleted (W5); a restricted delete changes
-    nothing, so the patches of its id apply. Returns ``(new_tables, outcomes)``."""
+    nothing, so the patches of its id apply. An id whose patches were all
+    invalid is rejected. Returns ``(new_tables, outcomes)``."""
     small = is_small(folded)    # one count bounds the deletes and the patches
     dels = folded.where(F.col("deleted")).select("id")
     new, del_out = delete_batch(t, entity, dels, small=small)
@@ -403,9 +429,11 @@ def apply_folded(t, folded: DataFrame, entity: str, as_of):
     patch = (folded.where(F.col("patches") > 0)
              .join(small_side(gone, small=small), F.col("id") == F.col("__gid"), "left_anti"))
     new_tbl, patch_out = patch_batch(new, patch.drop("deleted", "delete_seq", "last_seq",
-                                                     "patches"), entity, as_of, small=small)
+                                                     "patches", "rejected"), entity, as_of, small=small)
     new[entity] = new_tbl
-    return new, del_out.unionByName(patch_out)
+    refused = folded.where(~F.col("deleted") & (F.col("patches") == 0) & (F.col("rejected") > 0))
+    return new, (del_out.unionByName(patch_out)
+                 .unionByName(refused.select("id", F.lit("rejected").alias("outcome"))))
 
 
 # -- J6 -----------------------------------------------------------------------------
@@ -446,5 +474,5 @@ def assign_if_none(t, requests: DataFrame, as_of, any_status: bool = False,
         order_by, "customer_id", "package_id", "promotion_id", "joined_at", "expires_at",
         F.col("price_paid").cast("decimal(10,2)").alias("price_paid"), "status",
         ts.alias("created_at"), ts.alias("updated_at"))
-    rows = assign_ids(rows, next_id(cp), [order_by], small=small)
+    rows = assign_ids(rows, next_id(t, "customer_packages"), [order_by])
     return rows.select(order_by, *S.CUSTOMER_PACKAGES.fieldNames())

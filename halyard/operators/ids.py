@@ -11,7 +11,7 @@ a lost executor reads the same rows and positions, so ids never change.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.session import scratch_dir
@@ -24,44 +24,47 @@ def _cols(order_by) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in items]
 
 
-def next_id(table: DataFrame, id_col: str = "id") -> int:
+def largest_id(table: DataFrame, id_col: str = "id") -> int:
     """The largest id of ``table`` (0 when empty): one scalar to the driver."""
     row = table.agg(F.max(id_col).alias("m")).first()
     return int(row["m"] or 0)
 
 
-# A batch of at most this many rows (counted) is numbered in one task.
-SINGLE_TASK_MAX_ROWS = 1_000_000
+# (table_name, last_id): the last id issued in each table, as ``load_tables``
+# reads it from the table versions.
+ID_SEQUENCES = "id_sequences"
+
+
+def next_id(t, entity: str) -> int:
+    """The last id issued in table ``entity``; new ids follow it. It comes
+    from the sequences kept with the table versions, so the id of a deleted
+    row is not issued again and the table is not read. Tables without a
+    sequence (plain DataFrames) fall back to their largest id."""
+    if ID_SEQUENCES in t:
+        row = t[ID_SEQUENCES].where(F.col("table_name") == entity).select("last_id").first()
+        if row is not None:
+            return int(row["last_id"])
+    return largest_id(t[entity])
 
 
 def assign_ids(rows: DataFrame, start: int, order_by, id_col: str = "id",
-               partitions: int | None = None, small: bool | None = None) -> DataFrame:
+               partitions: int | None = None) -> DataFrame:
     """Number ``rows`` ``start + 1, start + 2, ...`` in the order of
     ``order_by``, which must be unique (end it with a request key).
 
-    Equal to ``start + row_number() OVER (ORDER BY order_by)``. A batch
-    under ``SINGLE_TASK_MAX_ROWS`` (``small``, counted when not given) is
-    numbered exactly that way, in one task: the order is total, so a
-    recomputation gives the same ids. A larger batch is numbered with every
-    step partitioned: the sort is a range shuffle, the numbering is per
-    partition, and only the partition counts are combined in one place.
-    ``partitions`` forces the partitioned way with that many partitions.
+    Equal to ``start + row_number() OVER (ORDER BY order_by)`` at every size:
+    the sort is a range shuffle, the numbering is per partition, and only the
+    partition counts are combined in one place. AQE merges the partitions of
+    a small batch; ``partitions`` fixes their number instead. Runs one write
+    and one count when called.
     """
     spark = rows.sparkSession
     keys = _cols(order_by)
-    if partitions is None:
-        if small is None:
-            from halyard.operators.joins import row_count
-            small = row_count(rows) <= SINGLE_TASK_MAX_ROWS
-        if small:
-            rn = F.row_number().over(Window.orderBy(*keys))
-            return rows.withColumn(id_col, (F.lit(int(start)) + rn).cast("bigint"))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (rows.repartitionByRange(max(1, n), *keys).sortWithinPartitions(*keys)
-              .withColumn("__mid", F.monotonically_increasing_id()))
+    ranged = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
+    ranged = ranged.sortWithinPartitions(*keys).withColumn("__mid", F.monotonically_increasing_id())
     path = scratch_dir(spark, "ids")
     ranged.write.parquet(path)
-    ranged = spark.read.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
     mask = (1 << POS_BITS) - 1
     ranged = (ranged.withColumn("__part", F.shiftright("__mid", POS_BITS))
                     .withColumn("__pos", F.col("__mid").bitwiseAND(F.lit(mask))))

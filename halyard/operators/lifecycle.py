@@ -161,7 +161,7 @@ def reminder_cycle(t, days, recipient: str, as_of) -> dict[str, DataFrame]:
         "header": lambda: head,
         # Numbering the log rows runs jobs; it happens only when asked for.
         "log_rows": lambda: notification_rows(candidates, recipient, days, as_of,
-                                              next_id(t["notification_log"])),
+                                              next_id(t, "notification_log")),
         "summary": lambda: summary,
     }
     return Tables(parts)

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.functions.expressions import EXPIRY_TYPE
 from halyard.functions.time import at
-from halyard.operators.ids import assign_ids, next_id
+from halyard.operators.ids import ID_SEQUENCES, assign_ids, largest_id
 from halyard.operators.integrity import all_present
 from halyard.operators.joins import present_in
 from halyard.sources import schemas as S
@@ -47,6 +47,65 @@ def latest_version(path: str, name: str, spark: SparkSession | None = None,
     return done[-1][1] if done else None
 
 
+def _file(spark: SparkSession, path: str):
+    """``(file system, path)`` of a small side file of a table or a stream."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def read_number(spark: SparkSession, path: str) -> int | None:
+    """The number a side file holds; None without the file or a whole number."""
+    fs, p = _file(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        line = stream.readLine()
+    finally:
+        stream.close()
+    return int(line) if line and line.isdigit() else None
+
+
+def write_number(spark: SparkSession, path: str, number: int) -> None:
+    fs, p = _file(spark, path)
+    stream = fs.create(p, True)
+    try:
+        stream.writeBytes(f"{number}\n")
+    finally:
+        stream.close()
+
+
+# Side file of a table version: the last id issued in the table so far.
+LAST_ID = "_LAST_ID"
+
+
+def last_issued_id(spark: SparkSession, path: str, name: str, below: int | None = None) -> int | None:
+    """The last id issued in a versioned table, up to its newest complete
+    version (below ``below``); None without a version. A version whose side
+    file is missing (its writer was lost after the rows) is read for it."""
+    least = 0
+    for v, folder, ok in reversed(_versions(spark, path, name)):
+        if not ok or (below is not None and v >= below):
+            continue
+        mark = read_number(spark, f"{folder}/{LAST_ID}")
+        if mark is not None:
+            return max(mark, least)
+        least = max(least, largest_id(spark.read.schema(S.TABLES[name]).parquet(folder)))
+    return least or None
+
+
+def drop_old_versions(spark: SparkSession, path: str, name: str, keep: int) -> None:
+    """Delete all but the newest ``keep`` (at least 2) complete versions and
+    what unfinished versions older than those left. Readers of an older
+    version fail, so keep as many as a reader may still hold."""
+    found = _versions(spark, path, name)
+    done = [v for v, _p, ok in found if ok][-max(2, keep):]
+    for v, folder, _ok in found:
+        if done and v < done[0]:
+            fs, p = _file(spark, folder)
+            fs.delete(p, True)
+
+
 def load_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet",
                options: dict | None = None) -> DataFrame:
     """One table with its declared schema (never inferred). A table
@@ -63,8 +122,16 @@ def load_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet",
 
 def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",
                 options: dict | None = None) -> dict[str, DataFrame]:
-    """The seven tables under ``path`` (one folder each)."""
-    return {name: load_table(spark, path, name, fmt, options) for name in S.TABLES}
+    """The seven tables under ``path`` (one folder each). Where tables
+    have versions, ``id_sequences`` (table_name, last_id) is added: new ids
+    follow these."""
+    t = {name: load_table(spark, path, name, fmt, options) for name in S.TABLES}
+    if fmt != "jdbc":
+        last = [(name, last_issued_id(spark, path, name)) for name in S.TABLES]
+        last = [(name, n) for name, n in last if n is not None]
+        if last:
+            t[ID_SEQUENCES] = spark.createDataFrame(last, "table_name string, last_id bigint")
+    return t
 
 
 def write_table(df: DataFrame, path: str, name: str, version: int | str,
@@ -75,14 +142,25 @@ def write_table(df: DataFrame, path: str, name: str, version: int | str,
     ``partition_by`` lays the table out in folders (e.g. subscriptions by
     ``status``, so expiry scans read only active rows); ``sort_by`` sorts
     each file (e.g. by ``expires_at``) so parquet row-group statistics let
-    a horizon filter skip most of it. Neither changes the rows."""
+    a horizon filter skip most of it. Neither changes the rows.
+
+    The last id issued is kept beside the rows: the largest of this version
+    (observed while it is written) and of the versions before it."""
+    spark = df.sparkSession
     target = os.path.join(path, name, f"v={version}")
+    seen = Observation()
+    numbered = name in S.TABLES and "id" in df.columns and str(version).isdigit()
+    if numbered:
+        df = df.observe(seen, F.max("id").alias("last_id"))
     if sort_by:
         df = df.sortWithinPartitions(*sort_by)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(target)
+    if numbered:
+        before = last_issued_id(spark, path, name, below=int(version)) or 0
+        write_number(spark, f"{target}/{LAST_ID}", max(before, seen.get.get("last_id") or 0))
     return target
 
 
@@ -114,9 +192,11 @@ def notification_rows(candidates: DataFrame, recipient: str, days, as_of,
 
 
 def notification_append(log: DataFrame, candidates: DataFrame, recipient: str, days,
-                        as_of) -> DataFrame:
-    """S5 on a table: the log after appending the new rows."""
-    new = notification_rows(candidates, recipient, days, as_of, next_id(log))
+                        as_of, last_id: int | None = None) -> DataFrame:
+    """S5 on a table: the log after appending the new rows, numbered after
+    ``last_id`` (default: the largest id of the log)."""
+    start = largest_id(log) if last_id is None else last_id
+    new = notification_rows(candidates, recipient, days, as_of, start)
     return log.unionByName(new)
 
 
@@ -135,12 +215,13 @@ def first_per_key(rows: DataFrame, on: list[str], order_by: str) -> DataFrame:
 
 
 def insert_if_absent(existing: DataFrame, new: DataFrame, on: list[str],
-                     order_by: str, id_col: str = "id") -> DataFrame:
+                     order_by: str, id_col: str = "id", last_id: int | None = None) -> DataFrame:
     """Rows of ``new`` whose natural key is absent from ``existing`` (the
-    first by ``order_by`` when the batch repeats a key), numbered after the
-    table's largest id."""
+    first by ``order_by`` when the batch repeats a key), numbered after
+    ``last_id`` (default: the table's largest id)."""
     # The keys of the batch the table holds (through the broadcast batch keys
     # when the batch is under the bound: the table is read, not shuffled).
     held = present_in(new, existing.select(*on).where(all_present(on)), on)
     fresh = first_per_key(new, on, order_by).join(held, on, "left_anti")
-    return assign_ids(fresh, next_id(existing, id_col), [order_by], id_col)
+    start = largest_id(existing, id_col) if last_id is None else last_id
+    return assign_ids(fresh, start, [order_by], id_col)

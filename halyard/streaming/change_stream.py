@@ -12,15 +12,18 @@ Two ways to consume it:
 * ``fold_stream(...)`` returns the streaming DataFrame (``update`` or
   ``complete`` output mode) for any sink;
 * ``apply_change_stream(...)`` runs it with ``foreachBatch``: each micro-batch
-  of folded ids is applied to the target table (W6 then W5) and written as
-  version ``batch_id`` of the target, so a retried batch rewrites the same
-  folder (idempotent on ``batch_id``);
+  of folded ids is applied (W6 then W5). The entity, every table that its
+  deletes reach (cascaded or nulled rows) and the outcomes are written as one
+  version each, above all versions found when the stream first started; a
+  retried batch rewrites the same folders (idempotent on ``batch_id``);
 * ``apply_change_stream(..., buckets=N)`` is the layout for large targets:
-  the table is partitioned by a hash bucket of the id, and a micro-batch
-  reads and rewrites only the buckets its ids fall in (dynamic partition
-  overwrite of contents staged under the checkpoint folder). The folded
-  rows are absolute states, so re-applying a batch after a failure gives the
-  same buckets. Readers may see a batch half applied: it is not atomic.
+  the tables are partitioned by a hash bucket of the id, and a micro-batch
+  reads and rewrites only the buckets its rows fall in (dynamic partition
+  overwrite of contents staged under the checkpoint folder). Children are
+  written before the entity, so a batch cut short finds its deletes again.
+  The folded rows are absolute states, so re-applying a batch after a failure
+  gives the same buckets. Readers may see a batch half applied: it is not
+  atomic. Unique keys are checked within the touched buckets only.
 """
 
 from __future__ import annotations
@@ -28,11 +31,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.operators.changes import apply_folded, fold_changes, valid_changes
+from halyard.operators.changes import apply_folded, fold_changes, marked_changes, reached_rows
 from halyard.sources import schemas as S
 from halyard.sources.fixtures import overlay
 from halyard.session import scratch_dir
-from halyard.sources.tables import latest_version, write_table
+from halyard.sources.tables import (_versions, drop_old_versions, latest_version, read_number,
+                                    write_number, write_table)
 
 
 def change_source(spark: SparkSession, path: str, schema=S.CUSTOMER_CHANGES,
@@ -46,8 +50,27 @@ def change_source(spark: SparkSession, path: str, schema=S.CUSTOMER_CHANGES,
 
 def fold_stream(changes: DataFrame, entity: str = "customers") -> DataFrame:
     """The folded state as a streaming aggregation; patches that break a rule
-    by themselves are left out before the fold."""
-    return fold_changes(valid_changes(changes, entity))
+    by themselves take no part in the fold and are counted as rejected."""
+    return fold_changes(marked_changes(changes, entity))
+
+
+def reached_tables(entity: str) -> list[str]:
+    """The tables that deletes of ``entity`` may change, by the foreign keys."""
+    out: list[str] = []
+
+    def walk(parent: str) -> None:
+        for child, _col, p, rule in S.FOREIGN_KEYS:
+            if p == parent and rule != "restrict":
+                if child not in out:
+                    out.append(child)
+                if rule == "cascade":
+                    walk(child)
+    walk(entity)
+    return out
+
+
+def outcome_table(entity: str) -> str:
+    return f"{entity}_outcomes"
 
 
 BUCKET = "id_bucket"
@@ -78,59 +101,108 @@ def _pin(batch: DataFrame, batch_id: int) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _bucketed_apply(t, target_path: str, entity: str, as_of, buckets: int):
+def _bucketed_apply(t, target_path: str, entity: str, as_of, buckets: int, first: int):
     def apply(batch: DataFrame, batch_id: int) -> None:
         batch = _pin(batch, batch_id)
         spark = batch.sparkSession
         jvm = spark.sparkContext._jvm
-        table_path = f"{target_path.rstrip('/')}/{entity}"
-        path = jvm.org.apache.hadoop.fs.Path(table_path)
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        # A first write that was cut short left no _SUCCESS and is made anew.
-        if not fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
-            (t[entity].withColumn(BUCKET, id_bucket(buckets)).write.mode("overwrite")
-             .partitionBy(BUCKET).parquet(table_path))
-        # The buckets this batch touches: at most ``buckets`` numbers.
-        touched = sorted(r[0] for r in batch.select(id_bucket(buckets).alias("b"))
-                         .distinct().collect())
-        if not touched:
+        root = jvm.org.apache.hadoop.fs.Path(target_path)
+        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+        def start(name: str) -> None:
+            # A first write that was cut short left no _SUCCESS and is made anew.
+            path = f"{target_path.rstrip('/')}/{name}"
+            if not fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+                (t[name].withColumn(BUCKET, id_bucket(buckets)).write.mode("overwrite")
+                 .partitionBy(BUCKET).parquet(path))
+
+        def buckets_of(ids: DataFrame) -> list[int]:
+            # At most ``buckets`` numbers.
+            return sorted(r[0] for r in ids.select(id_bucket(buckets).alias("b")).distinct().collect())
+
+        start(entity)
+        touched = {entity: buckets_of(batch)}
+        if not touched[entity]:
             return
-        cur = read_bucketed(spark, target_path, entity, touched)
-        new, _outcomes = apply_folded(overlay(t, **{entity: cur}), batch, entity, as_of)
-        staging = scratch_dir(spark, f"{entity}-bucket-batch-{batch_id}")
-        new[entity].withColumn(BUCKET, id_bucket(buckets)).write.partitionBy(BUCKET) \
-            .parquet(staging)
-        staged = spark.read.parquet(staging)
-        (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(BUCKET).parquet(table_path))
-        kept = {r[0] for r in staged.select(BUCKET).distinct().collect()}
-        for b in set(touched) - kept:    # a bucket whose rows were all deleted
-            fs.delete(jvm.org.apache.hadoop.fs.Path(path, f"{BUCKET}={b}"), True)
+        cur = overlay(t, **{entity: read_bucketed(spark, target_path, entity, touched[entity])})
+        gone = cur[entity].join(batch.where("deleted").select("id"), "id", "left_semi").select("id")
+        reached = [c for c in reached_tables(entity) if c in t]
+        if reached and gone.take(1):
+            for name in reached:
+                start(name)
+            whole = overlay(cur, **{n: read_bucketed(spark, target_path, n) for n in reached})
+            for name, ids in reached_rows(whole, entity, gone).items():
+                touched[name] = buckets_of(ids)
+            cur = overlay(cur, **{n: read_bucketed(spark, target_path, n, touched[n])
+                                  for n in reached if n in touched})
+        new, outcomes = apply_folded(cur, batch, entity, as_of)
+        write_table(outcomes, target_path, outcome_table(entity), first + batch_id)
+        staged = {}
+        for name, hit in touched.items():
+            if hit:
+                staging = scratch_dir(spark, f"{name}-bucket-batch-{batch_id}")
+                rows = new[name].withColumn(BUCKET, id_bucket(buckets))
+                rows.write.partitionBy(BUCKET).parquet(staging)
+                staged[name] = spark.read.schema(rows.schema).parquet(staging)    # may hold no row
+        # Last come the tables that the others are found through, the entity at the end.
+        for name in reversed(staged):
+            rows = staged[name]
+            path = f"{target_path.rstrip('/')}/{name}"
+            (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy(BUCKET).parquet(path))
+            kept = {r[0] for r in rows.select(BUCKET).distinct().collect()}
+            for b in set(touched[name]) - kept:    # a bucket whose rows were all deleted
+                fs.delete(jvm.org.apache.hadoop.fs.Path(path, f"{BUCKET}={b}"), True)
     return apply
 
 
+def _first_version(spark: SparkSession, target_path: str, checkpoint: str, names: list[str]) -> int:
+    """The version of batch 0: above every version there was when the stream
+    first started, kept beside the checkpoint for restarts."""
+    path = f"{checkpoint.rstrip('/')}-first-version"
+    first = read_number(spark, path)
+    if first is None:
+        first = 1 + max((v for n in names for v, _p, _ok in _versions(spark, target_path, n)), default=-1)
+        write_number(spark, path, first)
+    return first
+
+
 def apply_change_stream(changes: DataFrame, t: dict, target_path: str, checkpoint: str,
                         as_of, entity: str = "customers", trigger: dict | None = None,
-                        buckets: int | None = None):
-    """Run the fold and apply each micro-batch to ``entity``. The table of
-    the previous batch is read back from ``target_path``; the first batch
-    starts from ``t[entity]``. With ``buckets`` the bucketed layout is used
-    (read it with ``read_bucketed``). Returns the started query."""
+                        buckets: int | None = None, keep_versions: int | None = None):
+    """Run the fold and apply each micro-batch to ``entity`` and the tables
+    its deletes reach. A table of the previous batch is read back from
+    ``target_path``; where there is none yet, ``t`` has it. Each batch also
+    writes (id, outcome) as a version of ``outcome_table(entity)``. With
+    ``buckets`` the bucketed layout is used (read it with ``read_bucketed``);
+    a table that no delete reached is not written. ``keep_versions`` deletes
+    all but so many complete versions of the tables after each batch (at
+    least 2; outcomes stay). Returns the started query."""
     spark = changes.sparkSession
+    names = [entity, *reached_tables(entity)]
+    first = _first_version(spark, target_path, checkpoint, [*names, outcome_table(entity)])
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         batch = _pin(batch, batch_id)
         # Start from the newest version written by an earlier batch; a
         # retried batch ignores its own partial or complete output.
-        prev = latest_version(target_path, entity, spark, below=batch_id)
+        version = first + batch_id
         cur = overlay(t)
-        if prev is not None:
-            cur[entity] = spark.read.schema(S.TABLES[entity]).parquet(prev)
-        new, _outcomes = apply_folded(cur, batch, entity, as_of)
-        write_table(new[entity], target_path, entity, batch_id)
+        for name in names:
+            prev = latest_version(target_path, name, spark, below=version)
+            if prev is not None:
+                cur[name] = spark.read.schema(S.TABLES[name]).parquet(prev)
+        new, outcomes = apply_folded(cur, batch, entity, as_of)
+        write_table(outcomes, target_path, outcome_table(entity), version)
+        changed = names if batch.where("deleted").take(1) else [entity]
+        for name in changed:
+            if name in cur:
+                write_table(new[name], target_path, name, version)
+                if keep_versions:
+                    drop_old_versions(spark, target_path, name, keep_versions)
 
     if buckets:
-        apply = _bucketed_apply(t, target_path, entity, as_of, buckets)
+        apply = _bucketed_apply(t, target_path, entity, as_of, buckets, first)
     writer = (fold_stream(changes, entity).writeStream.outputMode("update")
               .option("checkpointLocation", checkpoint).foreachBatch(apply))
     writer = writer.trigger(**(trigger or {"availableNow": True}))

@@ -2,6 +2,9 @@
 broadcast behind their bound, metrics read each table once, hot keys are
 combined before the shuffle."""
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from halyard.operators import lifecycle as L
 from halyard.operators import metrics as M
 from halyard.operators import views as V
@@ -66,9 +69,13 @@ def test_ids_use_range_partitioning(spark):
     # the partition counts (one row per partition) meet in one place.
     p = big._jdf.queryExecution().executedPlan().toString()
     assert "FileScan parquet" in p and "SinglePartition" not in p and "Window" not in p
-    small = assign_ids(cp, 0, ["expires_at", "id"], small=True, id_col="seq")
+    by_default = assign_ids(cp, 0, ["expires_at", "id"], id_col="seq")
+    p = by_default._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in p and "Window" not in p
+    want = cp.withColumn("seq", F.row_number().over(Window.orderBy("expires_at", "id")).cast("bigint"))
     assert big.count() == 15000
-    assert big.exceptAll(small.select(big.columns)).count() == 0
+    assert big.exceptAll(want.select(big.columns)).count() == 0
+    assert by_default.exceptAll(want.select(by_default.columns)).count() == 0
 
 
 def test_small_batches_do_not_shuffle_the_table(spark):

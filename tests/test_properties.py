@@ -102,7 +102,7 @@ def test_assign_ids_equal_row_number(spark, keys, partitions, start):
     want = df.select("k", "seq", (F.row_number().over(Window.orderBy("k", "seq")) + start)
                      .cast("bigint").alias("id"))
     for got in (assign_ids(df, start, ["k", "seq"], partitions=partitions),
-                assign_ids(df, start, ["k", "seq"], small=True)):
+                assign_ids(df, start, ["k", "seq"])):
         assert sorted(map(tuple, got.select("k", "seq", "id").collect())) == \
             sorted(map(tuple, want.collect()))
 

@@ -104,3 +104,54 @@ def test_bucketed_apply_reads_only_touched_buckets(spark, demo, tmp_path):
     rows.withColumn(BUCKET, id_bucket(4)).write.partitionBy(BUCKET).parquet(path + "/customers")
     plan = read_bucketed(spark, path, "customers", [1])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: []" not in plan and BUCKET in plan.split("PartitionFilters:")[1].split("]")[0]
+
+
+def _run_deletes(spark, demo, tmp_path, **options):
+    """Customer 1 deleted, 3 patched, 4 patched with an unknown status."""
+    rows = [(1, None, 1, "delete", False, None, False, None),
+            (2, None, 3, "patch", True, "churned", False, None),
+            (3, None, 4, "patch", True, "bogus", False, None)]
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    _write_files(spark.createDataFrame(rows, S.CUSTOMER_CHANGES), src, 1)
+    q = apply_change_stream(change_source(spark, src), demo, out, str(tmp_path / "ckpt"), T, **options)
+    q.awaitTermination(300)
+    assert q.exception() is None
+    return out
+
+
+def _check_children(demo, subs, log):
+    gone = {r["id"] for r in demo["customer_packages"].where("customer_id = 1").collect()}
+    assert gone
+    assert sorted(r["id"] for r in subs.collect()) == sorted(
+        r["id"] for r in demo["customer_packages"].where("customer_id <> 1").collect())
+    want = ((r["id"], None if r["customer_id"] == 1 else r["customer_id"],
+             None if r["customer_package_id"] in gone else r["customer_package_id"])
+            for r in demo["notification_log"].collect())
+    want = sorted(want, key=lambda x: x[0])
+    assert sorted(((r["id"], r["customer_id"], r["customer_package_id"]) for r in log.collect()),
+                  key=lambda x: x[0]) == want
+
+
+def test_streamed_delete_reaches_the_children(spark, demo, tmp_path):
+    from halyard.sources import tables as TB
+    # An older, higher version than batch 0 must not go on being served.
+    out = str(tmp_path / "out")
+    TB.write_table(demo["customers"], out, "customers", 7)
+    assert _run_deletes(spark, demo, tmp_path) == out
+    read = lambda n: spark.read.parquet(latest_version(out, n))
+    assert latest_version(out, "customers").endswith("v=8")
+    assert sorted(r["id"] for r in read("customers").collect()) == [2, 3, 4, 5, 6]
+    _check_children(demo, read("customer_packages"), read("notification_log"))
+    assert sorted(tuple(r) for r in read("customers_outcomes").collect()) == [
+        (1, "deleted"), (3, "updated"), (4, "rejected")]
+    assert TB.last_issued_id(spark, out, "customers") == 6
+
+
+def test_streamed_delete_reaches_the_children_bucketed(spark, demo, tmp_path):
+    from halyard.streaming.change_stream import read_bucketed
+    out = _run_deletes(spark, demo, tmp_path, buckets=4)
+    assert sorted(r["id"] for r in read_bucketed(spark, out, "customers").collect()) == [2, 3, 4, 5, 6]
+    _check_children(demo, read_bucketed(spark, out, "customer_packages"),
+                    read_bucketed(spark, out, "notification_log"))
+    assert sorted(tuple(r) for r in spark.read.parquet(latest_version(out, "customers_outcomes")).collect()) == [
+        (1, "deleted"), (3, "updated"), (4, "rejected")]

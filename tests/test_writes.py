@@ -8,6 +8,7 @@ from halyard.operators import changes as CH
 from halyard.operators import integrity as I
 from halyard.operators import validation as VAL
 from halyard.operators.ids import assign_ids
+from halyard.sources import schemas as S
 from halyard.sources import tables as TB
 from tests.demo_rows import T
 
@@ -314,3 +315,27 @@ def test_counts_past_the_int_range(spark):
     from halyard.operators.metrics import company_metrics
 
     assert company_metrics({"companies": spark.range(3_000_000_000)}).first()[0] == 3_000_000_000
+
+
+def test_ids_of_deleted_rows_are_not_issued_again(spark, demo, tmp_path):
+    """The top customer deleted and the table written: a new customer gets a
+    fresh id, also after a version whose side file was lost."""
+    import os
+    from halyard.operators.ids import next_id
+    base = str(tmp_path)
+    for name in S.TABLES:
+        TB.write_table(demo[name], base, name, 1)
+    kept = demo["customers"].where("id < 6")
+    TB.write_table(kept, base, "customers", 2)
+    t = TB.load_tables(spark, base)
+    assert t["customers"].agg({"id": "max"}).first()[0] == 5
+    assert next_id(t, "customers") == 6
+    assert next_id(t, "companies") == demo["companies"].agg({"id": "max"}).first()[0]
+    os.remove(os.path.join(base, "customers", "v=2", TB.LAST_ID))
+    assert TB.last_issued_id(spark, base, "customers") == 6
+    TB.write_table(kept.where("false"), base, "customers", 3)
+    assert TB.last_issued_id(spark, base, "customers") == 6
+    TB.write_table(kept, base, "customers", 4)
+    TB.drop_old_versions(spark, base, "customers", 2)
+    assert sorted(os.listdir(os.path.join(base, "customers"))) == ["v=3", "v=4"]
+    assert TB.load_tables(spark, base)["customers"].count() == 5
