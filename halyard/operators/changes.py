@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from halyard.functions.time import at
 from halyard.operators.ids import assign_ids, next_id
 from halyard.operators.integrity import all_present
-from halyard.operators.joins import is_small, present_in, small_side
+from halyard.operators.joins import is_small, present_in, small_side, spread_nulls
 from halyard.operators.validation import VALIDATORS, parse_utc_datetime
 from halyard.sources import schemas as S
 from halyard.sources.fixtures import Tables
@@ -352,7 +352,7 @@ def _cascade(builders: dict, base, parent: str, removed, small: bool | None = No
             def nulled(prev=prev, gone=gone, col=col, g_col=g_col):
                 tbl = prev()
                 g = gone().withColumn(f"__hit_{col}", F.lit(True))
-                j = tbl.join(g, tbl[col] == g[g_col], "left")
+                j = tbl.join(g, spread_nulls(tbl[col], tbl["id"]) == g[g_col], "left")
                 return j.select([
                     F.when(F.col(f"__hit_{col}"), F.lit(None).cast(f.dataType))
                      .otherwise(F.col(f.name)).alias(f.name) if f.name == col

@@ -1,19 +1,31 @@
-"""Join helpers: a broadcast that is taken only behind a counted size bound.
+"""Join helpers: a broadcast that is taken only behind a measured size bound.
 
-A dimension is broadcast only when its source table has at most
-``BROADCAST_MAX_ROWS`` rows (counted anew for each plan: a parquet count
-reads only file footers). Beyond the bound the join stays a shuffle
-join, and AQE may still turn it into a broadcast from the measured shuffle
-size, or split skewed partitions.
+A side is broadcast only when the table it comes from has at most
+``BROADCAST_MAX_ROWS`` rows and its own columns hold at most
+``BROADCAST_MAX_BYTES``, both taken anew for each plan: the rows from the
+file footers of a parquet table, the bytes by one aggregate that is run only
+under the row bound, and only where a column's width varies. Beyond the
+bounds the join stays a shuffle join, and AQE may still turn it into a
+broadcast from the measured shuffle size, or split skewed partitions.
+
+Measuring runs jobs while the plan is built.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# About 1M rows of a narrow projection (id, name) is well under 100 MB.
 BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_BYTES = 64 << 20
+
+FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.NullType)
+# Bytes of a row and of each of its values besides what a text holds.
+ROW_BYTES, VALUE_BYTES = 16, 16
+
 
 def row_count(df: DataFrame) -> int:
     """Row count of ``df`` as it is now: a table that grew past the bound
@@ -21,23 +33,53 @@ def row_count(df: DataFrame) -> int:
     return df.count()
 
 
+def _varying_bytes(df: DataFrame) -> Column | None:
+    """The bytes of a row's texts, arrays and structs (these by their text
+    form); None when every column has a fixed width."""
+    parts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`") if isinstance(f.dataType, (T.StringType, T.BinaryType))
+                                       else F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(0)).cast("bigint")
+             for f in df.schema if not isinstance(f.dataType, FIXED_WIDTH)]
+    return reduce(lambda x, y: x + y, parts) if parts else None
+
+
+def measured_bytes(df: DataFrame, rows: int | None = None) -> int:
+    """About the bytes that ``df`` holds, by one aggregate; with ``rows``, a
+    bound of its rows, frames of fixed width need none."""
+    each = ROW_BYTES + VALUE_BYTES * len(df.columns)
+    varying = _varying_bytes(df)
+    if varying is None and rows is not None:
+        return rows * each
+    got = df.agg(F.count(F.lit(1)).alias("n"),
+                 F.sum(F.lit(0).cast("bigint") if varying is None else varying).alias("b")).first()
+    return got["n"] * each + int(got["b"] or 0)
+
+
+def is_small(df: DataFrame, base: DataFrame | None = None, max_rows: int | None = None) -> bool:
+    """Whether ``df``, whose rows are no more than those of ``base`` (default
+    ``df``), is under both broadcast bounds."""
+    bound = BROADCAST_MAX_ROWS if max_rows is None else max_rows
+    if bound < 0:
+        return False
+    rows = row_count(df if base is None else base)
+    return rows <= bound and measured_bytes(df, rows) <= BROADCAST_MAX_BYTES
+
+
 def small_side(df: DataFrame, base: DataFrame | None = None,
                max_rows: int | None = None, small: bool | None = None) -> DataFrame:
-    """``broadcast(df)`` when the table it comes from (``base``, default
-    ``df``) has at most ``max_rows`` rows (default ``BROADCAST_MAX_ROWS``),
-    else ``df`` unchanged."""
-    if small is not None:
-        return F.broadcast(df) if small else df
-    bound = BROADCAST_MAX_ROWS if max_rows is None else max_rows
-    if bound >= 0 and row_count(base if base is not None else df) <= bound:
-        return F.broadcast(df)
-    return df
+    """``broadcast(df)`` when it is under the bounds (see ``is_small``;
+    ``small`` says so when already known), else ``df`` unchanged."""
+    if small is None:
+        small = is_small(df, base, max_rows)
+    return F.broadcast(df) if small else df
 
 
-def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
-    """Whether ``df`` is under the broadcast bound (counted)."""
-    bound = BROADCAST_MAX_ROWS if max_rows is None else max_rows
-    return bound >= 0 and row_count(df) <= bound
+def spread_nulls(fk: str | Column, own: str | Column = "id") -> Column:
+    """``fk`` as the key of a LEFT join with a parent's id: where it is NULL
+    a negative number made of the row's own id, which no parent has (ids are
+    0 or more). So rows without a reference don't meet in one partition of a
+    shuffle join."""
+    fk, own = (F.col(c) if isinstance(c, str) else c for c in (fk, own))
+    return F.coalesce(fk, -F.abs(own) - 1)
 
 
 def present_in(batch: DataFrame, table: DataFrame, on: list[str],

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from halyard.functions.expressions import days_left, full_name, number_text
 from halyard.functions.time import at_for, shift
-from halyard.operators.joins import is_small, small_side
+from halyard.operators.joins import is_small, small_side, spread_nulls
 from halyard.operators.records import company_record, customer_record, subscription_record
 
 ACTIVE = "active"
@@ -37,9 +37,10 @@ def lookup(view: DataFrame, keys: DataFrame, key_col: str = "id",
     v = view.withColumnRenamed(view_key, "__key")
     if is_small(keys):
         # Ids are unique: the rows found are no more than the keys asked for,
-        # so the view is cut by the broadcast keys and broadcast back.
+        # so the view is cut by the broadcast keys and, unless its rows are
+        # wide, broadcast back.
         wanted = F.broadcast(keys.select(F.col(key_col).alias("__key")).distinct())
-        v = F.broadcast(v.join(wanted, "__key", "left_semi"))
+        v = small_side(v.join(wanted, "__key", "left_semi"), base=keys)
     else:
         v = small_side(v, base=view)
     out = keys.join(v, keys[key_col] == v["__key"], "left")
@@ -58,7 +59,7 @@ def subscription_enriched(t, subs: DataFrame | None = None) -> DataFrame:
                                            F.col("name").alias("promotion_name")), t["promotions"])
     return (cp.join(cust, F.col("customer_id") == F.col("__cid"))
               .join(pk, F.col("package_id") == F.col("__pid"))
-              .join(pr, F.col("promotion_id") == F.col("__mid"), "left")
+              .join(pr, spread_nulls("promotion_id") == F.col("__mid"), "left")
               .drop("__cid", "__pid", "__mid"))
 
 
@@ -160,10 +161,10 @@ def customer_360(t) -> DataFrame:
                                          F.col("name").alias("package_name")), t["packages"])
     pr = small_side(t["promotions"].select(F.col("id").alias("__mid"),
                                            F.col("name").alias("promotion_name")), t["promotions"])
-    return (c.join(comp, F.col("company_id") == F.col("__coid"), "left")
+    return (c.join(comp, spread_nulls("company_id") == F.col("__coid"), "left")
              .join(cur, F.col("id") == F.col("__cust"), "left")
-             .join(pk, F.col("package_id") == F.col("__pid"), "left")
-             .join(pr, F.col("promotion_id") == F.col("__mid"), "left")
+             .join(pk, spread_nulls("package_id") == F.col("__pid"), "left")
+             .join(pr, spread_nulls("promotion_id") == F.col("__mid"), "left")
              .drop("__coid", "__cust", "__pid", "__mid"))
 
 

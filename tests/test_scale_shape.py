@@ -101,3 +101,38 @@ ls AS (SELECT id, max(seq) FILTER (WHERE op = 'patch' AND set_status) AS s1,
 SELECT ls.id, a.status, b.notes, ls.deleted FROM ls
 LEFT JOIN ch a ON a.seq = ls.s1 LEFT JOIN ch b ON b.seq = ls.s2""")
     assert sorted(map(tuple, folded)) == sorted(duck.execute(sql).fetchall())
+
+
+def test_wide_rows_are_not_broadcast(spark, tmp_path):
+    """Few rows of long texts pass the row bound, not the byte bound; a table
+    that grows past it is seen to."""
+    from pyspark.sql import functions as F
+
+    from halyard.operators.joins import BROADCAST_MAX_BYTES, is_small, measured_bytes, small_side
+    path = str(tmp_path / "wide")
+    texts = spark.range(10).select("id", F.repeat(F.lit("x"), 1 << 20).alias("note"),
+                                   F.array(F.lit("a"), F.lit("b")).alias("tags"))
+    texts.write.parquet(path)
+    wide = spark.read.parquet(path)
+    assert is_small(wide) and 10 << 20 <= measured_bytes(wide) < 11 << 20
+    spark.range(60).select("id", F.repeat(F.lit("x"), 1 << 20).alias("note"),
+                           F.array(F.lit("a")).alias("tags")).write.mode("append").parquet(path)
+    wide = spark.read.parquet(path)
+    assert measured_bytes(wide) > BROADCAST_MAX_BYTES and not is_small(wide)
+    assert is_small(wide.select("id"))
+    assert "Broadcast" not in small_side(wide)._jdf.queryExecution().analyzed().toString()
+
+
+def test_rows_without_a_reference_do_not_meet(shuffle_joins):
+    """Two thirds of the subscriptions have no promotion: in a shuffle join
+    they are spread by their own id."""
+    from pyspark.sql import functions as F
+
+    from halyard.operators.joins import spread_nulls
+    rows = shuffle_joins.range(1, 30001).select("id", F.when(F.col("id") % 3 == 0, F.col("id") % 5 + 1).alias("fk"))
+    parents = shuffle_joins.range(1, 6).withColumnRenamed("id", "pid")
+    joined = rows.join(parents, spread_nulls("fk") == F.col("pid"), "left")
+    assert joined.where("fk <=> pid").count() == joined.count() == 30000
+    dealt = rows.where("fk IS NULL").repartition(8, spread_nulls("fk")).groupBy(F.spark_partition_id()).count()
+    counts = [r["count"] for r in dealt.collect()]
+    assert len(counts) == 8 and max(counts) < 2 * min(counts)
