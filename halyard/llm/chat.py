@@ -22,7 +22,9 @@ _ROLE_ESCAPES = {**_ESCAPES, ">": "\\g", "\n": "\\n"}
 
 
 def _escape(s: str, table: dict[str, str]) -> str:
-    return "".join(table.get(c, c) for c in s) if any(c in s for c in table) else s
+    for c, spelled in table.items():  # the backslash is first, and no spelling holds a later character
+        s = s.replace(c, spelled)
+    return s
 
 
 def unescape(s: str) -> str:
@@ -91,29 +93,34 @@ def locate(template: Template, turns: list[Turn]) -> tuple[str, list[Span] | Non
     the beginning of its output for k + 1 turns rewrites history. A turn's
     span is what its step added. Its text lies in there between the header
     and the footer, whose lengths come from two renderings of the turn with
-    one-letter texts that differ.
+    one-letter texts that differ. Only two prefixes are held at a time.
     """
-    outs = [template(turns[:k]) for k in range(len(turns) + 1)]
-    tail = max((len(a) - _same_start(a, b) for a, b in zip(outs, outs[1:])), default=0)
-    end_mark = outs[-1][len(outs[-1]) - tail:]
-    if any(len(x) < tail or not x.endswith(end_mark) for x in outs):
-        return outs[-1], None
-    spans = []
+    out = start = template([])
+    spans, tail, ends = [], 0, {start}
     for k, (role, text) in enumerate(turns):
-        start, end = len(outs[k]) - tail, len(outs[k + 1]) - tail
-        if not outs[k + 1].startswith(outs[k][:start]):
-            return outs[-1], None
+        before, out = out, template(turns[:k + 1])
+        tail = max(tail, len(before) - _same_start(before, out))
+        ends.add(out[-len(start):] if start else "")  # no tail is longer than what no turns render to
         a, b = (template([*turns[:k], (role, x)]) for x in "ab")
         head = _same_start(a, b)
         foot = len(a) - head - 1
-        if len(a) != len(b) or a[head + 1:] != b[head + 1:] or not outs[k + 1].startswith(a[:head]):
-            return outs[-1], None  # the text shapes what stands around it
-        spans.append(Span(role, start, end, head, len(outs[k + 1]) - foot))
-    return outs[-1], spans
+        if len(a) != len(b) or a[head + 1:] != b[head + 1:] or not out.startswith(a[:head]):
+            return template(turns), None  # the text shapes what stands around it
+        spans.append(Span(role, len(before), len(out), head, len(out) - foot))
+    if tail > len(start) or len({e[len(e) - tail:] for e in ends if len(e) >= tail}) > 1 or any(len(e) < tail for e in ends):
+        return out, None
+    return out, [s._replace(start=s.start - tail, end=s.end - tail) for s in spans]
 
 
 FORMATTED = ("conv_id long, n_turns long, formatted string, rewrites_history boolean, "
              "spans array<struct<role:string,start:long,end:long,text_start:long,text_end:long>>")
+# Conversations, and characters of them, that are handed to Spark at a time, about.
+BATCH_ROWS, BATCH_CHARS = 500, 4 << 20
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=["conv_id", "n_turns", "formatted", "rewrites_history", "spans"])
+    return frame.assign(conv_id=[None if pd.isna(x) else int(x) for x in frame["conv_id"]]).astype({"conv_id": "Int64"})
 
 
 def format_conversations(conversations: DataFrame, template: Template = turn_template) -> DataFrame:
@@ -122,7 +129,7 @@ def format_conversations(conversations: DataFrame, template: Template = turn_tem
 
     Rows (conv_id, turn, role, text) are dealt by conv_id, sorted by turn
     inside a partition and rendered one conversation at a time, so a task
-    holds one conversation, not a partition's.
+    holds a conversation and a batch of outputs, not a partition's.
 
     Defined results: null texts and roles are empty; a null conv_id is one
     conversation; null turns come first; rows of one turn go by role, then
@@ -130,13 +137,17 @@ def format_conversations(conversations: DataFrame, template: Template = turn_tem
     table; other columns are ignored.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done, chars = [], 0
         for pdf in runs(batches, ["conv_id"]):
             turns = list(zip(pdf["role"].tolist(), pdf["text"].tolist()))
             formatted, spans = locate(template, turns)
-            yield pd.DataFrame({
-                "conv_id": pd.array([pdf["conv_id"].iloc[0]], dtype="Int64"), "n_turns": [len(turns)],
-                "formatted": [formatted], "rewrites_history": [spans is None],
-                "spans": [spans and [s._asdict() for s in spans]]})
+            done.append((pdf["conv_id"].iloc[0], len(turns), formatted, spans is None, spans and [s._asdict() for s in spans]))
+            chars += len(formatted)
+            if len(done) >= BATCH_ROWS or chars >= BATCH_CHARS:
+                yield _frame(done)
+                done, chars = [], 0
+        if done:
+            yield _frame(done)
 
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", empty("role"), empty("text"))
