@@ -20,6 +20,7 @@ from halyard.operators.ids import assign_ids, next_id
 from halyard.operators.integrity import all_present
 from halyard.operators.joins import is_small, present_in, small_side, spread_nulls
 from halyard.operators.validation import VALIDATORS, parse_utc_datetime
+from halyard.session import pinned
 from halyard.sources import schemas as S
 from halyard.sources.fixtures import Tables
 
@@ -141,12 +142,13 @@ def insert_batch(t, rows: DataFrame, entity: str, as_of, order_by: str = "row_id
     number the new rows after the last id issued (W3).
     Returns ``(inserted, rejected)``; ``rejected`` keeps ``errors``."""
     table = t[entity]
+    rows = pinned(rows, f"insert-{entity}")     # every check reads the batch
     small = is_small(rows)      # one count bounds every key set of the batch
     checked = VALIDATORS[entity](rows, checked_only=True).checked()
     cols = {c: F.col(c) for c in rows.columns}
     checked = _flag_missing_parents(checked, t, entity, cols, small, rows)
     checked = _flag_unique(checked, table, entity, order_by, cols, small, rows)
-    valid, rejected = _split(checked)
+    valid, rejected = _split(pinned(checked, f"checked-{entity}"))
     new = to_table_rows(valid, entity, as_of)
     new = assign_ids(new, next_id(t, entity), [order_by])
     return new.select(order_by, *S.TABLES[entity].fieldNames()), rejected
@@ -158,6 +160,7 @@ def create_with_subscription(t, rows: DataFrame, as_of, order_by: str = "row_id"
     """Customers with an optional nested ``subscription`` struct,
     written together: a row whose customer or subscription fails any check
     writes neither. Returns ``(customers, subscriptions, rejected)``."""
+    rows = pinned(rows, "create-requests")      # every check reads the batch
     small = is_small(rows)
     checked = VALIDATORS["customers"](rows, checked_only=True).checked()
     cust_cols = {c: F.col(c) for c in rows.columns if c != "subscription"}
@@ -168,7 +171,7 @@ def create_with_subscription(t, rows: DataFrame, as_of, order_by: str = "row_id"
                                      "promotion_id": sub["promotion_id"]}, small, rows)
     checked = _flag_unique(checked, t["customers"], "customers", order_by, cust_cols, small,
                            rows)
-    valid, rejected = _split(checked)
+    valid, rejected = _split(pinned(checked, "create-checked"))
     # One numbered batch of customers carries the nested subscription, and
     # the subscriptions are numbered from its written table, so both share
     # the customer ids.
@@ -449,6 +452,7 @@ def assign_if_none(t, requests: DataFrame, as_of, any_status: bool = False,
     batch wins. Requests carry ``joined_at``, ``expires_at`` (timestamps),
     ``price_paid`` and ``status``."""
     from halyard.operators.views import resolve_by_name
+    requests = pinned(requests, "assign-requests")  # every lookup reads the batch
     small = is_small(requests)  # bounds every key set of the request batch
     emails = requests.select("customer_email")
     cust = t["customers"].select(F.col("id").alias("customer_id"),

@@ -16,6 +16,7 @@ from halyard.functions.expressions import (BULLET, DASH, html_escape, iso_date,
                                            mail_urgency)
 from halyard.functions.time import at_for
 from halyard.operators import views as V
+from halyard.session import pinned
 from halyard.sources.fixtures import Tables, overlay
 from halyard.sources.tables import log_subject, notification_rows
 from halyard.operators.ids import next_id
@@ -88,7 +89,9 @@ def digest_lines(candidates: DataFrame, days) -> DataFrame:
     """W9 body: ``(section, part, expires_at, line_key, line)`` rows for the
     text and the HTML body. Part 0 is the header, 1 the candidates (earliest
     expiry first, then subscription id), 2 the footer. Candidate lines are
-    built where the candidates are; only the count meets in one place."""
+    built where the candidates are; only the count meets in one place. The
+    candidates are written once, as the count and the lines both read them."""
+    candidates = pinned(candidates, "digest-candidates")
     dleft = F.col("days_left")
     date = iso_date("expires_at")
     text_row = F.concat(F.lit(BULLET + " "), F.col("customer_name"), F.lit(" <"), F.col("email"),
@@ -143,7 +146,7 @@ def reminder_cycle(t, days, recipient: str, as_of) -> dict[str, DataFrame]:
     a mapping whose parts are built on first access."""
     cp = t["customer_packages"]
     new_cp = auto_expire(cp, as_of)
-    candidates = V.reminder_candidates(overlay(t, customer_packages=new_cp), days, as_of)
+    candidates = V.reminder_rows(overlay(t, customer_packages=new_cp), days, as_of)
     head = digest_header(candidates, days)
     summary = (auto_expire_count(cp, as_of).unionByName(head.select("recipients"),
                                                         allowMissingColumns=True)

@@ -215,8 +215,13 @@ def list_customers(t, status=None, company_id=None, search=None) -> DataFrame:
 # -- J5 -----------------------------------------------------------------------------
 
 def reminder_candidates(t, days=7, as_of=None, subs: DataFrame | None = None) -> DataFrame:
-    """Active subscriptions expiring within the horizon with customer name,
-    email, package, whole days left and the price as text."""
+    """``reminder_rows``, earliest expiry first."""
+    return reminder_rows(t, days, as_of, subs).orderBy("expires_at", "cp_id")
+
+
+def reminder_rows(t, days=7, as_of=None, subs: DataFrame | None = None) -> DataFrame:
+    """Active subscriptions expiring within the horizon with customer name,
+    email, package, whole days left and the price as text, in no order."""
     cp = t["customer_packages"] if subs is None else subs
     cp = cp.where(expiring_predicate(cp, days, as_of))
     cust = t["customers"].select(F.col("id").alias("__cid"), "first_name", "last_name", "email")
@@ -230,7 +235,7 @@ def reminder_candidates(t, days=7, as_of=None, subs: DataFrame | None = None) ->
         "email", "package_name", "joined_at", "expires_at",
         days_left("expires_at", as_of, dtype).cast("int").alias("days_left"),
         F.col("price_paid").cast("string").alias("price_paid"),
-    ).orderBy("expires_at", "cp_id")
+    )
 
 
 # -- J7 -----------------------------------------------------------------------------

@@ -129,7 +129,7 @@ SELECT (SELECT max(id) FROM notification_log) + row_number() OVER (ORDER BY expi
 FROM cand""")
 def _notification_append(t):
     """The log after one append of a row per reminded subscription."""
-    cand = V.reminder_candidates(t, 30, AS_OF)
+    cand = V.reminder_rows(t, 30, AS_OF)
     return TB.notification_append(t["notification_log"], cand, "admin@example.com", 30, AS_OF)
 
 

@@ -370,7 +370,7 @@ SELECT 'html', 1, expires_at, cp_id,
 FROM cand""")
 def _reminder_digest(t):
     """The reminder mail of the 30-day horizon, as ordered lines."""
-    return L.digest_lines(V.reminder_candidates(t, 30, AS_OF), 30)
+    return L.digest_lines(V.reminder_rows(t, 30, AS_OF), 30)
 
 
 @register("reminder_cycle", """

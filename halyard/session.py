@@ -8,7 +8,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # The fixed clock of the fixtures: the last o_orderdate is 2001-08-01.
 AS_OF = dt.datetime(2001, 8, 1, 12, 0, 0)
@@ -81,3 +81,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     path = os.path.join(base, "tables", f"{name}-{dt.datetime.now():%Y%m%d%H%M%S}-"
                                        f"{uuid.uuid4().hex[:12]}")
     return path
+
+
+def pinned(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once under the scratch folder and read back, for frames
+    that a plan reads several times. Frames with a column of no type, which
+    parquet cannot hold, stay as they are."""
+    if "void" in df.schema.simpleString():
+        return df
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

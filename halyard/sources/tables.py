@@ -18,6 +18,7 @@ from halyard.functions.time import at
 from halyard.operators.ids import ID_SEQUENCES, assign_ids, largest_id
 from halyard.operators.integrity import all_present
 from halyard.operators.joins import present_in
+from halyard.session import pinned
 from halyard.sources import schemas as S
 
 
@@ -221,6 +222,7 @@ def insert_if_absent(existing: DataFrame, new: DataFrame, on: list[str],
     ``last_id`` (default: the table's largest id)."""
     # The keys of the batch the table holds (through the broadcast batch keys
     # when the batch is under the bound: the table is read, not shuffled).
+    new = pinned(new, "seed-rows")
     held = present_in(new, existing.select(*on).where(all_present(on)), on)
     fresh = first_per_key(new, on, order_by).join(held, on, "left_anti")
     start = largest_id(existing, id_col) if last_id is None else last_id

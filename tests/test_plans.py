@@ -97,3 +97,23 @@ def test_small_batches_do_not_shuffle_the_table(spark):
             assert "SortMergeJoin" not in plan(df)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_digest_reads_its_candidates_once(spark):
+    """Count and lines read the candidates written once: no join is left in
+    the plan, and no sort of rows whose order nobody reads."""
+    t = fixture_tables(spark, SF)
+    p = plan(L.digest_lines(V.reminder_rows(t, 30, AS_OF), 30))
+    assert "Join" not in p.replace("BroadcastNestedLoopJoin", "") and "rangepartitioning" not in p
+
+
+def test_write_batches_are_read_from_one_written_table(spark):
+    """The request batch of J6 and W4 is a join of fixture tables; the checks
+    read it from the table written first, so the plans stay short."""
+    from halyard.operators import changes as CH
+    t = fixture_tables(spark, SF)
+    cust, subs, rejected = CH.create_with_subscription(t, t["customer_requests"], AS_OF)
+    for df in (cust, subs, rejected):
+        assert plan(df).count("FileScan parquet") <= 2
+    rows = CH.assign_if_none(t, t["assignment_requests"], AS_OF)
+    assert plan(rows).count("FileScan parquet") <= 2
