@@ -142,7 +142,6 @@ def insert_batch(t, rows: DataFrame, entity: str, as_of, order_by: str = "row_id
     number the new rows after the last id issued (W3).
     Returns ``(inserted, rejected)``; ``rejected`` keeps ``errors``."""
     table = t[entity]
-    rows = pinned(rows, f"insert-{entity}")     # every check reads the batch
     small = is_small(rows)      # one count bounds every key set of the batch
     checked = VALIDATORS[entity](rows, checked_only=True).checked()
     cols = {c: F.col(c) for c in rows.columns}
