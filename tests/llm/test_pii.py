@@ -63,6 +63,45 @@ def test_each_format_is_permuted(spark):
     assert pair.filter("p.a not between 0 and 269 or p.b not between 0 and 11").count() == 0
 
 
+def test_usual_formats(spark):
+    """Each is replaced in its own shape, and the pseudonym passes its check."""
+    values = ["(212) 555-0100", "212-555-0100", "212.555.0100", "1-212-555-0100", "+1-212-555-0100", "+44 20 7946 0958",
+              "+4930123456", "123-45-6789", "665-01-0001", "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819",
+              "MT84MALT011000012345MTLCAST001S", "BE68 5390 0754 7034", "3782 822463 10005", "12/31/1999", "31/12/1999",
+              "31.12.1999", "1999/12/31", "2099-12-31", "12-31-1999", "1/5/1999"]
+    shape = lambda s: re.sub("[A-Z]", "A", re.sub(r"\d", "9", s))
+    got = [r for r in one(spark, [f"x {v}, y" for v in values] + [f"{values[12]} THIS"])]
+    for value, r in zip(values, got):
+        new = r.text[2:-3]
+        assert (r.n_found, r.n_replaced) == (1, 1) and new != value, (value, r)
+        assert shape(new) == shape(value) or value == "1/5/1999", (value, new)
+    new = dict(zip(values, [r.text[2:-3] for r in got]))
+    digits = {v: re.sub(r"\D", "", n)[-10:] for v, n in new.items()}
+    assert len({digits[v] for v in values[:5]}) == 1 and digits[values[0]] >= "2"  # one number, however written
+    for v in values[9:13]:
+        n = new[v].replace(" ", "")
+        assert n[:2] == v[:2] and int("".join(str(int(c, 36)) for c in n[4:] + n[:4])) % 97 == 1
+    assert luhn(new["3782 822463 10005"]) and int(new["31/12/1999"][:2]) > 12 and got[-1].text == new[values[12]] + " THIS"
+    assert not re.match("000|666|9", new["123-45-6789"])
+    words = one(spark, ["December 31, 1999", "31 Dec 1999", "on Feb. 03, 2001."])
+    assert all(re.fullmatch(p, r.text) and r.n_replaced == 1 for p, r in zip(
+        [r"[A-Z][a-z]+ \d+, \d{4}", r"\d+ [A-Z][a-z]{2} \d{4}", r"on [A-Z][a-z]{2}\. \d\d, \d{4}\."], words))
+    left = ["112-555-0100", "666-12-3456", "123-00-4567", "DE88 3704 0044 0532 0130 00", "13/13/1999", "31.02.1999", "Feb 30, 1999"]
+    assert [(r.text, r.n_replaced) for r in one(spark, left)] == [(v, 0) for v in left]
+
+
+def test_long_mail_names_are_permuted_to_the_end(spark):
+    name = "a" * 24 + "secret.name0123456789" * 3
+    got = one(spark, [f"{name}@x.org"])[0].text.split("@")[0]
+    assert len(got) == len(name) and all(got[k:k + 20] != name[k:k + 20] for k in range(0, 80, 20))
+
+
+def test_day_first_dates_do_not_collide(spark):
+    days = [f"{d}/{m}/{y}" for d in range(13, 29) for m in range(10, 13) for y in (1990, 2030)]
+    got = [r.text for r in one(spark, days)]
+    assert len(set(got)) == len(days) and all(int(x.split("/")[0]) > 12 for x in got)
+
+
 def test_edges(edge_docs, no_docs):
     got = pseudonymize(edge_docs, KEY)
     key = lambda r: (str(r.doc_id), str(r.text))
