@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from halyard.llm.common import pin
+from halyard.llm.common import numbered, pin
 from halyard.llm.exact_dedup import drop_exact_duplicates
 from halyard.llm.mixing import mixed_documents
 from halyard.llm.near_dup import drop_near_duplicates
@@ -23,13 +23,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest doc_id."""
-    return drop_exact_duplicates(docs)
+    """Of equal texts one row, of the smallest doc_id (null last)."""
+    rows, row = numbered(docs)
+    return drop_exact_duplicates(rows, id_col=row).drop(row)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 80 % of its five-word shingles."""
-    return drop_near_duplicates(docs, width=5, percent=80)
+    """One row of each group that shares 80 % of its five-word shingles."""
+    rows, row = numbered(docs)
+    return drop_near_duplicates(rows, id_col=row, width=5, percent=80).drop(row)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

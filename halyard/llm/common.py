@@ -44,6 +44,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+    """``docs``, written once with a unique number for each row, and the
+    number's column name. Numbers follow the id, nulls last; rows that tie
+    follow each other as read, so no id, however frequent, is one partition."""
+    row, read = fresh(docs, "row_number"), fresh(docs, "row_read")
+    order = [F.col(id_col).isNull(), F.col(id_col), F.col(read)]
+    dealt = docs.withColumn(read, F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    return pin(dealt.withColumn(row, F.monotonically_increasing_id()).drop(read), "numbered-rows"), row
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

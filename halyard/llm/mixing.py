@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.llm.common import WORD, fresh, pin, small, text_or_empty, unit_key
+from halyard.llm.common import WORD, fresh, numbered, pin, small, text_or_empty, unit_key
 
 MAX_COPIES = 3
 # Documents that may be added to each source to come nearer to its target.
@@ -93,7 +93,7 @@ def best_fits(drawn: DataFrame, budgets: DataFrame) -> DataFrame:
 
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id",
                 text_col: str = "text", source_col: str = "source", max_copies: int = MAX_COPIES,
-                seed: str = "mix") -> DataFrame:
+                seed: str = "mix", row_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target,
     copies, taken.
 
@@ -105,7 +105,8 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, id_col: str =
     then lacking, less than one document, is made up by up to FITTED documents
     of the size that fits best. ``weights`` is (source, weight), one row per
     source; by default 1, 2, 3, repeating. u is a hash of seed and id, so
-    reruns agree.
+    reruns agree. With ``row_col``, a unique number of each row, the result
+    has it too, as ``row``.
 
     Defined results: a null source is a source; a null or empty text has size
     0 and takes nothing; documents tied in rank go by id; repeated rows are
@@ -113,8 +114,9 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, id_col: str =
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                        F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("bigint").alias("size"),
-                       unit_key(F.col(id_col), seed=seed).alias("k"))
-    base = pin(base.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
+                       unit_key(F.col(id_col), seed=seed).alias("k"),
+                       (F.monotonically_increasing_id() if row_col is None else F.col(row_col)).alias("row"))
+    base = pin(base, "mix-rows")
     bins = max(64, min(1 << 20, base.count() // BIN_ROWS))
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, cycled_weights(sizes) if weights is None else weights, max_copies)
@@ -137,17 +139,16 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, id_col: str =
     out = drawn.join(fits, "row", "left")
     copies = F.col("whole") + (F.col("picked") | F.col("fit").isNotNull()).cast("bigint")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
-                      (copies * F.col("size")).alias("taken"))
+                      (copies * F.col("size")).alias("taken"), *([] if row_col is None else ["row"]))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mix itself: ``docs`` with each row as often as it is taken (rows
-    taken 0 times go), all columns kept. Rows with a null id, which no join
-    can find again, are kept once."""
-    mix = mix_sources(docs, id_col=id_col, **options).groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    mix = mix.filter("doc_id is not null")
+    taken 0 times go), all columns kept. Rows are numbered and found again by
+    number, so null and repeated ids are copied as the mix says, too."""
     copy = fresh(docs, "mix_copy")
-    j = docs.join(mix, docs[id_col] == mix["doc_id"], "left")
-    n = F.coalesce(mix["copies"], F.when(docs[id_col].isNull(), 1).otherwise(0)).cast("int")
-    one = j.select(*[docs[c] for c in docs.columns], n.alias(copy)).filter(F.col(copy) > 0)
+    rows, row = numbered(docs, id_col)
+    mix = mix_sources(rows, id_col=id_col, row_col=row, **options).filter("copies > 0").select(
+        F.col("row").alias("mix_row"), F.col("copies").cast("int").alias("mix_copies"))
+    one = rows.join(mix, rows[row] == mix["mix_row"]).select(*[rows[c] for c in docs.columns], mix["mix_copies"].alias(copy))
     return one.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).drop(copy)

@@ -15,6 +15,28 @@ from tests.oracle_compare import duck_connect
 SF = "/root/testdata/sf0.001"
 
 
+def test_rows_without_an_id_of_their_own(spark):
+    """A table appended twice, with a third of its ids null: one row of each
+    text stays, near copies go, and rows are copied as the mix says."""
+    texts = [" ".join(f"t{k}w{i}" for i in range(10 + k)) for k in range(30)]
+    rows = [(None if k % 3 == 0 else k // 2 * 2, t, f"s{k % 2}") for k, t in enumerate(texts)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    once = corpus_pipeline.exact_dedup(spark, docs, SF)
+    assert once.columns == docs.columns and sorted(r.text for r in once.collect()) == sorted(texts)
+    named = spark.createDataFrame([(None, "a b c", "s"), (7, "a  b c", "s"), (9, "a b c", "s")], docs.schema)
+    assert [r.doc_id for r in corpus_pipeline.exact_dedup(spark, named, SF).collect()] == [7]
+    near = spark.createDataFrame([(None, texts[29], "s"), (None, texts[29] + " end", "s"), (None, texts[5], "s"),
+                                  (4, texts[8], "s"), (4, texts[8] + " end", "s"), (4, texts[9], "s")], docs.schema)
+    kept = sorted(r.text.split()[0] for r in corpus_pipeline.near_dedup(spark, near, SF).collect())
+    assert kept == sorted(["t29w0", "t5w0", "t8w0", "t9w0"])
+    size = lambda t: len(t.split())
+    got = Counter()
+    for r in corpus_pipeline.mix(spark, docs, SF).collect():
+        got[r.source] += size(r.text)
+    total = sum(size(t) for _, t, _ in rows)
+    assert abs(got["s0"] - total / 3) <= 40 and abs(got["s1"] - total * 2 / 3) <= 40
+
+
 def test_stages(spark, tmp_path):
     docs = table(spark, SF, "documents")
     columns = docs.columns
