@@ -19,7 +19,7 @@ def duck():
 
 def test_registered():
     assert set(QUERIES) <= set(E.queries()) and set(SQL) <= set(E.oracle_sql())
-    assert [int(k[2:].split("_")[0]) for k in QUERIES if k != "pipeline"] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in QUERIES if k != "pipeline"] == list(range(1, 14))
 
 
 @pytest.mark.parametrize("key", sorted(SQL))
