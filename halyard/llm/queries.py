@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm import (alignment, chat, exact_dedup, html_text, mixing, near_dup, packing, pii, quality,
-                         sharding, simhash, warc)
+from halyard.llm import (alignment, chat, exact_dedup, html_text, mixing, near_dup, packing, pii,
+                         prefix_trie, quality, sharding, simhash, warc)
 
 # The driver's tables have no secret of their own; a real run passes its key.
 PSEUDONYM_KEY = "halyard-demo-key"
@@ -128,6 +128,10 @@ def op10_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_duplicates(table(spark, sf_dir, "documents"), width=4, reach=4)
 
@@ -147,4 +151,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pareto_mix, op2_warc_revisits, op3_chat_format, op4_exact_dedup, op5_minhash_tensored,
                             op6_histogram_shards, op7_feistel_pseudonyms, op8_quality_cascade, op9_html_suffix_array,
-                            op10_ffd_packing, op12_simhash_vptree, op13_token_alignment, pipeline)}
+                            op10_ffd_packing, op11_prefix_trie, op12_simhash_vptree, op13_token_alignment,
+                            pipeline)}
