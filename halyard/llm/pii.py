@@ -9,7 +9,7 @@ ROUNDS = 8
 # Characters permuted at most in a half: 26 ** 12 fits a long with room.
 HALF = 12
 # The dates permuted among each other: 17 * 4297 days, 1900-01-01 to 2099-12-31.
-FIRST_DAY, DAY_LEFT, DAY_RIGHT = "1900-01-01", 17, 4297
+FIRST_DAY, DAY_LEFT, DAY_RIGHT, MONTHS = "1900-01-01", 17, 4297, 2400
 # Steps a walk may take to come back to the dates it permutes; each ends it by about 0.6.
 WALK = 64
 _MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November",
@@ -23,7 +23,9 @@ _IBAN_LENGTHS = {
 _COUNTRY_CODE = r"\+(?:7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
 _YEAR = "(?:19|20)[0-9]{2}"
 _MONTH = "(?:" + "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in _MONTHS) + ")"
-_EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}"
+# Bounded, since the matcher takes a stack frame for each repeat of a group: no
+# address has a name of over 320 characters or a domain of over 126 labels.
+_EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,320}+@(?:[A-Za-z0-9\-]+\.){1,126}[A-Za-z]{2,}"
 _IBAN = r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(
     f"(?:{'|'.join(c.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in _IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])"
 _PHONE_1 = r"\+1[ .\-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-]?)[0-9]{3}[ .\-]?[0-9]{4}(?![0-9])"
@@ -202,23 +204,31 @@ def _iban(s: Column, key: str) -> Column:
     return F.when(_iban_check(country, body) == F.substring(plain, 3, 2), _let(new, lambda n: _filled(s, n)))
 
 
-def _new_day(day: Column, key: str, kind: str = "date") -> Column:
-    """The date for ``day``; null outside the dates that are permuted."""
-    def new(n: Column) -> Column:
-        pair = feistel(F.floor(n / DAY_RIGHT), n % DAY_RIGHT, F.lit(DAY_LEFT), F.lit(DAY_RIGHT), key, kind)
-        return _let(pair, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["a"] * DAY_RIGHT + p["b"]).cast("int")))
-
-    days = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-    return F.when(days.between(0, DAY_LEFT * DAY_RIGHT - 1), _let(days, new))
+def _new_day(day: Column, key: str) -> Column:
+    """The date for ``day``, in whatever form it is written; null outside the
+    dates that are permuted. Dates up to a month's 12th and later ones are
+    permuted among themselves, so that a date written day first is still read
+    so (or month first, where both are dates)."""
+    first = F.lit(FIRST_DAY).cast("date")
+    days = F.datediff(day, first)
+    month = (F.year(day) - int(FIRST_DAY[:4])) * 12 + F.month(day) - 1
+    pair = feistel(month, F.dayofmonth(day) - 1, F.lit(MONTHS), F.lit(12), key, "early date")
+    early = _let(pair, lambda p: F.date_add(F.add_months(first, p["a"].cast("int")), p["b"].cast("int")))
+    return F.when(days.between(0, DAY_LEFT * DAY_RIGHT - 1), F.when(F.dayofmonth(day) <= 12, early).otherwise(
+        _late_day(day, key)))
 
 
 def _late_day(day: Column, key: str) -> Column:
-    """As ``_new_day`` among the dates after a month's 12th: the permutation
-    is applied until it comes back to them."""
+    """A date after a month's 12th for such a ``day``: a permutation of all
+    dates is applied until it comes back to those."""
+    def new(n: Column) -> Column:
+        pair = feistel(F.floor(n / DAY_RIGHT), n % DAY_RIGHT, F.lit(DAY_LEFT), F.lit(DAY_RIGHT), key, "late date")
+        return _let(pair, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["a"] * DAY_RIGHT + p["b"]).cast("int")))
+
     start = F.struct(day.alias("day"), F.lit(True).alias("on"))
 
     def step(s: Column, _: Column) -> Column:
-        return F.when(s["on"], _let(_new_day(s["day"], key, "late date"), lambda d: F.struct(
+        return F.when(s["on"], _let(_let(F.datediff(s["day"], F.lit(FIRST_DAY).cast("date")), new), lambda d: F.struct(
             d.alias("day"), (F.dayofmonth(d) <= 12).alias("on")))).otherwise(s)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, step)["day"]
@@ -248,7 +258,7 @@ def _date_numbers(s: Column, key: str) -> Column:
     by_day, by_month = _day(part[2], part[1], part[0]), _day(part[2], part[0], part[1])
     dots = _let(_new_day(by_day, key), lambda n: spell(n, "d", "M"))
     month = _let(_new_day(by_month, key), lambda n: spell(n, "M", "d"))
-    day = F.when(by_day.isNotNull(), _let(_late_day(by_day, key), lambda n: spell(n, "d", "M")))
+    day = F.when(by_day.isNotNull(), _let(_new_day(by_day, key), lambda n: spell(n, "d", "M")))
     return F.when(c == ".", dots).otherwise(F.when(by_month.isNotNull(), month).when(part[0].cast("int") > 12, day))
 
 

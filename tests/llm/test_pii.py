@@ -1,4 +1,5 @@
 import re
+from hashlib import sha256
 from itertools import product
 
 from pyspark.sql import functions as F
@@ -102,6 +103,73 @@ def test_day_first_dates_do_not_collide(spark):
     assert len(set(got)) == len(days) and all(int(x.split("/")[0]) > 12 for x in got)
 
 
+def test_one_date_has_one_pseudonym_however_written(spark):
+    days = ["1999-12-31", "31/12/1999", "12/31/1999", "31.12.1999", "1999/12/31", "December 31, 1999"]
+    early = ["2001-03-05", "2001/03/05", "03/05/2001", "05.03.2001", "5 Mar 2001"]
+    got = [r.text for r in one(spark, days + early)]
+    y, m, d = got[0].split("-")
+    assert int(d) > 12 and got[1:5] == [f"{d}/{m}/{y}", f"{m}/{d}/{y}", f"{d}.{m}.{y}", f"{y}/{m}/{d}"]
+    assert got[5] == f"{pii._MONTHS[int(m) - 1]} {int(d)}, {y}"
+    y, m, d = got[6].split("-")
+    assert int(d) <= 12 and got[7:10] == [f"{y}/{m}/{d}", f"{m}/{d}/{y}", f"{d}.{m}.{y}"]
+    all_days = spark.range(73049).select(F.expr("date_add(date'1900-01-01', cast(id as int))").alias("day"))
+    new = all_days.select("day", pii._new_day(F.col("day"), KEY).alias("new"))
+    assert new.select("new").distinct().count() == 73049
+    assert new.filter("new not between '1900-01-01' and '2099-12-31' or (day(day) > 12) <> (day(new) > 12)").count() == 0
+
+
+def test_feistel_against_plain_python(spark):
+    def plain(a, b, n_left, n_right, kind):
+        for i in range(pii.ROUNDS):
+            n = n_left if i % 2 == 0 else n_right
+            said = f"{KEY}/{kind}/{i}/{b}"
+            a, b = b, (a + int(sha256(said.encode()).hexdigest()[:13], 16) % n) % n
+        return a, b
+
+    def name(s):
+        chars, out = [c for c in s if c.isascii() and c.isalnum()], []
+        for at in range(0, len(chars), 24):
+            block = chars[at:at + 24]
+            parts = (block[:len(block) // 2], block[len(block) // 2:])
+            radix = lambda c: 10 if c.isdigit() else 26
+            zero = lambda c: ord("0") if c.isdigit() else ord("a") if c.islower() else ord("A")
+            numbers, spaces = [], []
+            for part in parts:
+                n, space = 0, 1
+                for c in part:
+                    n, space = n * radix(c) + ord(c) - zero(c), space * radix(c)
+                numbers.append(n)
+                spaces.append(space)
+            for n, part in zip(plain(*numbers, *spaces, "email"), parts):
+                new = []
+                for c in reversed(part):
+                    new.append(chr(zero(c) + n % radix(c)))
+                    n //= radix(c)
+                out += reversed(new)
+        it = iter(out)
+        return "".join(next(it) if c.isascii() and c.isalnum() else c for c in s)
+
+    names = ["a", "ab", "Z9", "first.last+tag", "Very_Long-Name" * 4, "x" * 300]
+    assert [r.text for r in one(spark, [f"{n}@m.org" for n in names])] == [f"{name(n)}@m.org" for n in names]
+    ips = ["10.1.2.3", "255.0.255.0"]
+    want = []
+    for ip in ips:
+        o = list(map(int, ip.split(".")))
+        a, b = plain(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ipv4")
+        want.append(".".join(map(str, (a >> 8, a & 255, b >> 8, b & 255))))
+    assert [r.text for r in one(spark, ips)] == want
+
+
+def test_hostile_long_texts(spark):
+    """Rows of a megabyte that repeat the start of a format."""
+    n = 500_000
+    texts = ["x@" + "a." * n, "a." * n, "a." * n + "@b.org", "1 " * n, "-" * n, "+1" * n, "+44 " * n, "1-" * n, "1." * n,
+             "DE89 " * (n // 4), "9" * n, "x@" * n, "(212) " * (n // 5), "January 1, " * (n // 10), "a@b.co " * (n // 7)]
+    got = one(spark, texts)
+    assert [r.text for r in got[:-1]] == texts[:-1]
+    assert got[-1].n_found == n // 7 and len(got[-1].text) == len(texts[-1])
+
+
 def test_edges(edge_docs, no_docs):
     got = pseudonymize(edge_docs, KEY)
     key = lambda r: (str(r.doc_id), str(r.text))
