@@ -37,7 +37,8 @@ class _Words(dict):
     words' ids in a row, and each distinct word is looked up once a worker. It
     also parts letters from punctuation and ignores case, so a word made of
     letters and trailing punctuation (no apostrophe: "'s" is one token) has
-    the ids of its lower-case letters, then those of the punctuation. Stems
+    the ids of its lower-case letters, then those of the punctuation, if it is
+    of letters only after normalizing, too (not so "\u0130", a letter and a mark). Stems
     of Latin-1 letters, which need no more normalizing, go straight to the
     tokenizer's model, a byte a letter; everything else goes through the whole
     tokenizer.
@@ -48,6 +49,7 @@ class _Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.normalize = self.tokenizer.normalizer.normalize_str
         self.letters = dict(enumerate(_byte_letters()))
         self.stems: dict[str, bytes] = {}
 
@@ -65,11 +67,11 @@ class _Words(dict):
     def __missing__(self, raw: bytes) -> bytes:
         word = raw.decode("utf-8")
         stem = word.rstrip(_PUNCTUATION)
-        if not stem.isalpha():
+        # Below U+0100 lower case is one letter for one, as in the tokenizer.
+        plain = stem.isalpha() and max(stem) < "\u0100"
+        if not plain and not (stem.isalpha() and self.normalize(stem).isalpha()):
             out = self._stem(word)
         else:
-            # Below U+0100 lower case is one letter for one, as in the tokenizer.
-            plain = max(stem) < "\u0100"
             out = self._stem(stem.lower() if plain else stem, plain) + (self._stem(word[len(stem):]) if len(stem) < len(word) else b"")
         self[raw] = out
         return out
@@ -144,16 +146,19 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[tuple[int, i
 def pack(pieces: DataFrame, seq_len: int = SEQ_LEN, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """``pieces`` with sequence_id and offset.
 
-    Pieces are dealt by a hash of (doc_id, start) into groups of about
+    Pieces are numbered and dealt by a hash of the number, so that null and
+    repeated ids are spread like others, into groups of about
     ``group_pieces``, and each group is packed by itself in one task, so work
     and memory of a task stay the same at any size. Groups of some thousand
     pieces leave hardly more padding than one packing of all would. Ties in
     length go by (doc_id, start). A sequence id is its group's number times
     2**32 plus its number in the group.
     """
-    pieces = pin(pieces, "pack-pieces")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    pieces = pin(pieces.withColumn("pack_row", F.monotonically_increasing_id()), "pack-pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).cast("bigint"))
+    group = F.pmod(F.xxhash64("pack_row"), F.lit(groups)).cast("bigint")
+    dealt = pieces.withColumn("pack_group", group).drop("pack_row")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True])
@@ -161,7 +166,6 @@ def pack(pieces: DataFrame, seq_len: int = SEQ_LEN, group_pieces: int = GROUP_PI
         return pdf.drop(columns="pack_group").assign(
             sequence_id=[(int(key[0]) << 32) + b for b, _ in where], offset=[o for _, o in where])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
     return dealt.groupBy("pack_group").applyInPandas(run, schema + ", sequence_id long, offset long")
 
 

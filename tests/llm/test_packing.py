@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from halyard.llm.packing import cut_pieces, first_fit_decreasing, pack, pack_documents, sequences
+from halyard.llm.packing import _Words, cut_pieces, first_fit_decreasing, pack, pack_documents, sequences
 from halyard.llm.queries import table, tokenizer_path
 
 PATH = tokenizer_path()
@@ -88,3 +88,25 @@ def test_groups_are_packed_alone_and_ids_come_back(spark, direct):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in packed.drop("ids").collect()[::17]:
         assert whole[r.sequence_id][r.offset:r.offset + r.length].tolist() == direct(texts[r.doc_id])[r.start:r.start + r.length]
+
+
+def test_every_letter_beside_punctuation(direct):
+    """Letters that normalise to a letter and a mark are no stem of letters."""
+    words = _Words(PATH)
+    ids = lambda text: np.frombuffer(words.encode(text), dtype="<u4").tolist()
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha()]
+    assert "\u0130" in letters and ids("B\u0130LG\u0130.") == direct("B\u0130LG\u0130.")[:-1]
+    for form in ("{}, ({}) x{}.", "{}a{}! -{}"):
+        for at in range(0, len(letters), 50):
+            text = " ".join(form.replace("{}", c) for c in letters[at:at + 50])
+            assert ids(text) == direct(text)[:-1], text
+
+
+def test_null_and_repeated_ids_are_spread_over_groups(spark):
+    rows = [(None if k % 3 == 0 else 5 if k % 3 == 1 else k, 0, 100 + k % 900, 1, 100) for k in range(3000)]
+    pieces = spark.createDataFrame(rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    got = pack(pieces, 1000, group_pieces=100).collect()
+    per = defaultdict(int)
+    for r in got:
+        per[r.sequence_id >> 32] += 1
+    assert len(got) == 3000 and len(per) == 30 and max(per.values()) < 200
