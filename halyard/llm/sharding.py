@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from halyard.llm.common import pin, text_or_empty, unit_key
 
-KEY_BITS = 52
+# A key is 52 bits from the id, then some from the row's number, so that rows
+# with one id, or none, can be cut apart.
+ID_BITS, ROW_BITS = 52, 10
+KEY_BITS = ID_BITS + ROW_BITS
 # Each round splits the interval of a splitter into 2 ** STEP_BITS probes.
 STEP_BITS = 8
 # Rows numbered by one task, about, and the most parts of a shard.
@@ -71,19 +74,22 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
 
     ``size`` is the text's UTF-8 bytes plus ``overhead``. Rows are put in the
     order of a hash of their id (so a shard is a random mix of sources, and
-    copies of a text are spread like any other rows) and cut where the bytes
+    copies of a text are spread like any other rows), then of their number as
+    read (so are rows that repeat an id or have none), and cut where the bytes
     before a row come nearest to an equal share. ``slot`` counts from 0 in a
     shard, without gaps. Large shards are numbered in several key ranges, made
     by the same splitters, whose row counts are then added up.
 
     Defined results: a null or empty text has the overhead alone; rows with a
-    null id share one key and one shard; repeated rows tie and go together;
-    an empty table gives an empty table.
+    null or a repeated id are rows like others; an empty table gives an empty
+    table.
     """
     text = text_or_empty(text_col)
     rows = pin(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + overhead).cast("bigint").alias("size"),
                            F.crc32(text.cast("binary")).alias("text_crc32"),
-                           unit_key(F.col(id_col), seed="shard").alias("key")), "shard-rows")
+                           (F.shiftleft(unit_key(F.col(id_col), seed="shard"), ROW_BITS)
+                            + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << ROW_BITS))).alias("key")),
+               "shard-rows")
     parts = max(1, min(MAX_PARTS, -(-rows.count() // (n_shards * PART_ROWS))))
     cuts = histogram_splitters(rows.select("key", "size"), n_shards * parts, tolerance)
     main = cuts[parts - 1::parts]

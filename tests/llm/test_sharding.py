@@ -64,3 +64,15 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = shard_by_bytes(docs, 3)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_rows_without_an_id_are_cut_apart(spark):
+    """A third of the ids are null and a third are one id: all shards get
+    their share of bytes."""
+    docs = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, 7).otherwise(
+        F.col("id")).cast("long").alias("doc_id"), F.lit("0123456789").alias("text"))
+    got = shard_by_bytes(docs, 24).groupBy("shard").agg(F.sum("size").alias("bytes"), F.max("slot").alias("last"),
+                                                        F.count("*").alias("n")).collect()
+    assert len(got) == 24 and all(r.last == r.n - 1 for r in got)
+    share = 20_000 * 18 / 24
+    assert all(abs(r.bytes - share) < 0.03 * share for r in got), got
