@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -14,14 +17,11 @@ from pyspark.sql import functions as F
 from halyard.llm.common import fresh, pin, runs
 from halyard.llm.graph import components, relabelled
 
-# Two collections of BANDS hashes, each over ROWS minhash values. A table key
-# is a pair, one from each: BANDS ** 2 tables from 2 * BANDS * ROWS minhash
-# values. Two sets of similarity s meet in a table with probability
-# (1 - (1 - s ** ROWS) ** BANDS) ** 2: 0.99993 at s = 0.8, 0.0098 at 0.1.
-BANDS, ROWS = 10, 2
-# Minhash values kept (a byte each) to compare candidates with. Sets that agree
-# in fewer than LEAST_EQUAL are not verified: at 0.8 that has probability 1e-5.
-VALUES, LEAST_EQUAL = 128, 82
+# Minhash values of a set; a byte of each is kept to compare candidates with.
+VALUES = 128
+# How often, at most, a pair at the threshold may miss every table, or agree in
+# too few bytes to be verified.
+MISSED, SKIPPED = 1e-4, 1e-5
 # Texts, and shingles, that one verification task holds of a family at most, about.
 BLOCK_ROWS, BLOCK_SHINGLES = 500, 400_000
 # Bytes of text hashed at a time.
@@ -30,6 +30,35 @@ CHUNK = 1 << 20
 _U = np.uint64
 
 
+class Banding(NamedTuple):
+    """Two collections of ``bands`` hashes, each over ``rows`` minhash values.
+    A table key is a pair, one from each: bands ** 2 tables from 2 * bands *
+    rows minhash values. Two sets of similarity s meet in a table with
+    probability (1 - (1 - s ** rows) ** bands) ** 2. Sets that agree in fewer
+    than ``least_equal`` of VALUES bytes are not verified."""
+    bands: int
+    rows: int
+    least_equal: int
+
+
+@cache
+def banding(percent: int) -> Banding:
+    """The banding for a threshold: at 80, 10 bands of 2 rows, which pairs of
+    0.8 miss with probability 7e-5 (and pairs of 0.1 meet in with 0.01)."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be in 1..100")
+    s, bands, rows = percent / 100, 1, 2 if percent >= 75 else 1
+    while (1 - (1 - s ** rows) ** bands) ** 2 < 1 - MISSED:
+        bands += 1
+    if 2 * bands * rows > VALUES:
+        raise ValueError(f"no banding of {VALUES} minhash values finds pairs of {percent} percent")
+    below, k = (1 - s) ** VALUES, 0  # of agreeing in at most k values
+    while below < SKIPPED:
+        k += 1
+        below += comb(VALUES, k) * s ** k * (1 - s) ** (VALUES - k)
+    return Banding(bands, rows, k)
+
+
 def _scramble(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> _U(33))) * _U(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> _U(33))) * _U(0xC4CEB9FE1A85EC53)
@@ -136,11 +165,11 @@ def _sketch(values: np.ndarray) -> np.ndarray:
     return (values >> _U(40)).astype(np.uint8)
 
 
-def _half_keys(values: np.ndarray) -> np.ndarray:
-    """The hashes of both collections, BANDS each, numbered by place."""
-    used = values[:, :2 * BANDS * ROWS].reshape(len(values), 2 * BANDS, ROWS)
-    key = np.broadcast_to(np.arange(2 * BANDS, dtype=np.uint64), used.shape[:2]) + _U(1)
-    for i in range(ROWS):
+def _half_keys(values: np.ndarray, band: Banding) -> np.ndarray:
+    """The hashes of both collections, numbered by place."""
+    used = values[:, :2 * band.bands * band.rows].reshape(len(values), 2 * band.bands, band.rows)
+    key = np.broadcast_to(np.arange(2 * band.bands, dtype=np.uint64), used.shape[:2]) + _U(1)
+    for i in range(band.rows):
         key = _scramble(key * _U(_BASE) + used[:, :, i])
     return key.view(np.int64)
 
@@ -148,7 +177,7 @@ def _half_keys(values: np.ndarray) -> np.ndarray:
 SIGNATURE = "doc_id long, n long, digest binary, keys array<long>, sketch binary"
 
 
-def _signatures(width: int):
+def _signatures(width: int, band: Banding):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
@@ -158,7 +187,7 @@ def _signatures(width: int):
                 keys, sketch = [None] * len(sets), [None] * len(sets)
                 if full:
                     values = minhash([sets[i] for i in full])
-                    for i, k, s in zip(full, _half_keys(values), _sketch(values)):
+                    for i, k, s in zip(full, _half_keys(values, band), _sketch(values)):
                         keys[i], sketch[i] = k, s.tobytes()
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array([len(s) for s in sets], pa.int64()),
@@ -185,7 +214,7 @@ def _alike(sketches: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray,
     """Which of ``others`` may be as similar to i as asked, by size and sketch."""
     small, large = np.minimum(sizes[i], sizes[others]), np.maximum(sizes[i], sizes[others])
     others = others[100 * small >= percent * large]
-    return others[(sketches[others] == sketches[i]).sum(axis=1) >= LEAST_EQUAL]
+    return others[(sketches[others] == sketches[i]).sum(axis=1) >= banding(percent).least_equal]
 
 
 def _spanning_links(side: np.ndarray, cls: list, sketches: np.ndarray, sizes: np.ndarray, percent: int,
@@ -243,7 +272,7 @@ def _pair_filter(percent: int):
                 continue
             a, b = (np.frombuffer(b"".join(pdf[c]), dtype=np.uint8).reshape(len(pdf), VALUES) for c in ("sx", "sy"))
             small, large = pdf[["nx", "ny"]].min(axis=1), pdf[["nx", "ny"]].max(axis=1)
-            yield pdf.loc[((a == b).sum(axis=1) >= LEAST_EQUAL) & (100 * small >= percent * large), ["x", "y"]]
+            yield pdf.loc[((a == b).sum(axis=1) >= banding(percent).least_equal) & (100 * small >= percent * large), ["x", "y"]]
     return run
 
 
@@ -284,17 +313,18 @@ def families(nodes: DataFrame, percent: int) -> DataFrame:
 
     ``nodes`` (doc_id, n, keys, sketch) has each distinct set once. The half
     keys that only one set has are dropped before pairs of them are formed, so
-    a set without a likeness costs 2 * BANDS rows, not BANDS ** 2. In each
+    a set without a likeness costs two rows a band, not one a table. In each
     table bucket all are first compared with the smallest id by sketch. Where
     that leaves buckets in several families, their rows are gathered by first
     half and compared in blocks, which hand on a spanning forest. Pairs are
     never listed.
     """
+    bands = banding(percent).bands
     half = nodes.select("doc_id", F.posexplode("keys").alias("at", "key"))
     live = half.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key")
     half = pin(half.join(live, "key"), "near-half-keys")
-    tables = (half.filter(F.col("at") < BANDS).select("doc_id", F.col("key").alias("a"))
-              .join(half.filter(F.col("at") >= BANDS).select("doc_id", F.col("key").alias("b")), "doc_id")
+    tables = (half.filter(F.col("at") < bands).select("doc_id", F.col("key").alias("a"))
+              .join(half.filter(F.col("at") >= bands).select("doc_id", F.col("key").alias("b")), "doc_id")
               .select("doc_id", "a", F.xxhash64("a", "b").alias("grp")))
     stat = tables.groupBy("grp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     buckets = pin(tables.join(stat, "grp"), "near-buckets")
@@ -344,7 +374,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sig = pin(texts.mapInArrow(_signatures(width), SIGNATURE), "near-signatures")
+    sig = pin(texts.mapInArrow(_signatures(width, banding(percent)), SIGNATURE), "near-signatures")
     nodes = pin(sig.filter("digest is not null and doc_id is not null").groupBy("digest").agg(
         F.min("doc_id").alias("doc_id"), F.first(F.struct("n", "keys", "sketch")).alias("s"))
         .select("digest", "doc_id", "s.n", "s.keys", "s.sketch"), "near-nodes")

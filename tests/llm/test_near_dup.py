@@ -2,10 +2,11 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from halyard.llm.graph import components
-from halyard.llm.near_dup import cells, drop_near_duplicates, near_duplicates, shingle_sets
+from halyard.llm.near_dup import banding, cells, drop_near_duplicates, near_duplicates, shingle_sets
 
 
 def words_of(text):
@@ -67,6 +68,17 @@ def test_against_all_pairs(spark):
         assert got == brute(rows, width)
 
 
+def test_lower_thresholds_lose_no_link(spark):
+    rows = family_texts(7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (50, 60, 95):
+        assert sorted(tuple(r) for r in near_duplicates(docs, percent=percent).collect()) == brute(rows, 5, percent)
+    assert banding(80) == (10, 2, 82)
+    for percent in (0, 101, 5):
+        with pytest.raises(ValueError):
+            banding(percent)
+
+
 def test_edges(edge_docs, no_docs):
     got = near_duplicates(edge_docs, width=4)
     assert got.count() == edge_docs.count()
