@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from halyard.llm.common import WORD, fresh, numbered, pin, small, text_or_empty, unit_key
 
 MAX_COPIES = 3
-# Documents that may be added to each source to come nearer to its target.
-FITTED = 2
 # About as many rows fall into each bin of ranks.
 BIN_ROWS = 50_000
 
@@ -79,6 +77,35 @@ def pareto_take(cands: DataFrame, budgets: DataFrame, bins: int) -> DataFrame:
             .unionByName(edge.select(*cands.columns, (F.col("after") <= F.col("budget")).alias("picked"))))
 
 
+def pareto_fill(cands: DataFrame, budgets: DataFrame, bins: int) -> DataFrame:
+    """``cands`` with ``picked``: in order of the Pareto rank, every document
+    is taken that fits into what is left of its source's budget; one that
+    does not fit is passed over.
+
+    Each round takes what stands before the first document that does not fit
+    (``pareto_take``), then goes on with those behind it that are no larger
+    than what is still lacking, until no source has any. The budget left is
+    less than one document after the first round, so rounds are few.
+    """
+    drawn = pin(pareto_take(cands, budgets, bins), "mix-drawn")
+    left, lack, more = drawn.filter(~F.col("picked") & (F.col("size") > 0)).drop("picked"), budgets, drawn.filter("picked")
+    rows = None
+    while True:
+        got = more.groupBy("source").agg(F.sum("size").alias("got"))
+        lack = small(pin(by_source(lack, got, "left").select("source", (
+            F.col("budget") - F.coalesce("got", F.lit(0))).alias("budget")), "mix-lacks"))
+        left = pin(by_source(left, lack).filter(F.col("size") <= F.col("budget")).drop("budget"), "mix-left")
+        if not left.take(1):
+            break
+        taken = pin(pareto_take(left, lack, bins), "mix-more")
+        left, more = taken.filter(~F.col("picked")).drop("picked"), taken.filter("picked")
+        rows = more.select("row") if rows is None else rows.unionByName(more.select("row"))
+    if rows is None:
+        return drawn
+    rows = pin(rows.withColumn("late", F.lit(True)), "mix-late")
+    return drawn.join(rows, "row", "left").withColumn("picked", F.col("picked") | F.col("late").isNotNull()).drop("late")
+
+
 def best_fits(drawn: DataFrame, budgets: DataFrame) -> DataFrame:
     """(source, row) of the document per source that, added to those picked,
     brings the source nearest to its budget, if any does."""
@@ -101,9 +128,9 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, id_col: str =
     gives every document floor(r) certain copies. The rest, (r - floor(r)) of
     the source's words, is drawn by Pareto order sampling: with u uniform and
     p = r - floor(r), documents are ranked by (u / (1 - u)) / (p / (1 - p)) and
-    taken from the front as long as they fit into the words wanted. What is
-    then lacking, less than one document, is made up by up to FITTED documents
-    of the size that fits best. ``weights`` is (source, weight), one row per
+    taken in that order; one that does not fit into the words still wanted is
+    passed over. If a document larger than what is then lacking brings the
+    source nearer to its target, the nearest is added. ``weights`` is (source, weight), one row per
     source; by default 1, 2, 3, repeating. u is a hash of seed and id, so
     reruns agree. With ``row_col``, a unique number of each row, the result
     has it too, as ``row``.
@@ -128,14 +155,9 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, id_col: str =
     u = (F.col("k") + 0.5) / float(1 << 52)
     q = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
     rows = by_source(base, plan).withColumn("q", F.when(F.col("p") > 0, q)).drop("budget", "k")
-    drawn = pareto_take(rows.filter("q is not null"), budgets, bins)
-    drawn = pin(drawn.unionByName(rows.filter("q is null").withColumn("picked", F.lit(False))), "mix-drawn")
-    fits = None
-    for _ in range(FITTED):
-        now = drawn if fits is None else drawn.join(fits, "row", "left").withColumn(
-            "picked", F.col("picked") | F.col("fit").isNotNull()).drop("fit")
-        more = best_fits(now.filter("q is not null"), budgets).select("row", F.lit(True).alias("fit"))
-        fits = small(pin(more if fits is None else more.unionByName(fits), "mix-fits"))
+    drawn = pareto_fill(rows.filter("q is not null"), budgets, bins)
+    drawn = pin(drawn.unionByName(rows.filter("q is null").withColumn("picked", F.lit(False))), "mix-picked")
+    fits = small(pin(best_fits(drawn.filter("q is not null"), budgets).select("row", F.lit(True).alias("fit")), "mix-fits"))
     out = drawn.join(fits, "row", "left")
     copies = F.col("whole") + (F.col("picked") | F.col("fit").isNotNull()).cast("bigint")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"),

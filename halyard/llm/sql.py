@@ -15,7 +15,7 @@ def _unit(seed: str, value: str) -> str:
 
 
 OP1 = f"""
-WITH base AS (
+WITH RECURSIVE base AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORD})) AS BIGINT) AS size,
          {_unit('mix', 'doc_id')} AS k
   FROM documents),
@@ -44,21 +44,26 @@ ranked AS (
            (((k + 0.5) / 4503599627370496.0) / (1 - (k + 0.5) / 4503599627370496.0))
            / ((ratio - whole) / (1 - (ratio - whole))) END AS q
   FROM base b JOIN parts p ON b.source IS NOT DISTINCT FROM p.source),
-prefix AS (
-  SELECT *, q IS NOT NULL AND sum(size) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id
-         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= budget AS picked FROM ranked),
-lack1 AS (SELECT *, budget - sum(CASE WHEN picked THEN size ELSE 0 END) OVER (PARTITION BY source) AS lack FROM prefix),
-fit1 AS (
-  SELECT *, NOT picked AND q IS NOT NULL AND abs(lack - size) < abs(lack) AND row_number() OVER (PARTITION BY source
-         ORDER BY picked OR q IS NULL, abs(lack - size), q, doc_id) = 1 AS fit FROM lack1),
-now AS (SELECT * EXCLUDE (picked, lack, fit), picked OR fit AS picked FROM fit1),
-lack2 AS (SELECT *, budget - sum(CASE WHEN picked THEN size ELSE 0 END) OVER (PARTITION BY source) AS lack FROM now),
-fit2 AS (
+cand AS (
+  SELECT doc_id, source, size, budget, row_number() OVER (PARTITION BY source ORDER BY q, doc_id) AS n
+  FROM ranked WHERE q IS NOT NULL AND size > 0),
+walk AS (
+  SELECT source, budget, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS words, CAST(NULL AS BIGINT) AS doc_id, FALSE AS picked
+  FROM (SELECT DISTINCT source, budget FROM ranked)
+  UNION ALL
+  SELECT w.source, w.budget, c.n, w.words + CASE WHEN w.words + c.size <= w.budget THEN c.size ELSE 0 END, c.doc_id,
+         w.words + c.size <= w.budget
+  FROM walk w JOIN cand c ON c.source IS NOT DISTINCT FROM w.source AND c.n = w.n + 1),
+lacks AS (SELECT source, budget - max(words) AS lack FROM walk GROUP BY source, budget),
+drawn AS (
+  SELECT r.*, l.lack, EXISTS (SELECT 1 FROM walk w WHERE w.picked AND w.doc_id = r.doc_id) AS picked
+  FROM ranked r JOIN lacks l ON l.source IS NOT DISTINCT FROM r.source),
+fits AS (
   SELECT *, NOT picked AND q IS NOT NULL AND abs(lack - size) < abs(lack) AND row_number() OVER (PARTITION BY source
-         ORDER BY picked OR q IS NULL, abs(lack - size), q, doc_id) = 1 AS fit FROM lack2)
+         ORDER BY picked OR q IS NULL, abs(lack - size), q, doc_id) = 1 AS fit FROM drawn)
 SELECT doc_id, size, s AS source_size, target,
        CAST((whole + CASE WHEN picked OR fit THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
-FROM fit2
+FROM fits
 """
 
 _KEPT = ("connection", "content-encoding", "content-length", "content-range", "content-type")
@@ -118,7 +123,7 @@ FROM turns GROUP BY conv_id
 OP4 = f"""
 WITH norm AS (SELECT doc_id, regexp_replace(coalesce(text, ''), {_SPACE}, ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
-       doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+       row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
 FROM norm
 """
 
