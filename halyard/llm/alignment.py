@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +24,14 @@ DENSE, BITS = 4096, 8192
 # Characters of text taken at a time; pieces of text, and their characters,
 # whose alignment a worker remembers at most.
 SLICE, REMEMBERED, REMEMBERED_CHARS = 1 << 22, 200_000, 1 << 22
+# Pieces encoded at a time; links of a group from which on ids that repeat in
+# it are paired once, with their number.
+JOINED, LARGE = 256, 1024
 
 # Between two characters that are no white space, both tokenizers part the
 # text before a single space, so what lies between such cuts is encoded once.
 _CUT = re.compile("(?<=[^\\s\u180e\u200b\ufeff]) (?=[^\\s\u180e\u200b\ufeff])")
+_INNER = re.compile("[^\\s\u180e\u200b\ufeff](?:.*[^\\s\u180e\u200b\ufeff])?\\Z", re.DOTALL)
 
 
 def _byte_of() -> dict[str, int]:
@@ -56,7 +59,13 @@ class Tokenizers:
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(t[3:5], 16)]) if self.b.is_byte(i) else t.replace("▁", " ").encode()
                         for i, t in enumerate(names)]
-        self.b_size = len(names)
+        self.b_size, self.a_size = len(names), 1 + max(self.a_bytes)
+        self.a_length = np.array([len(self.a_bytes.get(i, b"")) for i in range(self.a_size)])
+        self.b_length = np.array([len(x) for x in self.b_bytes])
+        # Ids as text, with the mark behind them: within a group, at its end,
+        # and for B at the end of a piece.
+        self.a_text = np.array([f"{i}{mark}" for mark in ",|" for i in range(self.a_size)], dtype=object)
+        self.b_text = np.array([f"{i}{mark}" for mark in ",;\n" for i in range(self.b_size)], dtype=object)
         # A piece with a space behind another character could reach over a cut.
         self.cut = not any(" " in t.decode("utf-8", "replace").lstrip(" ") for t in self.b_bytes)
 
@@ -70,21 +79,58 @@ class Tokenizers:
             yield (a, b) if right else None
 
 
-def aligned_groups(a: list[int], b: list[int], a_bytes, b_bytes) -> Iterator[tuple[list[int], list[int]]]:
-    """(A's ids, B's ids) between byte offsets at which tokens of both end."""
-    i = j = at_a = at_b = 0
-    while i < len(a):
-        start_a, start_b = i, j
-        at_a += len(a_bytes[a[i]])
-        i += 1
-        while at_a != at_b:
-            if at_a < at_b:
-                at_a += len(a_bytes[a[i]])
-                i += 1
-            else:
-                at_b += len(b_bytes[b[j]])
-                j += 1
-        yield a[start_a:i], b[start_b:j]
+class Aligned(NamedTuple):
+    """Pieces of text, one behind the other: a row a piece (tokens of A and of
+    B, groups, links), its groups as text, and its pairs up to ``ends``."""
+    rows: np.ndarray
+    shown: list[bytes]
+    ends: np.ndarray
+    codes: np.ndarray
+    times: np.ndarray
+
+
+def aligned(a: np.ndarray, b: np.ndarray, piece_ends: np.ndarray, t: Tokenizers) -> Aligned:
+    """The groups between byte offsets at which tokens of both end, for the
+    ids of pieces that end at the byte offsets ``piece_ends`` (both tokenizers
+    part there). A group links all its pairs."""
+    ends_a, ends_b = np.cumsum(t.a_length[a]), np.cumsum(t.b_length[b])
+    end_a, end_b = np.isin(ends_a, ends_b, assume_unique=True), np.isin(ends_b, ends_a, assume_unique=True)
+    group_a, group_b = np.cumsum(end_a) - end_a, np.cumsum(end_b) - end_b
+    n_a, n_b = np.bincount(group_a), np.bincount(group_b)
+    first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+    piece = np.searchsorted(piece_ends, ends_a[end_a])
+    count = lambda values: _added(piece, values, len(piece_ends))
+    rows = np.stack([count(n_a), count(n_b), count(np.ones_like(n_a)), count(n_a * n_b)], axis=1)
+
+    # Each id with the mark behind it: A's and B's of a group, then the next group or piece.
+    last = np.concatenate([piece[1:] != piece[:-1], [True]])
+    texts = np.empty(len(a) + len(b), dtype=object)
+    texts[np.arange(len(a)) + first_b[group_a]] = t.a_text[a + t.a_size * end_a]
+    texts[np.arange(len(b)) + (first_a + n_a)[group_b]] = t.b_text[b + t.b_size * (end_b * (1 + last[group_b]))]
+    shown = "".join(texts).encode().split(b"\n")[:-1]
+
+    links = n_a * n_b
+    large = links > LARGE
+    times_a = np.where(large, 0, n_b)[group_a]
+    at = np.arange(times_a.sum()) - np.repeat(np.cumsum(times_a) - times_a, times_a)
+    codes = np.repeat(a * t.b_size, times_a) + b[at + np.repeat(first_b[group_a], times_a)]
+    times, of = np.ones(len(codes), dtype=np.int64), np.repeat(piece[group_a], times_a)
+    for g in np.flatnonzero(large):  # ids that repeat in a long group are paired once
+        x, n = np.unique(a[first_a[g]:first_a[g] + n_a[g]], return_counts=True)
+        y, m = np.unique(b[first_b[g]:first_b[g] + n_b[g]], return_counts=True)
+        codes = np.concatenate([codes, (x[:, None] * t.b_size + y).ravel()])
+        times = np.concatenate([times, (n[:, None] * m).ravel()])
+        of = np.concatenate([of, np.full(len(x) * len(y), piece[g])])
+    if large.any():
+        order = np.argsort(of, kind="stable")
+        codes, times, of = codes[order], times[order], of[order]
+    return Aligned(rows, shown, np.searchsorted(of, np.arange(len(piece_ends)), side="right"), codes, times)
+
+
+def _added(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(size, dtype=np.int64)
+    np.add.at(out, at, values)
+    return out
 
 
 class _Aligner:
@@ -99,24 +145,48 @@ class _Aligner:
         self.shown: list[bytes] = []
         self.chars = 0
         # A row a piece (right, tokens of A and of B, groups, links, end of its pairs).
-        self.rows, self.codes, self.times = array("q"), array("q"), array("q")
+        self.rows = np.empty((0, 6), dtype=np.int64)
+        self.codes = self.times = np.empty(0, dtype=np.int64)
 
     def learn(self, pieces: list[str]) -> None:
-        t = self.tokenizers
-        for piece, ids in zip(pieces, t.encode(pieces)):
-            self.known[piece] = len(self.shown)
+        """Pieces that start and end within words are encoded many at a time,
+        joined by spaces, at which both tokenizers part; where the bytes of
+        the whole are not right, and for other pieces, each by itself."""
+        t, ids_a, ids_b, kept, odd = self.tokenizers, [], [], [], []
+        plain = [p for p in pieces if _INNER.match(p)] if t.cut else []
+        odd = [p for p in pieces if not (t.cut and _INNER.match(p))]
+        for at in range(0, len(plain), JOINED):
+            some = plain[at:at + JOINED]
+            both = next(t.encode([" ".join(some)]))
+            if both is None:
+                odd += some
+                continue
+            ids_a += both[0]
+            ids_b += both[1]
+            kept += some
+        wrong = []
+        for piece, both in zip(odd, t.encode(odd)):
+            if both is None:
+                wrong.append(piece)
+                continue
+            ids_a += both[0]
+            ids_b += both[1]
+            kept.append(piece)
+        for piece in kept + wrong:
+            self.known[piece] = len(self.known)
             self.chars += len(piece)
-            shown, pairs, links = [], Counter(), 0
-            for a, b in aligned_groups(*ids, t.a_bytes, t.b_bytes) if ids else ():
-                shown.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
-                links += len(a) * len(b)
-                for x, n in Counter(a).items():
-                    for y, m in Counter(b).items():
-                        pairs[x * t.b_size + y] += n * m
-            self.shown.append(";".join(shown).encode())
-            self.codes.extend(pairs.keys())
-            self.times.extend(pairs.values())
-            self.rows.extend([ids is not None, *map(len, ids or ((), ())), len(shown), links, len(self.codes)])
+        if kept:
+            ends = np.cumsum([1 + len(p.encode()) for p in kept])
+            new = aligned(np.array(ids_a, dtype=np.int64), np.array(ids_b, dtype=np.int64), ends, t)
+            self.rows = np.concatenate([self.rows, np.column_stack(
+                [np.ones(len(kept), dtype=np.int64), new.rows, new.ends + len(self.codes)])])
+            self.shown += new.shown
+            self.codes, self.times = np.concatenate([self.codes, new.codes]), np.concatenate([self.times, new.times])
+        if wrong:
+            none = np.zeros((len(wrong), 6), dtype=np.int64)
+            none[:, 5] = len(self.codes)
+            self.rows = np.concatenate([self.rows, none])
+            self.shown += [b""] * len(wrong)
 
     def align(self, texts: list[str]) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
         """A row a text (n_a, n_b, n_groups, n_links, digest), and its pairs
@@ -124,7 +194,7 @@ class _Aligner:
         parts = [(_CUT.split(t) if self.tokenizers.cut else [t]) if t else [] for t in texts]
         new = dict.fromkeys(p for part in parts for p in part if p not in self.known)
         self.learn(list(new))
-        rows = np.array(self.rows, dtype=np.int64).reshape(-1, 6)
+        rows = self.rows
         out, docs, uses = [], [], []
         for k, part in enumerate(parts):
             at = np.fromiter(map(self.known.__getitem__, part), dtype=np.int64, count=len(part))
@@ -144,7 +214,7 @@ class _Aligner:
         count = ends[use] - first
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
         doc = np.repeat(doc, count)
-        code, n = np.array(self.codes, dtype=np.int64)[at], np.array(self.times, dtype=np.int64)[at] * np.repeat(times, count)
+        code, n = self.codes[at], self.times[at] * np.repeat(times, count)
         doc, code, n = _summed(doc, code, n)
         if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.forget()
@@ -153,7 +223,7 @@ class _Aligner:
 
 def _summed(doc: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, code, n) sorted by code and doc, n summed over equal ones."""
-    order = np.lexsort((doc, code))
+    order = np.argsort((code << 32) | doc)
     doc, code, n = doc[order], code[order], n[order]
     new = np.flatnonzero(np.concatenate([[len(doc) > 0], (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])])[:len(doc)])
     return doc[new], code[new], np.add.reduceat(n, new) if len(new) else n
