@@ -10,7 +10,6 @@ caller writes the new tables as new versions (see ``sources.tables``).
 from __future__ import annotations
 
 from collections import ChainMap
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +18,7 @@ from halyard.functions.time import at
 from halyard.operators.ids import assign_ids, next_id
 from halyard.operators.integrity import all_present
 from halyard.operators.joins import is_small, present_in, small_side, spread_nulls
+from halyard.operators.replay import any_field_set, apply_patches, judged_changes, last_set, patch_fields, writable_fields
 from halyard.operators.validation import VALIDATORS, parse_utc_datetime
 from halyard.session import pinned
 from halyard.sources import schemas as S
@@ -61,12 +61,11 @@ def _flag_missing_parents(df: DataFrame, t, entity: str, cols: dict[str, Column]
 
 def _flag_unique(df: DataFrame, table: DataFrame, entity: str, order_by: str,
                  cols: dict[str, Column], small: bool | None = None,
-                 source: DataFrame | None = None, own_id: str | None = None) -> DataFrame:
+                 source: DataFrame | None = None) -> DataFrame:
     """Add an error code for a unique key the table holds already (key set
     taken from ``source``), or that an earlier row of the batch (by
     ``order_by``) holds. Only rows passing every other check can take a key
-    first; that minimum per key is a map-side combined aggregate joined back.
-    With ``own_id`` (a patch) a key that the row's own id holds is no clash."""
+    first; that minimum per key is a map-side combined aggregate joined back."""
     src = df if source is None else source
     out = df
     for keys in S.UNIQUE_KEYS.get(entity, []):
@@ -74,26 +73,17 @@ def _flag_unique(df: DataFrame, table: DataFrame, entity: str, order_by: str,
             continue
         names = [f"__u_{k}" for k in keys]
         asked = src.select(*[cols[k].alias(n) for k, n in zip(keys, names)])
-        have = table.select(*[F.col(k).alias(n) for k, n in zip(keys, names)],
-                            *([F.col("id").alias("__holder")] if own_id else []))
-        if own_id:      # the key is unique in the table: one holder each
-            asked = asked.where(all_present(names)).distinct()
-            held = have.join(small_side(asked, small=small), names, "left_semi")
-            held = small_side(held, small=small).withColumn("__held", F.lit(True))
-        else:
-            held = present_in(asked, have, names, small).withColumn("__held", F.lit(True))
+        have = table.select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
+        held = present_in(asked, have, names, small).withColumn("__held", F.lit(True))
         out = out.select("*", *[cols[k].alias(n) for k, n in zip(keys, names)])
         first = (out.where(all_present(names) & (F.size("errors") == 0))
                  .groupBy(*names).agg(F.min(order_by).alias("__first")))
         code = "unique:" + "+".join(keys)
-        clash = F.col("__held")
-        if own_id:
-            clash = clash & (F.col("__holder") != F.col(own_id))
         out = (out.join(held, names, "left").join(first, names, "left")
                   .withColumn("errors", F.when(
-                      clash | (F.col("__first") != F.col(order_by)),
+                      F.col("__held") | (F.col("__first") != F.col(order_by)),
                       F.array_append("errors", F.lit(code))).otherwise(F.col("errors")))
-                  .drop("__held", "__holder", "__first", *names))
+                  .drop("__held", "__first", *names))
     return out
 
 
@@ -190,10 +180,6 @@ def create_with_subscription(t, rows: DataFrame, as_of, order_by: str = "row_id"
 
 # -- fold (W5 / W11) ------------------------------------------------------------------
 
-def patch_fields(changes: DataFrame) -> list[str]:
-    return [c[4:] for c in changes.columns if c.startswith("set_")]
-
-
 def fold_changes(changes: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
     """Fold field-level changes to one row per key: for each field the
     latest set value by ``seq`` (an explicit NULL counts as set) and whether
@@ -226,9 +212,8 @@ def marked_changes(changes: DataFrame, entity: str, t=None, small: bool | None =
     rule, or with tables ``t`` names a parent that does not exist, turned
     into ``invalid``. A projection (``t`` adds lookups), so it also runs on a
     stream."""
-    fields = [f for f in patch_fields(changes) if f in S.WRITABLE[entity]]
-    any_set = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"set_{f}"), F.lit(False))
-                                          for f in fields], F.lit(False))
+    fields = writable_fields(changes, entity)
+    any_set = any_field_set(fields)
     checked = VALIDATORS[entity](changes, partial=True, checked_only=True).checked()
     if t is not None:
         checked = _flag_missing_parents(checked, t, entity, {
@@ -237,77 +222,33 @@ def marked_changes(changes: DataFrame, entity: str, t=None, small: bool | None =
     return checked.withColumn("op", F.when(bad, F.lit("invalid")).otherwise(F.col("op"))).drop("errors")
 
 
-def valid_changes(changes: DataFrame, entity: str, t=None, small: bool | None = None) -> DataFrame:
-    """``changes`` without the patches that ``marked_changes`` finds invalid."""
-    return marked_changes(changes, entity, t, small).where(F.col("op") != "invalid")
-
-
 def patch_batch(t, patches: DataFrame, entity: str, as_of, small: bool | None = None):
     """Partial update. A field applies when ``set_<field>`` is true (an
     explicit NULL clears it); ``updated_at = as_of`` on changed rows. A
     patch that sets nothing or breaks a rule is rejected, an unknown id is
-    not found. With a ``seq`` column there may be several patches for one id:
-    each is checked by itself, and those that pass are folded (latest wins);
-    an id is rejected if none passes. Without ``seq`` there is no telling
-    which is the last, so an id with several patches is rejected.
-    Returns ``(new_table, outcomes)``."""
-    table = t[entity]
-    if small is None:
-        small = is_small(patches)   # bounds the folded patches and their keys
+    not found. With a ``seq`` column the patches are applied in that order,
+    each by itself (see ``replay.replay_changes``). Without ``seq`` they are
+    taken in order of their ids, and, as there is no telling which is the
+    last, all patches of an id that has several are rejected.
+    Returns ``(new_table, outcomes)``, an outcome row for each patch: (seq,
+    id, op, outcome, errors), without ``seq`` one for each id (id, outcome,
+    errors)."""
     if "seq" in patches.columns:
-        changes = (patches.withColumn("op", F.lit("patch")) if "op" not in patches.columns
-                   else patches.where(F.col("op") == "patch"))
-        folded = fold_changes(valid_changes(changes, entity, t, small))
-        refused = changes.select("id").distinct().join(
-            small_side(folded.select("id"), small=small), "id", "left_anti")
-        repeated = None
+        changes = patches if "op" not in patches.columns else patches.where(F.col("op") == "patch")
+        judged = judged_changes(t, changes, entity, small)
+        outcomes = judged.select("seq", "id", "op", "outcome", "errors")
     else:
-        folded = patches
-        refused = None
-        repeated = (patches.groupBy("id").agg(F.count(F.lit(1)).alias("__n"))
-                    .where(F.col("__n") > 1).select(F.col("id").alias("__rid")))
-    fields = [f for f in patch_fields(folded) if f in S.WRITABLE[entity]]
-    any_set = reduce(lambda a, b: a | b, [F.col(f"set_{f}") for f in fields], F.lit(False))
-    checked = VALIDATORS[entity](folded, partial=True, checked_only=True).checked()
-    checked = checked.withColumn("errors", F.when(~any_set, F.array_append(
-        "errors", F.lit("no_fields"))).otherwise(F.col("errors")))
-    if repeated is not None:
-        checked = (checked.join(small_side(repeated, small=small), F.col("id") == F.col("__rid"), "left")
-                   .withColumn("errors", F.when(F.col("__rid").isNotNull(), F.array_append(
-                       "errors", F.lit("repeated"))).otherwise(F.col("errors"))).drop("__rid"))
-    fk_cols = {f: F.when(F.col(f"set_{f}"), F.col(f)) for f in fields}
-    checked = _flag_missing_parents(checked, t, entity, fk_cols, small, folded)
-    checked = _flag_unique(checked.withColumn("__order", F.col("id")), table, entity, "__order",
-                           {f: F.when(F.col(f"set_{f}"), F.col(f)) for f in fields}, small,
-                           folded, own_id="id").drop("__order")
-    ok, rejected = _split(checked)
-    p = ok.select(F.col("id").alias("__pid"), *[F.col(f).alias(f"__new_{f}") for f in fields],
-                  *[F.col(f"set_{f}").alias(f"__set_{f}") for f in fields])
-    # A batch under the bound is broadcast: the table is read once, in
-    # place, never shuffled.
-    joined = table.join(small_side(p, small=small), table["id"] == p["__pid"], "left")
-    hit = F.col("__pid").isNotNull()
-    out = []
-    for fld in S.TABLES[entity]:
-        n = fld.name
-        if n in fields:
-            c = F.when(hit & F.col(f"__set_{n}"), F.col(f"__new_{n}").cast(fld.dataType)) \
-                 .otherwise(F.col(n))
-        elif n == "updated_at":
-            c = F.when(hit, at(as_of).cast(fld.dataType)).otherwise(F.col(n))
-        else:
-            c = F.col(n)
-        out.append(c.alias(n))
-    new_table = joined.select(out)
-    found = present_in(ok.select(F.col("id").alias("__tid")),
-                       table.select(F.col("id").alias("__tid")), ["__tid"], small)
-    outcomes = (ok.select("id").join(found, F.col("id") == F.col("__tid"), "left")
-                .select("id", F.when(F.col("__tid").isNotNull(), F.lit("updated"))
-                        .otherwise(F.lit("not_found")).alias("outcome"))
-                .unionByName(rejected.select("id", F.lit("rejected").alias("outcome")).distinct()))
-    if refused is not None:
-        outcomes = outcomes.unionByName(refused.select("id", F.lit("rejected").alias("outcome")))
-    return new_table, outcomes
+        patches = pinned(patches, "patches")
+        if small is None:
+            small = is_small(patches)
+        repeated = (patches.groupBy("id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("id"))
+        once = patches.join(small_side(repeated, small=small), "id", "left_anti").withColumn("seq", F.col("id").cast("bigint"))
+        judged = judged_changes(t, once, entity, small)
+        outcomes = judged.select("id", "outcome", "errors").unionByName(
+            repeated.select("id", F.lit("rejected").alias("outcome"), F.lit("repeated").alias("errors")))
+    if small is None:
+        small = is_small(judged)
+    return apply_patches(t[entity], entity, last_set(judged, entity), as_of, small), outcomes
 
 
 # -- W6 -----------------------------------------------------------------------------
@@ -434,7 +375,7 @@ def apply_folded(t, folded: DataFrame, entity: str, as_of):
                                                      "patches", "rejected"), entity, as_of, small=small)
     new[entity] = new_tbl
     refused = folded.where(~F.col("deleted") & (F.col("patches") == 0) & (F.col("rejected") > 0))
-    return new, (del_out.unionByName(patch_out)
+    return new, (del_out.unionByName(patch_out.select("id", "outcome"))
                  .unionByName(refused.select("id", F.lit("rejected").alias("outcome"))))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from halyard.operators import changes as CH
+from halyard.operators.replay import replay_changes
 from halyard.operators import metrics as M
 from halyard.plans.catalog import AS_OF, register
 
@@ -68,13 +68,17 @@ def _customer_count(t):
 
 
 @register("write_counts", """
-WITH ids AS (SELECT DISTINCT id FROM customer_changes WHERE op = 'patch')
-SELECT CAST(count(c.id) AS BIGINT) AS rows_changed,
-       CAST(count(*) - count(c.id) AS BIGINT) AS not_found,
-       CAST(0 AS BIGINT) AS rejected
-FROM ids LEFT JOIN customers c ON c.id = ids.id""")
+WITH ch AS (
+  SELECT h.id, c.id AS found, h.op, set_status AND h.status NOT IN ('active', 'inactive', 'churned') AS broken,
+         d.seq IS NOT NULL AND h.seq > d.seq AS late
+  FROM customer_changes h LEFT JOIN customers c ON c.id = h.id
+  LEFT JOIN (SELECT id, min(seq) AS seq FROM customer_changes WHERE op = 'delete' GROUP BY id) d ON d.id = h.id)
+SELECT CAST(count(*) FILTER (WHERE NOT broken AND found IS NOT NULL AND NOT late) AS BIGINT) AS rows_changed,
+       CAST(count(*) FILTER (WHERE NOT broken AND (found IS NULL OR late)) AS BIGINT) AS not_found,
+       CAST(count(*) FILTER (WHERE broken) AS BIGINT) AS rejected
+FROM ch""")
 def _write_counts(t):
-    """Rows changed, keys not found and rows rejected by the patch
-    batch folded from the change feed."""
-    _new, outcomes = CH.patch_batch(t, t["customer_changes"], "customers", AS_OF)
+    """The changes of the feed that took effect, found no row or were
+    rejected, replayed one after the other."""
+    _new, outcomes = replay_changes(t, t["customer_changes"], "customers", AS_OF)
     return M.write_counts(outcomes)

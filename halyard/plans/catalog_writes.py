@@ -13,6 +13,7 @@ from halyard.operators import lifecycle as L
 from halyard.operators import validation as VAL
 from halyard.operators import views as V
 from halyard.operators.ids import assign_ids
+from halyard.operators.replay import replay_changes
 from halyard.plans.catalog import AS_OF, register
 from halyard.plans.catalog_reads import CANDIDATES
 from halyard.session import scratch_dir
@@ -215,7 +216,8 @@ def _patched_customers_sql(with_deletes: bool) -> str:
     dels = ("\nWHERE c.id NOT IN (SELECT id FROM customer_changes WHERE op = 'delete')"
             if with_deletes else "")
     return """
-WITH ch AS (SELECT * FROM customer_changes WHERE op = 'patch'),
+WITH ch AS (SELECT * FROM customer_changes WHERE op = 'patch'
+            AND (NOT set_status OR status IN ('active', 'inactive', 'churned'))),
 ls AS (SELECT id, max(seq) AS s FROM ch WHERE set_status GROUP BY id),
 st AS (SELECT ch.id, ch.status FROM ch JOIN ls ON ls.id = ch.id AND ls.s = ch.seq),
 lnn AS (SELECT id, max(seq) AS s FROM ch WHERE set_notes GROUP BY id),
@@ -237,6 +239,61 @@ def _patch_batch(t):
     return new
 
 
+# One change after the other: a map from each customer concerned to its
+# address, rewritten by every edit that asks for an address or deletes.
+REPLAY_SQL = """
+WITH RECURSIVE known AS (
+  SELECT e.*, c.id IS NOT NULL AND (d.seq IS NULL OR e.seq <= d.seq) AS found,
+         CASE WHEN e.email = 'no address' THEN 'email:email' ELSE '' END AS broken
+  FROM customer_edits e LEFT JOIN customers c ON c.id = e.id
+  LEFT JOIN (SELECT id, min(seq) AS seq FROM customer_edits WHERE op = 'delete' GROUP BY id) d ON d.id = e.id),
+steps AS (
+  SELECT row_number() OVER (ORDER BY seq) AS n, seq, id, op, email FROM known
+  WHERE found AND broken = '' AND (op = 'delete' OR email IS NOT NULL)),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, TRUE AS stands,
+         (SELECT map_from_entries(list((id, email))) FROM customers
+          WHERE id IN (SELECT id FROM steps) OR email IN (SELECT email FROM steps)) AS mails
+  UNION ALL
+  SELECT n, seq, stands, CASE WHEN stands THEN map_concat(mails, MAP {id: email}) ELSE mails END
+  FROM (SELECT s.n, s.seq, s.id, s.email, w.mails, s.op = 'delete' OR coalesce(w.mails[s.id] = s.email, FALSE)
+               OR NOT list_contains(map_values(w.mails), s.email) AS stands
+        FROM walk w JOIN steps s ON s.n = w.n + 1)),
+told AS (
+  SELECT k.*, CASE WHEN broken <> '' THEN 'rejected' WHEN email IS NULL AND set_email THEN 'rejected'
+                   WHEN NOT found THEN 'not_found' WHEN op = 'delete' THEN 'deleted'
+                   WHEN NOT coalesce(w.stands, TRUE) THEN 'rejected' ELSE 'updated' END AS outcome,
+         CASE WHEN broken <> '' THEN broken WHEN email IS NULL AND set_email THEN 'email:required'
+              WHEN found AND NOT coalesce(w.stands, TRUE) THEN 'unique:email' ELSE '' END AS errors
+  FROM known k LEFT JOIN walk w ON w.seq = k.seq)"""
+
+
+@register("change_outcomes", REPLAY_SQL + "\nSELECT seq, id, op, outcome, errors FROM told")
+def _change_outcomes(t):
+    """The outcome of each of the customers' edits, applied one
+    after the other; addresses are freed, swapped and contested."""
+    _new, outcomes = replay_changes(t, t["customer_edits"], "customers", AS_OF)
+    return outcomes
+
+
+@register("change_replay", REPLAY_SQL + """,
+lasts AS (
+  SELECT id, arg_max(struct_pack(v := email), seq) FILTER (WHERE set_email) AS email,
+         arg_max(struct_pack(v := status), seq) FILTER (WHERE set_status) AS status,
+         arg_max(struct_pack(v := notes), seq) FILTER (WHERE set_notes) AS notes
+  FROM told WHERE outcome = 'updated' GROUP BY id)
+SELECT c.id, c.first_name, c.last_name, CASE WHEN l.email IS NULL THEN c.email ELSE l.email.v END AS email, c.phone, c.company_id,
+       CASE WHEN l.status IS NULL THEN c.status ELSE l.status.v END AS status,
+       CASE WHEN l.notes IS NULL THEN c.notes ELSE l.notes.v END AS notes, c.created_at,
+       CASE WHEN l.id IS NULL THEN c.updated_at ELSE {AS_OF} END AS updated_at
+FROM customers c LEFT JOIN lasts l ON l.id = c.id
+WHERE c.id NOT IN (SELECT id FROM told WHERE outcome = 'deleted')""")
+def _change_replay(t):
+    """The customers after all edits, applied one after the other."""
+    new, _outcomes = replay_changes(t, t["customer_edits"], "customers", AS_OF)
+    return new["customers"]
+
+
 @register("change_stream", _patched_customers_sql(True))
 def _change_stream(t):
     """The change feed read as a stream, folded by a stateful

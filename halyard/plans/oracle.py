@@ -64,9 +64,9 @@ def with_views(query: str) -> str:
     q = query.strip().replace("{AS_OF}", AS_OF_SQL)
     used = [n for n in FIXTURE_SQL if re.search(rf"\b{n}\b", q)]
     ctes = [f"{n} AS ({view_sql(n)})" for n in used]
-    if q[:5].upper() == "WITH ":
-        q_body = q[5:]
-        return "WITH " + ",\n".join(ctes + [q_body]) if ctes else q
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if q.startswith(head):
+            return head + ",\n".join([*ctes, q[len(head):]])
     if not ctes:
         return q
     return "WITH " + ",\n".join(ctes) + "\n" + q

@@ -129,7 +129,7 @@ def customer_packages_view(orders: DataFrame) -> DataFrame:
 
 def notification_log_view(orders: DataFrame) -> DataFrame:
     k = F.col("o_orderkey")
-    return orders.where(k % 10 == 0).select(
+    return orders.select(
         k.alias("id"), F.lit("package_expiry").alias("type"),
         F.lit("admin@example.com").alias("recipient_email"),
         F.lit("Package Expiry Alert - 7 day horizon").alias("subject"),
@@ -139,19 +139,41 @@ def notification_log_view(orders: DataFrame) -> DataFrame:
 
 
 def customer_changes_view(events: DataFrame) -> DataFrame:
-    et = F.col("event_type")
-    eid = F.col("event_id")
-    view = et == "view"
-    click = et == "click"
+    """Every event is a change: views and signups set the status, clicks and
+    purchases the notes (some to NULL), errors a status that no rule allows,
+    or are deletes."""
+    et, eid = F.col("event_type"), F.col("event_id")
+    status, delete = et.isin("view", "signup", "error"), (et == "error") & (eid % 97 == 0)
     bucket = F.floor("value").cast("int") % 3
-    return events.where(et.isin("view", "click") | ((et == "error") & (eid % 97 == 0))).select(
+    return events.select(
         eid.alias("seq"), F.col("ts"), F.col("user_id").alias("id"),
-        F.when(et == "error", "delete").otherwise("patch").alias("op"),
-        view.alias("set_status"),
-        F.when(view, F.when(bucket == 0, "active").when(bucket == 1, "inactive")
-               .otherwise("churned")).alias("status"),
-        click.alias("set_notes"),
-        F.when(click & (eid % 3 != 0), F.concat(F.lit("clicked "), _s(eid))).alias("notes"))
+        F.when(delete, "delete").otherwise("patch").alias("op"),
+        (status & ~delete).alias("set_status"),
+        F.when(et == "error", F.when(~delete, "error")).when(et == "signup", "active").when(
+            et == "view", F.when(bucket == 0, "active").when(bucket == 1, "inactive").otherwise("churned")).alias("status"),
+        et.isin("click", "purchase").alias("set_notes"),
+        F.when((et == "click") & (eid % 3 != 0), F.concat(F.lit("clicked "), _s(eid)))
+         .when(et == "purchase", F.concat(F.lit("bought "), _s(eid))).alias("notes"))
+
+
+def customer_edits_view(events: DataFrame, customer: DataFrame) -> DataFrame:
+    """Every event is an edit of a customer's form: signups and purchases
+    change the e-mail address, to that of the customer itself or of one of the
+    next two, to one that many ask for, or to one of a few; clicks set the
+    notes, views the status; errors are addresses that are none, or deletes."""
+    et, eid, k = F.col("event_type"), F.col("event_id"), F.col("c_custkey")
+    other = F.concat(F.lower("c_mktsegment"), F.lit("."), _s(k), F.lit("@example.com"))
+    j = events.join(customer.select("c_custkey", "c_mktsegment"), F.col("user_id") + eid % 3 == k, "left")
+    delete = (et == "error") & (eid % 97 == 0)
+    mail = et.isin("signup", "purchase") | (et == "error") & ~delete
+    return j.select(
+        eid.alias("seq"), F.col("user_id").alias("id"), F.when(delete, "delete").otherwise("patch").alias("op"),
+        mail.alias("set_email"),
+        F.when(et == "error", F.when(~delete, "no address")).when(et == "signup", other).when(et == "purchase", F.when(
+            eid % 4 == 0, "shared@example.com").otherwise(F.concat(F.lit("m"), _s(eid % 50), F.lit("@example.com")))).alias("email"),
+        (et == "view").alias("set_status"), F.when(et == "view", "inactive").alias("status"),
+        et.isin("click", "signup").alias("set_notes"),
+        F.when(et == "click", F.concat(F.lit("clicked "), _s(eid))).alias("notes"))
 
 
 def dirty_customers_view(customer: DataFrame) -> DataFrame:
@@ -381,6 +403,7 @@ def _fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
                                               S.NOTIFICATION_LOG),
         "customer_changes": lambda: S.conform(customer_changes_view(raw("events")),
                                               S.CUSTOMER_CHANGES),
+        "customer_edits": lambda: customer_edits_view(raw("events"), raw("customer")),
         "package_features_text": lambda: packages_view(raw("part"), with_text=True)
                                          .select("id", "features_text"),
         "company_requests": lambda: company_requests_view(raw("supplier"), raw("nation")),
@@ -468,15 +491,28 @@ SELECT o_orderkey AS id, 'package_expiry' AS type, 'admin@example.com' AS recipi
        'Package Expiry Alert - 7 day horizon' AS subject, o_orderdate AS sent_at,
        CAST(NULL AS BIGINT) AS customer_id, o_orderkey AS customer_package_id,
        TRUE AS success, CAST(NULL AS VARCHAR) AS error_message
-FROM orders WHERE o_orderkey % 10 = 0""",
+FROM orders""",
     "customer_changes": """
 SELECT event_id AS seq, ts, user_id AS id,
-       CASE WHEN event_type = 'error' THEN 'delete' ELSE 'patch' END AS op,
-       event_type = 'view' AS set_status,
-       CASE WHEN event_type = 'view' THEN CASE CAST(floor(value) AS INT) % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'inactive' ELSE 'churned' END END AS status,
-       event_type = 'click' AS set_notes,
-       CASE WHEN event_type = 'click' AND event_id % 3 <> 0 THEN concat('clicked ', CAST(event_id AS VARCHAR)) END AS notes
-FROM events WHERE event_type IN ('view', 'click') OR (event_type = 'error' AND event_id % 97 = 0)""",
+       CASE WHEN event_type = 'error' AND event_id % 97 = 0 THEN 'delete' ELSE 'patch' END AS op,
+       event_type IN ('view', 'signup') OR event_type = 'error' AND event_id % 97 <> 0 AS set_status,
+       CASE event_type WHEN 'error' THEN CASE WHEN event_id % 97 <> 0 THEN 'error' END WHEN 'signup' THEN 'active'
+            WHEN 'view' THEN CASE CAST(floor(value) AS INT) % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'inactive' ELSE 'churned' END END AS status,
+       event_type IN ('click', 'purchase') AS set_notes,
+       CASE WHEN event_type = 'click' AND event_id % 3 <> 0 THEN concat('clicked ', CAST(event_id AS VARCHAR))
+            WHEN event_type = 'purchase' THEN concat('bought ', CAST(event_id AS VARCHAR)) END AS notes
+FROM events""",
+    "customer_edits": """
+SELECT event_id AS seq, user_id AS id, CASE WHEN event_type = 'error' AND event_id % 97 = 0 THEN 'delete' ELSE 'patch' END AS op,
+       event_type IN ('signup', 'purchase') OR event_type = 'error' AND event_id % 97 <> 0 AS set_email,
+       CASE event_type WHEN 'error' THEN CASE WHEN event_id % 97 <> 0 THEN 'no address' END
+            WHEN 'signup' THEN lower(c_mktsegment) || '.' || CAST(c_custkey AS VARCHAR) || '@example.com'
+            WHEN 'purchase' THEN CASE WHEN event_id % 4 = 0 THEN 'shared@example.com' ELSE 'm' || CAST(event_id % 50 AS VARCHAR) || '@example.com' END
+       END AS email,
+       event_type = 'view' AS set_status, CASE WHEN event_type = 'view' THEN 'inactive' END AS status,
+       event_type IN ('click', 'signup') AS set_notes,
+       CASE WHEN event_type = 'click' THEN concat('clicked ', CAST(event_id AS VARCHAR)) END AS notes
+FROM events LEFT JOIN customer ON c_custkey = user_id + event_id % 3""",
     "dirty_customers": """
 SELECT c_custkey AS row_id,
        CASE c_custkey % 10 WHEN 0 THEN '' WHEN 1 THEN repeat('x', 101) WHEN 2 THEN NULL ELSE 'Ann' END AS first_name,

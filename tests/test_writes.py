@@ -278,7 +278,9 @@ def test_each_patch_is_checked_by_itself(spark, demo):
                          (4, 2, "patch", False, None, True, None, False, None),
                          (5, 3, "patch", False, None, False, None, False, None)])
     new, out = CH.patch_batch(demo, p, "customers", T)
-    assert {r["id"]: r["outcome"] for r in out.collect()} == {1: "updated", 2: "rejected", 3: "rejected"}
+    assert [tuple(r) for r in out.select("seq", "outcome", "errors").orderBy("seq").collect()] == [
+        (1, "updated", ""), (2, "rejected", "status:enum"), (3, "rejected", "notes:too_long"),
+        (4, "rejected", "status:required"), (5, "rejected", "no_fields")]
     assert new.where("id = 1").first()["status"] == "inactive"
     assert new.where("status is null").count() == 0
 
