@@ -79,7 +79,8 @@ def judged_changes(t, changes: DataFrame, entity: str, small: bool | None = None
     none = F.array().cast("array<string>")
     checked = VALIDATORS[entity](changes, partial=True, checked_only=True).checked()
     checked = checked.withColumn("errors", F.when(F.col("op") == "delete", none).when(
-        ~patch, F.array(F.lit("op:unknown"))).when(~any_field_set(fields), F.array_append(codes, F.lit("no_fields"))).otherwise(codes))
+        ~patch, F.array(F.lit("op:unknown"))).when(
+        (F.size(codes) == 0) & ~any_field_set(fields), F.array(F.lit("no_fields"))).otherwise(codes))
     for c in ("seq", "id"):
         checked = checked.withColumn("errors", F.when(F.col(c).isNull(), F.array_append(codes, F.lit(f"{c}:required"))).otherwise(codes))
     checked = checked.withColumn("__rules", F.size("errors"))

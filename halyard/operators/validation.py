@@ -13,21 +13,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from halyard.sources.requests import merged_errors
+
 # The request grammars the validators accept.
-# An e-mail: local part of letters, digits and _ ' + - . that neither starts
-# with a dot nor holds two dots in a row and ends in a letter, digit, _, + or -;
-# then @, one or more dot-terminated labels of letters, digits and hyphens
-# (not starting with a hyphen), and a top-level part of two or more letters.
-EMAIL_PATTERN = r"^[A-Za-z0-9_'+\-.]*[A-Za-z0-9_+\-]@([A-Za-z0-9][A-Za-z0-9\-]*\.)+[A-Za-z]{2,}$"
-# A calendar date yyyy-MM-dd: months of 31, 30 and 28 days, and 29 February
-# in leap years (divisible by 4 but not by 100, or by 400).
-DATE_PATTERN = (r"(?:[0-9]{4}-(?:(?:0[13578]|1[02])-(?:0[1-9]|[12][0-9]|3[01])"
-                r"|(?:0[469]|11)-(?:0[1-9]|[12][0-9]|30)|02-(?:0[1-9]|1[0-9]|2[0-8]))"
-                r"|(?:[0-9]{2}(?:0[48]|[2468][048]|[13579][26])|(?:[02468][048]|[13579][26])00)"
-                r"-02-29)")
-# A UTC date-time: that date, T, HH:mm:ss, an optional fraction, then Z (no offset).
-DATETIME_PATTERN = ("^" + DATE_PATTERN
-                    + r"T(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\.[0-9]+)?Z$")
+# An e-mail: a name, one @ and a domain. The name has letters, digits and
+# _ ' + - . only; it does not start with a dot, hold two in a row or end with a
+# dot or '. The domain has two or more labels between dots: of letters, digits
+# and hyphens, not starting with a hyphen, and last one of two or more letters.
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+DIGITS = "0123456789"
+NAME_CHARACTERS, LABEL_CHARACTERS = LETTERS + DIGITS + "_'+-.", LETTERS + DIGITS + "-"
+# A UTC date-time: yyyy-MM-ddTHH:mm:ss, an optional fraction, then Z (no offset);
+# whether the date is one of the calendar is asked of the date itself.
+DATETIME_SHAPE = "^[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\\.[0-9]+)?Z$"
 # The largest values of the columns NUMERIC(10,2) and INT (fixed values).
 MAX_MONEY, MAX_INT = 99_999_999.99, 2_147_483_647
 CUSTOMER_STATUSES = ["active", "inactive", "churned"]
@@ -42,13 +40,24 @@ def _err(cond: Column, code: str) -> Column:
     return F.when(cond, F.lit(code))
 
 
+def _only(s: Column, characters: str) -> Column:
+    return F.translate(s, characters, "") == ""
+
+
 def is_email(s: Column) -> Column:
-    return s.rlike(EMAIL_PATTERN) & ~s.startswith(".") & ~s.contains("..")
+    name, domain = F.substring_index(s, "@", 1), F.substring_index(s, "@", -1)
+    last = F.substring_index(domain, ".", -1)
+    one = F.length(s) - F.length(F.replace(s, F.lit("@"))) == 1
+    named = ((name != "") & _only(name, NAME_CHARACTERS) & ~name.startswith(".") & ~name.contains("..")
+             & ~name.endswith(".") & ~name.endswith("'"))
+    placed = (domain.contains(".") & _only(domain, LABEL_CHARACTERS + ".") & ~domain.startswith(".") & ~domain.contains("..")
+              & ~domain.startswith("-") & ~domain.contains(".-") & (F.length(last) >= 2) & _only(last, LETTERS))
+    return one & named & placed
 
 
 def is_utc_datetime(s: Column) -> Column:
     """The grammar above: a real calendar date (no 30 February), UTC."""
-    return s.rlike(DATETIME_PATTERN)
+    return s.rlike(DATETIME_SHAPE) & F.substring(s, 1, 10).try_cast("date").isNotNull()
 
 
 def parse_utc_datetime(s) -> Column:
@@ -137,10 +146,10 @@ class Rules:
 
     def checked(self) -> DataFrame:
         e = F.col("error_text")
-        return (self.error_text()
-                .withColumn("errors", F.when(e == "", F.array().cast("array<string>"))
-                            .otherwise(F.split(e, r"\|")))
-                .drop("error_text"))
+        errors = F.when(e == "", F.array().cast("array<string>")).otherwise(F.split(e, r"\|"))
+        if "json_errors" in self.df.columns:
+            errors = merged_errors(errors, F.col("json_errors"))
+        return self.error_text().withColumn("errors", errors).drop("error_text", "json_errors")
 
     def split(self) -> tuple[DataFrame, DataFrame]:
         checked = self.checked()
@@ -252,6 +261,10 @@ VALIDATORS = {
 
 def validation_report(df: DataFrame, entity: str, key: str = "row_id") -> DataFrame:
     """Every request row with ``valid`` and its error codes (``|``-joined)."""
-    checked = VALIDATORS[entity](df, checked_only=True).error_text()
+    rules = VALIDATORS[entity](df, checked_only=True)
+    if "json_errors" in df.columns:
+        checked = rules.checked().withColumn("error_text", F.concat_ws("|", "errors"))
+    else:
+        checked = rules.error_text()
     return checked.select(key, (F.col("error_text") == "").alias("valid"),
                           F.col("error_text").alias("errors"))

@@ -17,21 +17,25 @@ from halyard.operators.replay import replay_changes
 from halyard.plans.catalog import AS_OF, register
 from halyard.plans.catalog_reads import CANDIDATES
 from halyard.session import scratch_dir
+from halyard.sources import requests as RQ
 from halyard.sources import schemas as S
 from halyard.sources.tables import latest_version
 from halyard.streaming.change_stream import apply_change_stream
 
-EMAIL_SQL = VAL.EMAIL_PATTERN.replace("'", "''")
-DT_SQL = VAL.DATETIME_PATTERN
-
 
 def is_email_sql(x: str) -> str:
-    return (f"(regexp_full_match({x}, '{EMAIL_SQL}') AND NOT starts_with({x}, '.') "
-            f"AND NOT contains({x}, '..'))")
+    """The e-mail rule by its grammar: words between dots, an @, labels."""
+    name, domain = f"string_split({x}, '@')[1]", f"string_split({x}, '@')[2]"
+    return (f"(len(string_split({x}, '@')) = 2 AND NOT ends_with({name}, '''') "
+            f"AND regexp_full_match({name}, '[A-Za-z0-9_''+-]+([.][A-Za-z0-9_''+-]+)*') "
+            f"AND regexp_full_match({domain}, '([A-Za-z0-9][A-Za-z0-9-]*[.])+[A-Za-z]{{2,}}'))")
 
 
 def is_dt_sql(x: str) -> str:
-    return f"regexp_full_match({x}, '{DT_SQL}')"
+    """The date-time rule by parsing what stands before the fraction."""
+    return (f"(regexp_full_match({x}, '.{{10}}T.{{8}}([.][0-9]+)?Z') "
+            f"AND regexp_full_match(left({x}, 10), '[0-9]+-[0-9]{{2}}-[0-9]{{2}}') "
+            f"AND try_strptime(left({x}, 19), '%Y-%m-%dT%H:%M:%S') IS NOT NULL)")
 
 
 def parse_dt_sql(x: str) -> str:
@@ -96,6 +100,84 @@ V5_RULES = (num_rules("customer_id", integer=True, required=True)
             + enum_rule("status", VAL.SUBSCRIPTION_STATUSES))
 
 
+def json_error_sql(path: str, code: str, types: str, kind: str, nullable: bool) -> str:
+    """The error code of one JSON field by DuckDB's own JSON types."""
+    t = f"json_type(body, '{path}')"
+    null = "" if nullable else f"WHEN {t} = 'NULL' THEN '{code}:required' "
+    value = f"TRY_CAST(json_extract_string(body, '{path}') AS DOUBLE)"
+    whole = f" AND {value} = floor({value})" if kind == "integer" else ""
+    return f"CASE {null}WHEN {t} IS NOT NULL AND {t} <> 'NULL' AND NOT ({t} IN ({types}){whole}) THEN '{code}:{kind}' END"
+
+
+def json_errors_sql(fields: list[tuple], path: str = "$.", code: str = "") -> list[str]:
+    kinds = {"text": ("'VARCHAR'", "string"), "number": ("'UBIGINT', 'BIGINT', 'DOUBLE'", "number"),
+             "whole": ("'UBIGINT', 'BIGINT', 'DOUBLE'", "integer"), "flag": ("'BOOLEAN'", "boolean")}
+    return [json_error_sql(path + n, code + c, *kinds[k], nullable) for n, c, k, nullable in fields]
+
+
+def _said(path: str, of: str, rules: list[str]) -> list[str]:
+    """Rules on a field that has the right JSON type, or is absent."""
+    value = f"json_extract_string(body, '{path}')"
+    return [f"CASE WHEN NOT list_contains(bad, '{of}') THEN {r.replace('{x}', value)} END" for r in rules]
+
+
+_NESTED = "json_type(body, '$.packageAssignment') = 'OBJECT'"
+_GIVEN = json_errors_sql(RQ.FIELDS["customers"]) + [
+    "CASE WHEN json_type(body, '$.packageAssignment') NOT IN ('OBJECT', 'NULL') THEN 'subscription:object' END"] + [
+    f"CASE WHEN {_NESTED} THEN {e} END" for e in json_errors_sql(RQ.NESTED_FIELDS, "$.packageAssignment.", "subscription.")]
+_CASE = f"CASE WHEN {_NESTED} AND "
+_RULES = (
+    [r for n, c in (("firstName", "first_name"), ("lastName", "last_name")) for r in _said(f"$.{n}", c, [
+        f"CASE WHEN {{x}} IS NULL THEN '{c}:required' END", f"CASE WHEN length({{x}}) < 1 THEN '{c}:too_short' END",
+        f"CASE WHEN length({{x}}) > 100 THEN '{c}:too_long' END"])]
+    + _said("$.email", "email", [
+        "CASE WHEN {x} IS NULL THEN 'email:required' END", "CASE WHEN length({x}) > 200 THEN 'email:too_long' END",
+        "CASE WHEN {x} IS NOT NULL AND NOT " + is_email_sql("{x}") + " THEN 'email:email' END"])
+    + _said("$.phone", "phone", ["CASE WHEN length({x}) > 50 THEN 'phone:too_long' END"])
+    + _said("$.status", "status", ["CASE WHEN {x} NOT IN ('active', 'inactive', 'churned') THEN 'status:enum' END"])
+    + _said("$.notes", "notes", ["CASE WHEN length({x}) > 2000 THEN 'notes:too_long' END"])
+    + _said("$.packageAssignment.packageId", "subscription.package_id", [_CASE + "{x} IS NULL THEN 'subscription.package_id:required' END"])
+    + _said("$.packageAssignment.joinedAt", "subscription.joined_at", [
+        _CASE + "{x} IS NOT NULL AND NOT " + is_dt_sql("{x}") + " THEN 'subscription.joined_at:datetime' END"])
+    + _said("$.packageAssignment.expiresAt", "subscription.expires_at", [
+        _CASE + "{x} IS NULL THEN 'subscription.expires_at:required' END",
+        _CASE + "{x} IS NOT NULL AND NOT " + is_dt_sql("{x}") + " THEN 'subscription.expires_at:datetime' END"])
+    + _said("$.packageAssignment.pricePaid", "subscription.price_paid", [
+        _CASE + "CAST({x} AS DOUBLE) < 0 THEN 'subscription.price_paid:too_small' END"]))
+
+
+@register("json_requests", """
+WITH filled AS (SELECT row_id, CASE WHEN trim(body) = '' THEN '{}' ELSE body END AS body FROM json_customers),
+ok AS (SELECT row_id, body FROM filled WHERE CASE WHEN json_valid(body) THEN json_type(body) END = 'OBJECT'),
+given AS (SELECT row_id, body, list_filter([""" + ", ".join(_GIVEN) + """], lambda e: e IS NOT NULL) AS g FROM ok),
+named AS (SELECT *, list_transform(g, lambda e: split_part(e, ':', 1)) AS bad FROM given),
+told AS (SELECT row_id, g || list_filter([""" + ", ".join(_RULES) + """], lambda e: e IS NOT NULL) AS e FROM named)
+SELECT row_id, len(e) = 0 AS valid, array_to_string(e, '|') AS errors FROM told
+UNION ALL SELECT row_id, FALSE, 'body:json' FROM filled WHERE row_id NOT IN (SELECT row_id FROM ok)""")
+def _json_requests(t):
+    """V4 over customer requests as JSON text: absent and null told apart,
+    wrong types and broken bodies kept with their codes."""
+    return VAL.validation_report(RQ.parse_requests(t["json_customers"], "customers"), "customers")
+
+
+@register("json_patch_outcomes", """
+WITH p AS (SELECT j.*, c.id IS NOT NULL AS found FROM json_patches j LEFT JOIN customers c ON c.id = j.id),
+told AS (
+  SELECT seq, id, found, CASE
+    WHEN body IN ('oops', '{"notes": "a", "notes') THEN 'body:json' WHEN body = '{}' THEN 'no_fields'
+    WHEN body = '{"phone": 5}' THEN 'phone:string' WHEN contains(body, '"status": null') THEN 'status:required' ELSE '' END AS broken,
+    CASE WHEN json_valid(body) THEN CAST(json_extract_string(body, '$.companyId') AS BIGINT) END AS company_id FROM p)
+SELECT seq, id, 'patch' AS op,
+       CASE WHEN broken <> '' THEN 'rejected' WHEN NOT found THEN 'not_found'
+            WHEN company_id NOT IN (SELECT id FROM companies) THEN 'rejected' ELSE 'updated' END AS outcome,
+       CASE WHEN broken = '' AND company_id NOT IN (SELECT id FROM companies) THEN 'company_id:no_parent' ELSE broken END AS errors
+FROM told""")
+def _json_patch_outcomes(t):
+    """W5 over patches as JSON text: the outcome of each."""
+    patches = RQ.parse_requests(t["json_patches"], "customers", partial=True)
+    return CH.patch_batch(t, patches, "customers", AS_OF)[1]
+
+
 @register("validate_companies", report_sql("dirty_companies", V1_RULES))
 def _v1(t):
     """V1 over the dirty company requests."""

@@ -255,6 +255,32 @@ def dirty_promotions_view(orders: DataFrame) -> DataFrame:
         (k % 2 == 0).alias("active"))
 
 
+# -- request bodies as JSON text (the same expression in Spark and DuckDB SQL) --------
+
+_OPEN = """'{"firstName": "Ann", "lastName": "Lee", "email": "j' || CAST(c_custkey AS STRING) || '@example.com"'"""
+JSON_CUSTOMER = f"""CASE c_custkey % 14
+  WHEN 0 THEN {_OPEN} || ', "companyId": 3, "notes": "ok"}}'
+  WHEN 1 THEN '{{"firstName": "", "email": "j1@example"}}'
+  WHEN 2 THEN {_OPEN} || ', "phone": null, "companyId": null}}'
+  WHEN 3 THEN {_OPEN} || ', "status": null}}'
+  WHEN 4 THEN '{{"firstName": 7, "lastName": ["Lee"], "email": null}}'
+  WHEN 5 THEN {_OPEN}
+  WHEN 6 THEN '[1, 2]'
+  WHEN 7 THEN {_OPEN} || ', "companyId": 2.5, "phone": ' || CAST(c_custkey AS STRING) || '}}'
+  WHEN 8 THEN {_OPEN} || ', "packageAssignment": {{"packageId": 5, "expiresAt": "2024-02-30T00:00:00Z", "pricePaid": -1}}}}'
+  WHEN 9 THEN {_OPEN} || ', "packageAssignment": "none"}}'
+  WHEN 10 THEN {_OPEN} || ', "notes": "' || repeat('n', 2001) || '"}}'
+  WHEN 11 THEN ''
+  WHEN 12 THEN {_OPEN} || ', "packageAssignment": {{"packageId": 5, "joinedAt": null, "expiresAt": "2024-03-01T00:00:00Z"}}, "extra": {{"a": [1]}}}}'
+  ELSE {_OPEN} || ', "status": "paused", "companyId": 99999999999, "packageAssignment": null}}' END"""
+JSON_PATCH = """CASE event_type
+  WHEN 'view' THEN '{"status": "inactive"}'
+  WHEN 'click' THEN CASE WHEN event_id % 3 = 0 THEN '{"notes": null}' ELSE '{"notes": "clicked ' || CAST(event_id AS STRING) || '"}' END
+  WHEN 'signup' THEN CASE WHEN event_id % 5 = 0 THEN '{}' ELSE '{"companyId": ' || CAST(event_id % 40 AS STRING) || '}' END
+  WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN '{"status": null, "notes": "lost"}' ELSE '{"phone": 5}' END
+  ELSE CASE WHEN event_id % 2 = 0 THEN 'oops' ELSE '{"notes": "a", "notes' END END"""
+
+
 # -- request batches derived from the driver tables (write-path inputs) --------------
 
 def company_requests_view(supplier: DataFrame, nation: DataFrame) -> DataFrame:
@@ -404,6 +430,9 @@ def _fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
         "customer_changes": lambda: S.conform(customer_changes_view(raw("events")),
                                               S.CUSTOMER_CHANGES),
         "customer_edits": lambda: customer_edits_view(raw("events"), raw("customer")),
+        "json_customers": lambda: raw("customer").select(F.col("c_custkey").alias("row_id"), F.expr(JSON_CUSTOMER).alias("body")),
+        "json_patches": lambda: raw("events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("id"),
+                                                     F.expr(JSON_PATCH).alias("body")),
         "package_features_text": lambda: packages_view(raw("part"), with_text=True)
                                          .select("id", "features_text"),
         "company_requests": lambda: company_requests_view(raw("supplier"), raw("nation")),
@@ -513,6 +542,8 @@ SELECT event_id AS seq, user_id AS id, CASE WHEN event_type = 'error' AND event_
        event_type IN ('click', 'signup') AS set_notes,
        CASE WHEN event_type = 'click' THEN concat('clicked ', CAST(event_id AS VARCHAR)) END AS notes
 FROM events LEFT JOIN customer ON c_custkey = user_id + event_id % 3""",
+    "json_customers": f"SELECT c_custkey AS row_id, {JSON_CUSTOMER} AS body FROM customer",
+    "json_patches": f"SELECT event_id AS seq, user_id AS id, {JSON_PATCH} AS body FROM events",
     "dirty_customers": """
 SELECT c_custkey AS row_id,
        CASE c_custkey % 10 WHEN 0 THEN '' WHEN 1 THEN repeat('x', 101) WHEN 2 THEN NULL ELSE 'Ann' END AS first_name,
