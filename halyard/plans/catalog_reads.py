@@ -11,6 +11,8 @@ from halyard.operators import changes as CH
 from halyard.operators import records as R
 from halyard.operators import views as V
 from halyard.plans.catalog import AS_OF, register
+from halyard.session import scratch_dir
+from halyard.sources import schemas as S
 from halyard.sources import tables as TB
 
 SUB_RECORD = """
@@ -85,12 +87,34 @@ SEVEN = ["companies", "packages", "promotions", "package_promotions", "customers
          "customer_packages", "notification_log"]
 
 
-@register("table_scan", "\nUNION ALL\n".join(
-    f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in SEVEN))
+def _scan_sql(name: str) -> str:
+    cells = " + ".join(f"count({f.name})" for f in S.TABLES[name])
+    texts = " + ".join(f"coalesce(sum(length({f.name})), 0)" for f in S.TABLES[name] if f.dataType.simpleString() == "string")
+    newest = "sent_at" if name == "notification_log" else "updated_at" if name != "package_promotions" else "CAST(NULL AS TIMESTAMP)"
+    return (f"SELECT '{name}' AS table_name, count(*) AS row_count, CAST({cells} AS BIGINT) AS cells, "
+            f"CAST({texts or 0} AS BIGINT) AS text_chars, CAST(sum(id) AS BIGINT) AS id_sum, max({newest}) AS newest FROM {name}")
+
+
+@register("table_scan", "\nUNION ALL\n".join(map(_scan_sql, SEVEN)))
 def _table_scan(t):
-    """The seven tables under their declared schemas, as row counts."""
-    parts = [t[n].agg(F.count(F.lit(1)).alias("row_count"))
-                 .select(F.lit(n).alias("table_name"), "row_count") for n in SEVEN]
+    """The seven tables, published as one commit and loaded under their
+    declared schemas, every column read. A later version that no commit
+    record names is not seen."""
+    spark = t["customers"].sparkSession
+    path = scratch_dir(spark, "published")
+    TB.publish(spark, path, {n: t[n] for n in SEVEN})
+    TB.write_table(t["customers"].limit(0), path, "customers", 99)     # a writer that got no further
+    loaded = TB.load_tables(spark, path)
+    parts = []
+    for n in SEVEN:
+        fields = S.TABLES[n]
+        texts = [F.coalesce(F.sum(F.length(f.name)), F.lit(0)) for f in fields if f.dataType.simpleString() == "string"]
+        newest = "sent_at" if n == "notification_log" else "updated_at"
+        parts.append(loaded[n].agg(
+            F.count(F.lit(1)).alias("row_count"), reduce(lambda a, b: a + b, [F.count(f.name) for f in fields]).alias("cells"),
+            reduce(lambda a, b: a + b, texts, F.lit(0).cast("bigint")).alias("text_chars"), F.sum("id").alias("id_sum"),
+            (F.max(newest) if newest in fields.fieldNames() else F.lit(None).cast("timestamp_ntz")).alias("newest"))
+            .select(F.lit(n).alias("table_name"), "*"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -20,7 +20,7 @@ from halyard.session import scratch_dir
 from halyard.sources import requests as RQ
 from halyard.sources import schemas as S
 from halyard.sources.tables import latest_version
-from halyard.streaming.change_stream import apply_change_stream
+from halyard.streaming.change_stream import apply_change_stream, replay_change_stream
 
 
 def is_email_sql(x: str) -> str:
@@ -376,6 +376,20 @@ def _change_replay(t):
     return new["customers"]
 
 
+@register("change_replay_stream", REPLAY_SQL + "\nSELECT seq, id, op, outcome, errors FROM told")
+def _change_replay_stream(t):
+    """The edits read as a stream and applied one after the other, each
+    micro-batch published as one commit; the outcomes, read back."""
+    stream = t["customer_edits_stream"]
+    spark = stream.sparkSession
+    target = scratch_dir(spark, "w11-edits")
+    query = replay_change_stream(stream, t, target, scratch_dir(spark, "w11-edits-state"), AS_OF)
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{target}/customers_outcomes")
+
+
 @register("change_stream", _patched_customers_sql(True))
 def _change_stream(t):
     """The change feed read as a stream, folded by a stateful

@@ -445,6 +445,8 @@ def _fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
             spark.readStream.schema(raw("events").schema)
             .parquet(f"{sf_dir.rstrip('/')}/events*.parquet")), S.CUSTOMER_CHANGES),
     }
+    b["customer_edits_stream"] = lambda: customer_edits_view(
+        spark.readStream.schema(raw("events").schema).parquet(f"{sf_dir.rstrip('/')}/events*.parquet"), raw("customer"))
     dirty = {
         "dirty_customers": (dirty_customers_view, "customer"),
         "dirty_subscriptions": (dirty_subscriptions_view, "orders"),

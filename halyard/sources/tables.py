@@ -9,6 +9,7 @@ the latest complete version.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -108,16 +109,20 @@ def drop_old_versions(spark: SparkSession, path: str, name: str, keep: int) -> N
 
 
 def load_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet",
-               options: dict | None = None) -> DataFrame:
+               options: dict | None = None, version: int | None = None) -> DataFrame:
     """One table with its declared schema (never inferred). A table
-    written by ``write_table`` is read at its newest complete version.
+    written by ``write_table`` is read at its newest complete version, or at
+    ``version``.
     ``fmt`` may be any DataFrameReader format; for ``jdbc`` pass
     ``url``/``dbtable`` in ``options`` and ``path`` is ignored."""
     reader = spark.read.format(fmt).options(**(options or {}))
     schema = S.TABLES[name]
     if fmt == "jdbc":
         return S.conform(reader.load(), schema)
-    where = latest_version(path, name, spark) or os.path.join(path, name)
+    if version is not None:
+        where = os.path.join(path, name, f"v={version}")
+    else:
+        where = latest_version(path, name, spark) or os.path.join(path, name)
     return S.conform(reader.schema(schema).load(where), schema)
 
 
@@ -125,8 +130,12 @@ def load_tables(spark: SparkSession, path: str, fmt: str = "parquet",
                 options: dict | None = None) -> dict[str, DataFrame]:
     """The seven tables under ``path`` (one folder each). Where tables
     have versions, ``id_sequences`` (table_name, last_id) is added: new ids
-    follow these."""
-    t = {name: load_table(spark, path, name, fmt, options) for name in S.TABLES}
+    follow these. Where there is a commit record (``publish``), the tables are
+    those it names; versions written since, by a writer that has not finished
+    or was lost, are not seen."""
+    now = current_commit(spark, path) if fmt != "jdbc" else None
+    at = now[1] if now else {}
+    t = {name: load_table(spark, path, name, fmt, options, at.get(name)) for name in S.TABLES}
     if fmt != "jdbc":
         last = [(name, last_issued_id(spark, path, name)) for name in S.TABLES]
         last = [(name, n) for name, n in last if n is not None]
@@ -165,6 +174,99 @@ def write_table(df: DataFrame, path: str, name: str, version: int | str,
     return target
 
 
+# -- commit records: several tables, one switch ------------------------------------------
+
+# A record is a file ``c=<number>`` in this folder: a line ``table=version`` for
+# each versioned table, and a last line that says the record is whole.
+COMMITS, WHOLE = "_commits", "end"
+
+
+class CommitConflict(RuntimeError):
+    """Another writer published since the tables were read."""
+
+
+def _record(spark: SparkSession, path: str) -> dict[str, int] | None:
+    """The versions a record file names; None if it is not whole."""
+    fs, p = _file(spark, path)
+    reader = spark.sparkContext._jvm.java.io.BufferedReader(
+        spark.sparkContext._jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
+    lines = []
+    try:
+        while (line := reader.readLine()) is not None:
+            lines.append(line)
+    finally:
+        reader.close()
+    if not lines or lines[-1] != WHOLE:
+        return None
+    return {name: int(v) for name, v in (line.split("=") for line in lines[:-1])}
+
+
+def current_commit(spark: SparkSession, path: str) -> tuple[int, dict[str, int]] | None:
+    """``(number, {table: version})`` of the newest whole record, if any."""
+    fs, p = _file(spark, f"{path.rstrip('/')}/{COMMITS}")
+    if not fs.exists(p):
+        return None
+    names = [st.getPath().getName() for st in fs.listStatus(p)]
+    for n in sorted((int(x[2:]) for x in names if x.startswith("c=") and x[2:].isdigit()), reverse=True):
+        versions = _record(spark, f"{path.rstrip('/')}/{COMMITS}/c={n}")
+        if versions is not None:
+            return n, versions
+    return None
+
+
+def write_commit(spark: SparkSession, path: str, number: int, versions: dict[str, int], replace: bool = False) -> None:
+    """Write record ``number`` under another name and move it into place, so
+    that readers see it whole or not at all. A record that is there already
+    stays (``CommitConflict``), unless ``replace`` (a retried write)."""
+    jvm = spark.sparkContext._jvm
+    base = f"{path.rstrip('/')}/{COMMITS}"
+    fs, done = _file(spark, f"{base}/c={number}")
+    _fs, part = _file(spark, f"{base}/_part-{number}-{uuid.uuid4().hex}")
+    stream = fs.create(part, True)
+    try:
+        stream.writeBytes("".join(f"{name}={v}\n" for name, v in sorted(versions.items())) + WHOLE + "\n")
+    finally:
+        stream.close()
+    options = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(options, 1)
+    how[0] = options.OVERWRITE if replace else options.NONE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+            part.toUri() if part.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()
+        ).rename(fs.makeQualified(part), fs.makeQualified(done), how)
+    except Exception as exc:
+        fs.delete(part, False)
+        if fs.exists(done):
+            raise CommitConflict(f"record {number} of {path} is there already") from exc
+        raise
+
+
+def publish(spark: SparkSession, path: str, tables: dict[str, DataFrame], base: int | None = None,
+            version: int | None = None, number: int | None = None) -> int:
+    """Write ``tables`` as new versions, then one commit record that names
+    the current version of every table: ``load_tables`` shows all of them or
+    none, wherever the writer is cut short. Returns the record's number.
+
+    ``base`` is the number of the record that the tables were made from
+    (``current_commit``); if there is another since, ``CommitConflict`` is
+    raised and nothing is shown, so two writers that start together cannot
+    both issue the same ids. A retried write passes the ``version`` and
+    ``number`` it had and writes the same folders and record again."""
+    now = current_commit(spark, path)
+    at = now[0] if now else 0
+    if base is not None and number is None and at != base:
+        raise CommitConflict(f"record {at} of {path} was published after {base}")
+    found = {name: _versions(spark, path, name) for name in {*S.TABLES, *tables}}
+    if version is None:
+        version = 1 + max((v for vs in found.values() for v, _p, _ok in vs), default=0)
+    known = dict(now[1]) if now else {name: max(v for v, _p, ok in vs if ok) for name, vs in found.items() if any(ok for *_, ok in vs)}
+    for name, df in tables.items():
+        write_table(df, path, name, version)
+    write_commit(spark, path, at + 1 if number is None else number, {**known, **{name: version for name in tables}},
+                 replace=number is not None)
+    return at + 1 if number is None else number
+
+
 def append_rows(df: DataFrame, path: str) -> None:
     """One append of all rows (not one insert per row)."""
     df.write.mode("append").parquet(path)

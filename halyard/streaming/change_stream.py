@@ -14,8 +14,11 @@ Two ways to consume it:
 * ``apply_change_stream(...)`` runs it with ``foreachBatch``: each micro-batch
   of folded ids is applied (W6 then W5). The entity, every table that its
   deletes reach (cascaded or nulled rows) and the outcomes are written as one
-  version each, above all versions found when the stream first started; a
-  retried batch rewrites the same folders (idempotent on ``batch_id``);
+  version each, above all versions found when the stream first started, and
+  shown by one commit record; a retried batch rewrites the same folders and
+  record (idempotent on ``batch_id``);
+* ``replay_change_stream(...)`` applies the changes one by one, without the
+  fold, and tells the outcome of each;
 * ``apply_change_stream(..., buckets=N)`` is the layout for large targets:
   the tables are partitioned by a hash bucket of the id, and a micro-batch
   reads and rewrites only the buckets its rows fall in (dynamic partition
@@ -35,8 +38,9 @@ from halyard.operators.changes import apply_folded, fold_changes, marked_changes
 from halyard.sources import schemas as S
 from halyard.sources.fixtures import overlay
 from halyard.session import scratch_dir
-from halyard.sources.tables import (_versions, drop_old_versions, latest_version, read_number,
-                                    write_number, write_table)
+from halyard.operators.replay import replay_changes
+from halyard.sources.tables import (_versions, current_commit, drop_old_versions, latest_version, publish,
+                                    read_number, write_number, write_table)
 
 
 def change_source(spark: SparkSession, path: str, schema=S.CUSTOMER_CHANGES,
@@ -162,11 +166,60 @@ def _first_version(spark: SparkSession, target_path: str, checkpoint: str, names
     path = f"{checkpoint.rstrip('/')}-first-version"
     first = read_number(spark, path)
     if first is None:
-        first = 1 + max((v for n in names for v, _p, _ok in _versions(spark, target_path, n)), default=-1)
+        now = current_commit(spark, target_path)
+        first = 1 + max([now[0] if now else -1, *(v for n in names for v, _p, _ok in _versions(spark, target_path, n))])
         write_number(spark, path, first)
     return first
 
 
+def _versioned_apply(t, target_path: str, entity: str, first: int, keep_versions: int | None, step):
+    """Apply a micro-batch by ``step(tables, batch) -> (new tables, outcomes,
+    whether rows were deleted)`` and publish what it changes as one commit."""
+    names = [entity, *reached_tables(entity)]
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        batch = _pin(batch, batch_id)
+        spark = batch.sparkSession
+        # Start from the newest version written by an earlier batch; a
+        # retried batch ignores its own partial or complete output.
+        version = first + batch_id
+        cur = overlay(t)
+        for name in names:
+            prev = latest_version(target_path, name, spark, below=version)
+            if prev is not None:
+                cur[name] = spark.read.schema(S.TABLES[name]).parquet(prev)
+        new, outcomes, deleted = step(cur, batch)
+        changed = {n: new[n] for n in (names if deleted else [entity]) if n in cur}
+        publish(spark, target_path, {outcome_table(entity): outcomes, **changed}, version=version, number=version)
+        if keep_versions:
+            for name in changed:
+                drop_old_versions(spark, target_path, name, keep_versions)
+    return apply
+
+
+def replay_change_stream(changes: DataFrame, t: dict, target_path: str, checkpoint: str, as_of,
+                         entity: str = "customers", trigger: dict | None = None, keep_versions: int | None = None):
+    """Apply a stream of changes one by one: micro-batches as they arrive,
+    the changes of a micro-batch by ``seq`` (see ``replay_changes``), which is
+    the order in which a server would take the requests. Unique keys are
+    freed and claimed in that order over the whole table. Each batch
+    publishes the entity, the tables its deletes reach and an outcome for
+    each change as one commit; a retried batch publishes the same again. No
+    state is kept between batches but the tables. For feeds whose changes
+    arrive late, out of order, use ``apply_change_stream``: there the
+    sequence decides. Returns the started query."""
+    spark = changes.sparkSession
+    first = _first_version(spark, target_path, checkpoint, [entity, *reached_tables(entity), outcome_table(entity)])
+
+    def step(cur, batch):
+        new, outcomes = replay_changes(cur, batch, entity, as_of)
+        return new, outcomes, bool(outcomes.where("outcome = 'deleted'").take(1))
+
+    writer = (changes.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+              .foreachBatch(_versioned_apply(t, target_path, entity, first, keep_versions, step)))
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def apply_change_stream(changes: DataFrame, t: dict, target_path: str, checkpoint: str,
                         as_of, entity: str = "customers", trigger: dict | None = None,
                         buckets: int | None = None, keep_versions: int | None = None):
@@ -182,25 +235,8 @@ def apply_change_stream(changes: DataFrame, t: dict, target_path: str, checkpoin
     names = [entity, *reached_tables(entity)]
     first = _first_version(spark, target_path, checkpoint, [*names, outcome_table(entity)])
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        batch = _pin(batch, batch_id)
-        # Start from the newest version written by an earlier batch; a
-        # retried batch ignores its own partial or complete output.
-        version = first + batch_id
-        cur = overlay(t)
-        for name in names:
-            prev = latest_version(target_path, name, spark, below=version)
-            if prev is not None:
-                cur[name] = spark.read.schema(S.TABLES[name]).parquet(prev)
-        new, outcomes = apply_folded(cur, batch, entity, as_of)
-        write_table(outcomes, target_path, outcome_table(entity), version)
-        changed = names if batch.where("deleted").take(1) else [entity]
-        for name in changed:
-            if name in cur:
-                write_table(new[name], target_path, name, version)
-                if keep_versions:
-                    drop_old_versions(spark, target_path, name, keep_versions)
-
+    apply = _versioned_apply(t, target_path, entity, first, keep_versions, lambda cur, batch: (
+        *apply_folded(cur, batch, entity, as_of), bool(batch.where("deleted").take(1))))
     if buckets:
         apply = _bucketed_apply(t, target_path, entity, as_of, buckets, first)
     writer = (fold_stream(changes, entity).writeStream.outputMode("update")
