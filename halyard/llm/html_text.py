@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -16,6 +18,8 @@ from halyard.llm.common import WORD, pin, runs
 # Shortest run of tokens that counts as repeated, and tokens of one suffix array, about.
 MIN_TOKENS = 6
 ARRAY_TOKENS = 200_000
+# Distinct pages of a host that must share what counts as its boilerplate.
+MIN_PAGES = 3
 
 # What HTML elements are.
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -31,25 +35,47 @@ _MAIN = {"article", "main"}
 _CHROME_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments",
     "consent", "cookie", "cookies", "disqus", "footer", "menu", "modal", "nav", "navbar", "navigation", "newsletter",
-    "notice", "notices", "pagination", "popup", "promo", "related", "share", "sharing", "sidebar", "social", "sponsor",
-    "sponsored", "subscribe", "toolbar", "widget"}
-# What the furniture of a compound name may be made of: "share-buttons", "related-posts".
-_PART_WORDS = {"articles", "bar", "box", "button", "buttons", "form", "icons", "item", "items", "link", "links", "list",
-               "posts", "section", "signup", "slot", "unit"}
+    "notice", "notices", "pagination", "popup", "promo", "recommended", "related", "share", "sharing", "sidebar", "social",
+    "sponsor", "sponsored", "subscribe", "teaser", "teasers", "toolbar", "widget", "widgets"}
+# What the furniture of a compound name may be made of besides: "share-buttons",
+# "site-footer", "comment-12". Any other part ("no-sidebar", "footer-style") and
+# the name is not one of furniture.
+_PART_WORDS = {
+    "area", "articles", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content", "form", "global",
+    "holder", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "message", "outer", "page", "panel",
+    "post", "posts", "primary", "right", "secondary", "section", "signup", "site", "slot", "text", "thread", "title", "top",
+    "unit", "wrap", "wrapper"}
+# What may stand in the head of a page; any other element ends it.
+_HEAD = {"base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 # These name page furniture only outside an article, which has a header of its own.
 _OUTER_WORDS = {"header", "masthead", "top"}
 _CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"}
 _SPACE = re.compile("[ \t-\r]+")
+_UNSHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.IGNORECASE)
 
 FREE, MAIN, CHROME = 0, 1, 2
 
 
 def _names_chrome(name: str) -> bool:
-    """Whether a whole class name or id names furniture: one of the words, or
-    a compound that starts with one and has only such parts ("cookie-notice",
-    but not "no-sidebar")."""
+    """Whether a whole class name or id names furniture: a word for it, alone
+    or in a compound of such words, neutral ones and numbers."""
     parts = [p for p in re.split("[_-]+", name) if p]
-    return bool(parts) and parts[0] in _CHROME_WORDS and all(p in _CHROME_WORDS or p in _PART_WORDS for p in parts[1:])
+    return (not _CHROME_WORDS.isdisjoint(parts)
+            and all(p in _CHROME_WORDS or p in _PART_WORDS or p.isdigit() for p in parts))
+
+
+class _Open(NamedTuple):
+    """An open element: the kind of its text, whether it is unseen, furniture
+    around it, its box (the outermost form or the like around it, of which
+    its text decides), whether an article is around it, and the place in the
+    stack of the nearest element that is not inline, itself or below."""
+    tag: str
+    kind: int
+    unseen: bool
+    depth: int
+    box: int
+    in_main: bool
+    block: int
 
 
 class _Blocks(HTMLParser):
@@ -58,20 +84,24 @@ class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.raw: list[tuple[int, int, int, str]] = []  # kind, furniture around its article, box, text
-        # element, kind of its text, unseen, furniture around it, box: the
-        # outermost form or the like around it, of which its text decides
-        self.stack: list[tuple[str, int, bool, int, int]] = []
+        self.stack: list[_Open] = []
+        self.opened: Counter[str] = Counter()  # open elements by name
         self.held: list[str] = []
         self.boxes = 0
 
-    def _state(self) -> tuple[int, bool, int, int]:
-        return self.stack[-1][1:] if self.stack else (FREE, False, 0, 0)
+    def _state(self) -> _Open:
+        return self.stack[-1] if self.stack else _Open("", FREE, False, 0, 0, False, -1)
+
+    def _drop(self, at: int) -> None:
+        """Close the open elements from place ``at`` on."""
+        self.opened.subtract(e.tag for e in self.stack[at:])
+        del self.stack[at:]
 
     def _cut(self) -> None:
         text = _SPACE.sub(" ", "".join(self.held)).strip(" ")
         if text:
-            kind, _, depth, box = self._state()
-            self.raw.append((kind, depth, box, text))
+            top = self._state()
+            self.raw.append((top.kind, top.depth, top.box, text))
         self.held = []
 
     def blocks(self) -> list[tuple[int, str]]:
@@ -88,27 +118,37 @@ class _Blocks(HTMLParser):
         least = min((depth for kind, depth, _ in seen if kind == MAIN), default=0)
         return [(CHROME if kind == MAIN and depth > least else kind, text) for kind, depth, text in seen]
 
+    def _end_head(self) -> None:
+        """The end tag of a head is optional: what can't be in it ends it."""
+        if self.opened["head"]:
+            at = next(i for i, e in enumerate(self.stack) if e.tag == "head")
+            if len(self.stack) == at + 1 or self.stack[at + 1].tag not in _HEAD:
+                self._cut()
+                self._drop(at)
+
     def handle_starttag(self, tag, attrs):
-        kind, unseen, depth, box = self._state()
+        if tag not in _HEAD and tag != "head":
+            self._end_head()
         if tag in _VOID:
             if tag not in _INLINE:
                 self._cut()
             return
         if tag in ("p", "li", "dt", "dd", "option", "tr", "td", "th"):  # an open one of these ends here
             self._close_implied(tag)
-            kind, unseen, depth, box = self._state()
+        top = self._state()
+        kind, depth, box = top.kind, top.depth, top.box
         if tag not in _INLINE:
             self._cut()
         values = {k: v or "" for k, v in attrs}
         role = values.get("role", "").lower()
         article = tag in _MAIN or role in ("main", "article")
-        in_main = any(e[1] == MAIN for e in self.stack)
         named = f'{values.get("class", "")} {values.get("id", "")}'.lower().split()
-        chrome = (tag in _CHROME and not (tag == "header" and in_main) or role in _CHROME_ROLES
+        chrome = (tag in _CHROME and not (tag == "header" and top.in_main) or role in _CHROME_ROLES
                   or tag not in ("html", "body") and any(map(_names_chrome, named))
-                  or "hidden" in values or values.get("aria-hidden") == "true")
+                  or "hidden" in values or values.get("aria-hidden") == "true"
+                  or "style" in values and _UNSHOWN.search(values["style"]) is not None)
         boxed = (tag == "form" or role == "form"
-                 or tag not in ("html", "body") and not in_main and not _OUTER_WORDS.isdisjoint(named))
+                 or tag not in ("html", "body") and not top.in_main and not _OUTER_WORDS.isdisjoint(named))
         if chrome:
             depth += 1
         if article:
@@ -121,44 +161,52 @@ class _Blocks(HTMLParser):
                 self._cut()
                 self.boxes += 1
                 box = self.boxes
-        self.stack.append((tag, kind, unseen or tag in _UNSEEN, depth, box))
+        block = top.block if tag in _INLINE else len(self.stack)
+        self.stack.append(_Open(tag, kind, top.unseen or tag in _UNSEEN, depth, box, top.in_main or kind == MAIN, block))
+        self.opened[tag] += 1
 
     def _close_implied(self, tag):
         mates = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
-        for i in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[i][0]
+        at = self._state().block if any(self.opened[m] for m in mates) else -1
+        while at >= 0:
+            name = self.stack[at].tag
             if name in mates:
                 self._cut()
-                del self.stack[i:]
+                self._drop(at)
                 return
-            if name not in _INLINE and name != "p":
+            if name != "p":
                 return
+            at = self.stack[at - 1].block if at else -1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in _VOID and self.stack and self.stack[-1][0] == tag:
+        if tag not in _VOID and self.stack and self.stack[-1].tag == tag:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                own = self._state()
-                if any(e[0] not in _INLINE or (e[1], e[4]) != (own[0], own[3]) for e in self.stack[i:]):
-                    self._cut()
-                del self.stack[i:]
-                return
-        if tag not in _INLINE:  # a stray end tag still ends a block
+        if self.opened[tag]:
+            at = next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].tag == tag)
+            own = self._state()
+            if any(e.tag not in _INLINE or (e.kind, e.box) != (own.kind, own.box) for e in self.stack[at:]):
+                self._cut()
+            self._drop(at)
+        elif tag not in _INLINE:  # a stray end tag still ends a block
             self._cut()
 
     def handle_data(self, data):
-        if not self._state()[1]:
+        if self.stack and self.stack[-1].tag == "head" and not data.isspace():
+            self._end_head()
+        if not self._state().unseen:
             self.held.append(data)
 
 
 def page_blocks(html: str | None) -> list[tuple[int, str]]:
     """(kind, text) of each block of text: MAIN inside an article or main
     element, CHROME inside what is marked as page furniture, else FREE.
-    Scripts, styles and the like have no text. An article inside furniture is
+    Scripts, styles and the like have no text, nor does what is styled not to
+    be displayed; a head ends, with or without its end tag, where anything
+    else begins. Asides and footers are furniture inside an article as well,
+    its header is not. Articles side by side all count. An article inside furniture is
     MAIN if none has less furniture around it (a page wrapped in a "sidebar";
     comments that are articles of their own are not). Forms, and outside an
     article elements named header or top, are furniture only if they hold no
@@ -194,13 +242,13 @@ def _ranks(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(rank, kind="stable"), rank
 
 
-def repeated_tokens(pages: list[list[int]], depth: int) -> list[np.ndarray]:
+def repeated_tokens(pages: list[list[int]], depth: int, least: int = 2) -> list[np.ndarray]:
     """Per page a mask of the tokens inside a run of ``depth`` or more tokens
-    that another page has too.
+    that at least ``least`` pages have.
 
     The pages' tokens are joined, each page closed by a token of its own. In
     suffix order, neighbours of equal rank share ``depth`` tokens; a rank whose
-    suffixes start in different pages is a repeated run, and every longer
+    suffixes start in so many pages is a repeated run, and every longer
     repeated substring is a chain of such runs.
     """
     lengths = np.array([len(p) for p in pages], dtype=np.int64)
@@ -209,11 +257,10 @@ def repeated_tokens(pages: list[list[int]], depth: int) -> list[np.ndarray]:
     covered = np.zeros(len(joined), dtype=bool)
     if len(joined) > 1:
         order, rank = _ranks(joined, depth)
-        first = np.full(rank.max() + 1, np.iinfo(np.int64).max)
-        last = np.full(rank.max() + 1, -1)
-        np.minimum.at(first, rank[order], owner[order])
-        np.maximum.at(last, rank[order], owner[order])
-        hits = np.flatnonzero((first < last)[rank])
+        # owners ascend within a rank, as the sort is stable
+        change = (rank[order][1:] != rank[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+        first = order[np.concatenate([[True], change])]  # one suffix of each (rank, page)
+        hits = np.flatnonzero((np.bincount(rank[first], minlength=rank.max() + 1) >= least)[rank])
         for k in range(depth):
             covered[np.minimum(hits + k, len(joined) - 1)] = True
     ends = np.cumsum(lengths + 1)
@@ -235,15 +282,26 @@ def _grams(ids: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def _cover(depth: int):
-    """One suffix array per (host, part): the positions it covers in each page."""
+def _cover(depth: int, least: int):
+    """One suffix array per host: the positions it covers in each page."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in runs(batches, ["host", "part"]):
-            masks = repeated_tokens([_token_ids(t) for t in pdf["stream"]], depth)
+        for pdf in runs(batches, ["host"]):
+            masks = repeated_tokens([_token_ids(t) for t in pdf["stream"]], depth, least)
             yield pd.DataFrame({"row": pdf["row"], "covered": [np.flatnonzero(m).tolist() for m in masks]})
     return run
 
 
+def _part_runs(depth: int):
+    """One suffix array per (host, part): the hash of each run of ``depth``
+    tokens, and how many of the part's pages have it."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in runs(batches, ["host", "part"]):
+            grams = [np.unique(_grams(np.asarray(_token_ids(t), dtype=np.int64), depth)) for t in pdf["stream"]]
+            gram, n = np.unique(np.concatenate([np.empty(0, np.uint64), *grams]), return_counts=True)
+            yield pd.DataFrame({"host": pdf["host"].iloc[0], "gram": gram.view(np.int64), "n": n})
+    return run
+
+
 def _emit_grams(depth: int):
     """The position and hash of every run of ``depth`` tokens."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -255,66 +313,70 @@ def _emit_grams(depth: int):
     return run
 
 
-def covered_tokens(streams: DataFrame, min_tokens: int = MIN_TOKENS, array_tokens: int = ARRAY_TOKENS) -> DataFrame:
+def covered_tokens(streams: DataFrame, min_tokens: int = MIN_TOKENS, array_tokens: int = ARRAY_TOKENS,
+                   min_pages: int = 2) -> DataFrame:
     """(row, covered): positions of the tokens of each stream (row, host,
-    stream) that lie in a run of ``min_tokens`` or more that another row of
-    the host has too; rows without any may be missing.
+    stream) that lie in a run of ``min_tokens`` or more that at least
+    ``min_pages`` rows of the host have; rows without any may be missing.
 
     A host of more than ``array_tokens`` tokens is split into parts by row
-    hash, with a suffix array each. Runs that cross parts are found too: parts
-    give the hashes of their runs, Spark finds those that two parts of a host
-    have, and their tokens are covered as well. So the outcome is that of one
-    array over the whole host, while no task holds more than a part.
+    hash. Parts count the pages of each of their runs, by its hash; Spark adds
+    the counts of a host, and the tokens of runs that enough pages have are
+    covered. So the outcome is that of one array over the whole host, while
+    no task holds more than a part.
     """
     sized = streams.withColumn("n", F.regexp_count("stream", F.lit(WORD)))
     hosts = pin(sized.groupBy("host").agg(F.ceil(F.sum("n") / array_tokens).alias("parts")), "html-hosts")
     dealt = sized.join(hosts, "host").select(
         "host", F.pmod(F.xxhash64("row"), F.greatest("parts", F.lit(1))).alias("part"), "parts", "row", "stream")
-    covered = (dealt.select("host", "part", "row", "stream").repartition("host", "part")
-               .sortWithinPartitions("host", "part", "row").mapInPandas(_cover(min_tokens), "row long, covered array<int>"))
+    covered = (dealt.filter("parts <= 1").select("host", "row", "stream").repartition("host").sortWithinPartitions("host", "row")
+               .mapInPandas(_cover(min_tokens, min_pages), "row long, covered array<int>"))
     if not hosts.filter("parts > 1").take(1):
         return covered
-    grams = dealt.filter("parts > 1").select("host", "part", "row", "stream").mapInPandas(
-        _emit_grams(min_tokens), "host string, part long, row long, pos int, gram long")
-    shared = (grams.select("host", "gram", "part").distinct().groupBy("host", "gram")
-              .agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("host", "gram"))
+    large = dealt.filter("parts > 1").select("host", "part", "row", "stream")
+    counts = large.repartition("host", "part").sortWithinPartitions("host", "part").mapInPandas(
+        _part_runs(min_tokens), "host string, gram long, n long")
+    shared = counts.groupBy("host", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_pages).select("host", "gram")
+    grams = large.mapInPandas(_emit_grams(min_tokens), "host string, part long, row long, pos int, gram long")
     across = (grams.join(shared, ["host", "gram"])
               .select("row", F.explode(F.sequence("pos", F.col("pos") + (min_tokens - 1))).alias("at"))
               .groupBy("row").agg(F.collect_set("at").alias("covered")))
-    return covered.unionByName(across).groupBy("row").agg(
-        F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"))
+    return covered.unionByName(across)
 
 
-def _unique_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _unique_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for around, covered in zip(pdf["around"], pdf["covered"]):
             gone, at, left = set() if covered is None else set(covered), 0, []
             for block in around:
-                words = [w for w in _SPACE.split(block["text"]) if w]
-                if block["kind"] == FREE:
-                    left += [w for i, w in enumerate(words, at) if i not in gone]
-                at += len(words)
+                n = sum(1 for w in _SPACE.split(block["text"]) if w)
+                if block["kind"] == FREE and not gone.issuperset(range(at, at + n)):
+                    left.append(block["text"])
+                at += n
             out.append(" ".join(left))
         yield pdf[["page_id", "url"]].assign(text=out)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                      min_tokens: int = MIN_TOKENS, array_tokens: int = ARRAY_TOKENS) -> DataFrame:
+                      min_tokens: int = MIN_TOKENS, array_tokens: int = ARRAY_TOKENS, min_pages: int = MIN_PAGES) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars.
 
     A page is cut into blocks. Text inside an article or main element, without
     menus, adverts, forms, comments and other marked furniture, is the main
-    text. The tokens of everything around it are joined per host, and a suffix
-    array finds the runs of ``min_tokens`` or more tokens that distinct pages
-    repeat. On a page without such an element the unmarked blocks are the main
-    text, less the tokens those runs cover; its unique runs stay. Text inside
-    an article is never removed for being repeated: pages also carry copies of
-    each other's articles, and repetition can't tell those from boilerplate.
+    text. On a page without such an element the unmarked blocks are, less the
+    boilerplate of its host: blocks that lie as a whole in runs of
+    ``min_tokens`` or more tokens which at least ``min_pages`` distinct pages
+    of the host repeat, found by a suffix array over the host's token streams.
+    Pages with equal streams (copies) count as one page, and a quotation that
+    is part of a block stays. Text inside an article is never removed for
+    being repeated: pages also carry copies of each other's articles, and
+    repetition can't tell those from boilerplate.
 
     Defined results: null html or html without text gives an empty text; a null
-    url is a host of its own; repeated pages count as distinct ones; an empty
-    table gives an empty table; clashing extra columns are ignored.
+    url is a host of its own; repeated pages are rows of their own with the
+    same text; an empty table gives an empty table; clashing extra columns are
+    ignored.
     """
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         F.col(html_col).cast("string").alias("html"))
@@ -322,10 +384,15 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
                                       "around array<struct<kind:int,text:string>>")
     parsed = pin(parsed.withColumn("row", F.monotonically_increasing_id()), "html-blocks")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
-    covered = covered_tokens(parsed.select("row", host.alias("host"), F.array_join("around.text", " ").alias("stream")),
-                             min_tokens, array_tokens)
+    streams = parsed.select("row", host.alias("host"), F.array_join("around.text", " ").alias("stream"))
+    # Of pages with equal streams one stands for all.
+    same = streams.select("row", "host", F.md5("stream").alias("said"))
+    copies = pin(same.join(same.groupBy("host", "said").agg(F.min("row").alias("first")), ["host", "said"]).select("row", "first"),
+                 "html-copies")
+    distinct = streams.join(copies.filter("row = first").select("row"), "row", "left_semi")
+    covered = covered_tokens(distinct, min_tokens, array_tokens, min_pages).withColumnRenamed("row", "first")
     bare = parsed.filter(~F.col("has_main"))
-    cut = (bare.select("row", "page_id", "url", "around").join(covered, "row", "left")
-           .select("page_id", "url", "around", "covered").mapInPandas(_unique_runs, "page_id long, url string, text string"))
+    cut = (bare.select("row", "page_id", "url", "around").join(copies, "row").join(covered, "first", "left")
+           .select("page_id", "url", "around", "covered").mapInPandas(_unique_blocks, "page_id long, url string, text string"))
     out = parsed.filter("has_main").select("page_id", "url", F.col("main").alias("text")).unionByName(cut)
     return out.withColumn("n_chars", F.length("text").cast("bigint"))
