@@ -33,12 +33,30 @@ def orphans(child: DataFrame, parent: DataFrame, fk: str, parent_key: str = "id"
 
 def orphan_report(checks: list[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:
     """W7 over several relations: ``(check, row_key, fk_value)`` rows for
-    each ``(name, child, fk, parent, child_key)``."""
-    parts = [orphans(child, parent, fk).select(
-                 F.lit(name).alias("check"), F.col(key).cast("bigint").alias("row_key"),
-                 F.col(fk).cast("bigint").alias("fk_value"))
-             for name, child, fk, parent, key in checks]
-    return reduce(DataFrame.unionByName, parts)
+    each ``(name, child, fk, parent, child_key)``.
+
+    One read a table and one join for all: each child's references are
+    stacked as (check, parent, key, row), the parents' keys as (parent, key),
+    and the first are joined with the second; what finds none is left. Nothing is measured and no
+    job runs while the plan is built: AQE broadcasts the parents' keys if they
+    are few and splits a reference that very many rows hold."""
+    children: dict[int, tuple[DataFrame, list]] = {}
+    parents: dict[int, DataFrame] = {}
+    for name, child, fk, parent, key in checks:
+        at = next((k for k, df in parents.items() if df is parent), len(parents))
+        parents[at] = parent
+        children.setdefault(id(child), (child, []))[1].append((name, fk, at, key))
+    rows = []
+    for child, refs in children.values():
+        each = F.array(*[F.struct(F.lit(name).alias("check"), F.lit(at).alias("__parent"),
+                                  F.col(fk).cast("bigint").alias("fk_value"), F.col(key).cast("bigint").alias("row_key"))
+                         for name, fk, at, key in refs])
+        rows.append(child.select(F.explode(each).alias("r")).select("r.*").where(F.col("fk_value").isNotNull()))
+    keys = [df.select(F.lit(at).alias("__at"), F.col("id").cast("bigint").alias("__id")) for at, df in parents.items()]
+    stacked, known = reduce(DataFrame.unionByName, rows), reduce(DataFrame.unionByName, keys)
+    # A left join, since an anti join is pushed below the union, once a child.
+    return (stacked.join(known, (F.col("__parent") == F.col("__at")) & (F.col("fk_value") == F.col("__id")), "left")
+            .where(F.col("__id").isNull()).select("check", "row_key", "fk_value"))
 
 
 def key_text(keys: list[str]):

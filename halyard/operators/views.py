@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from halyard.functions.expressions import days_left, full_name, number_text
 from halyard.functions.time import at_for, shift
-from halyard.operators.joins import is_small, small_side, spread_nulls
+from halyard.operators.joins import dimension_join, is_small, small_side, spread_nulls
 from halyard.operators.records import company_record, customer_record, subscription_record
 
 ACTIVE = "active"
@@ -49,18 +49,19 @@ def lookup(view: DataFrame, keys: DataFrame, key_col: str = "id",
 
 # -- J2, P5, F5-F7 --------------------------------------------------------------
 
+def _named(t, table: str, name: str) -> DataFrame:
+    return t[table].select("id", F.col("name").alias(name))
+
+
 def subscription_enriched(t, subs: DataFrame | None = None) -> DataFrame:
-    """Subscriptions INNER customers, INNER packages, LEFT promotions."""
+    """Subscriptions INNER customers, INNER packages, LEFT promotions.
+    Over the broadcast bound, packages and promotions that very many
+    subscriptions hold are broadcast all the same (``dimension_join``)."""
     cp = t["customer_packages"] if subs is None else subs
     cust = t["customers"].select(F.col("id").alias("__cid"), "first_name", "last_name", "email")
-    pk = small_side(t["packages"].select(F.col("id").alias("__pid"),
-                                         F.col("name").alias("package_name")), t["packages"])
-    pr = small_side(t["promotions"].select(F.col("id").alias("__mid"),
-                                           F.col("name").alias("promotion_name")), t["promotions"])
-    return (cp.join(cust, F.col("customer_id") == F.col("__cid"))
-              .join(pk, F.col("package_id") == F.col("__pid"))
-              .join(pr, spread_nulls("promotion_id") == F.col("__mid"), "left")
-              .drop("__cid", "__pid", "__mid"))
+    j = cp.join(cust, F.col("customer_id") == F.col("__cid")).drop("__cid")
+    j = dimension_join(j, _named(t, "packages", "package_name"), "package_id", "inner", base=t["packages"])
+    return dimension_join(j, _named(t, "promotions", "promotion_name"), "promotion_id", base=t["promotions"])
 
 
 def list_subscriptions(t, customer_id=None, status: str | None = None,
@@ -131,9 +132,18 @@ def companies_with_counts(t) -> DataFrame:
             .drop("company_id"))
 
 
-def company_list(t) -> DataFrame:
-    """Companies with their customer count (0 when none), by name."""
-    return company_record(companies_with_counts(t)).orderBy("name", "id")
+def collated(name: str | Column, collation: str | None) -> Column:
+    """``name`` compared by a Spark collation (e.g. ``en``: letters before
+    their capitals and accents by language; ``UNICODE_CI``, ``UNICODE_CI_AI``: also
+    regardless of case, or of both); by its bytes without one."""
+    c = F.col(name) if isinstance(name, str) else name
+    return F.collate(c, collation) if collation else c
+
+
+def company_list(t, collation: str | None = None) -> DataFrame:
+    """Companies with their customer count (0 when none), by name: in
+    binary order, or in that of ``collation``; equal names by id."""
+    return company_record(companies_with_counts(t)).orderBy(collated("name", collation), "id")
 
 
 # -- J3, J4, F1-F4 -----------------------------------------------------------------
@@ -151,21 +161,14 @@ def customer_360(t) -> DataFrame:
     """Customers LEFT companies, LEFT current subscription, LEFT package,
     LEFT promotion."""
     c = t["customers"]
-    comp = small_side(t["companies"].select(F.col("id").alias("__coid"),
-                                            F.col("name").alias("company_name")), t["companies"])
     cur = current_subscription(t).select(
         F.col("customer_id").alias("__cust"), F.col("id").alias("cp_id"), "package_id",
         "joined_at", "expires_at", "price_paid", F.col("status").alias("cp_status"),
         "promotion_id")
-    pk = small_side(t["packages"].select(F.col("id").alias("__pid"),
-                                         F.col("name").alias("package_name")), t["packages"])
-    pr = small_side(t["promotions"].select(F.col("id").alias("__mid"),
-                                           F.col("name").alias("promotion_name")), t["promotions"])
-    return (c.join(comp, spread_nulls("company_id") == F.col("__coid"), "left")
-             .join(cur, F.col("id") == F.col("__cust"), "left")
-             .join(pk, spread_nulls("package_id") == F.col("__pid"), "left")
-             .join(pr, spread_nulls("promotion_id") == F.col("__mid"), "left")
-             .drop("__coid", "__cust", "__pid", "__mid"))
+    j = dimension_join(c, _named(t, "companies", "company_name"), "company_id", base=t["companies"])
+    j = j.join(cur, F.col("id") == F.col("__cust"), "left").drop("__cust")
+    j = dimension_join(j, _named(t, "packages", "package_name"), "package_id", base=t["packages"])
+    return dimension_join(j, _named(t, "promotions", "promotion_name"), "promotion_id", base=t["promotions"])
 
 
 def like_term(term: str) -> str:
@@ -225,10 +228,8 @@ def reminder_rows(t, days=7, as_of=None, subs: DataFrame | None = None) -> DataF
     cp = t["customer_packages"] if subs is None else subs
     cp = cp.where(expiring_predicate(cp, days, as_of))
     cust = t["customers"].select(F.col("id").alias("__cid"), "first_name", "last_name", "email")
-    pk = small_side(t["packages"].select(F.col("id").alias("__pid"),
-                                         F.col("name").alias("package_name")), t["packages"])
-    j = (cp.join(cust, F.col("customer_id") == F.col("__cid"))
-           .join(pk, F.col("package_id") == F.col("__pid")))
+    j = cp.join(cust, F.col("customer_id") == F.col("__cid")).drop("__cid")
+    j = dimension_join(j, _named(t, "packages", "package_name"), "package_id", "inner", base=t["packages"])
     dtype = cp.schema["expires_at"].dataType
     return j.select(
         F.col("id").alias("cp_id"), full_name("first_name", "last_name").alias("customer_name"),
@@ -242,12 +243,18 @@ def reminder_rows(t, days=7, as_of=None, subs: DataFrame | None = None) -> DataF
 
 def resolve_by_name(df: DataFrame, dim: DataFrame, name_col: str,
                     out_col: str = "resolved_id", dim_name: str = "name",
-                    small: bool | None = None) -> DataFrame:
+                    small: bool | None = None, collation: str | None = None) -> DataFrame:
     """The id of the dimension row with that name; NULL when absent, the
     lowest id when several share the name. With ``small`` (the batch is
     under the broadcast bound) the dimension is first cut to the requested
     names by a semi join against the broadcast names, so a large dimension
-    is read once and never shuffled."""
+    is read once and never shuffled. With ``collation`` names that it holds
+    equal are one name."""
+    if collation:
+        key = "__collated"
+        out = resolve_by_name(df.withColumn(key, collated(name_col, collation)),
+                              dim.select("id", collated(dim_name, collation).alias(key)), key, out_col, key, small)
+        return out.drop(key)
     if small:
         names = F.broadcast(df.select(F.col(name_col).alias(dim_name)).distinct())
         ids = (dim.join(names, dim_name, "left_semi")

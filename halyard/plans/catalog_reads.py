@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.operators import changes as CH
+from halyard.operators import ngrams as NG
 from halyard.operators import records as R
 from halyard.operators import views as V
 from halyard.plans.catalog import AS_OF, register
 from halyard.session import scratch_dir
 from halyard.sources import schemas as S
 from halyard.sources import tables as TB
+from halyard.sources.fixtures import overlay
 
 SUB_RECORD = """
 SELECT cp.id, cp.customer_id, c.first_name || ' ' || c.last_name AS customer_name,
@@ -225,6 +227,20 @@ def _customer_search(t):
     return R.customer_record(V.filter_customers(V.customer_360(t), search=SEARCH))
 
 
+INDEXED = "NITURE.1"
+
+
+@register("indexed_search", CUSTOMER_RECORD + "\nWHERE " + SEARCH_SQL.format(s=INDEXED))
+def _indexed_search(t):
+    """F3 through an index of trigrams, written and read back: the same rows
+    as the scan, from the postings of the term's rarest trigrams."""
+    spark = t["customers"].sparkSession
+    path = scratch_dir(spark, "name-grams")
+    NG.write_postings(NG.postings(t["customers"]), path)
+    hits = NG.indexed_search(t["customers"], lambda grams: NG.read_postings(spark, path, grams), INDEXED)
+    return R.customer_record(V.customer_360(overlay(t, customers=hits)))
+
+
 @register("customers_filtered", CUSTOMER_RECORD
           + "\nWHERE c.status = 'active' AND c.company_id = 3 AND " + SEARCH_SQL.format(s="MOBILE"))
 def _customers_filtered(t):
@@ -336,6 +352,16 @@ def _assign_if_none(t):
     return CH.assign_if_none(t, t["assignment_requests"], AS_OF)
 
 
+@register("resolve_collated", """
+SELECT r.row_id, CASE WHEN r.row_id % 3 = 0 THEN lower(r.name) ELSE r.name END AS name, m.id AS resolved_id
+FROM company_requests r
+LEFT JOIN (SELECT lower(name) AS name, min(id) AS id FROM companies GROUP BY 1) m ON m.name = lower(r.name)""")
+def _resolve_collated(t):
+    """J7 in a collation that does not tell letters from their capitals."""
+    asked = t["company_requests"].select("row_id", F.when(F.col("row_id") % 3 == 0, F.lower("name")).otherwise(F.col("name")).alias("name"))
+    return V.resolve_by_name(asked, t["companies"], "name", collation="UNICODE_CI").select("row_id", "name", "resolved_id")
+
+
 @register("resolve_by_name", """
 SELECT r.row_id, r.name, m.id AS resolved_id
 FROM company_requests r

@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+import re
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from halyard.functions.time import at
 from halyard.operators import changes as CH
 from halyard.operators import integrity as I
 from halyard.operators import lifecycle as L
+from halyard.operators import maintained as MC
+from halyard.operators import metrics as M
 from halyard.operators import validation as VAL
 from halyard.operators import views as V
 from halyard.operators.ids import assign_ids
 from halyard.operators.replay import replay_changes
 from halyard.plans.catalog import AS_OF, register
+from halyard.plans.catalog_metrics import METRIC_SQL
 from halyard.plans.catalog_reads import CANDIDATES
-from halyard.session import scratch_dir
+from halyard.session import pinned, scratch_dir
 from halyard.sources import requests as RQ
 from halyard.sources import schemas as S
+from halyard.sources.fixtures import overlay
 from halyard.sources.tables import latest_version
 from halyard.streaming.change_stream import apply_change_stream, replay_change_stream
 
@@ -237,24 +244,28 @@ def _surrogate_ids(t):
 
 # -- W2 ------------------------------------------------------------------------------------
 
+_INSERT_ERRORS = "concat_ws('|', " + ", ".join(V5_RULES) + """,
+    CASE WHEN customer_id IS NOT NULL AND customer_id NOT IN (SELECT id FROM customers) THEN 'customer_id:no_parent' END,
+    CASE WHEN package_id IS NOT NULL AND package_id NOT IN (SELECT id FROM packages) THEN 'package_id:no_parent' END)"""
+
+
 @register("insert_batch", """
-WITH ok AS (
-  SELECT d.* FROM dirty_subscriptions d
-  WHERE d.package_id IS NOT NULL AND d.expires_at IS NOT NULL AND """ + is_dt_sql("d.expires_at") + """
-    AND (d.price_paid IS NULL OR d.price_paid >= 0)
-    AND (d.status IS NULL OR d.status IN ('active', 'expired', 'cancelled'))
-    AND EXISTS (SELECT 1 FROM customers c WHERE c.id = d.customer_id)
-    AND EXISTS (SELECT 1 FROM packages p WHERE p.id = d.package_id))
+WITH told AS (SELECT *, """ + _INSERT_ERRORS + """ AS errors FROM dirty_subscriptions),
+ok AS (SELECT * FROM told WHERE errors = '')
 SELECT row_id, (SELECT max(id) FROM customer_packages) + row_number() OVER (ORDER BY row_id) AS id,
        customer_id, package_id, CAST(NULL AS BIGINT) AS promotion_id, {AS_OF} AS joined_at,
        """ + parse_dt_sql("expires_at") + """ AS expires_at,
        CAST(CAST(price_paid AS DECIMAL(10,2)) AS DOUBLE) AS price_paid, 'active' AS status,
-       {AS_OF} AS created_at, {AS_OF} AS updated_at
-FROM ok""")
+       {AS_OF} AS created_at, {AS_OF} AS updated_at, errors
+FROM ok
+UNION ALL
+SELECT row_id, NULL, customer_id, package_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, errors FROM told WHERE errors <> ''""")
 def _insert_batch(t):
-    """The valid subscription requests inserted with defaults and ids."""
-    inserted, _rejected = CH.insert_batch(t, t["dirty_subscriptions"], "customer_packages", AS_OF)
-    return inserted
+    """The valid subscription requests inserted with defaults and ids, and
+    the rejected ones with their error codes."""
+    inserted, rejected = CH.insert_batch(t, t["dirty_subscriptions"], "customer_packages", AS_OF)
+    kept = rejected.select("row_id", "customer_id", "package_id", F.concat_ws("|", "errors").alias("errors"))
+    return inserted.withColumn("errors", F.lit("")).unionByName(kept, allowMissingColumns=True)
 
 
 # -- W4 ------------------------------------------------------------------------------------
@@ -414,27 +425,25 @@ WITH del AS (SELECT DISTINCT c.id FROM customers c
 cust AS (SELECT * FROM customers WHERE id NOT IN (SELECT id FROM del)),
 gone_cp AS (SELECT id FROM customer_packages WHERE customer_id IN (SELECT id FROM del)),
 cp AS (SELECT * FROM customer_packages WHERE id NOT IN (SELECT id FROM gone_cp)),
-log AS (SELECT CASE WHEN customer_package_id IN (SELECT id FROM gone_cp) THEN NULL
+log AS (SELECT id, subject, CASE WHEN customer_package_id IN (SELECT id FROM gone_cp) THEN NULL
                     ELSE customer_package_id END AS customer_package_id FROM notification_log)
-SELECT 'customers' AS table_name, CAST(count(*) AS BIGINT) AS row_count,
-       CAST(count(*) FILTER (WHERE company_id IS NULL) AS BIGINT) AS null_refs FROM cust
-UNION ALL
-SELECT 'customer_packages', CAST(count(*) AS BIGINT),
-       CAST(count(*) FILTER (WHERE promotion_id IS NULL) AS BIGINT) FROM cp
-UNION ALL
-SELECT 'notification_log', CAST(count(*) AS BIGINT),
-       CAST(count(*) FILTER (WHERE customer_package_id IS NULL) AS BIGINT) FROM log""")
+SELECT 'customers' AS table_name, id, company_id AS reference, email AS kept FROM cust
+UNION ALL SELECT 'customer_packages', id, CAST(promotion_id AS BIGINT), status FROM cp
+UNION ALL SELECT 'notification_log', id, customer_package_id, subject FROM log
+UNION ALL SELECT 'outcomes', d.id, NULL, CASE WHEN c.id IS NULL THEN 'not_found' ELSE 'deleted' END
+FROM (SELECT DISTINCT id FROM customer_changes WHERE op = 'delete') d LEFT JOIN customers c ON c.id = d.id""")
 def _delete_batch(t):
     """Delete the customers the feed deletes; subscriptions cascade,
-    their log rows lose the reference. Row counts and NULL references."""
-    dels = t["customer_changes"].where(F.col("op") == "delete").select("id")
-    new, _outcomes = CH.delete_batch(t, "customers", dels)
-    refs = {"customers": "company_id", "customer_packages": "promotion_id",
-            "notification_log": "customer_package_id"}
-    parts = [new[n].agg(F.count(F.lit(1)).alias("row_count"),
-                        F.count_if(F.col(c).isNull()).alias("null_refs"))
-                   .select(F.lit(n).alias("table_name"), "row_count", "null_refs")
-             for n, c in refs.items()]
+    their log rows lose the reference. Every row of the three tables after
+    it, with what it refers to, and the outcome of each request."""
+    dels = pinned(t["customer_changes"].where(F.col("op") == "delete").select("id"), "deletes")
+    new, outcomes = CH.delete_batch(t, "customers", dels)
+    shown = {"customers": ("company_id", "email"), "customer_packages": ("promotion_id", "status"),
+             "notification_log": ("customer_package_id", "subject")}
+    parts = [new[n].select(F.lit(n).alias("table_name"), "id", F.col(ref).cast("bigint").alias("reference"), F.col(kept).alias("kept"))
+             for n, (ref, kept) in shown.items()]
+    parts.append(outcomes.select(F.lit("outcomes").alias("table_name"), "id", F.lit(None).cast("bigint").alias("reference"),
+                                 F.col("outcome").alias("kept")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -527,13 +536,76 @@ def _reminder_digest(t):
 
 
 @register("reminder_cycle", """
-WITH cand AS (""" + CANDIDATES % 7 + """),
+WITH cand AS (""" + CANDIDATES % 30 + """),
 n AS (SELECT count(*) AS n FROM cand)
-SELECT CAST((SELECT count(*) FROM customer_packages WHERE """ + STALE + """) AS BIGINT)
-       AS auto_expired, n > 0 AS email_prepared,
-       CASE WHEN n = 0 THEN 'nothing_expiring' END AS reason,
-       CAST(n AS BIGINT) AS recipients, 'admin@example.com' AS admin_email
-FROM n""")
+SELECT 'summary' AS part, CAST(0 AS BIGINT) AS id, CAST(NULL AS BIGINT) AS cp_id,
+       concat_ws('|', (SELECT count(*) FROM customer_packages WHERE """ + STALE + """), n > 0,
+                 CASE WHEN n = 0 THEN 'nothing_expiring' ELSE '' END, n, 'admin@example.com') AS told FROM n
+UNION ALL
+SELECT 'log', (SELECT max(id) FROM notification_log) + row_number() OVER (ORDER BY expires_at, cp_id), cp_id,
+       'package_expiry|admin@example.com|Package Expiry Alert - 30 day horizon|true' FROM cand
+UNION ALL
+SELECT 'subscription', id, NULL, CASE WHEN """ + STALE + """ THEN 'expired|' || strftime({AS_OF}, '%Y-%m-%d %H:%M:%S')
+       ELSE status || '|' || strftime(updated_at, '%Y-%m-%d %H:%M:%S') END FROM customer_packages""")
 def _reminder_cycle(t):
-    """One reminder run at the default 7-day horizon, as its summary."""
-    return L.reminder_cycle(t, 7, "admin@example.com", AS_OF)["summary"]
+    """One reminder run at a 30-day horizon: its summary, the log rows it
+    appends, and every subscription as it leaves it (its mail is W9's)."""
+    run = L.reminder_cycle(t, 30, "admin@example.com", AS_OF)
+    none = F.lit(None).cast("bigint").alias("cp_id")
+    summary = run["summary"].select(F.lit("summary").alias("part"), F.lit(0).cast("bigint").alias("id"), none, F.concat_ws(
+        "|", "auto_expired", "email_prepared", F.coalesce("reason", F.lit("")), "recipients", "admin_email").alias("told"))
+    log = run["log_rows"].select(F.lit("log").alias("part"), "id", F.col("customer_package_id").alias("cp_id"),
+                                 F.concat_ws("|", "type", "recipient_email", "subject", "success").alias("told"))
+    subs = run["customer_packages"].select(F.lit("subscription").alias("part"), "id", none, F.concat_ws(
+        "|", "status", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss")).alias("told"))
+    return summary.unionByName(log).unionByName(subs)
+
+
+# -- maintained counts, expiry histogram -------------------------------------------------------
+
+_AFTER_SQL = """
+WITH patched AS (""" + _patched_customers_sql(True) + """),
+kept AS (
+  SELECT * REPLACE (CASE WHEN status = 'active' AND expires_at < {AS_OF} THEN 'expired' ELSE status END AS status)
+  FROM customer_packages WHERE customer_id IN (SELECT id FROM patched))
+SELECT * FROM """ + ", ".join(
+    f"({re.sub(r'customer_packages', 'kept', re.sub(r'FROM customers', 'FROM patched', METRIC_SQL[n]))}) AS m{i}"
+    for i, n in enumerate(M.STAT_COLUMNS))
+
+
+def _replayed_counts(t):
+    """The tables and the count table after the change feed and W1: of the
+    whole tables only the first counts are taken."""
+    counts = pinned(MC.initial_counts(t), "counts")
+    new, outcomes = replay_changes(t, t["customer_changes"], "customers", AS_OF)
+    gone = outcomes.where("outcome = 'deleted'").select(F.col("id").alias("customer_id"))
+    touched = outcomes.where("outcome IN ('updated', 'deleted')").select("id")
+    before, after = MC.touched_images(t["customers"], new["customers"], touched)
+    lost = t["customer_packages"].join(gone, "customer_id", "left_semi")
+    counts = pinned(MC.fold_counts(counts, ("customers", before, after), ("customer_packages", lost, None)), "counts")
+    stale = new["customer_packages"].where((F.col("status") == "active") & (F.col("expires_at") < at(AS_OF)))
+    counts = MC.fold_counts(counts, ("customer_packages", stale, L.auto_expire(stale, AS_OF)))
+    return overlay(new, customer_packages=L.auto_expire(new["customer_packages"], AS_OF)), pinned(counts, "counts")
+
+
+@register("maintained_dashboard", _AFTER_SQL)
+def _maintained_dashboard(t):
+    """A1-A11 from counts that the changes of customers, their cascades and
+    W1 were folded into; only the edge hours of the horizons are read."""
+    new, counts = _replayed_counts(t)
+    return MC.maintained_dashboard(counts, new, AS_OF)
+
+
+@register("expiry_horizons", """
+WITH h AS (SELECT id AS horizon_id, CAST(id % 1021 AS DECIMAL(20,6)) * 0.137 AS days FROM packages)
+SELECT h.horizon_id, CAST(h.days AS DOUBLE) AS days,
+       (SELECT count(*) FROM customer_packages cp WHERE cp.status = 'active'
+        AND cp.expires_at BETWEEN {AS_OF} AND {AS_OF} + to_microseconds(CAST(h.days * 86400000000 AS BIGINT))) AS expiring
+FROM h""")
+def _expiry_horizons(t):
+    """A6 and A7 for a horizon of its own, in fractions of days, for each
+    package: prefix sums by hour, and the rows of the edge hours."""
+    horizons = t["packages"].select(F.col("id").alias("horizon_id"),
+                                    ((F.col("id") % 1021).cast("decimal(20,6)") * F.lit(Decimal("0.137"))).cast("decimal(20,6)").alias("days"))
+    hist = MC.expiry_histogram(t["customer_packages"])
+    return MC.expiring_counts(hist, t["customer_packages"], horizons, AS_OF)
