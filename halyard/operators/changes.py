@@ -397,10 +397,8 @@ def assign_if_none(t, requests: DataFrame, as_of, any_status: bool = False,
     emails = requests.select("customer_email")
     cust = t["customers"].select(F.col("id").alias("customer_id"),
                                  F.col("email").alias("customer_email"))
-    if small:
-        # E-mail is unique: the customers found are no more than the requests.
-        cust = F.broadcast(cust.join(F.broadcast(emails.distinct()), "customer_email",
-                                     "left_semi"))
+    if small:       # the customers found are measured, should an e-mail repeat
+        cust = small_side(cust.join(F.broadcast(emails.distinct()), "customer_email", "left_semi"))
     req = requests.join(cust, "customer_email")
     req = resolve_by_name(req, t["packages"], "package_name", "package_id", small=small)
     req = resolve_by_name(req, t["promotions"], "promotion_name", "promotion_id", small=small)

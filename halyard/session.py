@@ -7,6 +7,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -80,9 +81,31 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark)
     path = os.path.join(base, "tables", f"{name}-{dt.datetime.now():%Y%m%d%H%M%S}-"
                                        f"{uuid.uuid4().hex[:12]}")
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return path
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Removes, at its end, the scratch tables written inside it (by any
+    operator): use their results, or write them elsewhere, before it ends.
+    Scopes may be nested; without one, scratch tables stay until the folder
+    that ``spark.checkpoint.dir`` names is cleaned."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPES.remove(paths)
+        for path in paths:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def pinned(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once under the scratch folder and read back, for frames
     that a plan reads several times. Frames with a column of no type, which

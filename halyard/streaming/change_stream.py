@@ -26,7 +26,8 @@ Two ways to consume it:
   written before the entity, so a batch cut short finds its deletes again.
   The folded rows are absolute states, so re-applying a batch after a failure
   gives the same buckets. Readers may see a batch half applied: it is not
-  atomic. Unique keys are checked within the touched buckets only.
+  atomic. The buckets of rows that hold a unique key now asked for are read
+  as well, so keys are checked over the whole table.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from halyard.operators.changes import apply_folded, fold_changes, marked_changes, reached_rows
 from halyard.sources import schemas as S
 from halyard.sources.fixtures import overlay
-from halyard.session import scratch_dir
+from halyard.session import scratch_dir, scratch_scope
 from halyard.operators.replay import replay_changes
 from halyard.sources.tables import (_versions, current_commit, drop_old_versions, latest_version, publish,
                                     read_number, write_number, write_table)
@@ -107,7 +108,10 @@ def _pin(batch: DataFrame, batch_id: int) -> DataFrame:
 
 def _bucketed_apply(t, target_path: str, entity: str, as_of, buckets: int, first: int):
     def apply(batch: DataFrame, batch_id: int) -> None:
-        batch = _pin(batch, batch_id)
+        with scratch_scope(batch.sparkSession):
+            apply_pinned(_pin(batch, batch_id), batch_id)
+
+    def apply_pinned(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         jvm = spark.sparkContext._jvm
         root = jvm.org.apache.hadoop.fs.Path(target_path)
@@ -125,7 +129,12 @@ def _bucketed_apply(t, target_path: str, entity: str, as_of, buckets: int, first
             return sorted(r[0] for r in ids.select(id_bucket(buckets).alias("b")).distinct().collect())
 
         start(entity)
-        touched = {entity: buckets_of(batch)}
+        ids = batch.select("id")
+        for key in (k for keys in S.UNIQUE_KEYS.get(entity, []) for k in keys if f"set_{k}" in batch.columns):
+            # The rows that hold a key now asked for, in whatever bucket.
+            asked = batch.where(F.col(f"set_{key}") & F.col(key).isNotNull()).select(key).distinct()
+            ids = ids.unionByName(read_bucketed(spark, target_path, entity).select("id", key).join(asked, key, "left_semi").select("id"))
+        touched = {entity: buckets_of(ids)}
         if not touched[entity]:
             return
         cur = overlay(t, **{entity: read_bucketed(spark, target_path, entity, touched[entity])})
@@ -178,7 +187,10 @@ def _versioned_apply(t, target_path: str, entity: str, first: int, keep_versions
     names = [entity, *reached_tables(entity)]
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        batch = _pin(batch, batch_id)
+        with scratch_scope(batch.sparkSession):
+            apply_pinned(_pin(batch, batch_id), batch_id)
+
+    def apply_pinned(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         # Start from the newest version written by an earlier batch; a
         # retried batch ignores its own partial or complete output.

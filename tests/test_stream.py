@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from halyard.operators import changes as CH
 from halyard.sources import schemas as S
-from halyard.streaming.change_stream import (apply_change_stream, change_source, fold_stream,
+from halyard.streaming.change_stream import (apply_change_stream, change_source, fold_stream, read_bucketed,
                                              latest_version)
 from tests.demo_rows import T
 
@@ -155,3 +155,34 @@ def test_streamed_delete_reaches_the_children_bucketed(spark, demo, tmp_path):
                     read_bucketed(spark, out, "notification_log"))
     assert sorted(tuple(r) for r in spark.read.parquet(latest_version(out, "customers_outcomes")).collect()) == [
         (1, "deleted"), (3, "updated"), (4, "rejected")]
+
+
+def test_bucketed_stream_checks_keys_of_other_buckets(spark, tmp_path):
+    """An e-mail held by a row of a bucket that the batch does not touch."""
+    from tests.demo_rows import demo_tables
+    from tests.test_replay import people
+    t = {**demo_tables(spark), "customers": people(spark, 40)}
+    rows = [(k, k, "patch", True, f"u{39 - k}@example.com") for k in range(3)] + [(3, 3, "patch", True, "free@example.com")]
+    frame = spark.createDataFrame(rows, "seq bigint, id bigint, op string, set_email boolean, email string")
+    frame.coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    query = apply_change_stream(change_source(spark, str(tmp_path / "in"), frame.schema), t, out, str(tmp_path / "state"), T, buckets=16)
+    query.awaitTermination()
+    assert query.exception() is None
+    got = {r["id"]: r["email"] for r in read_bucketed(spark, out, "customers").collect()}
+    assert got == {k: "free@example.com" if k == 3 else f"u{k}@example.com" for k in range(40)}
+    outcomes = {r["id"]: r["outcome"] for r in spark.read.parquet(latest_version(out, "customers_outcomes")).collect()}
+    assert outcomes == {0: "rejected", 1: "rejected", 2: "rejected", 3: "updated"}
+
+
+def test_scratch_tables_are_removed_after_each_batch(spark, tmp_path):
+    import os
+
+    from halyard.session import ensure_checkpoint_dir, pinned, scratch_scope
+    base = os.path.join(ensure_checkpoint_dir(spark), "tables")
+    with scratch_scope(spark) as paths:
+        df = pinned(spark.range(5), "scoped")
+        assert df.count() == 5 and len(paths) == 1 and os.path.exists(paths[0])
+    assert not os.path.exists(paths[0])
+    kept = pinned(spark.range(3), "unscoped")
+    assert kept.count() == 3 and os.path.isdir(base)
