@@ -132,17 +132,19 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, id_col: str =
     passed over. If a document larger than what is then lacking brings the
     source nearer to its target, the nearest is added. ``weights`` is (source, weight), one row per
     source; by default 1, 2, 3, repeating. u is a hash of seed and id, so
-    reruns agree. With ``row_col``, a unique number of each row, the result
-    has it too, as ``row``.
+    reruns agree; rows without an id go by their number, so that they do not
+    all have one rank. With ``row_col``, a unique number of each row, the
+    result has it too, as ``row``.
 
     Defined results: a null source is a source; a null or empty text has size
     0 and takes nothing; documents tied in rank go by id; repeated rows are
     documents of their own; an empty table gives an empty table.
     """
+    number = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                        F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("bigint").alias("size"),
-                       unit_key(F.col(id_col), seed=seed).alias("k"),
-                       (F.monotonically_increasing_id() if row_col is None else F.col(row_col)).alias("row"))
+                       unit_key(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("row "), number.cast("string"))),
+                                seed=seed).alias("k"), number.alias("row"))
     base = pin(base, "mix-rows")
     bins = max(64, min(1 << 20, base.count() // BIN_ROWS))
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))

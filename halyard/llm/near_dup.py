@@ -276,21 +276,25 @@ def _pair_filter(percent: int):
     return run
 
 
-def cells(rows: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+def cells(rows: DataFrame, block: int = BLOCK_ROWS, weights: int = BLOCK_SHINGLES) -> DataFrame:
     """``rows`` (grp, cls, doc_id, ...) dealt into cells (grp, low, high, side)
     such that any two rows of a group whose classes differ meet in a cell.
 
     The group's largest class needs no comparison with itself. Its rows and
-    the others' are cut into blocks of about ``block`` rows, and a cell pairs
+    the others' are cut into blocks of about ``block`` rows (and of about
+    ``weights`` in a column ``weight``, if there is one), and a cell pairs
     two blocks, at most one of them of the largest class. Rows of a group of
     one class go nowhere. So copies are made in proportion to the blocks of
     the *other* classes, however large the largest is.
     """
-    per = rows.groupBy("grp", "cls").agg(F.count(F.lit(1)).alias("k"))
-    top = per.groupBy("grp").agg(F.max(F.struct("k", "cls")).alias("top"), F.sum("k").alias("all"))
-    top = top.select("grp", F.col("top")["cls"].alias("largest"),
-                     F.ceil(F.col("top")["k"] / block).cast("int").alias("nl"),
-                     F.ceil((F.col("all") - F.col("top")["k"]) / block).cast("int").alias("no")).filter("no > 0")
+    weight = F.col("weight") if "weight" in rows.columns else F.lit(0)
+    per = rows.groupBy("grp", "cls").agg(F.count(F.lit(1)).alias("k"), F.sum(weight).alias("w"))
+    top = per.groupBy("grp").agg(F.max(F.struct("k", "cls", "w")).alias("top"), F.sum("k").alias("all"), F.sum("w").alias("all_w"))
+    blocks = lambda k, w: F.greatest(F.ceil(k / block), F.ceil(w / weights)).cast("int")
+    t = F.col("top")
+    top = top.filter(F.col("all") > t["k"]).select(
+        "grp", t["cls"].alias("largest"), blocks(t["k"], t["w"]).alias("nl"),
+        blocks(F.col("all") - t["k"], F.col("all_w") - t["w"]).alias("no"))
     j = rows.join(top, "grp")
     main = F.col("cls") == F.col("largest")
     own = F.pmod(F.xxhash64("doc_id"), F.when(main, F.col("nl")).otherwise(F.col("no"))).cast("int")
@@ -383,8 +387,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
     size = size.filter("k > 1").select("root", F.greatest(
         F.ceil(F.col("k") / BLOCK_ROWS), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = pin(family.join(size, "root").select(
-        F.col("root").alias("grp"), F.col("node").alias("doc_id"), "blocks",
+    members = pin(family.join(size, "root").join(nodes.select(F.col("doc_id").alias("node"), F.col("n").alias("weight")), "node").select(
+        F.col("root").alias("grp"), F.col("node").alias("doc_id"), "blocks", "weight",
         F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("low")), "near-members")
     # The texts of the families' nodes; equal sets of other rows are left out.
     picked = pin(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "near-texts")
@@ -395,7 +399,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     many = members.filter("blocks > 1")
     if many.take(1):
         known = labels.select(F.col("node").alias("doc_id"), F.col("root").alias("cls"))
-        open_ = many.join(known, "doc_id", "left").select("grp", "doc_id", F.coalesce("cls", "doc_id").alias("cls"))
+        open_ = many.join(known, "doc_id", "left").select("grp", "doc_id", "weight", F.coalesce("cls", "doc_id").alias("cls"))
         more = pin(_by_cell(cells(open_).join(picked, "doc_id"), _text_links(width, percent)).distinct(), "near-more")
         labels = pin(relabelled(labels, more), "near-components")
     rows = sig.select("doc_id", "n", F.coalesce("digest", F.concat(F.lit("id").cast("binary"), F.col("doc_id").cast(

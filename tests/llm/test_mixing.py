@@ -96,3 +96,11 @@ def test_fill_is_the_walk_in_rank_order(spark):
             want.add(r[0])
     got = {r.doc_id for r in pareto_fill(cands, budgets, 16).filter("picked and size > 0").collect()}
     assert got == want
+
+
+def test_rows_without_an_id_have_ranks_of_their_own(spark):
+    docs = spark.range(900).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") < 450, "a").otherwise("b").alias("source"),
+                                   F.lit("w w w").alias("text"))
+    got = mix_sources(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"),
+                                                  F.countDistinct("copies").alias("copies")).collect()
+    assert all(abs(r.taken - r.target) <= 3 for r in got) and {r.copies for r in got} == {2}

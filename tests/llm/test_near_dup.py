@@ -121,6 +121,18 @@ def test_cells_meet_every_pair_of_classes(spark):
     assert want <= met
 
 
+def test_cells_bound_the_weight_of_a_block(spark):
+    rows = [(1, i % 4, i, 300 if i % 5 == 0 else 10) for i in range(120)]
+    dealt = cells(spark.createDataFrame(rows, "grp long, cls long, doc_id long, weight long"), block=100, weights=600).collect()
+    sums = {}
+    for r in dealt:
+        sums[r.low, r.high, r.side] = sums.get((r.low, r.high, r.side), 0) + r.weight
+    assert len(sums) > 20 and max(sums.values()) < 3 * 600
+    met = {frozenset((a.doc_id, b.doc_id)) for a, b in combinations(dealt, 2)
+           if (a.low, a.high) == (b.low, b.high) and (a.side != b.side or a.low == a.high)}
+    assert {frozenset((a[2], b[2])) for a, b in combinations(rows, 2) if a[1] != b[1]} <= met
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [
