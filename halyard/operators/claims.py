@@ -10,7 +10,7 @@ one key with a third of all events is spread over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from halyard.session import pinned
@@ -18,40 +18,56 @@ from halyard.session import pinned
 HOLD, CLAIM, FREE = "hold", "claim", "free"
 # The sequence of what holds before the batch, and the end of what is not given up.
 BEFORE, NEVER = -(1 << 62), (1 << 63) - 1
+# Rounds between two writes.
+ROUNDS = 4
 
 
-def _over(df: DataFrame, group: str, part: str, order: list[Column], back: list[Column], spans: bool, **values) -> DataFrame:
-    """``df`` with a running value for each ``name=(how, column, forward)``:
-    the last non-NULL ``column`` (how ``last``) or the largest (``max``) of
-    the rows of the same ``group`` before this one in ``order`` (after it,
-    with ``forward`` false; ``back`` is the order backwards).
+def _over(df: DataFrame, group: str, part: str, order: list[str], spans: bool, **values) -> DataFrame:
+    """``df`` with a running value for each ``name=(how, column)``: of the
+    rows of the same ``group``, the ``last`` non-NULL column before this one
+    in ``order``, the ``next`` one after it, or the largest (``max``) before.
 
     Rows lie in range partitions (column ``part``) that follow the order. A
     window runs within (group, part); where a group spans parts, each part's
-    total is carried on to the next ones, one row per (group, part)."""
-    out, totals, names = df, [], []
-    for name, (how, col, forward) in values.items():
-        inner = (Window.partitionBy(group, part).orderBy(*(order if forward else back))
-                 .rowsBetween(Window.unboundedPreceding, -1))
-        running = F.last(col, ignorenulls=True) if how == "last" else F.max(col)
-        out = out.withColumn(name, running.over(inner))
-        if spans:
-            at = F.when(col.isNotNull(), order[0] if forward else -order[0])
-            totals.append((F.max_by(col, at) if how == "last" else F.max(col)).alias(f"__t_{name}"))
-            names.append((name, how, forward))
-    if not spans:
-        return out
-    parts = df.groupBy(group, part).agg(*totals)
-    for name, how, forward in names:
-        outer = (Window.partitionBy(group).orderBy(F.col(part) if forward else F.col(part).desc())
-                 .rowsBetween(Window.unboundedPreceding, -1))
-        t = F.col(f"__t_{name}")
-        parts = parts.withColumn(f"__c_{name}", (F.last(t, ignorenulls=True) if how == "last" else F.max(t)).over(outer))
-    out = out.join(parts.select(group, part, *[f"__c_{n}" for n, _, _ in names]), [group, part])
-    for name, how, _ in names:
-        both = (F.coalesce(name, f"__c_{name}") if how == "last" else F.greatest(name, f"__c_{name}"))
-        out = out.withColumn(name, both)
-    return out.drop(*[f"__c_{n}" for n, _, _ in names])
+    total is carried on to the others, one row per (group, part)."""
+    over = f"OVER (PARTITION BY {group}, {part} ORDER BY {', '.join(order)}"
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    running = {"last": f"last(__v, true) {over} {before}", "next": f"lead(__v) IGNORE NULLS {over})", "max": f"max(__v) {over} {before}"}
+    columns = {f"__v_{name}": col for name, (_, col) in values.items()}
+    out = df.withColumns(columns).withColumns(
+        {name: F.expr(running[how].replace("__v", f"__v_{name}")) for name, (how, _) in values.items()})
+    if spans:
+        first = order[0]
+        total = {"last": lambda v: F.max_by(v, F.when(v.isNotNull(), F.col(first))), "next": lambda v: F.min_by(v, F.when(v.isNotNull(), F.col(first))),
+                 "max": F.max}
+        parts = df.withColumns(columns).groupBy(group, part).agg(
+            *[total[how](F.col(f"__v_{name}")).alias(f"__t_{name}") for name, (how, _) in values.items()])
+        w = Window.partitionBy(group)
+        for name, (how, _) in values.items():
+            t, back = F.col(f"__t_{name}"), how == "next"
+            frame = w.orderBy(F.col(part).desc() if back else F.col(part)).rowsBetween(Window.unboundedPreceding, -1)
+            parts = parts.withColumn(f"__c_{name}", (F.max(t) if how == "max" else F.last(t, ignorenulls=True)).over(frame))
+        out = out.join(parts.select(group, part, *[f"__c_{n}" for n in values]), [group, part])
+        out = out.withColumns({name: F.greatest(name, f"__c_{name}") if how == "max" else F.coalesce(name, f"__c_{name}")
+                               for name, (how, _) in values.items()})
+    return out.drop(*columns, *[f"__c_{n}" for n in values])
+
+
+_COLUMNS = ["id", "seq", "key", "kind", "place", "by_id", "by_key"]
+
+
+def _judged(live: DataFrame, spans: dict[str, bool]) -> DataFrame:
+    """``live`` with ``now``: whether each claim stands if those before it do
+    as ``stands`` says."""
+    seq, stands = F.col("seq"), F.col("stands")
+    scanned = _over(live, "id", "by_id", ["seq"], spans["id"],
+                    own=("last", F.when(stands & (F.col("kind") != FREE), F.col("key"))), end=("next", F.when(stands, seq)))
+    scanned = scanned.withColumn("end", F.coalesce("end", F.lit(NEVER)))
+    keyed = _over(scanned, "place", "by_key", ["seq", "id"], spans["place"],
+                  until=("max", F.when(stands & (F.col("kind") != FREE), F.col("end"))))
+    others = F.coalesce(F.col("until") > seq, F.lit(False))
+    now = (F.col("kind") != CLAIM) | F.coalesce(F.col("own") == F.col("key"), F.lit(False)) | ~others
+    return keyed.select(*_COLUMNS, "stands", now.alias("now"))
 
 
 def resolve_claims(events: DataFrame) -> DataFrame:
@@ -68,8 +84,8 @@ def resolve_claims(events: DataFrame) -> DataFrame:
     the last round left them, until none changes. A claim depends only on
     earlier ones, so the one fixed point is the replay's result, reached
     after as many rounds as refusals follow from each other in a chain (a
-    key that many rows ask for takes two). Each round is written under the
-    checkpoint folder; only a count reaches the driver."""
+    key that many rows ask for takes two). Every ``ROUNDS`` rounds the state
+    is written under the checkpoint folder; only a count reaches the driver."""
     at = F.when(F.col("kind") == HOLD, F.lit(BEFORE)).otherwise(F.col("seq"))
     e = pinned(events.select(F.col("id").cast("bigint").alias("id"), at.cast("bigint").alias("seq"), "key", "kind"), "claims")
     claims = e.where(F.col("kind") == CLAIM)
@@ -78,27 +94,20 @@ def resolve_claims(events: DataFrame) -> DataFrame:
     ids = pinned(e.join(contested, "key", "left_semi").select("id").distinct(), "claims-ids")
     if not ids.take(1):
         return claims.select("seq", F.lit(True).alias("stands"))
-    live = (e.join(ids, "id", "left_semi").repartitionByRange("id", "seq").withColumn("by_id", F.spark_partition_id())
-            .repartitionByRange("key", "seq", "id").withColumn("by_key", F.spark_partition_id()))
+    # A row that is gone holds no key; it is scanned at a place of its own.
+    place = F.coalesce("key", F.concat(F.lit("gone "), F.col("id").cast("string")))
+    live = (e.join(ids, "id", "left_semi").withColumn("place", place)
+            .repartitionByRange("id", "seq").withColumn("by_id", F.spark_partition_id())
+            .repartitionByRange("place", "seq", "id").withColumn("by_key", F.spark_partition_id()))
     live = pinned(live.withColumn("stands", F.lit(True)), "claims-live")
     spans = {g: bool(live.groupBy(g).agg(F.min(p).alias("a"), F.max(p).alias("b")).where("a <> b").take(1))
-             for g, p in (("id", "by_id"), ("key", "by_key"))}
-    columns = ["id", "seq", "key", "kind", "by_id", "by_key"]
+             for g, p in (("id", "by_id"), ("place", "by_key"))}
     while True:
-        seq, stands = F.col("seq"), F.col("stands")
-        scanned = _over(live, "id", "by_id", [seq], [seq.desc()], spans["id"],
-                        own=("last", F.when(stands & (F.col("kind") != FREE), F.col("key")), True),
-                        end=("last", F.when(stands, seq), False))
-        scanned = scanned.withColumn("end", F.coalesce("end", F.lit(NEVER)))
-        free = scanned.where(F.col("kind") == FREE).select(*columns, "stands", F.lit(True).alias("now"))
-        keyed = _over(scanned.where(F.col("kind") != FREE), "key", "by_key", [seq, F.col("id")], [seq.desc(), F.col("id").desc()],
-                      spans["key"], until=("max", F.when(stands, F.col("end")), True))
-        others = F.coalesce(F.col("until") > seq, F.lit(False))
-        now = (F.col("kind") == HOLD) | F.coalesce(F.col("own") == F.col("key"), F.lit(False)) | ~others
         changed = Observation()
-        judged = keyed.select(*columns, "stands", now.alias("now")).unionByName(free)
-        judged = judged.observe(changed, F.count_if(F.col("now") != stands).alias("n"))
-        live = pinned(judged.select(*columns, F.col("now").alias("stands")), "claims-live")
+        for _ in range(ROUNDS - 1):
+            live = _judged(live, spans).select(*_COLUMNS, F.col("now").alias("stands"))
+        judged = _judged(live, spans).observe(changed, F.count_if(F.col("now") != F.col("stands")).alias("n"))
+        live = pinned(judged.select(*_COLUMNS, F.col("now").alias("stands")), "claims-live")
         if not changed.get.get("n"):
             break
     known = live.where(F.col("kind") == CLAIM).select("seq", "stands")
