@@ -112,8 +112,7 @@ def heavy_keys(df: DataFrame, key: str, share: int = HEAVY_SHARE) -> DataFrame:
     ``share`` of ``df`` holds, so at most ``share`` of them. Counted map-side
     first."""
     counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    return counts.join(F.broadcast(total), F.col("n") * share >= F.col("total")).select("key")
+    return counts.where(F.col("n") * share >= row_count(df)).select("key")
 
 
 def dimension_join(left: DataFrame, dim: DataFrame, key: str, how: str = "left", dim_key: str = "id",
@@ -122,11 +121,12 @@ def dimension_join(left: DataFrame, dim: DataFrame, key: str, how: str = "left",
     ``key`` = its unique ``dim_key``; dim's other columns are added.
 
     A dimension under the bounds is broadcast. Beyond them the rows of the
-    keys that are heavy in ``left`` (see ``heavy_keys``) are broadcast, and the
-    others are cut to the keys in use and joined by a shuffle, in which rows
-    with a heavy or a NULL key are spread by a hash of the row. So no
-    task holds a heavy key, however few keys there are, and ``left`` is read
-    once more, for its key counts."""
+    keys that are heavy in ``left`` (see ``heavy_keys``) are broadcast, should
+    they be under the bounds, and the others are cut to the keys in use and
+    joined by a shuffle, in which rows with a heavy or a NULL key are spread
+    by a hash of the row. So no task holds a heavy key, however few keys there
+    are, and ``left`` is read once more, for its key counts, while the plan is
+    built."""
     if small is None:
         small = is_small(dim, base)
     names = [c for c in dim.columns if c != dim_key]
@@ -135,14 +135,13 @@ def dimension_join(left: DataFrame, dim: DataFrame, key: str, how: str = "left",
         d = F.broadcast(dim.select(F.col(dim_key).alias(k), *names))
         on = F.col(key) == F.col(k)
         return left.join(d, on, how).drop(k)
-    heavy = F.broadcast(heavy_keys(left, key, share))       # at most ``share`` rows
-    top = F.broadcast(dim.join(heavy, dim[dim_key] == heavy["key"], "left_semi")
-                      .select(F.col(dim_key).alias("__top"), F.struct(*names).alias("__top_row")))
+    keys = [r["key"] for r in heavy_keys(left, key, share).collect()]       # at most ``share`` numbers
+    top = small_side(dim.where(F.col(dim_key).isin(keys)).select(F.col(dim_key).alias("__top"), F.struct(*names).alias("__top_row")))
     used = left.select(F.col(key).alias("__used")).where("__used IS NOT NULL").distinct()
     rest = dim.join(used, dim[dim_key] == used["__used"], "left_semi").select(
         F.col(dim_key).cast("bigint").alias(k), F.struct(*names).alias("__row"))
     rows = left.join(top, F.col(key) == F.col("__top"), "left")
-    own = F.when(F.col("__top").isNull(), F.col(key).cast("bigint"))
+    own = F.when(~F.col(key).isin(keys), F.col(key).cast("bigint"))     # a heavy key without a row is spread, too
     spread = F.coalesce(own, -F.abs(F.xxhash64(*left.columns).bitwiseAND((1 << 62) - 1)) - 1)
     rows = rows.withColumn("__spread", spread).join(rest, F.col("__spread") == F.col(k), "left")
     if how == "inner":
