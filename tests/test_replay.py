@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from halyard.operators import changes as CH
+from halyard.operators import claims as CL
 from halyard.operators.claims import resolve_claims
 from halyard.operators.replay import replay_changes
 from halyard.sources import schemas as S
@@ -139,6 +140,39 @@ def test_chain_of_refusals(spark):
     assert all(r["stands"] for r in got.collect())
 
 
+def test_a_long_chain_takes_few_writes(spark, monkeypatch):
+    """Sixty refusals that follow from each other are replayed at one go."""
+    n, written, pinned = 60, [], CL.pinned
+    monkeypatch.setattr(CL, "pinned", lambda df, name: written.append(name) or pinned(df, name))
+    rows = [(k, None, f"k{k}", "hold") for k in range(n + 1)] + [(k, n - k, f"k{k + 1}", "claim") for k in range(n)]
+    got = resolve_claims(spark.createDataFrame(rows, "id bigint, seq bigint, key string, kind string"))
+    assert {r["seq"]: r["stands"] for r in got.collect()} == {k: False for k in range(1, n + 1)}
+    assert len(written) < 12
+
+
+@pytest.mark.parametrize("seed, hot_mail, hot_id", [(3, 0.3, 0.2), (4, 0.6, 0.5)])
+def test_replay_over_many_segments(spark, demo, monkeypatch, seed, hot_mail, hot_id):
+    """What a segment leaves is carried to those behind it."""
+    monkeypatch.setattr(CL, "SEGMENT_ROWS", 25)
+    check(spark, demo, 20, random_feed(random.Random(seed), 20, 300, hot_mail, hot_id))
+
+
+def test_chain_of_refusals_over_segments(spark, monkeypatch):
+    monkeypatch.setattr(CL, "SEGMENT_ROWS", 3)
+    test_chain_of_refusals(spark)
+
+
+def test_repeated_events_and_two_holders_of_a_key(spark):
+    """Repeated holds and claims have a row each; a key with two holders is
+    free when both gave it up."""
+    rows = [(1, None, "a", "hold"), (1, None, "a", "hold"), (2, None, "a", "hold"), (3, None, "c", "hold"),
+            (3, 1, "a", "claim"), (1, 2, "b", "claim"), (1, 2, "b", "claim"), (3, 3, "a", "claim"),
+            (2, 4, None, "free"), (3, 5, "a", "claim"), (3, 5, "a", "claim"), (1, 6, "c", "claim")]
+    got = resolve_claims(spark.createDataFrame(rows, "id bigint, seq bigint, key string, kind string"))
+    assert sorted((r["seq"], r["stands"]) for r in got.collect()) == [
+        (1, False), (2, True), (2, True), (3, False), (5, True), (5, True), (6, True)]
+
+
 def test_empty_batches_and_changes_without_place(spark, demo):
     none = spark.createDataFrame([], SCHEMA)
     new, out = replay_changes(demo, none, "customers", T)
