@@ -150,6 +150,22 @@ def test_a_long_chain_takes_few_writes(spark, monkeypatch):
     assert len(written) < 12
 
 
+def chained_feed(n):
+    """Each customer asks for the address of the next one; the last cannot
+    move in the first half, and moves first in the second."""
+    mail = lambda k: f"u{k}@example.com"
+    asks = lambda at: [change(at + n - k, k, email=mail(k + 1), notes=f"n{at}") for k in range(n)]
+    return asks(0) + [change(n + 1, n, email="free@example.com")] + asks(n + 1)
+
+
+def test_tables_after_a_long_chain(spark, demo, monkeypatch):
+    n, written, pinned = 50, [], CL.pinned
+    monkeypatch.setattr(CL, "pinned", lambda df, name: written.append(name) or pinned(df, name))
+    errors = check(spark, demo, n + 1, chained_feed(n))
+    assert [errors[s] for s in (1, n, n + 1, n + 2, 2 * n + 1)] == ["unique:email"] * 2 + [""] * 3
+    assert len(written) < 12
+
+
 @pytest.mark.parametrize("seed, hot_mail, hot_id", [(3, 0.3, 0.2), (4, 0.6, 0.5)])
 def test_replay_over_many_segments(spark, demo, monkeypatch, seed, hot_mail, hot_id):
     """What a segment leaves is carried to those behind it."""
