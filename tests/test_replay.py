@@ -12,6 +12,7 @@ from halyard.operators.claims import resolve_claims
 from halyard.operators.replay import replay_changes
 from halyard.sources import schemas as S
 from halyard.sources.fixtures import overlay
+from halyard.streaming.change_stream import change_source, replay_change_stream
 
 T = dt.datetime(2024, 6, 1)
 SCHEMA = ("seq bigint, id bigint, op string, set_email boolean, email string, set_status boolean, status string, "
@@ -166,6 +167,21 @@ def test_tables_after_a_long_chain(spark, demo, monkeypatch):
     assert len(written) < 12
 
 
+def test_a_long_chain_as_a_stream(spark, demo, monkeypatch, tmp_path):
+    """The chain of one micro-batch takes few writes, too."""
+    n, written, pinned = 50, [], CL.pinned
+    monkeypatch.setattr(CL, "pinned", lambda df, name: written.append(name) or pinned(df, name))
+    customers, feed = people(spark, n + 1), spark.createDataFrame(chained_feed(n), SCHEMA)
+    feed.coalesce(1).write.parquet(str(tmp_path / "in"))
+    query = replay_change_stream(change_source(spark, str(tmp_path / "in"), feed.schema), overlay(demo, customers=customers),
+                                 str(tmp_path / "out"), str(tmp_path / "state"), T)
+    query.awaitTermination()
+    assert query.exception() is None and len(written) < 12
+    got = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out" / "customers_outcomes"))
+    _, want = plain_replay(customers.collect(), {r["id"] for r in demo["companies"].collect()}, chained_feed(n))
+    assert {r["seq"]: r["outcome"] for r in got.collect()} == want
+
+
 @pytest.mark.parametrize("seed, hot_mail, hot_id", [(3, 0.3, 0.2), (4, 0.6, 0.5)])
 def test_replay_over_many_segments(spark, demo, monkeypatch, seed, hot_mail, hot_id):
     """What a segment leaves is carried to those behind it."""
