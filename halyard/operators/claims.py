@@ -12,8 +12,10 @@ from who holds what at its start.
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,36 +35,41 @@ def _replay():
     the other, from the keys held at its start (``hold``), each with whether
     it stands, and for each id whose key is another one at the end that key
     (``after``). Made here, it travels to the tasks as a whole."""
-    def run(events: pd.DataFrame) -> pd.DataFrame:
-        held = events[events["kind"] == HOLD]
-        moves = events[events["kind"] != HOLD].sort_values(["seq", "id"], kind="stable")
-        began = dict(zip(held["id"].tolist(), held["key"].tolist()))
+    def run(events: pa.Table) -> pa.Table:
+        held = events.filter(pc.equal(events["kind"], HOLD))
+        moves = events.filter(pc.not_equal(events["kind"], HOLD)).sort_by([("seq", "ascending"), ("id", "ascending")])
+        began = dict(zip(held["id"].to_pylist(), held["key"].to_pylist()))
         has, holders, stands = dict(began), Counter(began.values()), []
-        for id_, key, kind in zip(moves["id"].tolist(), moves["key"].tolist(), moves["kind"].tolist()):
+        frees = pc.equal(moves["kind"], FREE).to_pylist()
+        for id_, key, free in zip(moves["id"].to_pylist(), moves["key"].to_pylist(), frees):
             own = has.get(id_)
-            stood = kind == FREE or own == key or not holders[key]
+            stood = free or own == key or not holders[key]
             if stood and own is not None:
                 holders[own] -= 1
             if stood:
                 has[id_] = key    # a free has none
-                holders[key] += kind == CLAIM
+                holders[key] += not free
             stands.append(stood)
         after = [(id_, key) for id_, key in has.items() if key != began.get(id_)]
-        ends = pd.DataFrame(after, columns=["id", "key"], dtype=object).assign(seq=0, kind=AFTER, stands=True)
-        out = pd.concat([moves.assign(stands=stands), ends.astype({"id": "int64"})])
-        return out.assign(seg=events["seg"].iloc[0])[["seg", "id", "seq", "key", "kind", "stands"]]
+        n = len(after)
+        ends = pa.table({"seg": [events["seg"][0].as_py()] * n, "id": [id_ for id_, _ in after], "seq": [0] * n,
+                         "key": [key for _, key in after], "kind": [AFTER] * n}, schema=moves.schema)
+        return pa.concat_tables([moves, ends]).append_column("stands", pa.array(stands + [True] * n, pa.bool_()))
     return run
 
 
-def _at_start(holds: DataFrame, after: DataFrame, ids: DataFrame, keys: DataFrame) -> DataFrame:
-    """(seg, id, key): who holds what at the start of each segment, of the ids
-    and the keys that it touches (``ids``, ``keys``), if before it each id had
-    its key of ``holds`` and ``after`` each segment the one given there."""
+def _at_start(holds: DataFrame, after: DataFrame, ids: DataFrame, keys: DataFrame, state: DataFrame) -> DataFrame:
+    """(seg, id, key, now, was): who holds what at the start of each segment,
+    of the ids and the keys that it touches (``ids``, ``keys``). ``now``: if
+    before it each id had its key of ``holds`` and ``after`` each segment the
+    one given there; ``was``: in ``state``, what this gave the last time."""
     spans = holds.select("id", "key", F.lit(-1).alias("since")).unionByName(after.select("id", "key", F.col("seg").alias("since")))
     spans = spans.withColumn("until", F.lead("since").over(Window.partitionBy("id").orderBy("since"))).where(F.col("key").isNotNull())
     within = (F.col("since") < F.col("seg")) & (F.col("until").isNull() | (F.col("seg") <= F.col("until")))
-    found = [spans.join(touched, by).where(within).select("seg", "id", "key") for touched, by in ((ids, "id"), (keys, "key"))]
-    return found[0].unionByName(found[1]).distinct()
+    found = [spans.join(touched, by).where(within).select("seg", "id", "key", F.lit(True).alias("now")) for touched, by in ((ids, "id"), (keys, "key"))]
+    before = state.where("now").select("seg", "id", "key", F.lit(False).alias("now"))
+    return found[0].unionByName(found[1]).unionByName(before).groupBy("seg", "id", "key").agg(
+        F.bool_or("now").alias("now"), F.bool_or(~F.col("now")).alias("was"))
 
 
 def resolve_claims(events: DataFrame) -> DataFrame:
@@ -83,39 +90,47 @@ def resolve_claims(events: DataFrame) -> DataFrame:
     each other. Every round is written under the checkpoint folder; only
     numbers of segments reach the driver."""
     e = pinned(events.select(F.col("id").cast("bigint").alias("id"), F.col("seq").cast("bigint").alias("seq"), "key", "kind"), "claims")
-    claims, moved = e.where(F.col("kind") == CLAIM), F.col("kind") != HOLD
     contested = (e.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"))
                  .where("a <> b").select("key"))
-    ids = pinned(e.join(contested, "key", "left_semi").select("id").distinct(), "claims-ids")
-    live = e.join(ids, "id", "left_semi")
-    n = -(-live.where(moved).count() // SEGMENT_ROWS)
+    ids = e.join(contested, "key", "left_semi").select("id").distinct().withColumn("live", F.lit(True))
+    e = pinned(e.join(ids, "id", "left"), "claims-live")
+    claims, moved = F.col("kind") == CLAIM, F.col("kind") != HOLD
+    n = -(-e.where(F.col("live") & moved).count() // SEGMENT_ROWS)
     if not n:
-        return claims.select("seq", F.lit(True).alias("stands"))
-    moves = pinned(live.where(moved).repartitionByRange(n, "seq").withColumn("seg", F.spark_partition_id()), "claims-moves")
-    holds = pinned(live.where(~moved).select("id", "key").distinct(), "claims-holds")
-    known = _rounds(moves, holds, n).where(F.col("kind") == CLAIM).select("seq", "stands")
-    rest = claims.join(ids, "id", "left_anti").select("seq", F.lit(True).alias("stands"))
+        return e.where(claims).select("seq", F.lit(True).alias("stands"))
+    moves = pinned(e.where(F.col("live") & moved).drop("live").repartitionByRange(n, "seq")
+                   .withColumn("seg", F.spark_partition_id()), "claims-moves")
+    holds = e.where(F.col("live") & ~moved).select("id", "key").distinct()
+    known = _rounds(moves, holds, n).where(claims).select("seq", "stands")
+    rest = e.where(claims & F.col("live").isNull()).select("seq", F.lit(True).alias("stands"))
     return known.unionByName(rest)
 
 
 def _rounds(moves: DataFrame, holds: DataFrame, n: int) -> DataFrame:
     """``moves`` (id, seq, key, kind, seg; ``n`` segments) as replayed in the
     last round that each segment takes part in."""
-    spark = moves.sparkSession
-    ids, keys = (pinned(moves.where(F.col(c).isNotNull()).select("seg", c).distinct(), f"claims-{c}s") for c in ("id", "key"))
-    after, state, latest = holds.limit(0).withColumn("seg", F.lit(0)), None, {}
-    for _ in range(n):
-        start = pinned(_at_start(holds, after, ids, keys), "claims-start")
-        # Either state has a row once.
-        stale = ids if state is None else start.unionByName(state).groupBy("seg", "id", "key").count().where("count = 1")
-        stale = [r["seg"] for r in stale.select("seg").distinct().collect()]
-        if not stale:
+    spark, todo = moves.sparkSession, list(range(n))
+    touched = pinned(reduce(DataFrame.unionByName, [
+        moves.where(F.col(c).isNotNull()).select("seg", c).distinct().select("seg", *[
+            F.col(x) if x == c else F.lit(None).cast(moves.schema[x].dataType).alias(x) for x in ("id", "key")])
+        for c in ("id", "key")]), "claims-touched")
+    ids, keys = (touched.where(F.col(c).isNotNull()).select("seg", c) for c in ("id", "key"))
+    after = holds.limit(0).withColumn("seg", F.lit(0))
+    start, latest = after.withColumn("now", F.lit(True)), {}
+    for k in range(n):
+        start = pinned(_at_start(holds, after, ids, keys, start), "claims-start")
+        if k:
+            todo = [r["seg"] for r in start.where("now <> was").select("seg").distinct().collect()]
+        if not todo:
             break
-        path, todo = scratch_dir(spark, "claims-round"), F.col("seg").isin(stale)
-        held = start.where(todo).select("seg", "id", F.lit(0).cast("bigint").alias("seq"), "key", F.lit(HOLD).alias("kind"))
-        (moves.where(todo).select(*held.columns).unionByName(held).repartition(2 * len(stale), "seg")
-         .groupBy("seg").applyInPandas(_replay(), _REPLAYED).withColumn("of", F.col("seg")).write.partitionBy("of").parquet(path))
-        latest.update({seg: f"{path}/of={seg}" for seg in stale})
-        replayed = spark.read.schema(_REPLAYED).parquet(*latest.values())
-        after, state = replayed.where(F.col("kind") == AFTER), start
+        path, stale = scratch_dir(spark, "claims-round"), F.col("seg").isin(todo)
+        held = start.where(stale & F.col("now")).select("seg", "id", F.lit(0).cast("bigint").alias("seq"), "key", F.lit(HOLD).alias("kind"))
+        (moves.where(stale).select(*held.columns).unionByName(held).repartition(2 * len(todo), "seg")
+         .groupBy("seg").applyInArrow(_replay(), _REPLAYED).withColumn("of", F.col("seg")).write.partitionBy("of").parquet(path))
+        latest.update(dict.fromkeys(todo, path))
+        # Of each round, the segments that were not replayed again since.
+        replayed = reduce(DataFrame.unionByName, [
+            spark.read.schema(f"{_REPLAYED}, of int").parquet(p).where(F.col("of").isin([seg for seg in latest if latest[seg] == p]))
+            for p in dict.fromkeys(latest.values())]).drop("of")
+        after = replayed.where(F.col("kind") == AFTER)
     return replayed

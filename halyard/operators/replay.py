@@ -65,16 +65,24 @@ def claimed_key(entity: str, fields: list[str]) -> str | None:
     return keys[0][0]
 
 
+def _taken(changes: DataFrame, small: bool | None) -> tuple[DataFrame, bool]:
+    """``changes`` with an ``op``, written once, and whether they are under
+    the broadcast bounds."""
+    if "op" not in changes.columns:
+        changes = changes.withColumn("op", F.lit("patch"))
+    changes = pinned(changes, "replay-changes")
+    return changes, is_small(changes) if small is None else small
+
+
 def judged_changes(t, changes: DataFrame, entity: str, small: bool | None = None) -> DataFrame:
     """``changes`` with ``outcome`` and ``errors`` (codes, ``|``-joined) of
     each, written once. See ``replay_changes``."""
+    return _judged(t, *_taken(changes, small), entity)
+
+
+def _judged(t, changes: DataFrame, small: bool, entity: str) -> DataFrame:
     from halyard.operators.changes import _flag_missing_parents
     table, fields = t[entity], writable_fields(changes, entity)
-    if "op" not in changes.columns:
-        changes = changes.withColumn("op", F.lit("patch"))
-    changes = pinned(changes, "replay-changes")
-    if small is None:
-        small = is_small(changes)
     patch, codes = F.col("op") == "patch", F.col("errors")
     none = F.array().cast("array<string>")
     checked = VALIDATORS[entity](changes, partial=True, checked_only=True).checked()
@@ -153,9 +161,8 @@ def replay_changes(t, changes: DataFrame, entity: str, as_of, small: bool | None
     reach the child tables by their rules (W6). Changes without a sequence or
     an id are rejected; an empty batch changes nothing."""
     from halyard.operators.changes import delete_batch
-    judged = judged_changes(t, changes, entity, small)
-    if small is None:
-        small = is_small(judged)
+    changes, small = _taken(changes, small)     # bounds the rows patched and deleted, too
+    judged = _judged(t, changes, small, entity)
     table = apply_patches(t[entity], entity, last_set(judged, entity), as_of, small)
     gone = judged.where(F.col("outcome") == "deleted").select("id")
     new, _ = delete_batch(overlay(t, **{entity: table}), entity, gone, small=small)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from halyard.operators import changes as CH
 from halyard.operators import claims as CL
+from halyard.operators import replay as RP
 from halyard.operators.claims import resolve_claims
 from halyard.operators.replay import replay_changes
 from halyard.sources import schemas as S
@@ -167,6 +168,15 @@ def test_tables_after_a_long_chain(spark, demo, monkeypatch):
     assert len(written) < 12
 
 
+def test_a_replay_writes_and_measures_little(spark, demo, monkeypatch):
+    """The changes are measured once; one segment takes five writes."""
+    written, measured, pinned, is_small = [], [], CL.pinned, RP.is_small
+    monkeypatch.setattr(CL, "pinned", lambda df, name: written.append(name) or pinned(df, name))
+    monkeypatch.setattr(RP, "is_small", lambda df: measured.append(df) or is_small(df))
+    check(spark, demo, 11, chained_feed(10))
+    assert len(written) == 5 and len(measured) == 1
+
+
 def test_a_long_chain_as_a_stream(spark, demo, monkeypatch, tmp_path):
     """The chain of one micro-batch takes few writes, too."""
     n, written, pinned = 50, [], CL.pinned
@@ -194,6 +204,12 @@ def test_chain_of_refusals_over_segments(spark, monkeypatch):
     test_chain_of_refusals(spark)
 
 
+def test_more_segments_than_sequences(spark, monkeypatch):
+    """Repeated claims fill one segment; others have no event."""
+    monkeypatch.setattr(CL, "SEGMENT_ROWS", 1)
+    test_repeated_events_and_two_holders_of_a_key(spark)
+
+
 def test_repeated_events_and_two_holders_of_a_key(spark):
     """Repeated holds and claims have a row each; a key with two holders is
     free when both gave it up."""
