@@ -224,7 +224,7 @@ def replay_change_stream(changes: DataFrame, t: dict, target_path: str, checkpoi
     first = _first_version(spark, target_path, checkpoint, [entity, *reached_tables(entity), outcome_table(entity)])
 
     def step(cur, batch):
-        new, outcomes = replay_changes(cur, batch, entity, as_of)
+        new, outcomes = replay_changes(cur, batch, entity, as_of, written=True)    # by _pin
         return new, outcomes, bool(outcomes.where("outcome = 'deleted'").take(1))
 
     writer = (changes.writeStream.outputMode("append").option("checkpointLocation", checkpoint)

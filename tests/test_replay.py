@@ -204,6 +204,20 @@ def test_chain_of_refusals_over_segments(spark, monkeypatch):
     test_chain_of_refusals(spark)
 
 
+def test_a_micro_batch_is_written_once(spark, demo, monkeypatch, tmp_path):
+    written, pinned = [], RP.pinned
+    monkeypatch.setattr(RP, "pinned", lambda df, name: written.append(name) or pinned(df, name))
+    customers, feed = people(spark, 6), spark.createDataFrame(chained_feed(5), SCHEMA)
+    feed.coalesce(1).write.parquet(str(tmp_path / "in"))
+    query = replay_change_stream(change_source(spark, str(tmp_path / "in"), feed.schema), overlay(demo, customers=customers),
+                                 str(tmp_path / "out"), str(tmp_path / "state"), T)
+    query.awaitTermination()
+    assert query.exception() is None and written and "replay-changes" not in written
+    rows, _ = plain_replay(customers.collect(), {r["id"] for r in demo["companies"].collect()}, chained_feed(5))
+    got = spark.read.schema(S.CUSTOMERS).option("recursiveFileLookup", "true").parquet(str(tmp_path / "out" / "customers"))
+    assert {r["id"]: r.asDict() for r in got.collect()} == rows
+
+
 def test_more_segments_than_sequences(spark, monkeypatch):
     """Repeated claims fill one segment; others have no event."""
     monkeypatch.setattr(CL, "SEGMENT_ROWS", 1)
