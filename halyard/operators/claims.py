@@ -100,7 +100,7 @@ def resolve_claims(events: DataFrame) -> DataFrame:
         return e.where(claims).select("seq", F.lit(True).alias("stands"))
     moves = pinned(e.where(F.col("live") & moved).drop("live").repartitionByRange(n, "seq")
                    .withColumn("seg", F.spark_partition_id()), "claims-moves")
-    holds = e.where(F.col("live") & ~moved).select("id", "key").distinct()
+    holds = pinned(e.where(F.col("live") & ~moved).select("id", "key").distinct(), "claims-holds")
     known = _rounds(moves, holds, n).where(claims).select("seq", "stands")
     rest = e.where(claims & F.col("live").isNull()).select("seq", F.lit(True).alias("stands"))
     return known.unionByName(rest)

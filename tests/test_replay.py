@@ -169,12 +169,12 @@ def test_tables_after_a_long_chain(spark, demo, monkeypatch):
 
 
 def test_a_replay_writes_and_measures_little(spark, demo, monkeypatch):
-    """The changes are measured once; one segment takes five writes."""
+    """The changes are measured once; one segment takes six writes."""
     written, measured, pinned, is_small = [], [], CL.pinned, RP.is_small
     monkeypatch.setattr(CL, "pinned", lambda df, name: written.append(name) or pinned(df, name))
     monkeypatch.setattr(RP, "is_small", lambda df: measured.append(df) or is_small(df))
     check(spark, demo, 11, chained_feed(10))
-    assert len(written) == 5 and len(measured) == 1
+    assert len(written) == 6 and len(measured) == 1
 
 
 def test_a_long_chain_as_a_stream(spark, demo, monkeypatch, tmp_path):
